@@ -1,0 +1,70 @@
+import re
+
+from toposcope.llm import decontaminate as D
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+ITEMS = [
+    ("b", "One two three four five six seven eight nine ten eleven twelve"),
+    ("a", "été noël"),
+    (None, "null item text"),
+    ("z", None),
+    ("y", " ... "),
+    ("dup", "alpha beta"),
+    ("dup", "gamma delta"),
+]
+TEXTS = [
+    None,
+    "",
+    "?!",
+    "x ONE two, three four five six seven eight nine ten-eleven y",
+    "two three four five six seven eight nine ten",
+    "ÉTÉ noël; été   noël été null item text alpha beta gamma delta",
+    "one two three four five six seven eight nine ten eleven twelve " * 400,
+    "clean words here 😀 alpha",
+]
+
+
+def words(t):
+    return WORD.findall((t or "").translate(LOWER))
+
+
+def brute(text):
+    w, hit, items = words(text), set(), set()
+    for item, t in ITEMS:
+        x = words(t)
+        n = min(10, len(x))
+        for k in range(len(x) - n + 1 if n else 0):
+            for i in range(len(w) - n + 1):
+                if w[i : i + n] == x[k : k + n]:
+                    hit |= set(range(i, i + n))
+                    items.add(item)
+    return len(w), len(hit), sorted(i for i in items if i is not None)
+
+
+def frames(spark):
+    docs = spark.createDataFrame([(i, t, "own") for i, t in enumerate(TEXTS)], "doc_id long, text string, items string")
+    return docs, spark.createDataFrame(ITEMS, "item_id string, text string")
+
+
+def test_equal_to_brute_force_in_one_pass_and_in_many(spark):
+    docs, bench = frames(spark)
+    for most in (2_000_000, 20):
+        got = {r.doc_id: r for r in D.scan(docs, bench, max_windows=most).collect()}
+        for i, t in enumerate(TEXTS):
+            assert (got[i].n_words, got[i].n_hit, sorted(got[i]["items"])) == brute(t), (most, i)
+
+
+def test_removal_keeps_clean_documents(spark):
+    docs, bench = frames(spark)
+    out = {r.doc_id: r.text for r in D.remove_spans(docs, bench).collect()}
+    assert set(out) == {0, 1, 2, 3, 4, 5, 7}
+    assert out[7] == TEXTS[7] and out[4] == TEXTS[4] and out[0] is None
+    assert out[3] == "x  y"
+
+
+def test_empty_tables(spark):
+    docs, bench = frames(spark)
+    assert D.scan(docs.limit(0), bench).count() == 0
+    assert D.scan(docs, bench.limit(0)).where("n_hit > 0").count() == 0
