@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,8 +178,6 @@ def scan(documents: DataFrame, benchmark: DataFrame, width: int = 10, max_window
 
 
 def _recount(spark: SparkSession):
-    import pandas as pd
-
     @F.pandas_udf("n_hit long, hits array<struct<start:int,end:int>>")
     def recount(text: pd.Series, hits: pd.Series) -> pd.DataFrame:
         n, merged = [], []
@@ -206,8 +205,6 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, width: int = 10, dr
     drop_share of the words is removed whole (1.0: nothing else would be left of it).
     Clean documents pass unchanged, those without words too.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def without(text: pd.Series, hits: pd.Series) -> pd.Series:
         return pd.Series([cut(t, s) if t is not None and len(s) else t for t, s in zip(text, hits, strict=True)], dtype=object)
