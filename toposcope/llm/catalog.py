@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from toposcope.llm import bloom_lm, decontaminate, secret_ledger
+from toposcope.llm import bloom_lm, circulant_minhash, decontaminate, secret_ledger
 
 
 def queries() -> dict:
     return {
         "op1_bloom_lm": bloom_lm.op1_bloom_lm,
+        "op2_circulant_minhash": circulant_minhash.op2_circulant_minhash,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_secret_ledger": secret_ledger.op8_secret_ledger,
     }
