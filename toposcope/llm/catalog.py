@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from toposcope.llm import bloom_lm, circulant_minhash, decontaminate, secret_ledger
+from toposcope.llm import bloom_lm, byte_cnn, circulant_minhash, decontaminate, secret_ledger
 
 
 def queries() -> dict:
     return {
         "op1_bloom_lm": bloom_lm.op1_bloom_lm,
         "op2_circulant_minhash": circulant_minhash.op2_circulant_minhash,
+        "op3_byte_cnn": byte_cnn.op3_byte_cnn,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_secret_ledger": secret_ledger.op8_secret_ledger,
     }
