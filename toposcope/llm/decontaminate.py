@@ -40,8 +40,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 def _rolled(h: np.ndarray, width: int) -> np.ndarray:
     """The hash of each run of `width` words."""
-    n = len(h) - width + 1
-    out = np.zeros(max(n, 0), dtype=np.uint64)
+    n = max(0, len(h) - width + 1)
+    out = np.zeros(n, dtype=np.uint64)
     for k in range(width):
         out = out * _BASE + h[k : k + n]
     return mix(out)
