@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from toposcope.llm import bloom_lm, byte_cnn, circulant_minhash, decontaminate, secret_ledger
+from toposcope.llm import bloom_lm, byte_cnn, circulant_minhash, decontaminate, deobfuscate, secret_ledger
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_byte_cnn": byte_cnn.op3_byte_cnn,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_secret_ledger": secret_ledger.op8_secret_ledger,
+        "op9_deobfuscate": deobfuscate.op9_deobfuscate,
     }
 
 
