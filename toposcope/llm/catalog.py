@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from toposcope.llm import bloom_lm, byte_cnn, circulant_minhash, decontaminate, deobfuscate, secret_ledger
+from toposcope.llm import bloom_lm, byte_cnn, circulant_minhash, decontaminate, deobfuscate, permutation_index, secret_ledger
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_secret_ledger": secret_ledger.op8_secret_ledger,
         "op9_deobfuscate": deobfuscate.op9_deobfuscate,
+        "op10_permutation_index": permutation_index.op10_permutation_index,
     }
 
 
