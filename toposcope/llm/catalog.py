@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from toposcope.llm import bloom_lm, byte_cnn, circulant_minhash, decontaminate, deobfuscate, permutation_index, secret_ledger
+from toposcope.llm import bloom_lm, byte_cnn, circulant_minhash, decontaminate, deobfuscate, permutation_index, secret_ledger, site_style_tree
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_circulant_minhash": circulant_minhash.op2_circulant_minhash,
         "op3_byte_cnn": byte_cnn.op3_byte_cnn,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_site_style_tree": site_style_tree.op7_site_style_tree,
         "op8_secret_ledger": secret_ledger.op8_secret_ledger,
         "op9_deobfuscate": deobfuscate.op9_deobfuscate,
         "op10_permutation_index": permutation_index.op10_permutation_index,
