@@ -15,7 +15,7 @@ not looked at again.  The last round has no limit, so no pair is left unseen: th
 only set the order.  Very large buckets of unlinked texts are split by further bands.
 
 At the default 32 bands of 4 coordinates a pair at similarity 0.8 shares no band with
-probability 5e-8, and falls below the agreement asked for with probability below 1e-7.
+probability 5e-8, and falls below the agreement asked for with probability 4e-6.
 
 Defined results: null and empty texts and those without words have an empty set and are
 linked with nothing; a null doc_id is linked with nothing and kept; repeated rows of one
@@ -41,10 +41,11 @@ from toposcope.llm.components import connected
 CIRCLE_BITS = 20
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-AGREE = 0.594
+AGREE = 0.64
 CAP = 512
 TARGETS = 4096
-SEEK = (4, 64, None)
+SEEK = (8, None)
+PAIRS = 100_000
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -146,35 +147,74 @@ def _band(sig, k):
     return F.substring(sig, k * (2 * ROWS) + 1, 2 * ROWS)
 
 
+def _seek(t: dict[str, np.ndarray], limit: int | None, percent: int) -> list[np.ndarray]:
+    """Within blocks: partners of each seeker in other components, best first.
+
+    t has rows of whole blocks, in each block its targets before its seekers.
+    """
+    start = np.flatnonzero(np.concatenate([[True], t["block"][1:] != t["block"][:-1]]))
+    of_block = np.cumsum(np.concatenate([[True], t["block"][1:] != t["block"][:-1]])) - 1
+    targets = np.add.reduceat((~t["seeks"]).astype(np.int64), start)
+    seekers = np.flatnonzero(t["seeks"])
+    many = targets[of_block[seekers]]
+    out, done = [], 0
+    edges = np.cumsum(many)
+    while done < len(seekers):  # so many seekers at a time that their pairs fit in memory
+        stop = max(done + 1, int(np.searchsorted(edges, (edges[done - 1] if done else 0) + PAIRS)))
+        own, n = seekers[done:stop], many[done:stop]
+        done = stop
+        one = np.repeat(own, n)
+        other = np.repeat(start[of_block[own]], n) + np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
+        a, b = t["n"][one], t["n"][other]
+        near = (t["comp"][one] != t["comp"][other]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        one, other = one[near], other[near]
+        for at in range(0, len(one), PAIRS):
+            x, y = one[at : at + PAIRS], other[at : at + PAIRS]
+            # a pair is looked at in the first band that it shares
+            first = (t["sig"][x].view(np.uint64) == t["sig"][y].view(np.uint64)).argmax(axis=1) == t["band"][x]
+            x, y = x[first], y[first]
+            agree = (t["sig"][x] == t["sig"][y]).sum(axis=1)
+            good = agree >= AGREE * COORDINATES
+            out.append(np.stack([x[good], y[good], agree[good]]))
+    found = np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
+    found = found[:, np.lexsort((t["rid"][found[1]], -found[2], found[0]))]
+    first = np.flatnonzero(np.concatenate([[True], found[0, 1:] != found[0, :-1]])) if found.shape[1] else np.empty(0, np.int64)
+    of = np.diff(np.append(first, found.shape[1]))
+    rank = np.arange(found.shape[1]) - np.repeat(first, of)
+    keep = rank < (limit if limit is not None else found.shape[1] + 1)
+    return [t["rid"][found[0]][keep], t["rid"][found[1]][keep], found[2][keep], np.repeat(of, of)[keep]]
+
+
 def _seek_task(limit: int | None, percent: int):
-    def seek(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Within one block: partners of each seeker in other components, best first."""
-        seekers, targets = pdf[pdf["seeks"]], pdf[~pdf["seeks"]]
-        out = []
-        if len(seekers) and len(targets):
-            sig = np.frombuffer(b"".join(targets["sig"]), np.uint16).reshape(-1, COORDINATES)
-            band = sig.view(np.uint64)
-            ids, comp, n = targets["rid"].to_numpy(), targets["comp"].to_numpy(), targets["n"].to_numpy()
-            first = int(pdf["band"].iloc[0])
-            for s in seekers.itertuples(index=False):
-                own = np.frombuffer(s.sig, np.uint16)
-                near = (comp != s.comp) & (100 * np.minimum(n, s.n) >= percent * np.maximum(n, s.n))
-                at = np.flatnonzero(near)
-                if not len(at):
-                    continue
-                # a pair is looked at in the first band that it shares
-                at = at[(band[at] == own.view(np.uint64)).argmax(axis=1) == first]
-                agree = (sig[at] == own).sum(axis=1)
-                at, agree = at[agree >= AGREE * COORDINATES], agree[agree >= AGREE * COORDINATES]
-                if not len(at):
-                    continue
-                order = np.lexsort((ids[at], -agree))[:limit]
-                out += [(s.rid, ids[at[i]], int(agree[i]), len(at)) for i in order]
-        return pd.DataFrame(out, columns=["seeker", "other", "agree", "of"])
+    """Over rows sorted by block: whole blocks at a time, of any number of small ones."""
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in _and_last(batches):
+            if batch is not None:
+                kept = pa.concat_batches([kept, batch]) if kept is not None else batch
+            if kept is None or not kept.num_rows:
+                continue
+            block = kept.column(0).to_numpy(zero_copy_only=False)
+            # the last block may go on in the next batch
+            end = len(block) if batch is None else int(np.searchsorted(block, block[-1]))
+            whole, kept = kept.slice(0, end), kept.slice(end)
+            if not whole.num_rows:
+                continue
+            names = ("block", "seeks", "band", "rid", "comp", "n")
+            t = {k: whole.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
+            t["sig"] = np.frombuffer(b"".join(whole.column(6).to_pylist()), np.uint16).reshape(-1, COORDINATES)
+            cols = _seek(t, limit, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], whole.column(3).type), pa.array(cols[1], whole.column(3).type), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int64))], ["seeker", "other", "agree", "of"])
 
     return seek
 
 
+def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _blocks(rows: DataFrame, depth: int) -> DataFrame:
     """Rows of open buckets dealt to blocks in which seekers meet targets.
 
@@ -237,7 +277,9 @@ def components(documents: DataFrame, width: int = 5, percent: int = 80, path: st
         if rows.isEmpty():
             break
         kind = T.StructType([T.StructField("seeker", id_type), T.StructField("other", id_type), T.StructField("agree", T.IntegerType()), T.StructField("of", T.LongType())])
-        sought = stash(_blocks(rows, 0).groupBy("bucket", "chunk", "part").applyInPandas(_seek_task(limit, percent), kind), f"{path}/sought{k}")
+        dealt = _blocks(rows, 0).select(F.xxhash64("bucket", "chunk", "part").alias("block"), "seeks", "band", "rid", "comp", "n", "sig")
+        dealt = dealt.repartition("block").sortWithinPartitions("block", "seeks", "rid")
+        sought = stash(dealt.mapInArrow(_seek_task(limit, percent), kind), f"{path}/sought{k}")
         pairs = sought.select(F.least("seeker", "other").alias("a"), F.greatest("seeker", "other").alias("b")).distinct()
         found = stash(confirm(pairs, sets, percent), f"{path}/found{k}")
         if not found.isEmpty():
