@@ -1,0 +1,12 @@
+import corpus_pipeline as P
+
+
+def test_stages_on_the_small_table(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = P.run(spark, sf)
+    assert [n for n, _ in P.STAGES] == ["language", "near_duplicates", "benchmark_passages", "secrets", "mixing"]
+    assert 0 < out.count() <= docs.count()
+    assert set(docs.columns) < set(out.columns)
+    assert out.where("text is null").count() == 0
+    assert out.select("doc_id").distinct().count() == out.count()

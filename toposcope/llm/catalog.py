@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from toposcope.llm import bloom_lm, byte_cnn, circulant_minhash, decontaminate, deobfuscate, permutation_index, secret_ledger, site_style_tree
+import corpus_pipeline
+from toposcope.llm import (
+    bloom_lm,
+    byte_cnn,
+    circulant_minhash,
+    decontaminate,
+    deobfuscate,
+    permutation_index,
+    secret_ledger,
+    site_style_tree,
+    soft_mixing,
+    token_rollups,
+)
 
 
 def queries() -> dict:
@@ -10,11 +22,14 @@ def queries() -> dict:
         "op1_bloom_lm": bloom_lm.op1_bloom_lm,
         "op2_circulant_minhash": circulant_minhash.op2_circulant_minhash,
         "op3_byte_cnn": byte_cnn.op3_byte_cnn,
+        "op4_soft_mixing": soft_mixing.op4_soft_mixing,
+        "op5_token_rollups": token_rollups.op5_token_rollups,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_site_style_tree": site_style_tree.op7_site_style_tree,
         "op8_secret_ledger": secret_ledger.op8_secret_ledger,
         "op9_deobfuscate": deobfuscate.op9_deobfuscate,
         "op10_permutation_index": permutation_index.op10_permutation_index,
+        "pipeline": corpus_pipeline.run,
     }
 
 
