@@ -1,13 +1,486 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL.
+
+The test tables hold no gazetteer, so parts, customers and nations stand for places, order
+lines for spans, and events and conversations for runs and annotation sessions.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from toposcope.functions import context, geo, text
+from toposcope.operators import annotate, build, evaluate, project, resolve
+from toposcope.operators.search import Search
+from toposcope.plans.blocks import ROW, BlockPlan
+from toposcope.plans.config import Block
+from toposcope.sources import corpora, sinks
+
 FLAGSHIP = "search_partial_tiers"
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _block(spark: SparkSession, sf_dir: str, block: Block, row: str, others: tuple[str, ...] = ()) -> BlockPlan:
+    _table(spark, sf_dir, block.source).withColumn(ROW, F.col(row)).createOrReplaceTempView(block.source)
+    for name in others:
+        _table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return BlockPlan(spark, block)
+
+
+# -- build ---------------------------------------------------------------------------------
+
+
+BRANDS = Block("part", "p_brand", ["p_name"], ["p_name", "CASE WHEN p_size > 25 THEN p_size END AS size", "upper(p_type) AS kind"])
+
+
+@query("""SELECT p_brand AS identifier, 'part' AS source,
+    CAST(to_json({'p_name': arg_min(p_name, p_partkey), 'size': arg_min(CASE WHEN p_size > 25 THEN p_size END, p_partkey), 'kind': arg_min(upper(p_type), p_partkey)}) AS VARCHAR) AS data
+    FROM part WHERE p_brand IS NOT NULL GROUP BY 1""")
+def build_features_first_row(spark, sf_dir):
+    return _block(spark, sf_dir, BRANDS, "p_partkey").features().drop("geometry")
+
+
+@query("""SELECT DISTINCT p_brand AS identifier, trim(part) AS text FROM (
+    SELECT p_brand, unnest(string_split(p_name, ' ')) AS part FROM part UNION ALL SELECT p_brand, p_type FROM part) WHERE trim(part) <> ''""")
+def build_names_explode(spark, sf_dir):
+    return _block(spark, sf_dir, Block("part", "p_brand", ["explode(split(p_name, ' '))", "p_type"]), "p_partkey").names()
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS identifier,
+    CAST(to_json({'c_name': c_name, 'nation': n.n_name, 'region': r.r_name}) AS VARCHAR) AS data
+    FROM customer LEFT JOIN nation n ON c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""")
+def left_join_chain(spark, sf_dir):
+    joins = ["LEFT JOIN nation n ON c_nationkey = n.n_nationkey", "LEFT JOIN region r ON n.n_regionkey = r.r_regionkey"]
+    b = Block("customer", "c_custkey", ["c_name"], ["c_name", "n.n_name AS nation", "r.r_name AS region"], joins)
+    return _block(spark, sf_dir, b, "c_custkey", ("nation", "region")).features().select("identifier", "data")
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS identifier, CAST(to_json({'region': r.r_name}) AS VARCHAR) AS data
+    FROM nation LEFT JOIN region r ON 'R' || '.' || n_regionkey = 'R' || '.' || r.r_regionkey""")
+def left_join_concat_key(spark, sf_dir):
+    b = Block("nation", "n_nationkey", ["n_name"], ["r.r_name AS region"], ["LEFT JOIN region r ON 'R' || '.' || n_regionkey = 'R' || '.' || r.r_regionkey"])
+    return _block(spark, sf_dir, b, "n_nationkey", ("region",)).features().select("identifier", "data")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS identifier, CAST(to_json({'nation': n.n_name}) AS VARCHAR) AS data
+    FROM customer LEFT JOIN nation n ON regexp_extract(c_name, '[0-9]+$') LIKE '%' || n.n_nationkey AND c_nationkey = n.n_nationkey""")
+def left_join_regex_key(spark, sf_dir):
+    b = Block("customer", "c_custkey", ["c_name"], ["n.n_name AS nation"], ["LEFT JOIN nation n ON regexp_extract(c_name, '[0-9]+$', 0) LIKE '%' || n.n_nationkey AND c_nationkey = n.n_nationkey"])
+    return _block(spark, sf_dir, b, "c_custkey", ("nation",)).features().select("identifier", "data")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS identifier, CAST(to_json({'o_orderstatus': o_orderstatus}) AS VARCHAR) AS data
+    FROM orders WHERE o_orderstatus = 'F'""")
+def null_identifier_filter(spark, sf_dir):
+    b = Block("orders", "CASE WHEN o_orderstatus = 'F' THEN o_orderkey END", ["o_orderstatus"], ["o_orderstatus"])
+    return _block(spark, sf_dir, b, "o_orderkey").features().select("identifier", "data")
+
+
+@query("""SELECT l_orderkey, count(*) AS n FROM lineitem SEMI JOIN
+    (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1) USING (l_orderkey) GROUP BY 1""")
+def dup_semi_join(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey")
+    twice = rows.groupBy("l_orderkey").count().where("count > 1").select("l_orderkey")
+    return rows.join(twice, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT identifier, count(*) AS n, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources FROM (
+    SELECT CAST(s_suppkey AS VARCHAR) AS identifier, 'supplier' AS source FROM supplier UNION ALL
+    SELECT CAST(n_nationkey AS VARCHAR), 'nation' FROM nation) GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 5""")
+def cross_block_check(spark, sf_dir):
+    one = lambda name, key: _table(spark, sf_dir, name).select(F.col(key).cast("string").alias("identifier"), F.lit(name).alias("source"))
+    return build.duplicate_identifiers(one("supplier", "s_suppkey").unionByName(one("nation", "n_nationkey")))
+
+
+def _places(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Features and names of the parts, one of each."""
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("identifier"), "p_name")
+    feature = build.dense_ids(rows, [F.col("identifier")], "id")
+    return feature, build.link_names(rows.select("identifier", F.trim("p_name").alias("text")), feature)
+
+
+_FEATURE_SQL = "feature AS (SELECT CAST(p_partkey AS VARCHAR) AS identifier, trim(p_name) AS text, row_number() OVER (ORDER BY CAST(p_partkey AS VARCHAR)) AS id FROM part)"
+
+
+@query(f"WITH {_FEATURE_SQL} SELECT id, identifier FROM feature")
+def feature_ids(spark, sf_dir):
+    return _places(spark, sf_dir)[0].select("id", "identifier")
+
+
+@query("""WITH f AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) AS fid FROM (SELECT DISTINCT p_brand FROM part))
+    SELECT row_number() OVER (ORDER BY fid, text) AS id, fid AS feature_id, text FROM (SELECT DISTINCT fid, trim(p_name) AS text FROM part JOIN f USING (p_brand))""")
+def link_names(spark, sf_dir):
+    plan = _block(spark, sf_dir, BRANDS, "p_partkey")
+    return build.link_names(plan.names(), build.number_features(plan.features()))
+
+
+@query("""SELECT c_custkey, coalesce((SELECT string_agg(DISTINCT o_orderpriority, '; ' ORDER BY o_orderpriority) FROM orders WHERE o_custkey = c_custkey), '') AS priorities FROM customer""")
+def correlated_listagg(spark, sf_dir):
+    # the aggregate comes first, so that the join is one to one
+    lists = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "; ").alias("p"))
+    return _table(spark, sf_dir, "customer").select("c_custkey").join(lists, "c_custkey", "left").select("c_custkey", F.coalesce("p", F.lit("")).alias("priorities"))
+
+
+@query("SELECT p_brand AS identifier, min(p_partkey) AS first_row FROM part WHERE p_brand = 'Brand#11' GROUP BY 1")
+def find_identifier(spark, sf_dir):
+    return _table(spark, sf_dir, "part").where(F.col("p_brand") == "Brand#11").groupBy(F.col("p_brand").alias("identifier")).agg(F.min("p_partkey").alias("first_row"))
+
+
+# -- search --------------------------------------------------------------------------------
+
+
+def _search(spark, sf_dir) -> tuple[Search, DataFrame]:
+    _, name = _places(spark, sf_dir)
+    return Search(name, build.postings(name), build.soundex_codes(name)), _table(spark, sf_dir, "part")
+
+
+def _words_sql(words: str) -> str:
+    """BM25 over phrases (qid, phrase, toks) of the relation `words`."""
+    return f"""WITH {_FEATURE_SQL},
+    doc AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9.]+'), lambda x: x <> '') AS t FROM feature),
+    q AS (SELECT DISTINCT trim(p_name) AS query_id FROM part), {words},
+    hit AS (SELECT w.query_id, w.phrase, d.id, len(d.t) AS dl,
+        len(list_filter(range(1, len(d.t) - len(w.toks) + 2), lambda i: list_slice(d.t, i, i + len(w.toks) - 1) = w.toks)) AS f FROM words w JOIN doc d ON list_has_all(d.t, w.toks)),
+    n AS (SELECT query_id, phrase, count(*) AS n FROM hit WHERE f > 0 GROUP BY 1, 2),
+    total AS (SELECT count(*) AS rows_all, avg(len(t)) AS mean FROM doc),
+    s AS (SELECT query_id, id AS feature_id, round(sum(-CASE WHEN ln((rows_all - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((rows_all - n + 0.5) / (n + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / mean))), 12) AS score
+        FROM hit JOIN n USING (query_id, phrase), total WHERE f > 0 GROUP BY 1, 2)"""
+
+
+_TIERS_SQL = """, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, feature_id) AS position FROM s)
+    SELECT query_id, feature_id, tier, position FROM (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY score) AS tier FROM top WHERE position <= {limit}) WHERE tier <= {tiers}"""
+
+
+def _name_queries(part: DataFrame) -> DataFrame:
+    return part.select(F.trim("p_name").alias("text")).distinct().withColumn("query_id", F.col("text"))
+
+
+@query(f"WITH {_FEATURE_SQL}, q AS (SELECT DISTINCT trim(p_name) AS query_id FROM part) SELECT query_id, id AS feature_id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS position FROM q JOIN feature ON lower(text) = lower(query_id) QUALIFY position <= 40")
+def search_exact_batch(spark, sf_dir):
+    index, part = _search(spark, sf_dir)
+    return index.exact(_name_queries(part), limit=40)
+
+
+@query(_words_sql("words AS (SELECT query_id, 0 AS phrase, string_split(lower(query_id), ' ') AS toks FROM q)") + _TIERS_SQL.format(limit=10000, tiers=1))
+def search_phrase_tiers(spark, sf_dir):
+    index, part = _search(spark, sf_dir)
+    return index.phrase(_name_queries(part)).drop("score")
+
+
+@query(_words_sql("words AS (SELECT query_id, unnest(range(len(string_split(query_id, ' ')))) AS phrase, [unnest(string_split(lower(query_id), ' '))] AS toks FROM q)") + _TIERS_SQL.format(limit=500, tiers=2))
+def search_partial_tiers(spark, sf_dir):
+    index, part = _search(spark, sf_dir)
+    return index.partial(_name_queries(part), limit=500, tiers=2).drop("score")
+
+
+def _soundex_sql(x: str) -> str:
+    letters = f"regexp_replace(upper({x}), '[^A-Z]', '', 'g')"
+    digits = f"translate(substr({letters}, 1, 1) || regexp_replace(substr({letters}, 2), '[HW]', '', 'g'), 'AEIOUYHWBFPVCGJKQSXZDTLMNR', '00000000111122222222334556')"
+    for d in "0123456":
+        digits = f"regexp_replace({digits}, '{d}+', '{d}', 'g')"
+    return f"CASE WHEN {letters} = '' THEN '' ELSE substr({letters}, 1, 1) || substr(replace(substr({digits}, 2), '0', '') || '000', 1, 3) END"
+
+
+@query(f"""WITH {_FEATURE_SQL}, q AS (SELECT DISTINCT replace(trim(p_name), 'i', 'e') AS query_id FROM part),
+    s AS (SELECT query_id, id AS feature_id, levenshtein(lower(query_id), lower(text)) AS score FROM q JOIN feature ON {_soundex_sql("query_id")} = {_soundex_sql("text")})""" + _TIERS_SQL.format(limit=10000, tiers=1))
+def search_fuzzy_tiers(spark, sf_dir):
+    index, part = _search(spark, sf_dir)
+    q = part.select(F.replace(F.trim("p_name"), F.lit("i"), F.lit("e")).alias("text")).distinct().withColumn("query_id", F.col("text"))
+    return index.fuzzy(q).drop("score")
+
+
+@query(f"SELECT DISTINCT x, {_soundex_sql('x')} AS code FROM (SELECT p_name AS x FROM part UNION SELECT p_type FROM part UNION SELECT p_brand FROM part UNION SELECT c_name FROM customer)")
+def soundex_names(spark, sf_dir):
+    p = _table(spark, sf_dir, "part")
+    names = p.select(F.col("p_name").alias("x")).union(p.select("p_type")).union(p.select("p_brand")).union(_table(spark, sf_dir, "customer").select("c_name"))
+    return names.distinct().withColumn("code", text.soundex(F.col("x")))
+
+
+@query("SELECT p_partkey, levenshtein(trim(regexp_replace(lower(p_name), '[^a-z0-9]', ' ', 'g')), trim(regexp_replace(lower(p_type), '[^a-z0-9]', ' ', 'g'))) AS d FROM part")
+def levenshtein_norm(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", text.edit_distance(F.col("p_name"), F.col("p_type")).cast("long").alias("d"))
+
+
+# -- pipeline tables -----------------------------------------------------------------------
+
+
+def _spans(spark, sf_dir) -> DataFrame:
+    """Spans over documents, from order lines."""
+    start = (F.col("l_linenumber") * 4 + F.col("l_partkey") % 5).cast("int")
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), start.alias("start"), (start + 1 + F.col("l_suppkey") % 6).cast("int").alias("end"), (F.col("l_partkey") % 4).alias("kind"))
+
+
+_SPANS = "spans AS (SELECT l_orderkey AS document_id, l_orderkey * 10 + l_linenumber AS id, CAST(l_linenumber * 4 + l_partkey % 5 AS INTEGER) AS start, CAST(l_linenumber * 4 + l_partkey % 5 + 1 + l_suppkey % 6 AS INTEGER) AS \"end\", l_partkey % 4 AS kind FROM lineitem)"
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unprocessed_documents(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    marks = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"), F.lit("m").alias("recognizer_id"))
+    return project.unprocessed(docs, marks, "document_id", "recognizer_id", "m")
+
+
+@query(f"WITH {_SPANS} SELECT id FROM spans JOIN orders ON document_id = o_orderkey WHERE id NOT IN (SELECT id FROM spans WHERE kind = 2)")
+def unprocessed_references(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    own = spans.join(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id")), "document_id").select("id")
+    return project.unprocessed(own, spans.where("kind = 2").select(F.col("id").alias("reference_id"), F.lit("m").alias("resolver_id")), "reference_id", "resolver_id", "m")
+
+
+@query(f"WITH {_SPANS} SELECT s.document_id, s.id, s.start, s.\"end\", r.id AS feature_identifier FROM spans s LEFT JOIN (SELECT id FROM spans WHERE kind = 3 AND id % 2 = 0) r ON s.id = r.id WHERE s.kind IN (1, 3) AND s.document_id % 3 = 0")
+def tag_view(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    refs = spans.withColumn("recognizer_id", F.when(F.col("kind").isin(1, 3), "odd").otherwise("even")).withColumn("text", F.lit(""))
+    links = spans.where("kind = 3 and id % 2 = 0").select(F.col("id").alias("reference_id"), F.lit("best").alias("resolver_id"), F.lit("g").alias("gazetteer_name"), F.col("id").alias("feature_identifier"))
+    docs = spans.select(F.col("document_id").alias("id")).distinct().withColumn("project_id", F.concat(F.lit("p"), F.col("id") % 3))
+    tags = spark.range(1).select(F.lit("p0").alias("project_id"), F.lit("latest").alias("tag"), F.lit("odd").alias("recognizer_id"), F.lit("best").alias("resolver_id"))
+    return project.tag_view(refs, links, docs, tags, "latest").drop("text", "gazetteer_name")
+
+
+@query("SELECT doc_id, p AS start, p + 6 AS \"end\", substr(text, p + 1, 6) AS surface FROM (SELECT doc_id, text, CAST(unnest(range(0, length(text), 97)) AS INTEGER) AS p FROM documents) WHERE p + 6 <= length(text)")
+def span_text(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").where("length(text) > 0")
+    spans = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(97))).alias("start")).withColumn("end", F.col("start") + 6)
+    return spans.where("end <= length(text)").select("doc_id", "start", "end", text.span_text(F.col("text"), F.col("start"), F.col("end")).alias("surface"))
+
+
+@query(f"WITH {_SPANS} SELECT a.document_id, a.id, b.id AS other_id FROM spans a JOIN spans b ON a.document_id = b.document_id AND a.start < b.\"end\" AND a.\"end\" > b.start AND a.id < b.id")
+def span_overlaps(spark, sf_dir):
+    return annotate.overlapping(_spans(spark, sf_dir))
+
+
+@query(f"WITH {_SPANS}, d AS (SELECT DISTINCT document_id, start, \"end\" FROM spans) SELECT * FROM (SELECT document_id, start, \"end\", max(\"end\") OVER (PARTITION BY document_id ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM d) WHERE start < reached")
+def overlap_running_max(spark, sf_dir):
+    return corpora.overlaps(_spans(spark, sf_dir).select("document_id", "start", "end").distinct(), "document_id")
+
+
+@query(f"WITH {_SPANS} SELECT DISTINCT document_id, start, \"end\" FROM spans a WHERE kind < 2 AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.kind >= 2 AND b.document_id = a.document_id AND b.start = a.start AND b.\"end\" = a.\"end\")")
+def dedupe_spans(spark, sf_dir):
+    spans = _spans(spark, sf_dir).select("document_id", "start", "end", "kind")
+    return annotate.new_spans(spans.where("kind < 2").drop("kind"), spans.where("kind >= 2").drop("kind"))
+
+
+@query(f"WITH {_SPANS}, d AS (SELECT DISTINCT document_id, start, \"end\" FROM spans) SELECT * FROM (SELECT document_id, start, \"end\", lag(\"end\") OVER (PARTITION BY document_id ORDER BY start, \"end\") AS before FROM d) WHERE start < before")
+def adjacent_overlap(spark, sf_dir):
+    from toposcope.operators.recognize import adjacent_overlaps
+
+    return adjacent_overlaps(_spans(spark, sf_dir).select("document_id", "start", "end").distinct())
+
+
+@query("""SELECT conv_id AS document_id, count(*) FILTER (WHERE role IS NOT NULL) AS total, count(*) FILTER (WHERE length(text) % 3 > 0) AS annotated,
+    CASE WHEN count(*) = 0 THEN 0.0 ELSE 100.0 * count(*) FILTER (WHERE length(text) % 3 > 0) / count(*) END AS "percent" FROM conversations GROUP BY 1""")
+def progress(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations")
+    toponyms = c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("id"), F.when(F.length("text") % 3 == 0, "").when(F.length("text") % 3 == 1, "x").alias("loc_id"))
+    return annotate.progress(c.select(F.col("conv_id").alias("id")).distinct(), toponyms)
+
+
+@query("""WITH t AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'e' || event_id % 5 END AS loc_id FROM events),
+    a AS (SELECT user_id, event_type, max('e' || event_id % 5) AS chosen FROM events WHERE event_id % 7 = 0 GROUP BY 1, 2)
+    SELECT event_id, CASE WHEN loc_id = '' AND chosen IS NOT NULL THEN chosen ELSE loc_id END AS loc_id FROM t LEFT JOIN a USING (user_id, event_type)""")
+def one_sense_propagation(spark, sf_dir):
+    loc = F.concat(F.lit("e"), F.col("event_id") % 5)
+    e = _table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("document_id"), F.col("event_type").alias("text"), loc.alias("loc_id"))
+    rows = e.withColumn("loc_id", F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("loc_id")))
+    return annotate.propagate(rows, e.where("event_id % 7 = 0")).select("event_id", "loc_id")
+
+
+@query("SELECT conv_id AS session_id, turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS doc_index FROM conversations WHERE turn % 3 <> 1")
+def reindex(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations").where("turn % 3 <> 1")
+    return annotate.reindex(c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("id"), F.col("turn").alias("doc_index"))).withColumn("doc_index", F.col("doc_index").cast("long"))
+
+
+# -- evaluation ----------------------------------------------------------------------------
+
+
+@query(f"""WITH {_SPANS}, g AS (SELECT DISTINCT document_id, start, "end" FROM spans WHERE kind < 3), p AS (SELECT DISTINCT document_id, start, "end" FROM spans WHERE kind > 0 AND id % 5 > 0),
+    c AS (SELECT (SELECT count(*) FROM g JOIN p USING (document_id, start, "end")) AS tp, (SELECT count(*) FROM p ANTI JOIN g USING (document_id, start, "end")) AS fp, (SELECT count(*) FROM g ANTI JOIN p USING (document_id, start, "end")) AS fn)
+    SELECT tp, fp, fn, round(tp / (tp + fp), 9) AS "precision", round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM c""")
+def span_prf(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    out = evaluate.with_prf(evaluate.span_counts(spans.where("kind < 3"), spans.where("kind > 0 and id % 5 > 0")))
+    return out.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def _counts(spark, sf_dir) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id")
+    n = lambda c: F.count_if(c).alias
+    q, t = F.col("quality") == 1, F.col("toxic") == 1
+    return rows.groupBy("lang").agg(n(q & ~t)("tp"), n(q & t)("fp"), n(~q)("fn"))
+
+
+@query("""WITH c AS (SELECT lang, count(*) FILTER (WHERE quality = 1 AND toxic <> 1) AS tp, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS fp, count(*) FILTER (WHERE quality <> 1) AS fn FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+    m AS (SELECT 'macro' AS average, lang, tp, fp, fn FROM c UNION ALL SELECT 'micro', NULL, sum(tp), sum(fp), sum(fn) FROM c),
+    r AS (SELECT average, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r FROM m)
+    SELECT average, round(avg(p), 9) AS "precision", round(avg(r), 9) AS recall, round(avg(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END), 9) AS f1 FROM r GROUP BY 1""")
+def macro_micro(spark, sf_dir):
+    return evaluate.macro_micro(_counts(spark, sf_dir)).select("average", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"""WITH {_SPANS}, g AS (SELECT DISTINCT document_id, start, "end", kind FROM spans), p AS (SELECT DISTINCT document_id, start, "end", kind FROM spans WHERE id % 3 > 0)
+    SELECT count(*) AS n, count(p.document_id) AS correct, round(count(p.document_id) / count(*), 9) AS accuracy FROM g LEFT JOIN p USING (document_id, start, "end", kind)""")
+def resolution_accuracy(spark, sf_dir):
+    spans = _spans(spark, sf_dir).withColumn("identifier", F.col("kind").cast("string"))
+    return evaluate.resolution_accuracy(spans, spans.where("id % 3 > 0")).withColumn("accuracy", F.round("accuracy", 9))
+
+
+def _located(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    key = F.col("c_custkey")
+    rows = _table(spark, sf_dir, "customer").select(key.alias("document_id"), F.lit(0).alias("start"), F.lit(5).alias("end"), (key * 37 % 170 - 85).cast("double").alias("latitude"), (key * 91 % 350 - 175).cast("double").alias("longitude"), "c_nationkey")
+    guess = rows.where("document_id % 4 > 0").withColumn("latitude", F.col("latitude") + F.col("c_nationkey") / 8).withColumn("longitude", F.col("longitude") - F.col("c_nationkey") / 16)
+    return rows, guess
+
+
+_ERRORS = """e AS (SELECT c_custkey AS document_id, c_nationkey, CASE WHEN c_custkey % 4 = 0 THEN 20039.0 ELSE 2 * 6371.0088 * asin(sqrt(least(1.0,
+    pow(sin(radians(c_nationkey / 8) / 2), 2) + cos(radians(c_custkey * 37 % 170 - 85)) * cos(radians(c_custkey * 37 % 170 - 85 + c_nationkey / 8)) * pow(sin(radians(-c_nationkey / 16) / 2), 2)))) END AS km FROM customer)"""
+
+
+@query(f"WITH {_ERRORS} SELECT document_id, round(km, 6) AS km FROM e")
+def distance_errors(spark, sf_dir):
+    return evaluate.distance_errors(*_located(spark, sf_dir)).select("document_id", F.round("km", 6).alias("km"))
+
+
+@query(f"""WITH {_ERRORS} SELECT c_nationkey, count(*) AS n, round(avg(CASE WHEN km <= 161 THEN 1.0 ELSE 0.0 END), 9) AS accuracy, round(avg(km), 6) AS mean_km,
+    round(median(km), 6) AS median_km, round(avg(ln(1 + least(km, 20039.0)) / ln(20040.0)), 9) AS auc FROM e GROUP BY 1""")
+def distance_metrics(spark, sf_dir):
+    gold, guess = _located(spark, sf_dir)
+    errors = evaluate.distance_errors(gold, guess).join(gold.select("document_id", "c_nationkey"), "document_id")
+    out = evaluate.distance_metrics(errors, by=["c_nationkey"])
+    return out.select("c_nationkey", "n", F.round("accuracy", 9).alias("accuracy"), F.round("mean_km", 6).alias("mean_km"), F.round("median_km", 6).alias("median_km"), F.round("auc", 9).alias("auc"))
+
+
+@query()
+def bootstrap_interval(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    counts = evaluate.span_counts(spans.where("kind < 3"), spans.where("kind > 0 and id % 5 > 0"), ["document_id"])
+    return evaluate.interval(evaluate.bootstrap(counts, draws=50, seed=1))
+
+
+@query("SELECT event_type AS corpus, user_id AS pipeline, event_id AS run_id FROM events WHERE event_id % 4 > 0 AND value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_run(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    runs = e.select(F.col("event_type").alias("corpus"), F.col("user_id").alias("pipeline"), F.col("event_id").alias("run_id"), F.col("ts").alias("started_at"), (F.col("event_id") % 4 > 0).alias("complete"), F.col("value").alias("metric"))
+    return evaluate.latest_runs(runs).select("corpus", "pipeline", "run_id")
+
+
+@query("""SELECT b.event_type AS benchmark, round(b.m, 9) AS base, round(n.m, 9) AS new, n.m > 1.25 * b.m AS failed FROM
+    (SELECT event_type, median(abs(value)) AS m FROM events WHERE event_id % 2 = 0 GROUP BY 1) b JOIN (SELECT event_type, median(abs(value) * (1 + user_id % 3)) AS m FROM events WHERE event_id % 2 = 1 GROUP BY 1) n USING (event_type)""")
+def regression_gate(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select(F.col("event_type").alias("benchmark"), F.abs("value").alias("seconds"), "event_id", "user_id")
+    out = evaluate.regressions(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1").withColumn("seconds", F.col("seconds") * (1 + F.col("user_id") % 3)))
+    return out.select("benchmark", F.round("base", 9).alias("base"), F.round("new", 9).alias("new"), "failed")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS count FROM orders GROUP BY 1")
+def status_counts(spark, sf_dir):
+    return evaluate.status_counts(_table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "status"))
+
+
+@query(f"""WITH {_SPANS}, r AS (SELECT kind, start % 8 AS s, "end" % 8 AS e, count(*) AS c FROM spans GROUP BY 1, 2, 3)
+    SELECT kind, CAST(sum(c) AS BIGINT) AS records, count(*) AS kept, CAST(sum(c - 1) AS BIGINT) AS removed, count(*) FILTER (WHERE c > 1) AS collapsed FROM r GROUP BY 1""")
+def unique_records(spark, sf_dir):
+    return corpora.unique_records(_spans(spark, sf_dir).select("kind", (F.col("start") % 8).alias("s"), (F.col("end") % 8).alias("e")), "kind")
+
+
+# -- ranking and scalar functions ----------------------------------------------------------
+
+
+_DOT = "list_sum(list_transform(list_zip(e.embedding, f.embedding), lambda x: x[1]::DOUBLE * x[2]))"
+_NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: x::DOUBLE * x)))"
+
+
+@query(f"""WITH f AS (SELECT label, arg_min(embedding, vec_id) AS embedding, min(vec_id) AS id FROM embeddings GROUP BY 1)
+    SELECT e.vec_id, e.label, round({_DOT} / ({_NORM.format("e")} * {_NORM.format("f")}), 6) AS similarity FROM embeddings e JOIN f USING (label)""")
+def cosine_to_first(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("first"))
+    return e.join(first, "label").select("vec_id", "label", F.round(text.cosine(F.col("embedding"), F.col("first")), 6).alias("similarity"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS id, l_linenumber AS position, l_partkey AS feature_id, l_quantity AS score FROM lineitem)
+    SELECT id, position, feature_id FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, position, feature_id) = 1""")
+def argmax_first(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("feature_id"), F.col("l_quantity").alias("score"))
+    return resolve.best_candidate(rows).select("id", "position", "feature_id")
+
+
+@query("""SELECT l_orderkey AS id, l_linenumber AS position FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) <= 2""")
+def shortlist_topk(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("feature_id"), F.col("l_extendedprice").alias("similarity"))
+    return resolve.shortlist(rows, 2).select("id", "position")
+
+
+@query("SELECT c_custkey, round(0.5 + 0.3 * CASE WHEN c_acctbal > 0 THEN log10(1 + c_acctbal) / 10 ELSE 0 END, 9) AS score FROM customer")
+def prior_score(spark, sf_dir):
+    prior = text.population_prior(F.col("c_acctbal").cast("string"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.round(text.combined_score(F.lit(0.5), prior, 0.3), 9).alias("score"))
+
+
+@query("""SELECT DISTINCT w, k, substr(w, 1, length(w) - k) AS variant FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part), (SELECT unnest([1, 2, 3]) AS k) WHERE length(w) - k >= 3""")
+def inflection_variants(spark, sf_dir):
+    words = _table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    return words.select("w", F.explode(text.inflections(F.col("w"))).alias("variant")).withColumn("k", (F.length("w") - F.length("variant")).cast("int"))
+
+
+@query("SELECT c_custkey, c_name || CASE WHEN c_mktsegment <> '' THEN ' (' || c_mktsegment || ')' ELSE '' END || ' in ' || n_name || ', ' || r_name AS description FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def describe_features(spark, sf_dir):
+    n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    rows = _table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select("c_custkey", text.describe(F.col("c_name"), F.col("c_mktsegment"), F.lit(None).cast("string"), F.col("n_name"), F.col("r_name")).alias("description"))
+
+
+@query("""SELECT c_custkey, n_nationkey FROM customer JOIN nation ON (c_custkey * 37 % 1000) / 10.0 > (n_nationkey % 5) * 20 AND (c_custkey * 37 % 1000) / 10.0 < (n_nationkey % 5) * 20 + 15
+    AND (c_custkey * 91 % 1000) / 10.0 > (n_nationkey // 5) * 20 AND (c_custkey * 91 % 1000) / 10.0 < (n_nationkey // 5) * 20 + 15
+    WHERE (c_custkey * 37 % 1000) % 50 > 0 AND (c_custkey * 91 % 1000) % 50 > 0""")
+def spatial_join(spark, sf_dir):
+    points = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 37 % 1000 / 10.0).alias("x"), (F.col("c_custkey") * 91 % 1000 / 10.0).alias("y"))
+    points = points.where("c_custkey * 37 % 1000 % 50 > 0 and c_custkey * 91 % 1000 % 50 > 0")  # not on a border
+    n = _table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") % 5 * 20).cast("double").alias("x0"), (F.floor(F.col("n_nationkey") / 5) * 20).cast("double").alias("y0"))
+    return geo.spatial_join(points, n.select("n_nationkey", _square("x0", "y0").alias("geometry")), 10.0).select("c_custkey", "n_nationkey")
+
+
+def _square(x: str, y: str):
+    @F.pandas_udf(T.BinaryType())
+    def make(a: pd.Series, b: pd.Series) -> pd.Series:
+        ring = lambda u, v: [(u, v), (u + 15, v), (u + 15, v + 15), (u, v + 15), (u, v)]
+        return pd.Series([geo.write_wkb(geo.POLYGON, [ring(u, v)]) for u, v in zip(a, b, strict=True)], dtype=object)
+
+    return make(x, y)
+
+
+@query()
+def context_windows(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").where("text rlike '^\\\\w'")
+    return docs.select("doc_id", context.context_window(40)("text", F.lit(0), F.lit(1)).alias("context"))
+
+
+@query()
+def geojson_output(spark, sf_dir):
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), geo.geojson_geometry(geo.st_point((F.col("c_custkey") % 360 - 180).cast("double"), (F.col("c_custkey") % 170 - 85).cast("double"))).alias("geometry_json"), F.struct("c_name", "c_mktsegment").alias("properties"))
+    return sinks.geojson_features(rows)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
