@@ -34,4 +34,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op6_decontaminate": decontaminate.ORACLE_SQL,
+        "op8_secret_ledger": secret_ledger.ORACLE_SQL,
+    }

@@ -230,3 +230,15 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE_SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS_SQL} AS words FROM documents),
+    b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS words, least(10, len({_WORDS_SQL})) AS size FROM benchmark),
+    bw AS (SELECT DISTINCT item, size, array_to_string(words[i:i + size - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS i FROM b WHERE size > 0)),
+    dw AS (SELECT rid, size, i, array_to_string(words[i:i + size - 1], ' ') AS win FROM (SELECT rid, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM bw))),
+    hit AS (SELECT rid, size, i, item FROM dw JOIN bw USING (size, win)),
+    n AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS place FROM hit) GROUP BY 1),
+    items AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY 1)
+    SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN n USING (rid) LEFT JOIN items USING (rid)"""

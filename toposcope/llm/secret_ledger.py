@@ -191,3 +191,21 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
         _joined(spans).alias("spans"),
     )
+
+
+def _sql_of(rule: Rule, rank: int) -> str:
+    """The rule's spans in one text, in SQL: the same sums over matches and the pieces between them."""
+    pattern = {"hex": "[0-9a-f]{24,}", "access": "AKIA[A-Z0-9]{16,}"}.get(rule.name, rule.pattern).replace("'", "''")
+    return f"""SELECT blob, '{rule.name}' AS kind, {rank} AS rank, start, start + length(m[i]) AS stop FROM (
+        SELECT blob, m, g, i, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM (
+            SELECT blob, m, g, p, unnest(range(1, len(m) + 1)) AS i FROM (
+                SELECT blob, regexp_extract_all(body, '{pattern}', 0) AS m, regexp_extract_all(body, '{pattern}', {rule.group}) AS g, regexp_split_to_array(body, '{pattern}') AS p FROM blobs)))
+        WHERE length(g[i]) >= {rule.least}"""
+
+
+_FOUND = " UNION ALL ".join(_sql_of(r, i) for i, r in enumerate(RULES))
+_IN_ORDER = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
+ORACLE_SQL = f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS body FROM documents), blobs AS (SELECT DISTINCT body AS blob, body FROM docs), found AS ({_FOUND}),
+    byblob AS (SELECT blob, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+        {_IN_ORDER} FILTER (WHERE rank < {len(BASE_RULES)}) AS base, {_IN_ORDER} AS spans FROM found GROUP BY blob)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN byblob ON body = blob"""
