@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +44,9 @@ COORDINATES = BANDS * ROWS
 AGREE = 0.64
 CAP = 512
 TARGETS = 4096
-SEEK = (8, None)
+SEEK = (8, 64, 512, None)
+#: up to so many classes with a shared band are broadcast to find their texts; beyond, texts are shuffled
+BROADCAST_CLASSES = 1_000_000
 PAIRS = 100_000
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
 
@@ -84,7 +86,10 @@ def signature(elements: np.ndarray) -> np.ndarray:
 
 
 def _sets_task(width: int, keep_sets: bool):
-    """Rows of (doc_id, text) to ids, sizes, fingerprints and signatures or whole sets."""
+    """Rows of (doc_id, text) to ids, sizes, fingerprints and signatures or whole sets.
+
+    For whole sets a third column has the fingerprint that is wanted of the text.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -98,7 +103,8 @@ def _sets_task(width: int, keep_sets: bool):
                     raw = elements.tobytes()
                     prints.append(hashlib.blake2b(raw, digest_size=16).digest() if n[-1] else None)
                     last.append(None if not n[-1] else raw if keep_sets else signature(elements).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(last, pa.binary())], ["doc_id", "n", "print", "elements" if keep_sets else "sig"])
+                out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(last, pa.binary())], ["doc_id", "n", "print", "elements" if keep_sets else "sig"])
+                yield out.filter(pa.array([a == b for a, b in zip(prints, batch.column(2).to_pylist(), strict=True)], pa.bool_())) if keep_sets else out
 
     return make
 
@@ -143,6 +149,17 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(other, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(_confirm_task(percent), kind)
 
 
+def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int, path: str) -> DataFrame:
+    """(doc_id, elements) of the wanted (doc_id, want); want is the fingerprint of the set."""
+    wanted = stash(wanted, f"{path}-wanted")
+    n = wanted.count()
+    side = F.broadcast(wanted) if n <= BROADCAST_CLASSES else wanted
+    rows = docs.join(side, "doc_id").select("doc_id", "text", "want").mapInArrow(_sets_task(width, True), _schema(docs.schema["doc_id"].dataType, "elements"))
+    sets = stash(rows.select("doc_id", "elements"), path)
+    # rows that repeat a doc_id and its text
+    return sets if sets.count() == n else stash(sets.dropDuplicates(["doc_id"]), f"{path}-once")
+
+
 def _band(sig, k):
     return F.substring(sig, k * (2 * ROWS) + 1, 2 * ROWS)
 
@@ -218,7 +235,7 @@ def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 def _blocks(rows: DataFrame, depth: int) -> DataFrame:
     """Rows of open buckets dealt to blocks in which seekers meet targets.
 
-    A bucket's largest component only waits to be found; all other members seek.
+    A bucket's largest component only waits to be found; all other pending members seek.
     """
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"))
     sized = rows.join(sizes.select("bucket", "all", F.col("top.comp").alias("body"), (F.col("all") - F.col("top.c")).alias("m")).where("m > 0"), "bucket")
@@ -228,11 +245,11 @@ def _blocks(rows: DataFrame, depth: int) -> DataFrame:
     cols = ["bucket", "band", "rid", "comp", "n", "sig"]
     own = F.xxhash64("rid")
     targets = direct.select(*cols, F.lit(False).alias("seeks"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.pmod(own, parts).cast("int").alias("part"))
-    seekers = direct.where("comp <> body").select(*cols, F.lit(True).alias("seeks"), F.pmod(own, chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    seekers = direct.where("comp <> body and pending").select(*cols, F.lit(True).alias("seeks"), F.pmod(own, chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     out = targets.unionByName(seekers)
     if depth < 2:
-        deeper = sized.where(large).select(*cols, "last", F.explode(F.sequence(F.col("last") + 1, F.lit(BANDS))).alias("next")).where(F.col("next") < BANDS)
-        deeper = deeper.withColumn("bucket", F.concat("bucket", F.col("next").cast("string").cast("binary"), F.lit(b":"), _band(F.col("sig"), F.col("next")))).withColumn("last", F.col("next")).drop("next")
+        deeper = sized.where(large).select(*cols, "last", "pending", F.explode(F.sequence(F.col("last") + 1, F.lit(BANDS))).alias("next")).where(F.col("next") < BANDS)
+        deeper = deeper.withColumn("bucket", F.xxhash64("bucket", "next", _band(F.col("sig"), F.col("next")))).withColumn("last", F.col("next")).drop("next")
         out = out.unionByName(_blocks(deeper, depth + 1))
     return out
 
@@ -250,17 +267,14 @@ def components(documents: DataFrame, width: int = 5, percent: int = 80, path: st
     linkable = sigs.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = stash(linkable.groupBy("print").agg(F.min("doc_id").alias("rid"), F.first("n").alias("n"), F.first("sig").alias("sig")), f"{path}/classes")
 
-    banded = classes.select("rid", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: _band(F.col("sig"), k))).alias("band", "key"))
-    shared = banded.groupBy("band", "key").agg(F.count("*").alias("c"), F.min("rid").alias("leader")).where("c > 1")
-    members = stash(banded.join(shared.drop("c"), ["band", "key"]), f"{path}/members")
-
-    inside = members.select(F.col("rid").alias("doc_id")).distinct()
-    sets = docs.join(inside, "doc_id", "left_semi").mapInArrow(_sets_task(width, True), _schema(id_type, "elements"))
-    # a doc_id that occurs with two texts is one node, but each class has the set of its own text
-    sets = stash(sets.join(classes.select("print", F.col("rid").alias("doc_id")), ["print", "doc_id"], "left_semi").dropDuplicates(["print"]).select("doc_id", "elements"), f"{path}/sets")
+    banded = classes.select("rid", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, _band(F.col("sig"), k)))).alias("band", "key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("c"), F.min("rid").alias("leader")).where("c > 1")
+    members = stash(banded.join(shared.drop("c"), "key"), f"{path}/members")
 
+    sets = _whole_sets(docs, classes.join(members.select("rid").distinct(), "rid", "left_semi").select(F.col("rid").alias("doc_id"), F.col("print").alias("want")), width, f"{path}/sets")
     own = classes.select(F.col("rid"), "n", "sig")
-    star = members.where("rid <> leader").select(F.col("leader").alias("a"), F.col("rid").alias("b")).distinct()
+    # the leader that a class meets most often
+    star = members.where("rid <> leader").groupBy("rid", "leader").count().groupBy(F.col("rid").alias("b")).agg(F.max_by("leader", F.struct("count", "leader")).alias("a"))
     left = own.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     right = own.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
@@ -268,11 +282,17 @@ def components(documents: DataFrame, width: int = 5, percent: int = 80, path: st
     links = stash(confirm(star, sets, percent), f"{path}/links0")
     labels = connected(links, f"{path}/cc0")
 
+    pending = None
     for k, limit in enumerate(SEEK, 1):
         known = members.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("band", "key", "rid", F.coalesce("label", "rid").alias("comp"))
-        split = known.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
-        rows = known.join(split, ["band", "key"], "left_semi").join(own, "rid")
-        rows = rows.select(F.concat(F.col("band").cast("string").cast("binary"), F.lit(b":"), F.col("key")).alias("bucket"), "band", F.col("band").alias("last"), "rid", "comp", "n", "sig")
+        split = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        rows = known.join(split, "key", "left_semi")
+        if pending is None:
+            rows = rows.withColumn("pending", F.lit(True))
+        else:
+            rows = rows.join(pending.select(F.col("seeker").alias("rid"), F.lit(True).alias("p")), "rid", "left").withColumn("pending", F.coalesce("p", F.lit(False)))
+            rows = rows.join(rows.where("pending").select("key").distinct(), "key", "left_semi")
+        rows = rows.join(own, "rid").select(F.col("key").alias("bucket"), "band", F.col("band").alias("last"), "rid", "comp", "n", "sig", "pending")
         rows = stash(rows, f"{path}/open{k}")
         if rows.isEmpty():
             break
@@ -280,12 +300,21 @@ def components(documents: DataFrame, width: int = 5, percent: int = 80, path: st
         dealt = _blocks(rows, 0).select(F.xxhash64("bucket", "chunk", "part").alias("block"), "seeks", "band", "rid", "comp", "n", "sig")
         dealt = dealt.repartition("block").sortWithinPartitions("block", "seeks", "rid")
         sought = stash(dealt.mapInArrow(_seek_task(limit, percent), kind), f"{path}/sought{k}")
-        pairs = sought.select(F.least("seeker", "other").alias("a"), F.greatest("seeker", "other").alias("b")).distinct()
+        best = sought
+        if limit is not None:
+            order = Window.partitionBy("seeker").orderBy(F.col("agree").desc(), "other")
+            best = sought.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit)
+        pairs = best.select(F.least("seeker", "other").alias("a"), F.greatest("seeker", "other").alias("b")).distinct()
         found = stash(confirm(pairs, sets, percent), f"{path}/found{k}")
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = connected(links, f"{path}/cc{k}")
-        if limit is None or sought.where(F.col("of") > limit).isEmpty():
+        if limit is None:
+            break
+        # of: candidates of the seeker in the block, of which at most `limit` were given
+        each = sought.groupBy("seeker").agg(F.count("*").alias("c"), F.max("of").alias("of"))
+        pending = stash(each.where((F.col("of") > limit) | (F.col("c") > limit)).select("seeker"), f"{path}/pending{k}")
+        if pending.isEmpty():
             break
 
     named = classes.select("print", F.col("rid").alias("node")).join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("component_id"))
