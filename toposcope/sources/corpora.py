@@ -40,7 +40,7 @@ def hipe(spark: SparkSession, path: str, coordinates: DataFrame | None = None) -
     name = F.regexp_extract("line", r"^#\s*hipe2022:document_id\s*=\s*(\S+)", 1)
     own = lines.withColumn("doc", F.last(F.when(name != "", name), ignorenulls=True).over(w)).where(~F.col("line").rlike("^#") & (F.col("line") != "") & ~F.col("line").rlike("^TOKEN\t") & F.col("doc").isNotNull())
     cell = lambda i: F.get(F.split("line", "\t"), F.lit(i))
-    tokens = own.select("doc", "n", cell(0).alias("token"), cell(1).alias("label"), cell(7).alias("qid"), ~F.coalesce(cell(9), F.lit("")).contains("NoSpaceAfter").alias("space"))
+    tokens = own.select("doc", "n", cell(0).alias("token"), cell(1).alias("label"), cell(7).alias("qid"), (~F.coalesce(cell(9), F.lit("")).contains("NoSpaceAfter")).alias("space"))
     d = Window.partitionBy("doc").orderBy("n")
     width = F.length("token") + F.col("space").cast("int")
     placed = tokens.withColumn("start", F.coalesce(F.sum(width).over(d.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")).withColumn("end", (F.col("start") + F.length("token")).cast("int"))
