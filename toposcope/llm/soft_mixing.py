@@ -7,9 +7,10 @@ projected gradient steps on the least squares |A r - target|^2:
 
     gap = A r - target;   r_i = max(0, r_i - (p_i . gap) / (p_i . A1))
 
-The step of each text is the bound by row sums of A'A, under which every step descends.
-Each step is one distributed sum of as many numbers as there are domains.  A text's rate
-follows from the steps' gaps alone, so no state is joined or kept per text.
+The step of each text is the bound by row sums of A'A, under which every step descends;
+momentum shortens the way.  Each step is one distributed sum of as many numbers as there
+are domains, twice.  A text's rate follows from the steps' gaps and its own posteriors,
+so rates need not be joined back to texts.
 
 The classifier is naive Bayes over hashed words; its table has `BUCKETS` entries a domain
 whatever the corpus, fitted on at most `sample_texts` labelled texts (least hash of id).
@@ -21,6 +22,8 @@ table, every rate is 1; columns named like a result are replaced, others are kep
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,36 +103,53 @@ def with_posteriors(documents: DataFrame, domains: Domains) -> DataFrame:
     return out.withColumn("n_tokens", n.cast("long")).withColumn("posteriors", F.transform("__e", lambda x: x / total)).drop("__at", "__z", "__e")
 
 
-def _rate(gaps: list[np.ndarray], whole: np.ndarray) -> Column:
-    """Rate after the steps with these gaps; refers to posteriors."""
-    own = [F.get("posteriors", F.lit(d)) for d in range(len(whole))]
+def _dot(values: Column, domains: int) -> Column:
+    return sum((F.get("posteriors", F.lit(d)) * F.get(values, F.lit(d)) for d in range(domains)), F.lit(0.0))
+
 
-    def dot(x: np.ndarray) -> Column:
-        return sum((p * float(v) for p, v in zip(own, x.tolist(), strict=True)), F.lit(0.0))
+def _step(state: Column, gap: Column, momentum: Column, size: Column, domains: int) -> Column:
+    """(r, y) after one step from y, where the gap was measured."""
+    r = F.greatest(F.lit(0.0), state["y"] - F.when(size > 0, _dot(gap, domains) / size).otherwise(0.0))
+    return F.struct(r.alias("r"), (r + momentum * (r - state["r"])).alias("y"))
 
-    rate, size = F.lit(1.0), dot(whole)
-    for gap in gaps:
-        rate = F.greatest(F.lit(0.0), rate - F.when(size > 0, dot(gap) / size).otherwise(0.0))
-    return rate
 
+def fit_rates(scored: DataFrame, target: np.ndarray, path: str, most_steps: int = 20, close: float = 1e-3) -> tuple[list[tuple[list[float], float]], np.ndarray]:
+    """Steps (gap, momentum) and the expected domain totals at rate 1.
 
-def fit_rates(scored: DataFrame, target: np.ndarray, most_steps: int = 60, close: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray]:
-    """Gaps of the steps and the expected domain totals at rate 1; stops when the gap no longer changes."""
+    The two numbers that a text carries are written out at each step.  It ends when the
+    gap is small, no longer shrinks, or after most_steps.
+    """
     d = len(target)
     mass = [F.col("n_tokens") * F.get("posteriors", F.lit(i)) for i in range(d)]
 
-    def totals(rate: Column) -> np.ndarray:
-        got = scored.agg(*[F.sum(rate * m).alias(f"t{i}") for i, m in enumerate(mass)]).first()
-        return np.array([got[f"t{i}"] or 0.0 for i in range(d)])
-
-    whole = totals(F.lit(1.0))
-    gaps, gap = [], whole - target
-    while len(gaps) < most_steps and np.abs(gap).sum() > close * max(target.sum(), 1.0):
-        gaps.append(gap)
-        gap = totals(_rate(gaps, whole)) - target
-        if np.abs(gap - gaps[-1]).sum() <= close * close * max(target.sum(), 1.0):
-            break
-    return gaps, whole
+    def totals(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        got = df.agg(*[F.sum(F.col(f"state.{v}") * m).alias(f"{v}{i}") for v in "ry" for i, m in enumerate(mass)]).first()
+        return tuple(np.array([got[f"{v}{i}"] or 0.0 for i in range(d)]) for v in "ry")
+
+    state = scored.withColumn("state", F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")))
+    whole, ahead = totals(state)
+    size = _dot(_numbers(whole), d)
+    steps, t, last = [], 1.0, np.inf
+    scale = max(target.sum(), 1.0)
+    miss = np.abs(whole - target).sum() / scale
+    while len(steps) < most_steps and miss > close and not (t > 1 and abs(last - miss) < close / 100):
+        t = 1.0 if miss > last else t  # momentum starts anew when it overshoots
+        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        gap, momentum = ahead - target, (t - 1) / after
+        steps.append((gap.tolist(), momentum))
+        state = stash(state.withColumn("state", _step(F.col("state"), _numbers(gap), F.get(_numbers([momentum]), F.lit(0)), size, d)), f"{path}/state{len(steps)}")
+        now, ahead = totals(state)
+        t, last, miss = after, miss, np.abs(now - target).sum() / scale
+    return steps, whole
+
+
+def _rate(steps: list[tuple[list[float], float]], whole: np.ndarray) -> Column:
+    """The rate of a text after all steps, from its posteriors alone."""
+    d = len(whole)
+    known = F.from_json(F.lit(json.dumps([{"g": g, "m": m} for g, m in steps])), "array<struct<g:array<double>,m:double>>")
+    size = _dot(_numbers(whole), d)
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+    return F.aggregate(known, start, lambda acc, s: _step(acc, s["g"], s["m"], size, d))["r"]
 
 
 def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total_tokens: float | None = None, path: str | None = None) -> DataFrame:
@@ -153,7 +173,7 @@ def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TAR
         total_tokens = float(slim.agg(F.sum("n_tokens")).first()[0] or 0)
     share = np.array([targets.get(d, 0.0) for d in domains.names])
     share = share / share.sum() if share.sum() else np.full(len(share), 1 / len(share))
-    rate = _rate(*fit_rates(slim, share * total_tokens))
+    rate = _rate(*fit_rates(slim, share * total_tokens, f"{path}/rates"))
     best = F.array_position("posteriors", F.array_max("posteriors")).cast("int") - 1
     out = scored.withColumn("domain", F.get(F.array(*map(F.lit, domains.names)), best)).withColumn("rate", rate)
     return out.withColumn("copies", F.floor(F.col("rate") + unit).cast("long"))
