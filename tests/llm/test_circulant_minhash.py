@@ -4,7 +4,7 @@ import re
 import pytest
 
 from toposcope.llm import circulant_minhash as M
-from toposcope.llm.components import connected
+from toposcope.llm.components import connected, joined
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,10 +58,14 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize(("width", "cap", "targets"), [(2, 512, 4096), (2, 4, 8)])
-def test_components_equal_brute_force(spark, monkeypatch, width, cap, targets):
+@pytest.mark.parametrize(("width", "cap", "targets", "first"), [(2, 512, 4096, 8), (2, 4, 8, 1)])
+def test_components_equal_brute_force(spark, monkeypatch, width, cap, targets, first):
+    monkeypatch.setattr(M, "FIRST", first)
     monkeypatch.setattr(M, "CAP", cap)
     monkeypatch.setattr(M, "TARGETS", targets)
+    joining = []
+    whole = M._seek_task
+    monkeypatch.setattr(M, "_seek_task", lambda limit, percent: joining.append(limit) or whole(limit, percent))
     rows = corpus()
     extra = [(None, "null id"), (0, rows[0][1])]
     df = spark.createDataFrame([(i, t, "mine") for i, t in rows + extra], "doc_id long, text string, n string")
@@ -74,13 +78,18 @@ def test_components_equal_brute_force(spark, monkeypatch, width, cap, targets):
         else:
             assert (r.n_shingles, r.component_id) == want[r.doc_id]
             assert r.kept == (r.doc_id == want[r.doc_id][1])
+    assert joining == ([8] if first == 8 else [1, None])
 
 
 def test_empty_table(spark):
     assert M.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_long_chain(spark, tmp_path):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_long_chain_and_further_links(spark, tmp_path, most):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
-    got = {r.node: r.label for r in connected(links, f"file://{tmp_path}/cc").collect()}
-    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+    labels = connected(links, f"file://{tmp_path}/cc", broadcast_edges=most)
+    want = {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+    assert {r.node: r.label for r in labels.collect()} == want
+    more = joined(labels, spark.createDataFrame([(101, 7), (200, 201), (3, 4)], "a long, b long"), f"file://{tmp_path}/more")
+    assert {r.node: r.label for r in more.collect()} == {**want, 100: 0, 101: 0, 200: 200, 201: 200}

@@ -7,12 +7,14 @@ the least rank after turning the circle by k.  Texts of one set become one class
 Classes that share a band are candidates, and a candidate pair is a link only if the full
 sets confirm it.
 
-Not all pairs of a bucket are made.  First every member is held against the smallest id
-of its bucket; confirmed links join components.  Then only pairs across components are
-looked at, in blocks of bounded size, and only those whose signatures agree enough; each
-seeking text is verified against its most similar partners first, and what they join is
-not looked at again.  The last round has no limit, so no pair is left unseen: the rounds
-only set the order.  Very large buckets of unlinked texts are split by further bands.
+Not all pairs of a bucket are made.  First every member is held against the leader that
+it meets most often; confirmed links join components.  Then only pairs across components
+are looked at, in blocks of bounded size, and only those whose signatures agree enough.
+Each seeking text is first verified against its FIRST most similar partners.  Texts that
+have more partners than that then meet all of them in blocks that hold the whole sets,
+and a block gives back only links that join components.  So no pair is left unseen, and
+what is written never grows with the square of a group.  Very large buckets of unlinked
+texts are split by further bands.
 
 At the default 32 bands of 4 coordinates a pair at similarity 0.8 shares no band with
 probability 5e-8, and falls below the agreement asked for with probability 4e-6.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toposcope.llm._shared import WordHashes, encode, mix, scratch, stash, table
-from toposcope.llm.components import connected
+from toposcope.llm.components import connected, joined
 
 CIRCLE_BITS = 20
 BANDS, ROWS = 32, 4
@@ -44,7 +46,8 @@ COORDINATES = BANDS * ROWS
 AGREE = 0.64
 CAP = 512
 TARGETS = 4096
-SEEK = (8, 64, 512, None)
+#: partners that a seeking text is held against before all others
+FIRST = 8
 #: up to so many classes with a shared band are broadcast to find their texts; beyond, texts are shuffled
 BROADCAST_CLASSES = 1_000_000
 PAIRS = 100_000
@@ -141,8 +144,12 @@ def _confirm_task(percent: int):
     return confirm
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, path: str) -> DataFrame:
     """The pairs (a, b) of which the full sets are similar enough."""
+    pairs = stash(pairs, path)
+    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    if needed.count() <= BROADCAST_CLASSES:  # only the sets of these are shuffled
+        sets = sets.join(F.broadcast(needed), "doc_id", "left_semi")
     one = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
     other = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
     kind = T.StructType([pairs.schema["a"], pairs.schema["b"]])
@@ -164,10 +171,54 @@ def _band(sig, k):
     return F.substring(sig, k * (2 * ROWS) + 1, 2 * ROWS)
 
 
+class _Sets:
+    """Elements of a batch's sets, renumbered, to count what one set shares with many."""
+
+    def __init__(self, raw: list[bytes]):
+        self.size = np.array([len(r) // 8 for r in raw], dtype=np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        names, self.flat = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
+        self.mark = np.zeros(len(names), dtype=np.int64)
+
+    def shared(self, one: int, others: np.ndarray) -> np.ndarray:
+        own = self.flat[self.start[one] : self.start[one] + self.size[one]]
+        self.mark[own] = 1
+        n = self.size[others]
+        at = np.repeat(self.start[others] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out = np.add.reduceat(self.mark[self.flat[at]], np.cumsum(n) - n)
+        self.mark[own] = 0
+        return out
+
+
+def _joining(found: np.ndarray, comp: np.ndarray, sets: _Sets, percent: int) -> np.ndarray:
+    """The confirmed ones of the pairs that join components which nothing has joined here."""
+    names, at = np.unique(comp, return_inverse=True)
+    root = np.arange(len(names))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    keep = []
+    edges = np.flatnonzero(np.concatenate([[True], found[0, 1:] != found[0, :-1], [True]]))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        x, others = int(found[0, a]), found[1, a:b]
+        both = sets.shared(x, others)
+        for i in np.flatnonzero(100 * both >= percent * (sets.size[x] + sets.size[others] - both)).tolist():
+            u, v = find(at[x]), find(at[others[i]])
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                keep.append(a + i)
+    return found[:, keep]
+
+
 def _seek(t: dict[str, np.ndarray], limit: int | None, percent: int) -> list[np.ndarray]:
     """Within blocks: partners of each seeker in other components, best first.
 
-    t has rows of whole blocks, in each block its targets before its seekers.
+    t has rows of whole blocks, in each block its targets before its seekers.  Without a
+    limit t has the sets too, and only confirmed pairs that join components are given.
     """
     start = np.flatnonzero(np.concatenate([[True], t["block"][1:] != t["block"][:-1]]))
     of_block = np.cumsum(np.concatenate([[True], t["block"][1:] != t["block"][:-1]])) - 1
@@ -195,6 +246,8 @@ def _seek(t: dict[str, np.ndarray], limit: int | None, percent: int) -> list[np.
             out.append(np.stack([x[good], y[good], agree[good]]))
     found = np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
     found = found[:, np.lexsort((t["rid"][found[1]], -found[2], found[0]))]
+    if limit is None and found.shape[1]:
+        found = _joining(found, t["comp"], _Sets(t["elements"]), percent)
     first = np.flatnonzero(np.concatenate([[True], found[0, 1:] != found[0, :-1]])) if found.shape[1] else np.empty(0, np.int64)
     of = np.diff(np.append(first, found.shape[1]))
     rank = np.arange(found.shape[1]) - np.repeat(first, of)
@@ -221,6 +274,8 @@ def _seek_task(limit: int | None, percent: int):
             names = ("block", "seeks", "band", "rid", "comp", "n")
             t = {k: whole.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
             t["sig"] = np.frombuffer(b"".join(whole.column(6).to_pylist()), np.uint16).reshape(-1, COORDINATES)
+            if limit is None:
+                t["elements"] = whole.column(7).to_pylist()
             cols = _seek(t, limit, percent)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], whole.column(3).type), pa.array(cols[1], whole.column(3).type), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int64))], ["seeker", "other", "agree", "of"])
 
@@ -232,16 +287,16 @@ def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _blocks(rows: DataFrame, depth: int) -> DataFrame:
+def _blocks(rows: DataFrame, depth: int, cap: int, targets_at_once: int) -> DataFrame:
     """Rows of open buckets dealt to blocks in which seekers meet targets.
 
     A bucket's largest component only waits to be found; all other pending members seek.
     """
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"))
     sized = rows.join(sizes.select("bucket", "all", F.col("top.comp").alias("body"), (F.col("all") - F.col("top.c")).alias("m")).where("m > 0"), "bucket")
-    large = (F.col("m") > CAP) if depth < 2 else F.lit(False)
+    large = (F.col("m") > cap) if depth < 2 else F.lit(False)
     direct = sized.where(~large)
-    chunks, parts = F.ceil(F.col("m") / CAP).cast("int"), F.ceil(F.col("all") / TARGETS).cast("int")
+    chunks, parts = F.ceil(F.col("m") / cap).cast("int"), F.ceil(F.col("all") / targets_at_once).cast("int")
     cols = ["bucket", "band", "rid", "comp", "n", "sig"]
     own = F.xxhash64("rid")
     targets = direct.select(*cols, F.lit(False).alias("seeks"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.pmod(own, parts).cast("int").alias("part"))
@@ -250,7 +305,7 @@ def _blocks(rows: DataFrame, depth: int) -> DataFrame:
     if depth < 2:
         deeper = sized.where(large).select(*cols, "last", "pending", F.explode(F.sequence(F.col("last") + 1, F.lit(BANDS))).alias("next")).where(F.col("next") < BANDS)
         deeper = deeper.withColumn("bucket", F.xxhash64("bucket", "next", _band(F.col("sig"), F.col("next")))).withColumn("last", F.col("next")).drop("next")
-        out = out.unionByName(_blocks(deeper, depth + 1))
+        out = out.unionByName(_blocks(deeper, depth + 1, cap, targets_at_once))
     return out
 
 
@@ -279,11 +334,12 @@ def components(documents: DataFrame, width: int = 5, percent: int = 80, path: st
     right = own.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     star = star.join(right, "b").join(left, "a").where(sized).where(_alike("sa", "sb")).select("a", "b")
-    links = stash(confirm(star, sets, percent), f"{path}/links0")
+    links = stash(confirm(star, sets, percent, f"{path}/star"), f"{path}/links0")
     labels = connected(links, f"{path}/cc0")
 
     pending = None
-    for k, limit in enumerate(SEEK, 1):
+    kind = T.StructType([T.StructField("seeker", id_type), T.StructField("other", id_type), T.StructField("agree", T.IntegerType()), T.StructField("of", T.LongType())])
+    for k, limit in enumerate((FIRST, None), 1):
         known = members.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("band", "key", "rid", F.coalesce("label", "rid").alias("comp"))
         split = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         rows = known.join(split, "key", "left_semi")
@@ -296,8 +352,10 @@ def components(documents: DataFrame, width: int = 5, percent: int = 80, path: st
         rows = stash(rows, f"{path}/open{k}")
         if rows.isEmpty():
             break
-        kind = T.StructType([T.StructField("seeker", id_type), T.StructField("other", id_type), T.StructField("agree", T.IntegerType()), T.StructField("of", T.LongType())])
-        dealt = _blocks(rows, 0).select(F.xxhash64("bucket", "chunk", "part").alias("block"), "seeks", "band", "rid", "comp", "n", "sig")
+        cap, at_once = (CAP, TARGETS) if limit else (max(1, CAP // 2), max(1, TARGETS // 4))
+        dealt = _blocks(rows, 0, cap, at_once).select(F.xxhash64("bucket", "chunk", "part").alias("block"), "seeks", "band", "rid", "comp", "n", "sig")
+        if limit is None:
+            dealt = dealt.join(sets.select(F.col("doc_id").alias("rid"), "elements"), "rid").select(*dealt.columns, "elements")
         dealt = dealt.repartition("block").sortWithinPartitions("block", "seeks", "rid")
         sought = stash(dealt.mapInArrow(_seek_task(limit, percent), kind), f"{path}/sought{k}")
         best = sought
@@ -305,10 +363,9 @@ def components(documents: DataFrame, width: int = 5, percent: int = 80, path: st
             order = Window.partitionBy("seeker").orderBy(F.col("agree").desc(), "other")
             best = sought.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit)
         pairs = best.select(F.least("seeker", "other").alias("a"), F.greatest("seeker", "other").alias("b")).distinct()
-        found = stash(confirm(pairs, sets, percent), f"{path}/found{k}")
+        found = stash(confirm(pairs, sets, percent, f"{path}/pairs{k}") if limit else pairs, f"{path}/found{k}")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = connected(links, f"{path}/cc{k}")
+            labels = joined(labels, found, f"{path}/cc{k}")
         if limit is None:
             break
         # of: candidates of the seeker in the block, of which at most `limit` were given
