@@ -78,7 +78,7 @@ def test_components_equal_brute_force(spark, monkeypatch, width, cap, targets, f
         else:
             assert (r.n_shingles, r.component_id) == want[r.doc_id]
             assert r.kept == (r.doc_id == want[r.doc_id][1])
-    assert joining == ([8] if first == 8 else [1, None])
+    assert joining == [first, None]
 
 
 def test_empty_table(spark):
