@@ -28,6 +28,16 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/toposcope-{uuid.uuid4().hex}"
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python by BATCH_ROWS at most: with long texts the default takes too much memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def stash(df: DataFrame, path: str) -> DataFrame:
     """Write df as Parquet and read it back: cuts lineage and survives lost executors."""
     df.write.mode("overwrite").parquet(path)

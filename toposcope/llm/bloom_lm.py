@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toposcope.llm._shared import MULT, WordHashes, encode, mix, remainder, scratch, stash, table
+from toposcope.llm._shared import MULT, WordHashes, encode, mix, remainder, scratch, small_batches, stash, table
 
 START, END = np.uint64(0x5D588B656C078965), np.uint64(0x269EC3F3A2B7C5D1)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -312,6 +312,7 @@ def score(documents: DataFrame, held_out: Column, strength: float = 20.0, broadc
     documents need doc_id and text; strength is the weight of a word's own probability.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     path = path or scratch(spark)
     docs = documents.select("text", F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"))
     learn = docs.where(~F.col("held_out"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toposcope.llm._shared import encode, remainder, table
+from toposcope.llm._shared import encode, remainder, small_batches, table
 
 WIDTHS = (2, 3, 4)
 FILTERS = 12
@@ -173,6 +173,7 @@ def identify(documents: DataFrame, learn: Column, keep_text: bool = True) -> Dat
     The text column is left out unless keep_text.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     model = train(documents.where(learn).select("doc_id", "text", "lang"))
     docs = documents.drop("lang_pred", "score")
     if model is None:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toposcope.llm._shared import WordHashes, encode, mix, scratch, stash, table
+from toposcope.llm._shared import WordHashes, encode, mix, scratch, small_batches, stash, table
 from toposcope.llm.components import connected, joined
 
 CIRCLE_BITS = 20
@@ -315,6 +315,7 @@ def components(documents: DataFrame, width: int = 5, percent: int = 80, path: st
     Texts are linked if 100 * intersection >= percent * union of their sets.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     path = path or scratch(spark)
     docs = documents.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toposcope.llm._shared import WordHashes, encode, mix, table
+from toposcope.llm._shared import WordHashes, encode, mix, small_batches, table
 
 #: words in a text whose letters A to Z are still in either case
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -145,6 +145,7 @@ def _union(spans: list) -> list:
 def scan(documents: DataFrame, benchmark: DataFrame, width: int = 10, max_windows: int = 2_000_000, keep_text: bool = False) -> DataFrame:
     """documents (without text unless keep_text) plus n_words, n_hit, items and hits."""
     spark = documents.sparkSession
+    small_batches(spark)
     sizes = benchmark.select(F.sum(F.length("text")).alias("n")).first()
     # a window begins at a word of at least one character and a break
     parts = max(1, -(-int(sizes["n"] or 0) // (2 * max_windows)))

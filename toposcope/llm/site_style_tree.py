@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toposcope.llm._shared import table
+from toposcope.llm._shared import small_batches, table
 
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -254,6 +254,7 @@ def low_branches(pages: DataFrame, least_pages: int = 12, low: float = LOW) -> D
 def extract(pages: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:
     """pages without html, plus text and n_chars; pages have url and html."""
     spark = pages.sparkSession
+    small_batches(spark)
     named = pages.drop("text", "n_chars", "host").withColumn("host", host_of(F.col("url")))
     found = low_branches(named, **options).persist()
     kept = [c for c in named.columns if c not in ("html", "host")]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from toposcope.llm._shared import encode, scratch, table
+from toposcope.llm._shared import encode, scratch, small_batches, table
 
 WORDS = "words-1"
 BPE_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -80,6 +80,7 @@ def _delta_task(shared):
 def deltas(rows: DataFrame, tokenizers: dict[str, str | None]) -> DataFrame:
     """Additive deltas of signed rows (source, lang, text, sign)."""
     spark = rows.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast({name: read_ranks(path) if path else None for name, path in tokenizers.items()})
     parts = rows.select("source", "lang", "text", F.col("sign").cast("long").alias("sign")).mapInArrow(_delta_task(shared), DELTA)
     return parts.groupBy("source", "lang", "tokenizer").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
