@@ -93,3 +93,20 @@ def test_long_chain_and_further_links(spark, tmp_path, most):
     assert {r.node: r.label for r in labels.collect()} == want
     more = joined(labels, spark.createDataFrame([(101, 7), (200, 201), (3, 4)], "a long, b long"), f"file://{tmp_path}/more")
     assert {r.node: r.label for r in more.collect()} == {**want, 100: 0, 101: 0, 200: 200, 201: 200}
+
+
+def test_each_pair_with_a_pending_end_meets(spark):
+    rng = random.Random(3)
+    rows = [(1, 1, 0, True), (1, 2, 0, False), (1, 3, 3, False)]  # bucket, rid, component, pending: 1 waits in the largest component
+    for bucket in range(2, 12):
+        rows += [(bucket, 100 * bucket + i, rng.choice([0, 0, 0, 1, 2]), rng.random() < 0.3) for i in range(30)]
+    df = spark.createDataFrame([(b, 0, 0, r, c, 5, bytes(2 * M.COORDINATES), p) for b, r, c, p in rows], "bucket long, band int, last int, rid long, comp long, n long, sig binary, pending boolean")
+    met, blocks = set(), {}
+    for r in M._blocks(df, 0, 40, 7).collect():
+        blocks.setdefault((r.bucket, r.chunk, r.part), ([], []))[r.seeks].append(r.rid)
+    for targets, seekers in blocks.values():
+        met |= {frozenset((x, y)) for x in seekers for y in targets}
+    for b, r, c, p in rows:
+        for b2, r2, c2, p2 in rows:
+            if b == b2 and c != c2 and (p or p2):
+                assert frozenset((r, r2)) in met

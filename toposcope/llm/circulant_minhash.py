@@ -234,7 +234,8 @@ def _seek(t: dict[str, np.ndarray], limit: int | None, percent: int) -> list[np.
         one = np.repeat(own, n)
         other = np.repeat(start[of_block[own]], n) + np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
         a, b = t["n"][one], t["n"][other]
-        near = (t["comp"][one] != t["comp"][other]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        # of a pair without a pending end all is known
+        near = (t["comp"][one] != t["comp"][other]) & (t["pending"][one] | t["pending"][other]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
         one, other = one[near], other[near]
         for at in range(0, len(one), PAIRS):
             x, y = one[at : at + PAIRS], other[at : at + PAIRS]
@@ -271,11 +272,11 @@ def _seek_task(limit: int | None, percent: int):
             whole, kept = kept.slice(0, end), kept.slice(end)
             if not whole.num_rows:
                 continue
-            names = ("block", "seeks", "band", "rid", "comp", "n")
+            names = ("block", "seeks", "band", "rid", "comp", "n", "pending")
             t = {k: whole.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
-            t["sig"] = np.frombuffer(b"".join(whole.column(6).to_pylist()), np.uint16).reshape(-1, COORDINATES)
+            t["sig"] = np.frombuffer(b"".join(whole.column(7).to_pylist()), np.uint16).reshape(-1, COORDINATES)
             if limit is None:
-                t["elements"] = whole.column(7).to_pylist()
+                t["elements"] = whole.column(8).to_pylist()
             cols = _seek(t, limit, percent)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], whole.column(3).type), pa.array(cols[1], whole.column(3).type), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int64))], ["seeker", "other", "agree", "of"])
 
@@ -290,20 +291,21 @@ def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 def _blocks(rows: DataFrame, depth: int, cap: int, targets_at_once: int) -> DataFrame:
     """Rows of open buckets dealt to blocks in which seekers meet targets.
 
-    A bucket's largest component only waits to be found; all other pending members seek.
+    A bucket's largest component only waits to be found; all other pending members seek,
+    and those that are not pending do too if the largest component has pending members.
     """
-    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"))
-    sized = rows.join(sizes.select("bucket", "all", F.col("top.comp").alias("body"), (F.col("all") - F.col("top.c")).alias("m")).where("m > 0"), "bucket")
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.max("pending").alias("p")).groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp", "p")).alias("top"))
+    sized = rows.join(sizes.select("bucket", "all", F.col("top.comp").alias("body"), F.col("top.p").alias("owed"), (F.col("all") - F.col("top.c")).alias("m")).where("m > 0"), "bucket")
     large = (F.col("m") > cap) if depth < 2 else F.lit(False)
     direct = sized.where(~large)
     chunks, parts = F.ceil(F.col("m") / cap).cast("int"), F.ceil(F.col("all") / targets_at_once).cast("int")
-    cols = ["bucket", "band", "rid", "comp", "n", "sig"]
+    cols = ["bucket", "band", "rid", "comp", "n", "pending", "sig"]
     own = F.xxhash64("rid")
     targets = direct.select(*cols, F.lit(False).alias("seeks"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.pmod(own, parts).cast("int").alias("part"))
-    seekers = direct.where("comp <> body and pending").select(*cols, F.lit(True).alias("seeks"), F.pmod(own, chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    seekers = direct.where("comp <> body and (pending or owed)").select(*cols, F.lit(True).alias("seeks"), F.pmod(own, chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     out = targets.unionByName(seekers)
     if depth < 2:
-        deeper = sized.where(large).select(*cols, "last", "pending", F.explode(F.sequence(F.col("last") + 1, F.lit(BANDS))).alias("next")).where(F.col("next") < BANDS)
+        deeper = sized.where(large).select(*cols, "last", F.explode(F.sequence(F.col("last") + 1, F.lit(BANDS))).alias("next")).where(F.col("next") < BANDS)
         deeper = deeper.withColumn("bucket", F.xxhash64("bucket", "next", _band(F.col("sig"), F.col("next")))).withColumn("last", F.col("next")).drop("next")
         out = out.unionByName(_blocks(deeper, depth + 1, cap, targets_at_once))
     return out
@@ -354,7 +356,7 @@ def components(documents: DataFrame, width: int = 5, percent: int = 80, path: st
         if rows.isEmpty():
             break
         cap, at_once = (CAP, TARGETS) if limit else (max(1, CAP // 2), max(1, TARGETS // 4))
-        dealt = _blocks(rows, 0, cap, at_once).select(F.xxhash64("bucket", "chunk", "part").alias("block"), "seeks", "band", "rid", "comp", "n", "sig")
+        dealt = _blocks(rows, 0, cap, at_once).select(F.xxhash64("bucket", "chunk", "part").alias("block"), "seeks", "band", "rid", "comp", "n", "pending", "sig")
         if limit is None:
             dealt = dealt.join(sets.select(F.col("doc_id").alias("rid"), "elements"), "rid").select(*dealt.columns, "elements")
         dealt = dealt.repartition("block").sortWithinPartitions("block", "seeks", "rid")
