@@ -34,3 +34,11 @@ def test_repeated_branches_go_and_copied_articles_stay(spark):
         assert got[200].text == "" and got[200].n_chars == 0
         assert got[201].text == "Join our club today\n\nStory alone"
     assert S.extract(df.limit(0)).count() == 0
+
+
+def test_names_of_wrappers_do_not_remove_the_story():
+    story = "<p>A long story of many words</p>"
+    assert S.main_text(f"<body class='single no-sidebar'><article>{story}</article></body>") == "A long story of many words"
+    assert S.main_text(f"<div id='page' class='has-sidebar'><article>{story}</article><div class='sidebar'>Links</div></div>") == "A long story of many words"
+    assert S.main_text(f"<main class='search-results'>{story}<div class='comments'>First!</div></main>") == "A long story of many words"
+    assert S.main_text(f"<body><div>{story}</div><article>Teaser</article></body>") == "A long story of many words\n\nTeaser"

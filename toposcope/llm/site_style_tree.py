@@ -9,8 +9,8 @@ article do not make it look like a menu; nodes of fewer than `least_pages` pages
 important.  Presentation nodes that name their own role (nav, footer, class "ad", ...)
 have importance 0, and `article`, `main` and role=main have importance 1.
 
-From each page the branches of low importance are removed; if an article region is left,
-its blocks are the text, otherwise all blocks of the body are.  Character references are
+From each page the branches of low importance are removed; if article regions hold most of
+what is left, their blocks are the text, otherwise all blocks of the body are.  Character references are
 decoded, white space inside a block becomes one space, blocks are joined by two newlines.
 
 Statistics are counts by (host, node, content), summed before each shuffle, so a host
@@ -73,10 +73,10 @@ LOW = 0.25
 
 
 class Node:
-    __slots__ = ("content", "key", "noise", "parts", "region", "style", "tag")
+    __slots__ = ("content", "key", "named", "noise", "parts", "region", "style", "tag")
 
-    def __init__(self, tag: str, key: int, noise: bool, region: bool):
-        self.tag, self.key, self.noise, self.region = tag, key, noise, region
+    def __init__(self, tag: str, key: int, noise: bool, region: bool, named: bool = False):
+        self.tag, self.key, self.noise, self.region, self.named = tag, key, noise, region, named
         self.parts: list = []
         self.content = self.style = 0
 
@@ -93,10 +93,27 @@ def _node(tag: str, raw: str, parent: Node | None, in_region: bool) -> Node:
     role = a.get("role", "").lower()
     key = xxhash.xxh64_intdigest(f"{parent.key if parent else 0} {tag} {names} {role}")
     noise = tag in NOISE_TAGS or role in NOISE_ROLES or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "").lower()
-    noise = noise or (bool(names.strip()) and not NOISE_NAMES.isdisjoint(_TOKEN.findall(names)))
     # the page's header is noise, an article's own header holds its headline
-    noise = noise or (not in_region and (tag == "header" or "header" in _TOKEN.findall(names)))
-    return Node(tag, key, noise, tag in ("article", "main") or role in ("main", "article"))
+    noise = noise or (not in_region and tag == "header")
+    tokens = _TOKEN.findall(names)
+    named = not noise and (not NOISE_NAMES.isdisjoint(tokens) or (not in_region and "header" in tokens))
+    return Node(tag, key, noise or named, tag in ("article", "main") or role in ("main", "article"), named and not in_region)
+
+
+def _spare(root: Node) -> None:
+    """A name does not make noise of html, body, main, what holds main, or most of a page's text."""
+    order = _in_order(root)
+    if not any(n.named for n in order):
+        return
+    size, holds = {}, {}
+    for n in reversed(order):
+        parts = [p for p in n.parts if not isinstance(p, str)]
+        drop = n.noise and not n.named
+        size[id(n)] = 0 if drop else sum(len(p.strip()) for p in n.parts if isinstance(p, str)) + sum(size[id(p)] for p in parts)
+        holds[id(n)] = not drop and (n.tag in ("html", "body", "main") or any(holds[id(p)] for p in parts))
+    for n in order:
+        if n.named and (holds[id(n)] or 2 * size[id(n)] > size[id(root)]):
+            n.noise = False
 
 
 def parse(page: str) -> Node:
@@ -129,6 +146,7 @@ def parse(page: str) -> Node:
         stack[-1].parts.append(node)
         if tag not in VOID and not m[4].endswith("/"):
             stack.append(node)
+    _spare(root)
     return root
 
 
@@ -166,7 +184,7 @@ def branch(node: Node) -> int:
 
 
 def blocks(root: Node, low: frozenset[int] | set[int]) -> list[str]:
-    """Block texts in page order without noise and low branches; only of article regions, if any."""
+    """Block texts in page order without noise and low branches; only of article regions, if they hold most of them."""
     nodes = [root]
     regions = []
     while nodes:  # topmost regions outside noise
@@ -177,6 +195,13 @@ def blocks(root: Node, low: frozenset[int] | set[int]) -> list[str]:
             regions.append(node)
         else:
             nodes.extend(p for p in reversed(node.parts) if not isinstance(p, str))
+    whole = _texts([root], low)
+    own = _texts(regions, low) if regions else whole
+    return own if 2 * sum(map(len, own)) >= sum(map(len, whole)) else whole
+
+
+def _texts(starts: list[Node], low: frozenset[int] | set[int]) -> list[str]:
+    """Block texts of the nodes."""
     out, words = [], []
 
     def flush() -> None:
@@ -185,7 +210,7 @@ def blocks(root: Node, low: frozenset[int] | set[int]) -> list[str]:
         if text:
             out.append(text)
 
-    for start in regions or [root]:
+    for start in starts:
         todo: list = [start]
         while todo:
             part = todo.pop()
