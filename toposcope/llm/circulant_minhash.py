@@ -12,12 +12,13 @@ it meets most often; confirmed links join components.  Then only pairs across co
 are looked at, in blocks of bounded size, and only those whose signatures agree enough.
 Each seeking text is first verified against its FIRST most similar partners.  Texts that
 have more partners than that then meet all of them in blocks that hold the whole sets,
-and a block gives back only links that join components.  So no pair is left unseen, and
-what is written never grows with the square of a group.  Very large buckets of unlinked
-texts are split by further bands.
+and a block gives back only links that join components.  So each pair that shares a band
+and agrees enough is verified or already joined, whatever the size of its bucket.  Pairs
+are made inside blocks only; a bucket of texts that stay unlinked is copied once per
+BLOCK of its members, as its pairs can be told apart in no other way.
 
 At the default 32 bands of 4 coordinates a pair at similarity 0.8 shares no band with
-probability 5e-8, and falls below the agreement asked for with probability 4e-6.
+probability 5e-8, and falls below the agreement asked for with probability 8e-8.
 
 Defined results: null and empty texts and those without words have an empty set and are
 linked with nothing; a null doc_id is linked with nothing and kept; repeated rows of one
@@ -43,9 +44,11 @@ from toposcope.llm.components import connected, joined
 CIRCLE_BITS = 20
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-AGREE = 0.64
-CAP = 512
-TARGETS = 4096
+#: a pair at similarity 0.8 agrees in fewer of 128 coordinates with a probability of 8e-8
+AGREE = 0.594
+#: seekers and targets of a block, and their elements where whole sets come along
+BLOCK = 4096
+ELEMENTS = 2_000_000
 #: partners that a seeking text is held against before all others
 FIRST = 8
 #: up to so many classes with a shared band are broadcast to find their texts; beyond, texts are shuffled
@@ -288,27 +291,29 @@ def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _blocks(rows: DataFrame, depth: int, cap: int, targets_at_once: int) -> DataFrame:
+def _blocks(rows: DataFrame, with_sets: bool) -> DataFrame:
     """Rows of open buckets dealt to blocks in which seekers meet targets.
 
     A bucket's largest component only waits to be found; all other pending members seek,
     and those that are not pending do too if the largest component has pending members.
+    Every seeker of a bucket meets every target of it.  A block has at most about BLOCK
+    seekers and BLOCK targets, and if whole sets come along, about ELEMENTS elements of
+    each; up to that size a bucket is one block, and nothing is copied.
     """
-    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.max("pending").alias("p")).groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp", "p")).alias("top"))
-    sized = rows.join(sizes.select("bucket", "all", F.col("top.comp").alias("body"), F.col("top.p").alias("owed"), (F.col("all") - F.col("top.c")).alias("m")).where("m > 0"), "bucket")
-    large = (F.col("m") > cap) if depth < 2 else F.lit(False)
-    direct = sized.where(~large)
-    chunks, parts = F.ceil(F.col("m") / cap).cast("int"), F.ceil(F.col("all") / targets_at_once).cast("int")
+    by_component = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("e"), F.max("pending").alias("p"))
+    sizes = by_component.groupBy("bucket").agg(F.sum("c").alias("all"), F.sum("e").alias("elements"), F.max(F.struct("c", "comp", "e", "p")).alias("top"))
+    sizes = sizes.select("bucket", "all", "elements", F.col("top.comp").alias("body"), F.col("top.p").alias("owed"), (F.col("all") - F.col("top.c")).alias("m"), (F.col("elements") - F.col("top.e")).alias("own")).where("m > 0")
+
+    def dealt(count: str, elements: str):
+        share = F.col(count) / BLOCK
+        return F.ceil(F.greatest(share, F.col(elements) / ELEMENTS) if with_sets else share).cast("int")
+
+    sized = rows.join(sizes.withColumn("chunks", dealt("m", "own")).withColumn("parts", dealt("all", "elements")), "bucket")
     cols = ["bucket", "band", "rid", "comp", "n", "pending", "sig"]
     own = F.xxhash64("rid")
-    targets = direct.select(*cols, F.lit(False).alias("seeks"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.pmod(own, parts).cast("int").alias("part"))
-    seekers = direct.where("comp <> body and (pending or owed)").select(*cols, F.lit(True).alias("seeks"), F.pmod(own, chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    out = targets.unionByName(seekers)
-    if depth < 2:
-        deeper = sized.where(large).select(*cols, "last", F.explode(F.sequence(F.col("last") + 1, F.lit(BANDS))).alias("next")).where(F.col("next") < BANDS)
-        deeper = deeper.withColumn("bucket", F.xxhash64("bucket", "next", _band(F.col("sig"), F.col("next")))).withColumn("last", F.col("next")).drop("next")
-        out = out.unionByName(_blocks(deeper, depth + 1, cap, targets_at_once))
-    return out
+    targets = sized.select(*cols, F.lit(False).alias("seeks"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(own, F.col("parts")).cast("int").alias("part"))
+    seekers = sized.where("comp <> body and (pending or owed)").select(*cols, F.lit(True).alias("seeks"), F.pmod(own, F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return targets.unionByName(seekers)
 
 
 def components(documents: DataFrame, width: int = 5, percent: int = 80, path: str | None = None) -> DataFrame:
@@ -351,12 +356,11 @@ def components(documents: DataFrame, width: int = 5, percent: int = 80, path: st
         else:
             rows = rows.join(pending.select(F.col("seeker").alias("rid"), F.lit(True).alias("p")), "rid", "left").withColumn("pending", F.coalesce("p", F.lit(False)))
             rows = rows.join(rows.where("pending").select("key").distinct(), "key", "left_semi")
-        rows = rows.join(own, "rid").select(F.col("key").alias("bucket"), "band", F.col("band").alias("last"), "rid", "comp", "n", "sig", "pending")
+        rows = rows.join(own, "rid").select(F.col("key").alias("bucket"), "band", "rid", "comp", "n", "sig", "pending")
         rows = stash(rows, f"{path}/open{k}")
         if rows.isEmpty():
             break
-        cap, at_once = (CAP, TARGETS) if limit else (max(1, CAP // 2), max(1, TARGETS // 4))
-        dealt = _blocks(rows, 0, cap, at_once).select(F.xxhash64("bucket", "chunk", "part").alias("block"), "seeks", "band", "rid", "comp", "n", "pending", "sig")
+        dealt = _blocks(rows, limit is None).select(F.xxhash64("bucket", "chunk", "part").alias("block"), "seeks", "band", "rid", "comp", "n", "pending", "sig")
         if limit is None:
             dealt = dealt.join(sets.select(F.col("doc_id").alias("rid"), "elements"), "rid").select(*dealt.columns, "elements")
         dealt = dealt.repartition("block").sortWithinPartitions("block", "seeks", "rid")
