@@ -3,10 +3,12 @@
 A batch is a set of signed rows: +1 inserts a text, -1 deletes one, and a revision is the
 deletion of the old row with the insertion of the new one.  Tasks count tokens and emit
 sums of each Arrow batch, not rows of each text, so a hot source is summed before any
-shuffle.  A batch's additive deltas go to a folder of its own, then a marker commits it:
-a repeated or retried batch overwrites its own folder or, once committed, does nothing.
-Totals are sums over committed batches; `compact` folds them into one batch that lists
-what it holds.
+shuffle.  Each attempt at a batch writes its additive deltas to a new folder, then a marker
+that names batch and folder commits it.  A batch counts once however often it is tried:
+once committed, a retry does nothing, and of two writers at the same time the lesser
+folder counts.  Totals are sums over committed batches; `compact` folds them into one
+batch that lists what it holds.  A name is used once, for a batch or a compaction.
+Commits may run beside each other and beside a compaction, compactions not.
 
 Tokenizers are named by version: `words-1` counts runs of non-space characters, others
 are byte-level BPE rank files, whose path is a parameter.  Rank files are of bounded size
@@ -20,10 +22,11 @@ whose documents and tokens are all 0 are left out of the totals; other columns a
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -98,54 +101,66 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _markers(self) -> DataFrame | None:
+    def _markers(self) -> list[Row]:
+        """One marker of each batch."""
         try:
-            return self.spark.read.schema("batch string, holds array<string>").parquet(f"{self.path}/commits/*")
+            rows = self.spark.read.schema("batch string, folder string, holds array<string>").parquet(f"{self.path}/commits/*")
         except AnalysisException:  # nothing has been committed
-            return None
+            return []
+        return rows.groupBy("batch").agg(F.min(F.struct("folder", "holds")).alias("m")).select("batch", "m.folder", "m.holds").collect()
 
     def committed(self) -> set[str]:
         """Names of batches, those folded into another included."""
-        marks = self._markers()
-        return set() if marks is None else {b for r in marks.toLocalIterator() for b in (r["batch"], *(r["holds"] or ()))}
-
-    def _live(self) -> list[str]:
-        marks = self._markers()
-        rows = [] if marks is None else list(marks.toLocalIterator())
-        folded = {b for r in rows for b in r["holds"] or ()}
-        return sorted({r["batch"] for r in rows} - folded)
-
-    def _mark(self, batch: str, holds: list[str]) -> None:
+        return {b for r in self._markers() for b in (r["batch"], *(r["holds"] or ()))}
+
+    def _live(self) -> dict[str, str]:
+        """Batches that no other holds, with their folders."""
+        rows = self._markers()
+        held = [b for r in rows for b in r["holds"] or ()]
+        if len(held) != len(set(held)):
+            raise RuntimeError("two compactions hold the same batch")
+        return {r["batch"]: r["folder"] for r in rows if r["batch"] not in held}
+
+    def _write(self, batch: str, rows: DataFrame, holds: list[str]) -> None:
+        folder = f"{batch}-{uuid.uuid4().hex}"
+        rows.write.mode("error").parquet(f"{self.path}/deltas/{folder}")
         held = F.array(*map(F.lit, holds)) if holds else F.array().cast("array<string>")
-        self.spark.range(1).select(F.lit(batch).alias("batch"), held.alias("holds")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{batch}")
+        mark = self.spark.range(1).select(F.lit(batch).alias("batch"), F.lit(folder).alias("folder"), held.alias("holds"))
+        mark.coalesce(1).write.mode("append").parquet(f"{self.path}/commits/{batch}")
 
     def commit(self, batch: str, rows: DataFrame, tokenizers: dict[str, str | None]) -> bool:
         """Apply signed rows once; False if the batch had been committed before."""
         if batch in self.committed():
             return False
-        deltas(rows, tokenizers).write.mode("overwrite").parquet(f"{self.path}/deltas/{batch}")
-        self._mark(batch, [])
+        self._write(batch, deltas(rows, tokenizers), [])
         return True
 
-    def totals(self) -> DataFrame:
-        live = self._live()
+    def _sums(self, live: dict[str, str]) -> DataFrame:
         if not live:
             return self.spark.createDataFrame([], DELTA)
-        parts = self.spark.read.schema(DELTA).parquet(*(f"{self.path}/deltas/{b}" for b in live))
+        parts = self.spark.read.schema(DELTA).parquet(*(f"{self.path}/deltas/{folder}" for folder in live.values()))
         sums = parts.groupBy("source", "lang", "tokenizer").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        return self._sums(self._live())
+
     def compact(self, batch: str) -> None:
-        """Fold all live batches into one, which then counts instead of them."""
+        """Fold all live batches into a new one, which then counts instead of them."""
+        if batch in self.committed():
+            raise ValueError(f"{batch!r} has been used")
         live = self._live()
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deltas/{batch}")
-        self._mark(batch, live)
+        self._write(batch, self._sums(live), sorted(live))
 
 
 def op5_token_rollups(spark: SparkSession, sf_dir: str, bpe_file: str = BPE_FILE) -> DataFrame:
+    """Documents are inserted without their texts, then revised; a retry and a compaction change nothing."""
     rollup = Rollup(spark, scratch(spark))
     tokenizers = {WORDS: None, "byte_bpe_50k-1": bpe_file}
-    rows = table(spark, sf_dir, "documents").select("source", "lang", "text", F.lit(1).alias("sign"))
-    rollup.commit("load", rows, tokenizers)
-    rollup.commit("load", rows, tokenizers)  # a retried batch changes nothing
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
+    bare = docs.withColumn("text", F.lit(None).cast("string"))
+    rollup.commit("announced", revision(bare.limit(0), bare), tokenizers)
+    for _ in range(2):
+        rollup.commit("texts", revision(bare, docs), tokenizers)
+    rollup.compact("base")
     return rollup.totals()
