@@ -2,11 +2,19 @@
 
 Counts of words and word pairs are quantised on a log scale; a filter holds the events
 (n-gram, 1) .. (n-gram, level).  A count is read back by probing level after level until
-one is missing.  A pair's probability is smoothed with the word's own:
+one is missing.  A count between two levels is rounded up or down by a hash of its
+n-gram, with the chances that keep its expectation, so sums of counts read back are
+unbiased.  A pair's probability is smoothed with the word's own:
 
-    p(v | u) = (c(u v) + strength * p(v)) / (c(u) + strength)
+    p(v | u) = (c(u v) + strength * p(v)) / (c(u) + strength + false)
     p(v)     = (c(v) + 1) / (N + V + 1)
 
+`false` is the count that the V known words are expected to get by false positives after
+any u: V times the chance that all probes of an absent pair hit.  The number of probes is
+chosen so that it is at most about FALSE_COUNT whatever V, so bits grow with log V.  Over the
+known words and the unknown one the probabilities after a context sum to 1 up to chance.
+Pairs of unknown words have no count, and after an unknown word p(v | u) = p(v).
+
 Texts are read twice.  First, each task sends its n-grams, summed and packed as arrays,
 to the segment of the key space that owns them; a segment sums them, keeps its exact word
 counts and builds its own part of the filter.  Then tasks score their texts in blocks.
@@ -38,9 +46,11 @@ from toposcope.llm._shared import MULT, WordHashes, encode, mix, remainder, scra
 START, END = np.uint64(0x5D588B656C078965), np.uint64(0x269EC3F3A2B7C5D1)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
-LOG_BASE = 1.5
-PROBES = 5
-BITS_PER_EVENT = 8
+#: the ratio of counts that follow one another on the scale
+WORD_BASE, PAIR_BASE = 1.12, 1.5
+#: false positives of words, one in 256, only blur counts
+WORD_PROBES, LEAST_PROBES = 8, 8
+FALSE_COUNT = 100.0
 SEGMENT_BYTES = 16 << 20
 MAX_SEGMENTS = 1 << 16
 TRAIN_BLOCK = 2_000_000
@@ -48,25 +58,29 @@ SCORE_BLOCK = 150_000
 
 PART = "seg int, kind int, keys binary, counts binary"
 REQUEST = "req long, kind int, seg int, payload binary"
-RESPONSE = "req long, kind int, seg int, counts binary, levels binary"
+RESPONSE = "req long, kind int, seg int, n int, counts binary, levels binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 WORDS, PAIRS, DOCS = 1, 2, 0
+BUILT = "seg int, tokens long, distinct long, keys binary, counts binary, words binary, pairs binary, word_probes int, probes int, false double"
 
 
-def level_of(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(LOG_BASE) + 1e-9).astype(np.int64)
+def _scale(base: float) -> np.ndarray:
+    """What levels stand for: 0, 1, and whole counts whose ratio is about base."""
+    out = [0, 1]
+    while out[-1] < 1 << 43:  # less than 256 levels
+        out.append(max(out[-1] + 1, round(out[-1] * base)))
+    return np.array(out, dtype=np.float64)
 
 
-def _level_values() -> np.ndarray:
-    """What a level stands for: the mean of the whole counts that have it; 0 at level 0."""
-    out = [0.0]
-    for q in range(1, 96):
-        low, high = np.ceil(LOG_BASE ** (q - 1) - 1e-9), np.ceil(LOG_BASE**q - 1e-9) - 1
-        out.append((low + high) / 2 if high >= low else out[-1])
-    return np.array(out)
+WORD_SCALE, PAIR_SCALE = _scale(WORD_BASE), _scale(PAIR_BASE)
 
 
-LEVEL_VALUES = _level_values()
+def level_of(keys: np.ndarray, counts: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Levels whose expected value is the count."""
+    low = np.searchsorted(scale, counts, side="right") - 1
+    part = (counts - scale[low]) / (scale[low + 1] - scale[low])
+    chance = (mix(keys * MULT) >> np.uint64(40)).astype(np.float64) / (1 << 24)
+    return low + (chance < part)
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
@@ -81,11 +95,11 @@ def _bounds(keys: np.ndarray, segments: int) -> np.ndarray:
 class LogBloom:
     """Filter parts of consecutive segments, laid out one after another."""
 
-    def __init__(self, parts: dict[int, bytes], segments: int):
+    def __init__(self, parts: dict[int, bytes], segments: int, probes: dict[int, int]):
         self.segments = segments
-        size = np.zeros(segments, dtype=np.int64)
+        size, self.probes = np.zeros(segments, dtype=np.int64), np.zeros(segments, dtype=np.int64)
         for seg, bits in parts.items():
-            size[seg] = len(bits)
+            size[seg], self.probes[seg] = len(bits), probes[seg]
         self.offset = np.concatenate([[0], np.cumsum(size)[:-1]]) * 8
         self.size = size * 8
         self.bits = np.zeros(int(size.sum()) + 1, dtype=np.uint8)
@@ -94,36 +108,41 @@ class LogBloom:
             self.bits[at : at + len(bits)] = np.frombuffer(bits, dtype=np.uint8)
 
     @staticmethod
-    def _places(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) -> Iterator[np.ndarray]:
-        h = mix(keys + np.asarray(level).astype(np.uint64) * MULT)
-        a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-        for i in range(PROBES):
-            yield ((a + np.uint64(i) * b) % np.asarray(size).astype(np.uint64)).astype(np.int64)
+    def _hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(keys + np.full(1, level, np.uint64) * MULT)
+        return h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
 
     @classmethod
-    def part(cls, keys: np.ndarray, levels: np.ndarray) -> bytes:
+    def part(cls, keys: np.ndarray, levels: np.ndarray, probes: int) -> tuple[bytes, float]:
+        """The bits, and the chance that all probes of an absent event hit."""
         events = int(levels.sum())
         if not events:
-            return b""
-        size = -(-events * BITS_PER_EVENT // 64) * 64
+            return b"", 0.0
+        size = -(-int(events * probes / np.log(2)) // 64) * 64
         held = np.zeros(size, dtype=bool)
         for q in range(1, int(levels.max()) + 1):
-            for at in cls._places(keys[levels >= q], q, size):
-                held[at] = True
-        return np.packbits(held, bitorder="little").tobytes()
+            a, b = cls._hashes(keys[levels >= q], q)
+            for i in range(probes):
+                held[(a + np.uint64(i) * b) % np.uint64(size)] = True
+        return np.packbits(held, bitorder="little").tobytes(), float(held.mean()) ** probes
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """By repeated membership probes: the last level in an unbroken run from 1."""
         out = np.zeros(len(keys), dtype=np.uint8)
         seg = segment_of(keys, self.segments).astype(np.int64)
         live = np.flatnonzero(self.size[seg] > 0)
-        for q in range(1, len(LEVEL_VALUES)):
-            size, offset = self.size[seg[live]], self.offset[seg[live]]
-            places = self._places(keys[live], q, size)
+        most = int(self.probes.max(initial=0))
+        for q in range(1, 255):
+            a, b = self._hashes(keys[live], q)
+            own = seg[live]
+            size, offset, probes = self.size[own].astype(np.uint64), self.offset[own], self.probes[own]
             held = np.ones(len(live), dtype=bool)
-            for at in places:
-                at += offset
-                held &= ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+            for i in range(most):
+                at = ((a + np.uint64(i) * b) % size).astype(np.int64) + offset
+                held &= ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) | (i >= probes)
+                if i in (1, 4):  # most absent events are known by now
+                    live, a, b, size, offset, probes = (x[held] for x in (live, a, b, size, offset, probes))
+                    held = np.ones(len(live), dtype=bool)
             live = live[held]
             if not len(live):
                 break
@@ -131,6 +150,16 @@ class LogBloom:
         return out
 
 
+def _small(values: np.ndarray) -> bytes:
+    """Counts in the least width that holds all of them; the reader knows how many there are."""
+    most = int(values.max(initial=0))
+    return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max)).tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{len(raw) // n}").astype(np.int64) if n else np.empty(0, np.int64)
+
+
 def tokens_of(text: str | None, hashes: WordHashes) -> np.ndarray:
     """Hashes of the words and of the end."""
     return np.append(hashes.of(encode(text).lower().split()), END)
@@ -171,8 +200,8 @@ def _count_task(segments: int):
             out = []
             for kind, keys in ((WORDS, h), (PAIRS, _pairs(h, first))):
                 keys, counts = np.unique(keys, return_counts=True)
-                counts, at = counts.astype(np.uint32), _bounds(keys, segments)
-                out += [(s, kind, keys[a:b].tobytes(), counts[a:b].tobytes()) for s, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if b > a]
+                at = _bounds(keys, segments)
+                out += [(s, kind, keys[a:b].tobytes(), _small(counts[a:b])) for s, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if b > a]
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["seg", "kind", "keys", "counts"])
 
@@ -184,45 +213,66 @@ def _summed(pdf: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(own):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     keys = np.frombuffer(b"".join(own["keys"]), dtype=np.uint64)
-    counts = np.frombuffer(b"".join(own["counts"]), dtype=np.uint32)
+    counts = np.concatenate([_unpacked(c, len(k) // 8) for k, c in zip(own["keys"], own["counts"], strict=True)])
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.add.reduceat(counts[order].astype(np.int64), at)
+    return keys[at], np.add.reduceat(counts[order], at)
+
 
+def _build_task(segments: int, false_count: float, word_probes: int):
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        words, counts = _summed(pdf, WORDS)
+        pairs, pair_counts = _summed(pdf, PAIRS)
+        # segments are hashed, so each has about its share of the distinct words
+        probes = max(LEAST_PROBES, int(np.ceil(np.log2(max(1.0, len(words) * segments / false_count)))))
+        word_bits, _ = LogBloom.part(words, level_of(words, counts, WORD_SCALE), word_probes)
+        pair_bits, false = LogBloom.part(pairs, level_of(pairs, pair_counts, PAIR_SCALE), probes)
+        return pd.DataFrame({"seg": [int(pdf["seg"].iloc[0])], "tokens": [int(counts.sum())], "distinct": [len(words)], "keys": [words.tobytes()], "counts": [_small(counts)], "words": [word_bits], "pairs": [pair_bits], "word_probes": [word_probes], "probes": [probes], "false": [false]})
 
-def _build_segment(pdf: pd.DataFrame) -> pd.DataFrame:
-    words, counts = _summed(pdf, WORDS)
-    pairs, pair_counts = _summed(pdf, PAIRS)
-    bits = LogBloom.part(np.concatenate([words, pairs]), np.concatenate([level_of(counts), level_of(pair_counts)]))
-    return pd.DataFrame({"seg": [int(pdf["seg"].iloc[0])], "tokens": [int(counts.sum())], "distinct": [len(words)], "keys": [words.tobytes()], "counts": [counts.tobytes()], "bits": [bits]})
+    return build
 
 
-def train(documents: DataFrame, segments: int, path: str) -> DataFrame:
+def train(documents: DataFrame, segments: int, path: str, false_count: float = FALSE_COUNT, word_probes: int = WORD_PROBES) -> DataFrame:
     """The model: a row per segment with its exact word counts and its filter part."""
     parts = documents.select("text").mapInArrow(_count_task(segments), PART)
-    built = parts.groupBy("seg").applyInPandas(_build_segment, "seg int, tokens long, distinct long, keys binary, counts binary, bits binary")
+    built = parts.groupBy("seg").applyInPandas(_build_task(segments, false_count, word_probes), BUILT)
     return stash(built, path)
 
 
 class Model:
     """Numbers that every score needs."""
 
-    def __init__(self, tokens: int, distinct: int, texts: int, strength: float):
-        self.tokens, self.distinct, self.texts, self.strength = tokens, distinct, texts, strength
+    def __init__(self, tokens: int, distinct: int, texts: int, strength: float, false: float):
+        self.tokens, self.distinct, self.texts, self.strength, self.false = tokens, distinct, texts, strength, false
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1.0) / (self.tokens + self.distinct + 1.0))
 
+    def probability(self, before: np.ndarray, own: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """From the counts read back of the context, the word and the pair."""
+        single = (own + 1.0) / (self.tokens + self.distinct + 1.0)
+        pair = np.where(own > 0, np.minimum(pair, before), 0.0)  # a pair is no more frequent than its context
+        return np.where(before > 0, (pair + self.strength * single) / (before + self.strength + self.false), single)
+
     def log10(self, word_levels: np.ndarray, pair_levels: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Per token, from the levels of the token and of the pair that ends at it."""
-        own, pair = LEVEL_VALUES[word_levels], LEVEL_VALUES[pair_levels]
+        own, pair = WORD_SCALE[word_levels], PAIR_SCALE[pair_levels]
         before = np.empty_like(own)
         before[1:] = own[:-1]
         before[first] = self.texts
-        pair = np.minimum(pair, np.minimum(before, own))  # a pair is no more frequent than its words
-        single = (own + 1.0) / (self.tokens + self.distinct + 1.0)
-        return np.log10((pair + self.strength * single) / (before + self.strength))
+        return np.log10(self.probability(before, own, pair))
+
+
+class Filters:
+    """The filters of words and of pairs."""
+
+    def __init__(self, rows: list, segments: int):
+        self.words = LogBloom({r["seg"]: bytes(r["words"]) for r in rows}, segments, {r["seg"]: r["word_probes"] for r in rows})
+        self.pairs = LogBloom({r["seg"]: bytes(r["pairs"]) for r in rows}, segments, {r["seg"]: r["probes"] for r in rows})
+
+    def levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        return (self.words if kind == WORDS else self.pairs).levels(keys)
 
 
 def _pack(index: np.ndarray, distinct: int) -> np.ndarray:
@@ -241,7 +291,7 @@ def _request_task(segments: int, model: Model, shared):
             doc = {"rows": rows, "first": first.astype(np.uint32), "at": _pack(at, len(words)), "score": None}
             asked = [(WORDS, words)]
             if bloom is not None:
-                score = model.log10(bloom.levels(words)[at], bloom.levels(pairs)[pair_at], first)
+                score = model.log10(bloom.levels(WORDS, words)[at], bloom.levels(PAIRS, pairs)[pair_at], first)
                 doc["score"] = np.add.reduceat(score, first)
             else:
                 doc["pair_at"] = _pack(pair_at, len(pairs))
@@ -260,12 +310,13 @@ def _answer_task(segments: int, routed: bool):
     def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
         if not len(asked):  # nobody asks this segment
-            return pd.DataFrame(out, columns=["req", "kind", "seg", "counts", "levels"])
+            return pd.DataFrame(out, columns=["req", "kind", "seg", "n", "counts", "levels"])
         words, counts, bloom = np.empty(0, np.uint64), np.empty(0, np.int64), None
         if len(held):
             row = held.iloc[0]
-            words, counts = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64)
-            bloom = LogBloom({int(row["seg"]): row["bits"]}, segments) if routed else None
+            words = np.frombuffer(row["keys"], np.uint64)
+            counts = _unpacked(row["counts"], len(words))
+            bloom = Filters([row], segments) if routed else None
         for r in asked.itertuples(index=False):
             keys = np.frombuffer(r.payload, np.uint64)
             got, levels = np.zeros(len(keys), np.int64), b""
@@ -273,9 +324,9 @@ def _answer_task(segments: int, routed: bool):
                 at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
                 got = np.where(words[at] == keys, counts[at], 0)
             if routed:
-                levels = (bloom.levels(keys) if bloom is not None else np.zeros(len(keys), np.uint8)).tobytes()
-            out.append((r.req, r.kind, r.seg, got.tobytes() if r.kind == WORDS else b"", levels))
-        return pd.DataFrame(out, columns=["req", "kind", "seg", "counts", "levels"])
+                levels = (bloom.levels(r.kind, keys) if bloom is not None else np.zeros(len(keys), np.uint8)).tobytes()
+            out.append((r.req, r.kind, r.seg, len(keys), _small(got) if r.kind == WORDS else b"", levels))
+        return pd.DataFrame(out, columns=["req", "kind", "seg", "n", "counts", "levels"])
 
     return answer
 
@@ -285,7 +336,7 @@ def _score_task(model: Model):
         doc = pickle.loads(docs["payload"].iloc[0])
         answers = answers.sort_values(["kind", "seg"])
         own = answers[answers["kind"] == WORDS]
-        counts = np.frombuffer(b"".join(own["counts"]), np.int64)[doc["at"]]
+        counts = np.concatenate([_unpacked(c, n) for c, n in zip(own["counts"], own["n"], strict=True)])[doc["at"]]
         first = doc["first"].astype(np.int64)
         total = doc["score"]
         if total is None:
@@ -306,10 +357,11 @@ def _score_task(model: Model):
     return score
 
 
-def score(documents: DataFrame, held_out: Column, strength: float = 20.0, broadcast_limit: int = 128 << 20, path: str | None = None) -> DataFrame:
+def score(documents: DataFrame, held_out: Column, strength: float = 100.0, broadcast_limit: int = 192 << 20, path: str | None = None, false_count: float = FALSE_COUNT, word_probes: int = WORD_PROBES) -> DataFrame:
     """Scores of all documents under a model of those that are not held out.
 
-    documents need doc_id and text; strength is the weight of a word's own probability.
+    documents need doc_id and text; strength is the weight of a word's own probability;
+    false_count: see above; word_probes: probes of a word's event.
     """
     spark = documents.sparkSession
     small_batches(spark)
@@ -318,16 +370,16 @@ def score(documents: DataFrame, held_out: Column, strength: float = 20.0, broadc
     learn = docs.where(~F.col("held_out"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     segments = min(MAX_SEGMENTS, max(1, -(-size // SEGMENT_BYTES)))
-    parts = train(learn, segments, f"{path}/model")
-    sums = parts.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v"), F.sum(F.octet_length("bits")).alias("b")).first()
-    model = Model(sums["n"] or 0, sums["v"] or 0, learn.count(), strength)
+    parts = train(learn, segments, f"{path}/model", false_count, word_probes)
+    bits = F.octet_length("words") + F.octet_length("pairs")
+    sums = parts.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v"), F.sum(bits).alias("b"), F.sum("false").alias("false")).first()
+    model = Model(sums["n"] or 0, sums["v"] or 0, learn.count(), strength, (sums["v"] or 0) * (sums["false"] or 0.0) / segments)
     shared, routed = None, (sums["b"] or 0) > broadcast_limit
     if not routed:
-        bits = {r["seg"]: bytes(r["bits"]) for r in parts.select("seg", "bits").toLocalIterator()}
-        shared = spark.sparkContext.broadcast(LogBloom(bits, segments))
+        shared = spark.sparkContext.broadcast(Filters(list(parts.select("seg", "words", "pairs", "word_probes", "probes").toLocalIterator()), segments))
     blocks = stash(docs.mapInArrow(_request_task(segments, model, shared), REQUEST), f"{path}/blocks")
     asked = blocks.where(F.col("kind") != DOCS)
-    held = parts.select("seg", "keys", "counts", "bits" if routed else F.lit(None).cast("binary").alias("bits"))
+    held = parts.select("seg", "keys", "counts", *(("words", "pairs", "word_probes", "probes") if routed else ()))
     answers = asked.groupBy("seg").cogroup(held.groupBy("seg")).applyInPandas(_answer_task(segments, routed), RESPONSE)
     return blocks.where(F.col("kind") == DOCS).groupBy("req").cogroup(answers.groupBy("req")).applyInPandas(_score_task(model), SCORES)
 
