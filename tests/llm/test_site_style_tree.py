@@ -1,3 +1,9 @@
+import math
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
 from toposcope.llm import site_style_tree as S
 
 PAGE = """<!DOCTYPE html><html><head><title>x &amp; y</title><style>p{}</style><script>var t="</p>";</script></head>
@@ -26,7 +32,7 @@ def test_repeated_branches_go_and_copied_articles_stay(spark):
     rows += [(100 + i, "http://b.example/x", page(i, "same"), 7) for i in range(60)]
     rows += [(200, None, None, 7), (201, "http://c.example", page(0, "alone"), 7)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
-    for most in (500_000, 0):
+    for most in (500_000, 1):
         got = {r.page_id: r for r in S.extract(df, broadcast_rows=most).collect()}
         assert len(got) == len(rows)
         assert all(got[i].text == f"Story {i}" for i in range(40))
@@ -42,3 +48,71 @@ def test_names_of_wrappers_do_not_remove_the_story():
     assert S.main_text(f"<div id='page' class='has-sidebar'><article>{story}</article><div class='sidebar'>Links</div></div>") == "A long story of many words"
     assert S.main_text(f"<main class='search-results'>{story}<div class='comments'>First!</div></main>") == "A long story of many words"
     assert S.main_text(f"<body><div>{story}</div><article>Teaser</article></body>") == "A long story of many words\n\nTeaser"
+
+
+def brute_importance(pages):
+    """(host, key) -> importance, and (host, key, branch) -> content importance, straight from the definitions."""
+    seen = defaultdict(set)  # a row per page, presentation node and content
+    for host, html in pages:
+        root = S.parse(html)
+        S.measure(root)
+        for node in S._in_order(root):
+            if node.parts:
+                seen[host, S._signed(node.key)].add((root.content, S.branch(node), node.style, node.chars, node.links))
+    parts, contents = {}, {}
+    for (host, key), rows in seen.items():
+        m = len(rows)
+        if m < 12:
+            continue
+        n, s = Counter(r[1] for r in rows), Counter(r[2] for r in rows)
+        content = {b: 1 - math.log(c, m) for b, c in n.items()}
+        layout = -sum(c / m * math.log(c / m, m) for c in s.values())
+        chars = sum(r[3] for r in rows)
+        parts[host, key] = (sum(r[3] * content[r[1]] for r in rows), layout, sum(r[4] for r in rows) / chars if chars else 0.0)
+        contents.update({(host, key, b): c for b, c in content.items()})
+    return {(h, k): (1 - links) * (0.9 * (info / parts[h, 0][0] if parts[h, 0][0] else 0.0) + 0.1 * layout) for (h, k), (info, layout, links) in parts.items() if (h, 0) in parts}, contents
+
+
+def site(n, host, story=True):
+    def page(i):
+        menu = "".join(f"<li><a href='/{i * k}'>Item{i * k}</a></li>" for k in range(4 + i % 3))
+        text = "".join(f"<p>Paragraph {i} {k} {'of the tale ' * (1 + (i * k) % 9)}</p>" for k in range(1 + i % 7))
+        return f"<html><body><div class='top'><ul>{menu}</ul></div><div class='box{'' if story else i}'><h2>Tale {i}</h2>{text}</div><div class='end'><span>Shop of the day: shoe {i}</span></div></body></html>"
+
+    return [(i, f"http://{host}/{i}", page(i)) for i in range(n)]
+
+
+def test_importance_equals_brute_force(spark):
+    rows = site(40, "a.example") + site(5, "few.example") + site(1, "a.example") + [(0, "http://a.example/0", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", S.host_of(F.col("url")))
+    want, contents = brute_importance([(r.host, r.html) for r in pages.collect()])
+    nodes, shared = S.importance(S.tree(pages), 12)
+    got = {(r.host, r.node): r.importance for r in nodes.collect()}
+    assert got.keys() == want.keys() and {h for h, _ in got} == {"a.example"}
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    found = {(r.host, r.node, r.branch): r.content for r in shared.collect()}
+    assert found.keys() == contents.keys() and all(found[k] == pytest.approx(contents[k]) for k in contents)
+
+
+def test_unnamed_menus_and_adverts_go_although_they_differ_on_each_page(spark):
+    rows = site(40, "a.example") + site(5, "few.example")
+    got = {(r.url): r.text for r in S.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(40):
+        text = got[f"http://a.example/{i}"].split("\n\n")
+        assert text[0] == f"Tale {i}" and len(text) == 2 + i % 7 and all(t.startswith(f"Paragraph {i} ") for t in text[1:])
+    # too few pages to compare: nothing is removed that has no name
+    assert got["http://few.example/1"].startswith("Item0") and got["http://few.example/1"].endswith("shoe 1")
+
+
+def test_tree_does_without_names_on_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    hosts = {r.host for r in pages.groupBy(S.host_of(F.col("url")).alias("host")).count().where("count >= 12").collect()}
+    rows = [r for r in pages.withColumn("host", S.host_of(F.col("url"))).collect() if r.host in hosts]
+    named = {r.page_id: S.main_text(r.html) for r in rows}
+    alone = {r.page_id: r.text for r in S.extract(pages, names=False).collect()}
+    both = {r.page_id: r.text for r in S.extract(pages).collect()}
+    same = sum(alone[i] == named[i] for i in named) / len(named)
+    untouched = sum(S.main_text(r.html, names=False) == both[r.page_id] for r in rows)
+    print("pages", len(rows), "as names alone", same, "as with neither", untouched, "changed by the tree besides names", sum(both[i] != named[i] for i in named))
+    assert same >= 0.99 and untouched == 0
+    assert all(both[i] == alone[i] for i in named)

@@ -1,21 +1,34 @@
 """Main text of web pages by a site style tree.
 
 The DOMs of one host's pages are merged: element nodes with the same path of tags, classes
-and ids are one node of the tree.  For a node of m pages, presentation importance is the
-entropy (base m) of its child sequences over the pages, and a content that n of the m
-pages share has importance 1 - log_m(n); a branch whose weighted sum of both is low is
-noise that the site repeats.  Pages of equal whole content count once, so copies of an
-article do not make it look like a menu; nodes of fewer than `least_pages` pages are
-important.  Presentation nodes that name their own role (nav, footer, class "ad", ...)
-have importance 0, and `article`, `main` and role=main have importance 1.
-
-From each page the branches of low importance are removed; if article regions hold most of
-what is left, their blocks are the text, otherwise all blocks of the body are.  Character references are
-decoded, white space inside a block becomes one space, blocks are joined by two newlines.
+and ids are one presentation node of the tree, and what it holds on a page is a content
+node below it.  All nodes are merged, whatever their names.  Over the m pages that have a
+presentation node,
+
+- a content that n of them share has importance 1 - log_m(n);
+- the layout's importance is the entropy (base m) of the node's child sequence and size;
+- the node's own importance is (1 - links) * (WEIGHT * share + (1 - WEIGHT) * layout):
+  links is the share of its text inside links, share that of the host's information that
+  it holds (characters times the importance of their content).
+
+A branch whose content and layout together are below LOW is noise that the site repeats.
+The story of a host's pages is in its content nodes: presentation nodes that occur once a
+page, have importance KEPT or more, and no child with over half of their information.
+Branches outside them are of low importance and go: menus, adverts and footers, also those
+that differ on each page.  Pages of equal whole content count once, so copies of an
+article do not make it look like a menu.
+
+Names are a prior for what entropy cannot tell: inside content nodes, a part that names
+its role (nav, footer, class "ad", comments, ...) goes, unless it holds most of the page.
+On hosts with fewer than `least_pages` pages, and on pages without a content node, names
+and the elements article and main decide alone.  Then character references are decoded,
+white space inside a block becomes one space, and blocks are joined by two newlines.
 
 Statistics are counts by (host, node, content), summed before each shuffle, so a host
-with a third of all pages costs no task more than its share.  The list of low branches is
-broadcast up to `broadcast_rows` rows; beyond that it is joined to the pages by host.
+with a third of all pages costs no task more than its share.  A low branch is on at least
+m ** 0.7 pages, so a host's list grows with m ** 0.3 at most.  Lists are broadcast, in
+parts of about `broadcast_rows` rows for some of the hosts each; pages are read once for
+each part and extracted once, and never shuffled.
 
 Defined results: null or empty html has the empty text; a null url is a host of its own
 name ''; repeated rows are treated alike; unclosed and misnested tags are repaired as the
@@ -26,7 +39,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from collections.abc import Set as AbstractSet
 
 import pyarrow as pa
 import xxhash
@@ -34,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toposcope.llm._shared import small_batches, table
+from toposcope.llm._shared import scratch, small_batches, stash, table
 
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -70,15 +85,16 @@ NOISE_NAMES = frozenset(
 
 WEIGHT = 0.9
 LOW = 0.25
+KEPT = 0.15
 
 
 class Node:
-    __slots__ = ("content", "key", "named", "noise", "parts", "region", "style", "tag")
+    __slots__ = ("chars", "content", "key", "links", "named", "noise", "parts", "region", "style", "tag")
 
     def __init__(self, tag: str, key: int, noise: bool, region: bool, named: bool = False):
         self.tag, self.key, self.noise, self.region, self.named = tag, key, noise, region, named
         self.parts: list = []
-        self.content = self.style = 0
+        self.content = self.style = self.chars = self.links = 0
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -160,17 +176,24 @@ def _in_order(root: Node) -> list[Node]:
 
 
 def measure(root: Node) -> None:
-    """Sets each node's content and style, from its parts upwards."""
+    """Sets each node's content, style and size, from its parts upwards."""
     for node in reversed(_in_order(root)):
         content, style, last = xxhash.xxh64(), xxhash.xxh64(), None
         for p in node.parts:
             if isinstance(p, str):
-                content.update(" ".join(p.split()).encode("utf-8", "surrogatepass"))
+                text = " ".join(p.split())
+                content.update(text.encode("utf-8", "surrogatepass"))
+                node.chars += len(text)
             else:
                 content.update(p.content.to_bytes(8, "little"))
+                node.chars += p.chars
+                node.links += p.links
                 if p.tag != last:
                     style.update(p.key.to_bytes(8, "little"))
                 last = p.tag
+        if node.tag == "a":
+            node.links = node.chars
+        style.update(node.chars.bit_length().to_bytes(8, "little"))
         node.content, node.style = content.intdigest(), style.intdigest()
 
 
@@ -183,24 +206,38 @@ def branch(node: Node) -> int:
     return _signed(xxhash.xxh64_intdigest(node.key.to_bytes(8, "little") + node.content.to_bytes(8, "little")))
 
 
-def blocks(root: Node, low: frozenset[int] | set[int]) -> list[str]:
-    """Block texts in page order without noise and low branches; only of article regions, if they hold most of them."""
+def blocks(root: Node, low: AbstractSet[int] = frozenset(), kept: AbstractSet[int] = frozenset(), names: bool = True) -> list[str]:
+    """Block texts in page order, without low branches.
+
+    kept: keys of the host's content nodes, whose texts alone are taken if the page has one
+    of them; else those of article regions, if they hold most of what names leave over.
+    """
+    stories, regions, nodes = [], [], [root]
+    while nodes:  # topmost content nodes, and topmost regions outside noise
+        node = nodes.pop()
+        if _signed(node.key) in kept:
+            stories.append(node)
+        else:
+            nodes.extend(p for p in reversed(node.parts) if not isinstance(p, str))
+    if stories:
+        for node in stories:
+            node.noise = False
+        return _texts(stories, low, names)
     nodes = [root]
-    regions = []
-    while nodes:  # topmost regions outside noise
+    while nodes:
         node = nodes.pop()
-        if node.noise:
+        if names and node.noise:
             continue
-        if node.region:
+        if names and node.region:
             regions.append(node)
         else:
             nodes.extend(p for p in reversed(node.parts) if not isinstance(p, str))
-    whole = _texts([root], low)
-    own = _texts(regions, low) if regions else whole
+    whole = _texts([root], low, names)
+    own = _texts(regions, low, names) if regions else whole
     return own if 2 * sum(map(len, own)) >= sum(map(len, whole)) else whole
 
 
-def _texts(starts: list[Node], low: frozenset[int] | set[int]) -> list[str]:
+def _texts(starts: list[Node], low: AbstractSet[int], names: bool) -> list[str]:
     """Block texts of the nodes."""
     out, words = [], []
 
@@ -220,7 +257,7 @@ def _texts(starts: list[Node], low: frozenset[int] | set[int]) -> list[str]:
                 words.append(part)
             elif part.tag == "br":
                 words.append("\n")
-            elif not part.noise and not (low and part.key and not part.region and branch(part) in low):
+            elif not (part.noise and (names or part.tag == "head")) and not (low and part.key and not (names and part.region) and branch(part) in low):
                 if part.tag in BLOCK or part.tag == "#root":
                     flush()
                     todo.append(None)
@@ -230,13 +267,13 @@ def _texts(starts: list[Node], low: frozenset[int] | set[int]) -> list[str]:
     return out
 
 
-def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
+def main_text(page: str | None, low: AbstractSet[int] = frozenset(), kept: AbstractSet[int] = frozenset(), names: bool = True) -> str:
     if not page:
         return ""
     root = parse(page)
     if low:
         measure(root)
-    return "\n\n".join(blocks(root, low))
+    return "\n\n".join(blocks(root, low, kept, names))
 
 
 def host_of(url):
@@ -244,8 +281,11 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+TREE = "host string, page long, parent long, node long, branch long, style long, times int, chars long, links long"
+
+
 def _tree_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) to (host, node, branch, style, page) rows, one for each node kind of a page."""
+    """(host, html) to rows of TREE, one for each distinct content of a presentation node on a page."""
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             batch = whole.slice(at, 500)
@@ -253,62 +293,92 @@ def _tree_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for host, page in zip(batch.column(0), batch.column(1), strict=True):
                 root = parse(page.as_py())
                 measure(root)
-                own = _signed(root.content)
-                seen = {}
+                own, up = _signed(root.content), {id(root): 0}
+                seen, times = {}, Counter()
                 for node in _in_order(root):
-                    if node.key and not node.noise and node.parts and node.tag not in ("html", "body"):
+                    for p in node.parts:
+                        if not isinstance(p, str):
+                            up[id(p)] = node.key
+                    if node.parts:
+                        times[node.key] += 1
                         seen[branch(node)] = node
-                out += [(host.as_py(), _signed(n.key), b, _signed(n.style), own) for b, n in seen.items()]
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["host", "node", "branch", "style", "page"])
-
-
-def low_branches(pages: DataFrame, least_pages: int = 12, low: float = LOW) -> DataFrame:
-    """(host, branch) of low importance, from all pages; pages have host and html."""
-    rows = pages.where(F.col("html").isNotNull()).select("host", "html").mapInArrow(_tree_task, "host string, node long, branch long, style long, page long").distinct()
-    by_branch = rows.groupBy("host", "node", "branch", "style").agg(F.count("*").alias("n"))
-    total = by_branch.groupBy("host", "node").agg(F.sum("n").alias("m")).where(F.col("m") >= least_pages)
-    styles = by_branch.groupBy("host", "node", "style").agg(F.sum("n").alias("s"))
-    shape = styles.join(total, ["host", "node"]).groupBy("host", "node").agg(F.first("m").alias("m"), F.sum(-F.col("s") / F.col("m") * F.log(F.col("s") / F.col("m")) / F.log("m")).alias("presentation"))
+                out += [(host.as_py(), own, _signed(up[id(n)]), _signed(n.key), b, _signed(n.style), times[n.key], n.chars, n.links) for b, n in seen.items()]
+            cols = list(zip(*out, strict=True)) or [[]] * 9
+            kinds = [pa.string(), *[pa.int64()] * 5, pa.int32(), pa.int64(), pa.int64()]
+            names = [f.split()[0] for f in TREE.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+
+def tree(pages: DataFrame) -> DataFrame:
+    """The merged trees: a row for each (host, node, content, layout), with its pages; pages have host and html."""
+    rows = pages.where(F.col("html").isNotNull()).select("host", "html").mapInArrow(_tree_task, TREE).distinct()
+    return rows.groupBy("host", "parent", "node", "branch", "style").agg(F.count("*").alias("n"), F.max("times").alias("times"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+
+
+def importance(merged: DataFrame, least_pages: int) -> tuple[DataFrame, DataFrame]:
+    """Presentation nodes (host, parent, node, times, info, layout, importance), and contents (host, node, branch, content) of theirs."""
+    key = ["host", "node"]
+    total = merged.groupBy(*key).agg(F.sum("n").alias("m"), F.max("times").alias("times"), F.max("parent").alias("parent"), F.sum("chars").alias("all"), F.sum("links").alias("links")).where(F.col("m") >= least_pages)
+    contents = merged.groupBy(*key, "branch").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).join(total.select(*key, "m"), key)
+    contents = contents.withColumn("content", 1 - F.log("n") / F.log("m"))
+    layouts = merged.groupBy(*key, "style").agg(F.sum("n").alias("s")).join(total.select(*key, "m"), key)
+    layouts = layouts.groupBy(*key).agg(F.sum(-F.col("s") / F.col("m") * F.log(F.col("s") / F.col("m")) / F.log("m")).alias("layout"))
+    nodes = contents.groupBy(*key).agg(F.sum(F.col("chars") * F.col("content")).alias("info")).join(total, key).join(layouts, key)
+    roots = nodes.where("node = 0").select("host", F.col("info").alias("whole"))
+    share = F.when(F.col("whole") > 0, F.col("info") / F.col("whole")).otherwise(0.0)
+    linked = F.when(F.col("all") > 0, F.col("links") / F.col("all")).otherwise(0.0)
+    nodes = nodes.join(roots, "host").withColumn("importance", (1 - linked) * (WEIGHT * share + (1 - WEIGHT) * F.col("layout")))
+    return nodes.select("host", "parent", "node", "times", "info", "layout", "importance"), contents.select("host", "node", "branch", "n", "chars", "content")
+
+
+def found_out(pages: DataFrame, least_pages: int = 12, low: float = LOW, kept: float = KEPT, path: str | None = None) -> DataFrame:
+    """(host, key, story): content nodes to keep (story) and low branches, from all pages; pages have host and html."""
+    spark = pages.sparkSession
+    path = path or scratch(spark)
+    merged = stash(tree(pages), f"{path}/tree")
+    nodes, contents = importance(merged, least_pages)
+    nodes = stash(nodes, f"{path}/nodes")
     # at least this many pages must share a content before it can be low
-    shared = by_branch.groupBy("host", "node", "branch").agg(F.sum("n").alias("n")).where("n > 2")
-    content = 1 - F.log("n") / F.log("m")
-    return shared.join(shape, ["host", "node"]).where((1 - WEIGHT) * F.col("presentation") + WEIGHT * content < low).select("host", "branch")
+    shared = contents.where("n > 2 and chars > 0").join(nodes.where("node <> 0").select("host", "node", "layout"), ["host", "node"])
+    gone = shared.where((1 - WEIGHT) * F.col("layout") + WEIGHT * F.col("content") < low).select("host", F.col("branch").alias("key"), F.lit(False).alias("story"))
+    below = nodes.where("times = 1 and node <> 0").groupBy("host", F.col("parent").alias("node")).agg(F.max("info").alias("most"))
+    stories = nodes.where((F.col("times") == 1) & (F.col("node") != 0) & (F.col("importance") >= kept)).join(below, ["host", "node"], "left")
+    stories = stories.where(F.coalesce("most", F.lit(0.0)) <= F.col("info") / 2).select("host", F.col("node").alias("key"), F.lit(True).alias("story"))
+    return stash(gone.unionByName(stories).distinct(), f"{path}/found")
 
 
-def extract(pages: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:
-    """pages without html, plus text and n_chars; pages have url and html."""
+def extract(pages: DataFrame, broadcast_rows: int = 500_000, names: bool = True, **options) -> DataFrame:
+    """pages without html, plus text and n_chars; pages have url and html; names: see blocks()."""
     spark = pages.sparkSession
     small_batches(spark)
     named = pages.drop("text", "n_chars", "host").withColumn("host", host_of(F.col("url")))
-    found = low_branches(named, **options).persist()
+    found = found_out(named, **options)
     kept = [c for c in named.columns if c not in ("html", "host")]
     schema = T.StructType([named.schema[c] for c in kept]).add("text", "string").add("n_chars", "long")
-    few = found.limit(broadcast_rows + 1).count() <= broadcast_rows
-    if few:
-        by_host: dict[str, set[int]] = {}
-        for r in found.toLocalIterator():
-            by_host.setdefault(r["host"], set()).add(r["branch"])
+    parts = max(1, -(-found.count() // broadcast_rows))
+    part = F.pmod(F.xxhash64("host", F.lit(7)), F.lit(parts))
+
+    def run_with(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, none = shared.value, (frozenset(), frozenset())
+            for whole in batches:
+                for at in range(0, whole.num_rows, 500):
+                    batch = whole.slice(at, 500)
+                    texts = [main_text(page.as_py(), *known.get(host.as_py(), none), names) for host, page in zip(batch.column(len(kept)), batch.column(len(kept) + 1), strict=True)]
+                    cols = [batch.column(i) for i in range(len(kept))]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema.names)
+
+        return run
+
+    out = None
+    for k in range(parts):
+        by_host: dict[str, tuple[set[int], set[int]]] = {}
+        for r in found.where(part == k).toLocalIterator():
+            by_host.setdefault(r["host"], (set(), set()))[r["story"]].add(r["key"])
         shared = spark.sparkContext.broadcast(by_host)
-        rows = named.select(*kept, "host", "html")
-    else:
-        lists = found.groupBy("host").agg(F.collect_set("branch").alias("__low"))
-        rows = named.join(lists, "host", "left").select(*kept, "__low", "html")
-    found.unpersist()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, none = (shared.value if few else {}), frozenset()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                texts = []
-                for own, page in zip(batch.column(len(kept)), batch.column(len(kept) + 1), strict=True):
-                    own = own.as_py()
-                    texts.append(main_text(page.as_py(), known.get(own, none) if few else frozenset(own or ())))
-                cols = [batch.column(i) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema.names)
-
-    return rows.mapInArrow(run, schema)
+        done = named.where(part == k).select(*kept, "host", "html").mapInArrow(run_with(shared), schema)
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
 def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
