@@ -91,7 +91,7 @@ def test_word_weights_and_posteriors_equal_brute_force(spark, tmp_path):
             hits = [model.weights[b][c] for b in r["__at"] if b in model.weights]
             x += [min(20.0, max(-20.0, sum(hits))), max([0.0, *hits])]
         per = max(1, len(own))
-        x += [np.log1p(len(own)), len(r["__at"]) / per, len(text) / per, sum(w != w.lower() for w in own) / per]
+        x += [np.log1p(len(own)), len(r["__at"]) / per, len(text) / per, sum("A" <= w[0] <= "Z" for w in own) / per]
         assert np.allclose(got[r.doc_id].posteriors, M._softmax(np.array([x]), model.center, model.slopes)[0])
         assert got[r.doc_id].n_tokens == len(own)
     assert got[1].posteriors[1] > 0.9 > 0.1 > got[3].posteriors[1] and got[149].posteriors[1] > 0.9

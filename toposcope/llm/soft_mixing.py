@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from toposcope.llm._shared import scratch, stash, table
 
 BUCKETS = 1 << 16
-BREAKS = r"[\x09-\x0D\x20]+"
+BREAKS, SPACES = r"[\x09-\x0D\x20]+", "\t\n\x0b\x0c\r "
 FOLDS = 3
 SURE = 4.0
 #: texts of the pooled share that a domain's share is shrunk by
@@ -59,7 +59,8 @@ RESULTS = ("n_tokens", "domain", "posteriors", "rate", "copies", "miss")
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BREAKS), lambda w: w != "")
+    own = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(own == "", F.array().cast("array<string>")).otherwise(F.split(own, BREAKS))
 
 
 def _bucket(word: Column) -> Column:
@@ -111,8 +112,8 @@ def _inputs(weights: dict[int, list[float]], domains: int) -> tuple[Column, Colu
         out += [F.greatest(F.lit(-20.0), F.least(F.lit(20.0), total)), F.greatest(F.lit(0.0), F.coalesce(F.array_max(got), F.lit(0.0)))]
     n = F.size("__words").cast("double")
     per = F.greatest(n, F.lit(1.0))
-    shouted = F.size(F.filter("__words", lambda w: w != F.lower(w)))
-    out += [F.log1p(n), F.size("__at") / per, F.length(F.coalesce("text", F.lit(""))) / per, shouted / per]
+    capital = F.size(F.filter("__words", lambda w: F.ascii(w).between(65, 90)))
+    out += [F.log1p(n), F.size("__at") / per, F.length(F.coalesce("text", F.lit(""))) / per, capital / per]
     return at, F.array(*out)
 
 
