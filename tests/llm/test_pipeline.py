@@ -1,12 +1,102 @@
+import re
+
 import corpus_pipeline as P
+import pytest
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+CLASHES = ("score", "lang_pred", "n_words", "items", "hits", "n_hit", "spans", "sig", "kept", "component_id", "blob")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """The small tables, with columns named like results, and odd rows."""
+    path = f"file://{tmp_path_factory.mktemp('sf')}"
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = docs.where("length(text) > 300").orderBy("doc_id").first().asDict()
+    extra = [{**first, "doc_id": i, "text": t, "lang": lang} for i, t, lang in ((9001, None, "en"), (9002, "", None), (9003, "?! 12", "en"), (None, first["text"], None), (first["doc_id"], first["text"], first["lang"]), (9004, first["text"] * 300, "en"))]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    docs.write.parquet(f"{path}/documents.parquet")
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
+    return path
+
+
+def clashes_kept(rows):
+    return all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHES)
 
 
 def test_stages_on_the_small_table(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    out = P.run(spark, sf)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = P.run(spark, SF)
     assert [n for n, _ in P.STAGES] == ["language", "near_duplicates", "benchmark_passages", "secrets", "mixing"]
     assert 0 < out.count() <= docs.count()
     assert set(docs.columns) < set(out.columns)
     assert out.where("text is null").count() == 0
     assert out.select("doc_id").distinct().count() == out.count()
+
+
+@pytest.mark.parametrize("name", ["language", "near_duplicates", "benchmark_passages", "secrets"])
+def test_each_stage_returns_the_columns_of_documents(spark, odd, name):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    out = dict(P.STAGES)[name](spark, docs, odd)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert 0 < len(rows) <= docs.count() and clashes_kept(rows)
+    ids = [r.doc_id for r in rows]
+    if name == "language":
+        assert not {9001, 9002, 9003} & set(ids) and 9004 in ids and None in ids
+    else:
+        assert {9001, 9002, 9003} <= set(ids) and None in ids
+    assert dict(P.STAGES)[name](spark, docs.limit(0), odd).count() == 0
+
+
+def test_mixing_adds_its_results(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    out = P.mixing(spark, docs, odd)
+    rows = out.collect()
+    assert len(rows) == docs.count() and set(out.columns) == {*docs.columns, *P.soft_mixing.RESULTS} and clashes_kept(rows)
+    assert P.mixing(spark, docs.limit(0), odd).count() == 0
+
+
+def test_near_duplicates_equal_brute_force(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    rows = [r for r in docs.collect() if r.doc_id is not None]
+    sets, lower = {}, {c: c + 32 for c in range(65, 91)}
+    for r in rows:
+        w = WORD.findall((r.text or "").translate(lower))
+        size = min(5, len(w))
+        sets[r.doc_id] = frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if w else frozenset()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for x in ids:
+        for y in ids:
+            if x < y and sets[x] and sets[y]:
+                both = len(sets[x] & sets[y])
+                if 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both):
+                    a, b = sorted((find(x), find(y)))
+                    root[b] = a
+    got = [r.doc_id for r in P.near_duplicates(spark, docs, odd).collect()]
+    assert sorted(i for i in got if i is not None) == [i for i in ids if find(i) == i] and got.count(None) == 1
+
+
+def test_passages_and_secrets_go(spark, odd, tmp_path):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first().text
+    spark.createDataFrame([("i", bench)], "item_id string, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    rows = [(1, f"before {bench} after", 7), (2, bench, 7), (3, "clean words", 7), (4, None, None), (5, "my password = hunter2hunter2 ok", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in P.benchmark_passages(spark, docs, f"file://{tmp_path}").collect()}
+    assert set(got) == {1, 3, 4, 5} and got[1].text.replace(".", " ").split() == ["before", "after"] and got[1].n_chars == len(got[1].text)
+    assert got[3].text == "clean words" and got[3].n_chars == 7 and got[4].text is None
+    safe = {r.doc_id: r for r in P.secrets(spark, docs, f"file://{tmp_path}").collect()}
+    assert "hunter2" not in safe[5].text and "[secret]" in safe[5].text and safe[5].n_chars == len(safe[5].text)
+    assert safe[3].text == "clean words" and safe[4].text is None and len(safe) == 5

@@ -135,11 +135,12 @@ def train(labelled: DataFrame, sample_texts: int = 4000, sample_windows: int = 3
             for text, lang, own in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 x = windows_of(encode(text.as_py()))
                 rng = np.random.default_rng(own.as_py() & 0xFFFFFFFF)
-                out += [(w.tobytes(), lang.as_py()) for w in x[rng.permutation(len(x))[:sample_windows]]]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.binary()), pa.array([s for _, s in out], pa.string())], ["window", "lang"])
+                out += [(own.as_py(), w.tobytes(), lang.as_py()) for w in x[rng.permutation(len(x))[:sample_windows]]]
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.string())], ["seed", "window", "lang"])
 
     # equal seeds (repeated ids) could exceed the sample, so the bound is set again
-    chosen = rows.where(F.col("seed") <= last).mapInArrow(pick, "window binary, lang string").limit(sample_texts * sample_windows).toPandas()
+    chosen = rows.where(F.col("seed") <= last).mapInArrow(pick, "seed long, window binary, lang string").orderBy("seed", "lang", "window").limit(sample_texts * sample_windows).toPandas()
     if not len(chosen):
         return None
     chosen = chosen.sort_values(["lang", "window"])

@@ -388,10 +388,20 @@ def components(documents: DataFrame, width: int = 5, percent: int = 80, path: st
 
 
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """documents without all but the smallest doc_id of each group; repeated rows of one doc_id count once."""
+    """documents without all but the smallest doc_id of each group, and one row of each doc_id.
+
+    Of rows that repeat a doc_id the one of the least text stays; rows without a doc_id all stay.
+    """
     found = components(documents, width, percent)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    out = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    twice = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return out
+    # only rows of repeated ids are shuffled once more
+    whole = F.struct(*documents.columns)
+    again = out.join(twice, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(whole, F.struct(F.col("text"), F.xxhash64(whole))).alias("__row"))
+    return out.join(twice, "doc_id", "left_anti").select(*documents.columns).unionByName(again.select("__row.*"))
 
 
 def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

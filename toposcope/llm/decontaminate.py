@@ -3,8 +3,10 @@
 The windows of all benchmark items (ten consecutive words; a shorter item is one window)
 are hashed.  Tasks roll the same hashes over every document, look them up in the set,
 verify each hit on the words themselves, and return the words and characters that hits
-cover.  The set is broadcast only in parts of at most `max_windows` windows: a larger
-benchmark takes more passes, whose hits are merged per document.
+cover.  A window takes 16 bytes of the set and its place in its item's word list, so a
+part of `max_windows` windows takes about 100 MB in a task; the set is broadcast only in
+parts of at most that: a larger benchmark takes more passes, whose hits are merged per
+document.  The windows of one item stay in one part.
 
 Defined results: null and empty texts have no words and no hits; repeated rows are
 treated alike; items of the same id count once; an item whose id is null marks words but
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toposcope.llm._shared import WordHashes, encode, mix, small_batches, table
+from toposcope.llm._shared import WordHashes, encode, mix, scratch, small_batches, stash, table
 
 #: words in a text whose letters A to Z are still in either case
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -48,27 +50,53 @@ def _rolled(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class WindowSet:
-    """Sorted hashes of windows for each width, with the words and items behind them."""
+    """Sorted hashes of windows for each width, with the place of each in its item's words."""
 
     def __init__(self, items: list[tuple[str | None, str]], width: int):
-        hashes, windows = WordHashes(), {}
+        hashes, found, known = WordHashes(), {}, {}
+        self.items, self.words, self.seen = [], [], {}
         for item, text in items:
             words = words_of(text)
             size = min(width, len(words))
             if not size:
                 continue
-            rolled = _rolled(hashes.of(words), size)
-            for at, key in enumerate(rolled.tolist()):
-                got = windows.setdefault(size, {}).setdefault(key, {})
-                got.setdefault(tuple(words[at : at + size]), set()).add(item)
-        self.windows = windows
-        self.keys = {size: np.sort(np.fromiter(x, dtype=np.uint64, count=len(x))) for size, x in windows.items()}
-        self.maybe = {}
-        for size, keys in self.keys.items():
+            words = [known.setdefault(w, w) for w in words]
+            keys, at = np.unique(_rolled(hashes.of(words), size), return_inverse=True)
+            first = np.full(len(keys), -1)
+            places = []
+            for i, k in enumerate(at.tolist()):  # each window of the item once, those of equal hash and other words too
+                if first[k] < 0:
+                    first[k] = i
+                    places.append(i)
+                elif words[first[k] : first[k] + size] != words[i : i + size]:
+                    places.append(i)
+            got = found.setdefault(size, ([], [], []))
+            got[0].append(keys[at[places]])
+            got[1].append(np.full(len(places), len(self.items), dtype=np.int32))
+            got[2].append(np.array(places, dtype=np.int32))
+            self.items.append(item)
+            self.words.append(words)
+        self.keys, self.of, self.place, self.maybe = {}, {}, {}, {}
+        for size, (keys, of, place) in found.items():
+            keys, of, place = np.concatenate(keys), np.concatenate(of), np.concatenate(place)
+            order = np.argsort(keys, kind="stable")
+            self.keys[size], self.of[size], self.place[size] = keys[order], of[order], place[order]
             bits = np.zeros(1 << 20, dtype=bool)
             bits[keys >> np.uint64(44)] = True
             self.maybe[size] = bits
 
+    def _group(self, size: int, at: int) -> list[tuple[list[bytes], set]]:
+        """Windows that share the hash at a place of the keys: their words, with their items."""
+        got = self.seen.get((size, at))
+        if got is None:
+            end = int(np.searchsorted(self.keys[size], self.keys[size][at], side="right"))
+            by_words: dict[tuple, set] = {}
+            for i in range(at, end):
+                of, place = int(self.of[size][i]), int(self.place[size][i])
+                by_words.setdefault(tuple(self.words[of][place : place + size]), set()).add(self.items[of])
+            got = self.seen[size, at] = [(list(w), x) for w, x in by_words.items()]
+        return got
+
     def hits(self, words: list[bytes], h: np.ndarray) -> tuple[np.ndarray, set]:
         """Which words lie in an occurrence of a window, and the items of those windows."""
         edge, items = np.zeros(len(words) + 1, dtype=np.int64), set()
@@ -78,12 +106,13 @@ class WindowSet:
             if not len(at):
                 continue
             where = np.minimum(np.searchsorted(keys, rolled[at]), len(keys) - 1)
-            for i in at[keys[where] == rolled[at]].tolist():
-                got = self.windows[size][int(rolled[i])].get(tuple(words[i : i + size]))
-                if got:
-                    edge[i] += 1
-                    edge[i + size] -= 1
-                    items |= got
+            same = keys[where] == rolled[at]
+            for i, g in zip(at[same].tolist(), where[same].tolist(), strict=True):
+                for own, got in self._group(size, g):
+                    if own == words[i : i + size]:
+                        edge[i] += 1
+                        edge[i + size] -= 1
+                        items |= got
         return np.cumsum(edge[:-1]) > 0, items
 
 
@@ -165,7 +194,8 @@ def scan(documents: DataFrame, benchmark: DataFrame, width: int = 10, max_window
 
     if parts == 1:
         return one(0, docs, keep, schema)
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    # the numbers of the rows are fixed once they are written
+    rows = stash(docs.withColumn("__row", F.monotonically_increasing_id()), f"{scratch(spark)}/rows")
     slim = rows.select("__row", "text")
     kind = T.StructType([slim.schema["__row"], *T.StructType.fromDDL(RESULT).fields])
     passes = [one(p, slim, [0], kind) for p in range(parts)]
