@@ -97,3 +97,40 @@ def test_dense_ids_equal_row_numbers(spark):
     rows = build.dense_ids(df, [F.col("k")], "id").collect()
     assert [r.k for r in sorted(rows, key=lambda r: r.id)] == sorted(r.k for r in rows) and {r.id for r in rows} == set(range(1, 1001))
     assert Source(**source("s")).tabular
+
+
+def test_spatial_joins_in_blocks(spark):
+    """Places with the names of the areas that hold them, and of what an area's key leads to."""
+    geo.register(spark)
+    square = "POLYGON(({0} 0, {1} 0, {1} 10, {0} 10, {0} 0))"
+    spark.sql("SELECT * FROM VALUES ('p1', 'Here', 'POINT(5 5)'), ('p2', 'There', 'LINESTRING(12 1, 18 9)'), ('p3', 'Nowhere', 'POINT(50 50)'), ('p4', 'Border', 'POINT(10 5)') AS t(UUID, NAME, w)").selectExpr("UUID", "NAME", "ST_GeomFromText(w) AS geometry").createOrReplaceTempView("sites_raw")
+    spark.sql(f"SELECT * FROM VALUES ('West', 1, '{square.format(0, 10)}'), ('East', 2, '{square.format(10, 20)}') AS t(NAME, CANTON, w)").selectExpr("NAME", "CANTON", "ST_GeomFromText(w) AS geometry").createOrReplaceTempView("areas_raw")
+    cantons = spark.createDataFrame([(1, "One"), (2, "Two")], "CANTON int, NAME string")
+    joins = ["LEFT JOIN areas g ON ST_Within(ST_Centroid(geometry), g.geometry)", "LEFT JOIN cantons k ON g.CANTON = k.CANTON"]
+    spatial = {"delimiter": None, "attributes": [*ATTR, {"name": "geometry", "type": "geometry"}]}
+    sources = [{**source("sites"), **spatial}, {**source("areas"), **spatial}, source("cantons")]
+    block = {"source": "sites", "identifier": "UUID", "geometry": "geometry", "names": ["NAME"], "data": ["NAME", "g.NAME AS area", "k.NAME AS canton"], "joins": joins}
+    tables = build.build(spark, Config("swiss", sources, [block]), {"sites": spark.table("sites_raw"), "areas": spark.table("areas_raw"), "cantons": cantons})
+    got = {r.identifier: r.data for r in tables["feature"].collect()}
+    assert got["p1"] == '{"NAME":"Here","area":"West","canton":"One"}' and got["p2"] == '{"NAME":"There","area":"East","canton":"Two"}'
+    assert got["p3"] == '{"NAME":"Nowhere","area":null,"canton":null}' and got["p4"] == '{"NAME":"Border","area":null,"canton":null}'
+    assert tables["name"].count() == 4
+    # the other way round, and a condition besides
+    block["joins"] = ["JOIN areas AS g ON ST_Contains(g.geometry, src.geometry) AND g.CANTON > 1"]
+    block["data"] = ["g.NAME AS area"]
+    plan = blocks.BlockPlan(spark, Block(**block))
+    assert [(r.identifier, r.data) for r in plan.features().collect()] == [("p2", '{"area":"East"}')]
+    assert "CartesianProduct" not in plan.features()._jdf.queryExecution().toString() and "NestedLoop" not in plan.features()._jdf.queryExecution().toString()
+    with pytest.raises(ConfigError):
+        blocks.BlockPlan(spark, Block(**{**block, "joins": ["JOIN areas g ON ST_Within(geometry, src.geometry)"]})).features()
+
+
+def test_unknown_columns_are_told_with_hints(spark, peaks):
+    peaks.createOrReplaceTempView("peaks")
+    spark.createDataFrame([("p1", "x")], "pid string, other string").createOrReplaceTempView("more")
+    with pytest.raises(ConfigError, match="unknown column hieght; did you mean height"):
+        blocks.BlockPlan(spark, Block("peaks", "pid", ["name"], ["hieght AS h"])).features()
+    # a bare name that only a joined table has is not the source's own
+    with pytest.raises(ConfigError, match="identifier reads the unknown column other"):
+        blocks.BlockPlan(spark, Block("peaks", "other", ["name"], joins=["JOIN more m ON pid = m.pid"]))
+    assert blocks.BlockPlan(spark, Block("peaks", "pid", ["other"], joins=["JOIN more m ON pid = m.pid"])).names().count() == 1

@@ -38,3 +38,38 @@ def test_spark_functions(spark):
     assert {r.id: r.name for r in geo.spatial_join(points, shapes, 1.5, "left").collect()} == {1: "sq", 2: None, 3: None}
     c = shapes.select(geo.st_centroid("geometry").alias("c"), geo.geojson_geometry("geometry").alias("j")).first()
     assert (c.c.x, c.c.y) == (2.0, 2.0) and c.j.startswith('{"type": "Polygon"')
+
+
+def shape(kind, c):
+    return geo.write_wkb(kind, c)
+
+
+def test_relations():
+    square, holed, line = (geo.POLYGON, [RING]), (geo.POLYGON, [RING, HOLE]), (geo.LINE, [(1.0, 1.5), (3.0, 1.5)])
+    small = (geo.POLYGON, [[(2.5, 2.5), (3.5, 2.5), (3.5, 3.5), (2.5, 3.5), (2.5, 2.5)]])
+    around = (geo.POLYGON, [[(0.5, 0.5), (3.0, 0.5), (3.0, 3.0), (0.5, 3.0), (0.5, 0.5)]])
+    far = (geo.POLYGON, [[(9.0, 9.0), (10.0, 9.0), (10.0, 10.0), (9.0, 9.0)]])
+    assert geo.within((geo.POINT, (3.0, 3.0)), square) and not geo.within((geo.POINT, (0.0, 2.0)), square) and not geo.within((geo.POINT, (1.5, 1.5)), holed)
+    assert geo.within(line, square) and not geo.within(line, holed) and geo.within(small, holed) and geo.within(square, square)
+    assert geo.within(around, square) and not geo.within(around, holed) and not geo.within(square, around)
+    assert geo.intersects(line, holed) and geo.intersects((geo.POINT, (0.0, 2.0)), square) and not geo.intersects(far, square)
+    assert geo.intersects((geo.LINE, [(-1.0, 2.0), (5.0, 2.0)]), square) and geo.intersects(around, small)
+    for text, want in (("POINT (1 2)", (geo.POINT, (1.0, 2.0))), ("POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))", square), ("MULTIPOINT(1 2, 3 4)", (geo.MULTIPOINT, [(1.0, 2.0), (3.0, 4.0)])), ("LINESTRING Z (0 0 5, 1 1 5)", (geo.LINE, [(0.0, 0.0), (1.0, 1.0)]))):
+        assert geo.parse_wkb(geo.from_text(text)) == want
+
+
+def test_geometry_join_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+
+    def box(x, y, w, h):
+        return (geo.POLYGON, [[(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]])
+
+    areas = [box(rng.randrange(0, 40), rng.randrange(0, 40), rng.randrange(1, 12), rng.randrange(1, 12)) for _ in range(40)]
+    shapes = [(geo.POINT, (float(rng.randrange(0, 50)), float(rng.randrange(0, 50)))) for _ in range(60)] + [box(rng.randrange(0, 45), rng.randrange(0, 45), 2, 3) for _ in range(30)]
+    a = spark.createDataFrame([(i, shape(*s)) for i, s in enumerate(shapes)] + [(-1, None)], "id int, shape binary")
+    b = spark.createDataFrame([(i, shape(*s)) for i, s in enumerate(areas)] + [(-1, None)], "key int, other binary")
+    for name, test in geo.PREDICATES.items():
+        got = sorted((r.id, r.key) for r in geo.geometry_join(a, b, name).collect())
+        assert got == sorted((i, k) for i, s in enumerate(shapes) for k, t in enumerate(areas) if test(s, t)), name

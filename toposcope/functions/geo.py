@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import struct
 
 import numpy as np
@@ -121,6 +122,141 @@ def inside(x: float, y: float, kind: int, coordinates) -> bool:
     return False
 
 
+def _segments(kind: int, coordinates) -> list:
+    """Line pieces of lines and of the rings of polygons."""
+    if kind == COLLECTION:
+        return [x for k, c in coordinates for x in _segments(k, c)]
+    lines = [coordinates] if kind == LINE else coordinates if kind in (MULTILINE, POLYGON) else [r for p in coordinates for r in p] if kind == MULTIPOLYGON else []
+    return [(tuple(a), tuple(b)) for line in lines for a, b in zip(line, line[1:], strict=False)]
+
+
+def _on(p: tuple, a: tuple, b: tuple) -> bool:
+    cross = (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    return cross == 0 and min(a[0], b[0]) <= p[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= p[1] <= max(a[1], b[1])
+
+
+def locate(p: tuple, kind: int, coordinates) -> int:
+    """1 in the interior, 0 on the border of an area, -1 outside; lines and points are all interior."""
+    areas = _polygons(kind, coordinates)
+    best = -1
+    for polygon in areas:
+        if any(_on(p, a, b) for a, b in _segments(POLYGON, polygon)):
+            best = max(best, 0)
+        elif inside(*p, POLYGON, polygon):
+            return 1
+    if kind == COLLECTION:
+        return max([best, *(locate(p, k, c) for k, c in coordinates if k not in (POLYGON, MULTIPOLYGON))])
+    if areas:
+        return best
+    if kind in (POINT, MULTIPOINT):
+        return 1 if any(tuple(c) == tuple(p) for c in _points(kind, coordinates)) else -1
+    return 1 if any(_on(p, a, b) for a, b in _segments(kind, coordinates)) else -1
+
+
+def _cuts(a: tuple, b: tuple, others: list) -> list[float]:
+    """Where other pieces meet the piece from a to b, as shares of its length."""
+    out = []
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    for c, d in others:
+        ex, ey = d[0] - c[0], d[1] - c[1]
+        det = dx * ey - dy * ex
+        if det:
+            t = ((c[0] - a[0]) * ey - (c[1] - a[1]) * ex) / det
+            u = ((c[0] - a[0]) * dy - (c[1] - a[1]) * dx) / det
+            if 0 <= t <= 1 and 0 <= u <= 1:
+                out.append(t)
+        else:
+            out += [((q[0] - a[0]) * dx + (q[1] - a[1]) * dy) / (dx * dx + dy * dy) for q in (c, d) if (dx or dy) and _on(q, a, b)]
+    return out
+
+
+def within(a: tuple, b: tuple) -> bool:
+    """Is all of a in b, and some of it in b's interior?  Both are (kind, coordinates)."""
+    spots = [tuple(p) for p in _points(*a)]
+    borders = _segments(*b)
+    for c, d in _segments(*a):
+        cuts = sorted({0.0, 1.0, *_cuts(c, d, borders)})
+        spots += [(c[0] + t * (d[0] - c[0]), c[1] + t * (d[1] - c[1])) for t in ((x + y) / 2 for x, y in zip(cuts, cuts[1:], strict=False))]
+    at = [locate(p, *b) for p in spots]
+    if not at or min(at) < 0:
+        return False
+    areas = _polygons(*a)
+    # a corner of b inside an area of a has points outside b beside it
+    if areas and (not _polygons(*b) or any(locate(tuple(p), *a) > 0 for p in _points(*b))):
+        return False
+    return max(at) > 0 or bool(areas)
+
+
+def intersects(a: tuple, b: tuple) -> bool:
+    if any(locate(tuple(p), *b) >= 0 for p in _points(*a)) or any(locate(tuple(p), *a) >= 0 for p in _points(*b)):
+        return True
+    others = _segments(*b)
+    return any(_cuts(c, d, others) for c, d in _segments(*a))
+
+
+PREDICATES = {"within": within, "contains": lambda a, b: within(b, a), "intersects": intersects}
+
+
+def relates(predicate: str):
+    """A column function of two WKB columns; null where either is null."""
+    test = PREDICATES[predicate]
+
+    @F.pandas_udf(T.BooleanType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        seen: dict = {}
+
+        def parsed(raw: bytes) -> tuple:
+            if raw not in seen:
+                if len(seen) > 256:
+                    seen.clear()
+                seen[raw] = parse_wkb(raw)
+            return seen[raw]
+
+        return pd.Series([None if x is None or y is None else test(parsed(x), parsed(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return run
+
+
+_WKT = re.compile(r"\s*(?:SRID=\d+;)?\s*(POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON)\s*(?:Z|M|ZM)?\s*(\(.*\))\s*$", re.I | re.S)
+
+
+def from_text(text: str) -> bytes:
+    """WKB of well-known text without collections and empty geometries."""
+    m = _WKT.match(text)
+    if m is None:
+        raise ValueError(f"not a geometry: {text[:40]!r}")
+    kind = ["", "POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON"].index(m[1].upper())
+    pair = lambda x: re.sub(r"\s*([-+.\deE]+)\s+([-+.\deE]+)(?:\s+[-+.\deE]+)*\s*", r"[\1,\2]", x)
+    body = json.loads(pair(m[2].replace("(", "[").replace(")", "]")))
+    if kind == POINT:
+        return write_wkb(kind, tuple(map(float, body[0])))
+    if kind == MULTIPOINT:
+        body = [c[0] if isinstance(c[0], list) else c for c in body]
+    return write_wkb(kind, body)
+
+
+def register(spark) -> None:
+    """SQL names: ST_Point, ST_GeomFromText, ST_Centroid, ST_X, ST_Y, ST_AsGeoJSON, ST_Within, ST_Contains, ST_Intersects."""
+
+    @F.pandas_udf(T.BinaryType())
+    def geometry_of(text: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else from_text(t) for t in text], dtype=object)
+
+    @F.pandas_udf(T.BinaryType())
+    def middle(geometry: pd.Series) -> pd.Series:
+        return pd.Series([None if g is None else write_wkb(POINT, centroid_of(*parse_wkb(g))) for g in geometry], dtype=object)
+
+    def axis(i: int):
+        @F.pandas_udf(T.DoubleType())
+        def value(geometry: pd.Series) -> pd.Series:
+            return pd.Series([None if g is None else float(parse_wkb(g)[1][i]) if parse_wkb(g)[0] == POINT else None for g in geometry], dtype=float)
+
+        return value
+
+    for name, function in {"ST_Point": st_point, "ST_GeomFromText": geometry_of, "ST_Centroid": middle, "ST_X": axis(0), "ST_Y": axis(1), "ST_AsGeoJSON": geojson_geometry, **{f"ST_{k.capitalize()}": relates(k) for k in PREDICATES}}.items():
+        spark.udf.register(name, function)
+
+
 def centroid_of(kind: int, coordinates) -> tuple[float, float]:
     """By area for polygons, by length for lines, else the mean of the points."""
     sx = sy = total = 0.0
@@ -249,3 +385,27 @@ def spatial_join(points: DataFrame, polygons: DataFrame, cell: float, how: str =
         return found
     extra = [c for c in polygons.columns if c not in points.columns]
     return p.join(found.select("__row", *extra), "__row", "left").drop("__row")
+
+
+def geometry_join(left: DataFrame, right: DataFrame, predicate: str, cell: float | None = None) -> DataFrame:
+    """Rows of left (shape) and right (other) whose geometries relate, as an equi-join on grid cells.
+
+    A pair meets in every cell that both boxes touch, and is taken in the one that holds
+    the lower left corner of what the boxes share.  Without a given size a cell is as large
+    as half of the boxes, or as a 64th of the largest.
+    """
+    a = left.withColumn("__a", st_box("shape")).where("__a.x0 is not null")
+    b = right.withColumn("__b", st_box("other")).where("__b.x0 is not null")
+    if cell is None:
+        extent = F.greatest(F.col("__b.x1") - F.col("__b.x0"), F.col("__b.y1") - F.col("__b.y0"))
+        sizes = b.agg(F.percentile_approx(extent, 0.5).alias("mid"), F.max(extent).alias("most")).first()
+        cell = max(sizes["mid"] or 0.0, (sizes["most"] or 0.0) / 64) or 1.0
+
+    def in_cells(df: DataFrame, box: str) -> DataFrame:
+        span = lambda v: F.sequence(F.floor(F.col(f"{box}.{v}0") / cell), F.floor(F.col(f"{box}.{v}1") / cell))
+        return df.withColumn("__cx", F.explode(span("x"))).withColumn("__cy", F.explode(span("y")))
+
+    near = in_cells(a, "__a").join(in_cells(b, "__b"), ["__cx", "__cy"])
+    low, high = (lambda v: F.greatest(f"__a.{v}0", f"__b.{v}0")), (lambda v: F.least(f"__a.{v}1", f"__b.{v}1"))
+    once = near.where((low("x") <= high("x")) & (low("y") <= high("y")) & (F.floor(low("x") / cell) == F.col("__cx")) & (F.floor(low("y") / cell) == F.col("__cy")))
+    return once.where(relates(predicate)("shape", "other")).drop("__cx", "__cy", "__a", "__b")
