@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from toposcope.functions import geo
 from toposcope.operators import build, store
-from toposcope.operators.search import Search, search_one
+from toposcope.operators.search import Search, occurrences, search_one
 from toposcope.plans import blocks
 from toposcope.plans.config import Block, Config, ConfigError, Source, split_alias
 
@@ -82,6 +82,14 @@ def test_build_publish_and_search(spark, tmp_path):
     assert ids("Barlin", "fuzzy") == ["2"] and ids("  ", "partial") == []
     with pytest.raises(ValueError):
         ids("x", "other")
+    # a reader goes on while a new version is published, and a failed one changes nothing
+    more = {"feature": tables["feature"], "name": tables["name"].where("text <> 'Lutetia'")}
+    store.write(spark, root, "places", more)
+    assert g.names_of(1).count() == 2 and store.Gazetteer(spark, path).names_of(1).count() == 1
+    with pytest.raises(store.StoreError):
+        store.write(spark, root, "places", {"feature": tables["feature"].limit(0), "name": tables["name"]})
+    assert len(store.versions(spark, path)) == 2 and len(store.Gazetteer(spark, path)) == 3
+    assert [r.v for r in g.find(1).select(g.data_value("name").alias("v")).collect()] == ["Paris,Lutetia"]
     assert store.uninstall(spark, root, "places") and store.installed(spark, root) == []
 
 
@@ -134,3 +142,27 @@ def test_unknown_columns_are_told_with_hints(spark, peaks):
     with pytest.raises(ConfigError, match="identifier reads the unknown column other"):
         blocks.BlockPlan(spark, Block("peaks", "other", ["name"], joins=["JOIN more m ON pid = m.pid"]))
     assert blocks.BlockPlan(spark, Block("peaks", "pid", ["other"], joins=["JOIN more m ON pid = m.pid"])).names().count() == 1
+
+
+def test_phrases_with_common_tokens(spark):
+    """A token that every name has is never looked up in a phrase that has a rarer one."""
+    rows = [(i, i, f"saint place {i} saint place {i % 7}") for i in range(1, 200)]
+    name = spark.createDataFrame(rows, "id long, feature_id long, text string")
+    index = Search(name, build.postings(name), build.soundex_codes(name))
+    q = spark.createDataFrame([(1, "saint place 3"), (2, "place 5 saint"), (3, "saint unknown"), (4, "place 4 saint place 4")], "query_id int, text string")
+
+    def brute(words):
+        hits = {}
+        for i, _, text in rows:
+            t = text.split()
+            f = sum(t[k : k + len(words)] == words for k in range(len(t)))
+            if f:
+                hits[i] = f
+        return hits
+
+    got = {}
+    for r in occurrences(q.select("query_id", F.lit(0).alias("phrase"), F.split("text", " ").alias("tokens")), index.posting, name, index.vocabulary).collect():
+        got.setdefault(r.query_id, {})[r.name_id] = r.f
+    assert got == {i: brute(t.split()) for i, t in ((1, "saint place 3"), (2, "place 5 saint"), (4, "place 4 saint place 4"))}
+    whole = spark.createDataFrame([(1, "Saint place 9 saint place 2"), (2, "saint place 9")], "query_id int, text string")
+    assert [(r.query_id, r.feature_id) for r in index.exact(whole).collect()] == [(1, 9)]

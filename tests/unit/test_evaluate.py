@@ -36,6 +36,19 @@ def test_bootstrap(spark):
     assert draws.count() == 100 and low < f1 < high and high - low < 0.05
     assert draws.collect() == evaluate.bootstrap(counts, 100, seed=2).collect()
     assert evaluate.bootstrap(counts, 10, stratum="s").count() == 10
+    # a draw has as many documents as there are, in each stratum
+    assert {r.tp for r in draws.collect()} == {600}
+    lone = spark.createDataFrame([(f"d{i}", 1, 0, i % 2, i % 2) for i in range(50)], "document_id string, tp long, fp long, fn long, s int")
+    assert {r.fn for r in evaluate.bootstrap(lone, 20, stratum="s").collect()} == {25} and len({r.fn for r in evaluate.bootstrap(lone, 20).collect()}) > 3
+    # moments of resampling with replacement
+    fn = [r.fn for r in evaluate.bootstrap(lone, 600, seed=5).collect()]
+    assert abs(sum(fn) / 600 - 25) < 0.6 and abs(sum((x - 25) ** 2 for x in fn) / 600 - 12.5) < 2.5
+    both = counts.withColumn("p", F.lit("a")).unionByName(counts.withColumn("tp", F.col("tp") + 1).withColumn("p", F.lit("b")))
+    paired = evaluate.bootstrap(both, 50, pipeline="p")
+    assert paired.count() == 100 and evaluate.paired_difference(paired).where("difference < 0").count() == 50
+    assert paired.groupBy("draw").agg(F.max("fp") - F.min("fp")).where("`(max(fp) - min(fp))` <> 0").count() == 0
+    with pytest.raises(ValueError, match="share"):
+        evaluate.bootstrap(both.where("p = 'a' or document_id <> 'd1'"), 5, pipeline="p")
     both = draws.withColumn("pipeline", F.lit("a")).union(evaluate.bootstrap(counts.withColumn("tp", F.col("tp") + 1), 100, seed=2).withColumn("pipeline", F.lit("b")))
     assert evaluate.paired_difference(both).where("difference < 0").count() == 100
 
@@ -65,3 +78,16 @@ def test_annotator(spark):
     sessions = spark.createDataFrame([("s", "g")], "id string, gazetteer string")
     own = spark.createDataFrame([("s", "a", 0, "f.txt", "P")], "session_id string, id string, doc_index int, filename string, text string")
     assert '"loc_id":"x"' in annotate.export_session(sessions, own, t).first().json
+
+
+def test_languages(spark):
+    rows = [("en", "d1", 0, 1), ("en", "d1", 2, 3), ("de", "d2", 0, 1)]
+    gold = spark.createDataFrame(rows, "language string, document_id string, start int, end int")
+    counts, missing = evaluate.score_languages(gold, gold.limit(0).unionByName(gold.where("start = 0")), ["de", "en", "fr", "fr", "it"])
+    assert {r.language: (r.tp, r.fn) for r in counts.collect()} == {"en": (1, 1), "de": (1, 0)} and missing == ["fr", "it"]
+
+
+def test_regression_gate_is_a_median_of_medians(spark):
+    base = spark.createDataFrame([("q", r, s) for r, s in ((1, 1.0), (1, 1.0), (1, 9.0), (2, 2.0), (3, 3.0))], "benchmark string, run int, seconds double")
+    got = evaluate.regressions(base, base.withColumn("seconds", F.col("seconds") * 1.3)).first()
+    assert got.base == 2.0 and got.failed

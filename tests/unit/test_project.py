@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from toposcope.operators import build, project, recognize, resolve
+from toposcope.operators import build, facade, project, recognize, resolve
+from toposcope.operators.scratch import replace as project_replace
 from toposcope.operators.search import Search
+from toposcope.sources import sinks
 from toposcope.streaming.incremental import recognize_stream
 
 SPANS = "array<struct<start:int,end:int>>"
@@ -47,10 +49,62 @@ def test_recognize_resolve_and_views(spark, tmp_path, places):
     assert [r.id for r in project.in_order(p.documents(), ["c", "a"]).collect()] == ["c", "a"]
     with pytest.raises(KeyError):
         project.in_order(p.documents(), ["zz"])
+    p.update_documents(spark.createDataFrame([("a", "new text"), ("zz", "unknown")], "id string, text string"))
+    assert {(r.id, r.text) for r in p.documents().collect()} == {("a", "new text"), ("b", "nothing here"), ("c", "unavailable")}
+    assert p.table("reference").where("document_id = 'a'").count() == 0 and p.table("reference").where("document_id = 'b'").count() == 2
+    p.delete_documents(spark.createDataFrame([("c",)], "id string"))
+    assert {r.id for r in p.documents().collect()} == {"a", "b"}
+    other = project.Project(spark, f"file://{tmp_path}/p", "other")
+    other.create_documents(spark.createDataFrame([("x", "kept")], "id string, text string"))
     p.delete()
+    assert [r.id for r in other.documents().collect()] == ["x"]
     assert p.documents().count() == 0 and p.table("reference").count() == 0
 
 
+def test_a_repeated_service_call_adds_nothing_twice(spark, tmp_path):
+    p = project.Project(spark, f"file://{tmp_path}/p", "demo")
+    p.create_documents(spark.createDataFrame([("a", "Paris")], "id string, text string"))
+    find = lambda docs: docs.select("id", F.array(F.struct(F.lit(0).alias("start"), F.lit(5).alias("end"))).alias("spans"))
+    p.recognize("m", find)
+    project_replace(p.table("recognition").limit(0), f"file://{tmp_path}/p/recognition")  # the run ended before its markers
+    p.recognize("m", find)
+    assert p.table("reference").count() == 1 and p.table("recognition").count() == 1
+
+
+def test_parse_in_one_call(spark, places):
+    features, index = places
+    known = recognize.dictionary(spark.createDataFrame([("Paris",), ("berlin",)], "word string"))
+    links = lambda refs: refs.where("text = 'Berlin'").select("id", F.lit("ber").alias("identifier"))
+    got = {r.id: r for r in facade.parse(spark, ["Paris,\r\nBerlin", "none", ""], known, links, features, ("population",)).collect()}
+    assert [(t.start, t.text, t.identifier, t.population) for t in got["0"].toponyms] == [(0, "Paris", None, None), (7, "Berlin", "ber", "3500000")]
+    assert got["0"].text == "Paris,\nBerlin" and got["1"].toponyms == [] and got["2"].toponyms == []
+    absent = facade.parse(spark, "x", lambda docs: docs.select("id", F.lit(None).cast(SPANS).alias("spans")), links, features).first()
+    assert absent.toponyms is None
+    with pytest.raises(TypeError):
+        facade.parse(spark, [1], known, links, features)
+
+
+def test_fit_goes_to_modules_that_can_be_trained():
+    class Trained:
+        def fit(self, rows, epochs=1):
+            return rows, epochs
+
+    assert facade.fit(Trained(), "rows", epochs=3) == ("rows", 3)
+    with pytest.raises(TypeError, match="cannot be trained"):
+        facade.fit(object())
+
+
+def test_run_checkpoints(spark, tmp_path):
+    path = f"file://{tmp_path}/run"
+    assert sinks.resume(spark, path).count() == 0
+    docs = spark.createDataFrame([("a",), ("b",)], "id string")
+    sinks.checkpoint(docs.where("id = 'a'"), path, "recognize", {"model": 1})
+    done = sinks.resume(spark, path, {"model": 1})
+    assert [r.id for r in sinks.remaining(docs, done, "recognize").collect()] == ["b"] and sinks.remaining(docs, done, "resolve").count() == 2
+    with pytest.raises(ValueError, match="model"):
+        sinks.resume(spark, path, {"model": 2})
+
+
 def test_prior_threshold_fallback_and_rerank(spark, tmp_path, places):
     features, index = places
     one = spark.createDataFrame([(1, "Paris", "Paris"), (2, "Berlins", "Berlin"), (3, "Nowhere", "x")], "id int, name string, context string")

@@ -6,6 +6,10 @@ where known.  Spans count once however often they occur.
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,36 +124,71 @@ def broken_counts(counts: DataFrame) -> DataFrame:
     return counts.where(~ok)
 
 
-def bootstrap(counts: DataFrame, draws: int = 1000, seed: int = 0, stratum: str | None = None) -> DataFrame:
+def bootstrap(counts: DataFrame, draws: int = 1000, seed: int = 0, stratum: str | None = None, pipeline: str | None = None) -> DataFrame:
     """f1 of pooled tp, fp, fn over documents drawn with replacement: a row per draw.
 
-    Each document's weight in a draw is a Poisson(1) number from a hash of (seed, draw,
-    document), so draws need neither collected documents nor a random state, and pipelines
-    that share documents and seed are paired draw by draw.  Strata are pooled after
-    scaling each to its own size.
+    A draw takes as many documents as there are, in each stratum on its own.  Documents of
+    equal counts are drawn together, as one multinomial number, so the work grows with the
+    distinct counts of a stratum and not with its documents, and no document is collected.
+    The random state is a function of seed, stratum and draw.  With `pipeline`, counts have
+    a row per document and pipeline; a draw takes the same documents for all pipelines,
+    which must have the same documents.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", "document_id"), F.lit(1 << 30)) / float(1 << 30)
-    edges, total, term = [], 0.0, 0.36787944117144233
-    for k in range(1, 12):
-        total += term
-        edges.append(total)
-        term /= k
-    weight = sum((F.when(u >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    keys = ["draw", *([stratum] if stratum else [])]
-    drawn = counts.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight)
-    sums = drawn.groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("tp", "fp", "fn")], (F.count("*") / F.greatest(F.sum("w"), F.lit(1))).alias("scale"))
-    pooled = sums.groupBy("draw").agg(*[F.sum(F.col(c) * F.col("scale")).alias(c) for c in ("tp", "fp", "fn")])
-    return with_prf(pooled)
+    rows = counts.select(
+        F.col(stratum).cast("string").alias("stratum") if stratum else F.lit("").alias("stratum"),
+        F.col(pipeline).cast("string").alias("pipeline") if pipeline else F.lit("").alias("pipeline"),
+        "document_id", *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")],
+    )
+    if pipeline:
+        sizes = rows.groupBy("stratum", "document_id").agg(F.count_distinct("pipeline").alias("p"), F.count("*").alias("c")).agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.max("c").alias("c")).first()
+        if sizes["lo"] != sizes["hi"] or sizes["c"] != sizes["hi"]:
+            raise ValueError("pipelines do not share their documents and strata")
+    own = rows.groupBy("stratum", "document_id").agg(F.array_sort(F.collect_list(F.struct("pipeline", "tp", "fp", "fn"))).alias("all"))
+    groups = own.groupBy("stratum", "all").agg(F.count("*").alias("n"))
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        kinds = [[(r["pipeline"], r["tp"], r["fp"], r["fn"]) for r in a] for a in pdf["all"]]
+        order = sorted(range(len(kinds)), key=lambda i: kinds[i])
+        n = pdf["n"].to_numpy()[order]
+        names = sorted({r[0] for k in kinds for r in k})
+        # sums of each kind by pipeline
+        table = np.zeros((len(order), len(names), 3))
+        for i, k in enumerate(order):
+            for name, *values in kinds[k]:
+                table[i, names.index(name)] += values
+        out = []
+        of_stratum = zlib.crc32((key[0] or "").encode())
+        for d in range(draws):
+            times = np.random.default_rng([seed, of_stratum, d]).multinomial(n.sum(), n / n.sum())
+            for name, sums in zip(names, np.tensordot(times, table, axes=1), strict=True):
+                out.append((d, name, *map(int, sums)))
+        return pd.DataFrame(out, columns=["draw", "pipeline", "tp", "fp", "fn"])
+
+    drawn = groups.groupBy("stratum").applyInPandas(draw, "draw int, pipeline string, tp long, fp long, fn long")
+    pooled = with_prf(drawn.groupBy("draw", "pipeline").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
+    return pooled if pipeline else pooled.drop("pipeline")
 
 
 def interval(draws: DataFrame, value: str = "f1", share: float = 0.95) -> DataFrame:
     """Percentile interval by the inverse distribution function."""
     tail = (1 - share) / 2
-    place = Window.orderBy(value)
-    n = draws.count()
-    ranked = draws.select(value, F.row_number().over(place).alias("r"))
-    low, high = max(1, -int(-(tail * n) // 1)), max(1, -int(-((1 - tail) * n) // 1))
-    return ranked.agg(F.max(F.when(F.col("r") == low, F.col(value))).alias("low"), F.max(F.when(F.col("r") == high, F.col(value))).alias("high"))
+    rows = draws.select(value, F.row_number().over(Window.orderBy(value)).alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
+    at = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n")))
+    return rows.agg(F.max(F.when(F.col("r") == at(tail), F.col(value))).alias("low"), F.max(F.when(F.col("r") == at(1 - tail), F.col(value))).alias("high"))
+
+
+def score_languages(gold: DataFrame, predicted: DataFrame, languages: list[str], language: str = "language") -> tuple[DataFrame, list[str]]:
+    """Span counts and ratios of each language, and the languages of the list without gold."""
+    own = F.col(language).isin(languages)
+    counts = with_prf(span_counts(gold.where(own), predicted.where(own), [language]))
+    found = {r[language] for r in gold.where(own).select(language).distinct().collect()}
+    return counts, missing_languages(languages, found)
+
+
+def missing_languages(wanted: list[str], found) -> list[str]:
+    """Languages that were asked for and are not there, in the order in which they were asked for."""
+    have = set(found)
+    return [x for x in dict.fromkeys(wanted) if x not in have]
 
 
 def paired_difference(draws: DataFrame, pipeline: str = "pipeline", value: str = "f1") -> DataFrame:
@@ -167,8 +206,15 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 
 def regressions(base: DataFrame, new: DataFrame, most: float = 1.25) -> DataFrame:
-    """Benchmarks whose median seconds grew beyond the gate."""
-    one = lambda df, name: df.groupBy("benchmark").agg(F.median("seconds").alias(name))
+    """Benchmarks whose seconds grew beyond the gate: the median over runs of each run's median.
+
+    Without a column `run` all rows are one run.
+    """
+    def one(df: DataFrame, name: str) -> DataFrame:
+        run = F.col("run") if "run" in df.columns else F.lit(0)
+        own = df.groupBy("benchmark", run.alias("run")).agg(F.median("seconds").alias("m"))
+        return own.groupBy("benchmark").agg(F.median("m").alias(name))
+
     return one(base, "base").join(one(new, "new"), "benchmark").withColumn("failed", F.col("new") > most * F.col("base"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from toposcope.functions.text import span_text, unix_newlines
+from toposcope.operators.scratch import replace, written
 
 SCHEMAS = {
     "document": "id string, project_id string, text string",
@@ -35,7 +36,7 @@ def unprocessed(units: DataFrame, markers: DataFrame, unit: str, module: str, mo
 
 def tag_view(references: DataFrame, referents: DataFrame, documents: DataFrame, context: DataFrame, tag: str) -> DataFrame:
     """References of the tag's recognizer with the referents of its resolver; none without a recognizer."""
-    own = F.broadcast(context.where(F.col("tag") == tag).select("project_id", F.col("recognizer_id").alias("own_recognizer"), F.col("resolver_id").alias("own_resolver")))
+    own = context.where(F.col("tag") == tag).select("project_id", F.col("recognizer_id").alias("own_recognizer"), F.col("resolver_id").alias("own_resolver"))
     rows = references.join(documents.select(F.col("id").alias("document_id"), "project_id"), "document_id").join(own, "project_id")
     rows = rows.where(F.col("recognizer_id") == F.col("own_recognizer"))
     links = referents.select(F.col("reference_id").alias("id"), F.col("resolver_id").alias("own_resolver"), "gazetteer_name", "feature_identifier")
@@ -45,7 +46,7 @@ def tag_view(references: DataFrame, referents: DataFrame, documents: DataFrame,
 def in_order(rows: DataFrame, ids: list[str]) -> DataFrame:
     """Rows of the given ids in their order; unknown ids raise."""
     spark = rows.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(list(enumerate(ids)), "pos int, id string"))
+    wanted = spark.createDataFrame(list(enumerate(ids)), "pos int, id string")
     missing = wanted.join(rows.select("id"), "id", "left_anti").orderBy("pos").limit(5).collect()
     if missing:
         raise KeyError(f"unknown ids: {', '.join(r['id'] for r in missing)}")
@@ -97,16 +98,15 @@ class Project:
         self.register("recognizer", module_id, name, config)
         todo = unprocessed(self.documents(), self.table("recognition"), "document_id", "recognizer_id", module_id)
         found = predict(todo.select("id", "text")).select("id", F.col("spans").cast(SPANS).alias("spans")).where("spans is not null")
-        # documents are written once per module, so both appends come from one table
-        held = found.join(todo.select("id", "text"), "id").persist()
+        # predictions are written once; both appends read them, and a retry adds nothing twice
+        held = written(found.join(todo.select("id", "text"), "id"))
         spans = held.select(F.col("id").alias("document_id"), "text", F.explode(F.array_distinct("spans")).alias("s"))
         rows = spans.select(
             F.substring(F.sha2(F.concat_ws(":", "document_id", F.lit(module_id), "s.start", "s.end"), 256), 1, 32).alias("id"),
             "document_id", F.lit(module_id).alias("recognizer_id"), "s.start", "s.end", span_text(F.col("text"), F.col("s.start"), F.col("s.end")).alias("text"),
         )
-        self.append("reference", rows)
+        self.append("reference", rows.join(self.table("reference").select("id"), "id", "left_anti"))
         self.append("recognition", held.select(F.col("id").alias("document_id"), F.lit(module_id).alias("recognizer_id")))
-        held.unpersist()
         self.tag(tag, recognizer_id=module_id)
 
     def resolve(self, module_id: str, predict: Callable[[DataFrame], DataFrame], features: DataFrame, gazetteer: str, name: str = "", config: str = "{}", tag: str = "latest") -> None:
@@ -117,14 +117,13 @@ class Project:
         self.register("resolver", module_id, name, config)
         own = self.table("reference").join(self.documents().select(F.col("id").alias("document_id"), F.col("text").alias("document_text")), "document_id")
         todo = unprocessed(own, self.table("resolution"), "reference_id", "resolver_id", module_id)
-        found = predict(todo).where("identifier is not null").select("id", "identifier").join(features.select("identifier"), "identifier", "left_semi").persist()
+        found = written(predict(todo).where("identifier is not null").select("id", "identifier").join(features.select("identifier"), "identifier", "left_semi"))
         rows = found.select(
             F.substring(F.sha2(F.concat_ws(":", "id", F.lit(module_id)), 256), 1, 32).alias("rid"), F.col("id").alias("reference_id"),
             F.lit(module_id).alias("resolver_id"), F.lit(gazetteer).alias("gazetteer_name"), F.col("identifier").alias("feature_identifier"),
         ).withColumnRenamed("rid", "id")
-        self.append("referent", rows)
+        self.append("referent", rows.join(self.table("referent").select("id"), "id", "left_anti"))
         self.append("resolution", found.select(F.col("id").alias("reference_id"), F.lit(module_id).alias("resolver_id")))
-        found.unpersist()
         self.tag(tag, resolver_id=module_id)
 
     def view(self, tag: str = "latest") -> DataFrame:
@@ -137,18 +136,29 @@ class Project:
         self.resolve("manual-" + tag, lambda refs: refs.join(links, ["document_id", "start", "end"]), links.select("identifier"), "manual", "manual", tag=tag)
 
     def delete(self) -> None:
-        """Remove this project's documents and what hangs on them."""
-        gone = self.documents().select(F.col("id").alias("document_id"))
-        refs = self.table("reference").join(gone, "document_id", "left_semi").select(F.col("id").alias("reference_id"))
+        """Remove this project's documents, its tags and what hangs on them."""
+        self._remove(written(self.documents().select(F.col("id").alias("document_id"))))
+        replace(self.table("context").where(F.col("project_id") != self.name), f"{self.root}/context")
+
+    def _remove(self, gone: DataFrame) -> None:
+        """gone: written ids; documents go last, so an interrupted removal can be run again."""
+        refs = written(self.table("reference").join(gone, "document_id", "left_semi").select(F.col("id").alias("reference_id")))
         for name, keep in (
             ("referent", lambda: self.table("referent").join(refs, "reference_id", "left_anti")),
             ("resolution", lambda: self.table("resolution").join(refs, "reference_id", "left_anti")),
             ("reference", lambda: self.table("reference").join(gone, "document_id", "left_anti")),
             ("recognition", lambda: self.table("recognition").join(gone, "document_id", "left_anti")),
-            ("context", lambda: self.table("context").where(F.col("project_id") != self.name)),
-            ("document", lambda: self.table("document").where(F.col("project_id") != self.name)),
+            ("document", lambda: self.table("document").join(gone.withColumnRenamed("document_id", "id"), "id", "left_anti")),
         ):
-            rows = keep().persist()
-            rows.count()  # read before the folder is replaced
-            rows.write.mode("overwrite").parquet(f"{self.root}/{name}")
-            rows.unpersist()
+            replace(keep(), f"{self.root}/{name}")
+
+    def delete_documents(self, ids: DataFrame) -> None:
+        """Remove documents (column id) of this project and what hangs on them."""
+        own = self.documents().join(ids.select(F.col("id").cast("string")), "id", "left_semi").select(F.col("id").alias("document_id"))
+        self._remove(written(own))
+
+    def update_documents(self, texts: DataFrame) -> None:
+        """New texts (id, text) of known documents; what was found in the old ones goes."""
+        new = written(texts.join(self.documents().select("id"), "id", "left_semi"))
+        self.delete_documents(new)
+        self.create_documents(new)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toposcope.functions import context, geo, text
-from toposcope.operators import annotate, build, evaluate, project, resolve
+from toposcope.operators import annotate, build, evaluate, facade, project, resolve, store
+from toposcope.operators.scratch import folder
 from toposcope.operators.search import Search
 from toposcope.plans.blocks import ROW, BlockPlan
 from toposcope.plans.config import Block
@@ -93,12 +94,14 @@ def null_identifier_filter(spark, sf_dir):
     return _block(spark, sf_dir, b, "o_orderkey").features().select("identifier", "data")
 
 
-@query("""SELECT l_orderkey, count(*) AS n FROM lineitem SEMI JOIN
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS identifier, count(DISTINCT (l_linenumber, l_suppkey)) AS n FROM lineitem SEMI JOIN
     (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1) USING (l_orderkey) GROUP BY 1""")
 def dup_semi_join(spark, sf_dir):
-    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey")
-    twice = rows.groupBy("l_orderkey").count().where("count > 1").select("l_orderkey")
-    return rows.join(twice, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    geo.register(spark)
+    b = Block("lineitem", "l_orderkey", ["l_linestatus"], geometry="ST_Point(CAST(l_linenumber AS DOUBLE), CAST(l_suppkey AS DOUBLE))")
+    merged = _block(spark, sf_dir, b, "l_orderkey").merged_geometries()
+    many = F.from_json(geo.geojson_geometry("geometry"), "struct<type:string,coordinates:array<array<double>>>")
+    return merged.select("identifier", F.when(many["type"] == "Point", 1).otherwise(F.size(many["coordinates"])).cast("long").alias("n"))
 
 
 @query("""SELECT identifier, count(*) AS n, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources FROM (
@@ -138,17 +141,53 @@ def correlated_listagg(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey").join(lists, "c_custkey", "left").select("c_custkey", F.coalesce("p", F.lit("")).alias("priorities"))
 
 
-@query("SELECT p_brand AS identifier, min(p_partkey) AS first_row FROM part WHERE p_brand = 'Brand#11' GROUP BY 1")
+_PUBLISHED: dict[tuple[str, str, str], store.Gazetteer] = {}
+
+
+def _published(spark, sf_dir, name: str, tables) -> store.Gazetteer:
+    """A store of the given tables, built and published once for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _PUBLISHED:
+        _PUBLISHED[key] = store.Gazetteer(spark, store.write(spark, folder(spark, "gazetteers"), name, tables()))
+    return _PUBLISHED[key]
+
+
+def _brands(spark, sf_dir) -> store.Gazetteer:
+    def tables():
+        plan = _block(spark, sf_dir, BRANDS, "p_partkey")
+        feature = build.number_features(plan.features())
+        return {"feature": feature, "name": build.link_names(plan.names(), feature)}
+
+    return _published(spark, sf_dir, "brands", tables)
+
+
+@query("SELECT p_brand AS identifier, arg_min(p_name, p_partkey) AS first_name, CAST(arg_min(CASE WHEN p_size > 25 THEN p_size END, p_partkey) FILTER (WHERE p_size > 25) AS VARCHAR) AS size FROM part WHERE p_brand = 'Brand#11' GROUP BY 1")
 def find_identifier(spark, sf_dir):
-    return _table(spark, sf_dir, "part").where(F.col("p_brand") == "Brand#11").groupBy(F.col("p_brand").alias("identifier")).agg(F.min("p_partkey").alias("first_row"))
+    g = _brands(spark, sf_dir)
+    return g.find("Brand#11").select("identifier", g.data_value("p_name").alias("first_name"), g.data_value("size").alias("size"))
+
+
+@query("""WITH f AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) AS fid FROM (SELECT DISTINCT p_brand FROM part))
+    SELECT id, fid AS feature_id, text FROM (SELECT row_number() OVER (ORDER BY fid, text) AS id, fid, text FROM (SELECT DISTINCT fid, trim(p_name) AS text FROM part JOIN f USING (p_brand))) WHERE fid = 3""")
+def names_of_feature(spark, sf_dir):
+    return _brands(spark, sf_dir).names_of(3)
+
+
+@query("""SELECT 'feature' AS tab, count(DISTINCT p_brand) AS n FROM part UNION ALL SELECT 'name', count(*) FROM (SELECT DISTINCT p_brand, trim(p_name) FROM part)""")
+def store_counts(spark, sf_dir):
+    m = _brands(spark, sf_dir).metadata
+    return spark.createDataFrame([("feature", int(m["feature_count"])), ("name", int(m["name_count"]))], "tab string, n long")
 
 
 # -- search --------------------------------------------------------------------------------
 
 
 def _search(spark, sf_dir) -> tuple[Search, DataFrame]:
-    _, name = _places(spark, sf_dir)
-    return Search(name, build.postings(name), build.soundex_codes(name)), _table(spark, sf_dir, "part")
+    def tables():
+        feature, name = _places(spark, sf_dir)
+        return {"feature": feature, "name": name}
+
+    return Search.of(_published(spark, sf_dir, "parts", tables)), _table(spark, sf_dir, "part")
 
 
 def _words_sql(words: str) -> str:
@@ -371,7 +410,7 @@ def distance_metrics(spark, sf_dir):
 def bootstrap_interval(spark, sf_dir):
     spans = _spans(spark, sf_dir)
     counts = evaluate.span_counts(spans.where("kind < 3"), spans.where("kind > 0 and id % 5 > 0"), ["document_id"])
-    return evaluate.interval(evaluate.bootstrap(counts, draws=50, seed=1))
+    return evaluate.interval(evaluate.bootstrap(counts, seed=1))
 
 
 @query("SELECT event_type AS corpus, user_id AS pipeline, event_id AS run_id FROM events WHERE event_id % 4 > 0 AND value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -447,14 +486,45 @@ def describe_features(spark, sf_dir):
     return rows.select("c_custkey", text.describe(F.col("c_name"), F.col("c_mktsegment"), F.lit(None).cast("string"), F.col("n_name"), F.col("r_name")).alias("description"))
 
 
-@query("""SELECT c_custkey, n_nationkey FROM customer JOIN nation ON (c_custkey * 37 % 1000) / 10.0 > (n_nationkey % 5) * 20 AND (c_custkey * 37 % 1000) / 10.0 < (n_nationkey % 5) * 20 + 15
-    AND (c_custkey * 91 % 1000) / 10.0 > (n_nationkey // 5) * 20 AND (c_custkey * 91 % 1000) / 10.0 < (n_nationkey // 5) * 20 + 15
-    WHERE (c_custkey * 37 % 1000) % 50 > 0 AND (c_custkey * 91 % 1000) % 50 > 0""")
+_X, _Y = "(c_custkey * 37 % 1000) / 10.0", "(c_custkey * 91 % 1000) / 10.0"
+_SQUARES = "(n_nationkey % 5) * 20 AS x0, (n_nationkey // 5) * 20 AS y0"
+
+
+def _squares(spark, sf_dir) -> DataFrame:
+    n = _table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") % 5 * 20).cast("double").alias("x0"), (F.floor(F.col("n_nationkey") / 5) * 20).cast("double").alias("y0"))
+    return n.select("n_nationkey", _square("x0", "y0").alias("geometry"))
+
+
+@query(f"""SELECT c_custkey, n_nationkey FROM customer JOIN (SELECT n_nationkey, {_SQUARES} FROM nation) ON {_X} >= x0 AND {_X} < x0 + 15 AND {_Y} >= y0 AND {_Y} < y0 + 15""")
 def spatial_join(spark, sf_dir):
+    # a point on a left or lower border is inside, so that of adjoining areas one has it
     points = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 37 % 1000 / 10.0).alias("x"), (F.col("c_custkey") * 91 % 1000 / 10.0).alias("y"))
-    points = points.where("c_custkey * 37 % 1000 % 50 > 0 and c_custkey * 91 % 1000 % 50 > 0")  # not on a border
-    n = _table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") % 5 * 20).cast("double").alias("x0"), (F.floor(F.col("n_nationkey") / 5) * 20).cast("double").alias("y0"))
-    return geo.spatial_join(points, n.select("n_nationkey", _square("x0", "y0").alias("geometry")), 10.0).select("c_custkey", "n_nationkey")
+    return geo.spatial_join(points, _squares(spark, sf_dir), 10.0).select("c_custkey", "n_nationkey")
+
+
+def _block_with_areas(spark, sf_dir, predicate: str) -> DataFrame:
+    geo.register(spark)
+    point = geo.st_point(F.col("c_custkey") * 37 % 1000 / 10.0, F.col("c_custkey") * 91 % 1000 / 10.0)
+    _table(spark, sf_dir, "customer").withColumn("geometry", point).withColumn(ROW, F.col("c_custkey")).createOrReplaceTempView("located_customer")
+    _squares(spark, sf_dir).createOrReplaceTempView("square")
+    _table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    joins = [f"LEFT JOIN square g ON {predicate}", "LEFT JOIN nation k ON g.n_nationkey = k.n_nationkey"]
+    b = Block("located_customer", "c_custkey", ["c_name"], ["g.n_nationkey AS area", "k.n_name AS name"], joins)
+    value = store.Gazetteer.data_value
+    return BlockPlan(spark, b).features().select("identifier", value("area").alias("area"), value("name").alias("name"))
+
+
+_IN_AREA = "SELECT CAST(c_custkey AS VARCHAR) AS identifier, CAST(min(n_nationkey) AS VARCHAR) AS area, arg_min(n_name, n_nationkey) AS name FROM customer LEFT JOIN (SELECT n_nationkey, n_name, {squares} FROM nation) ON {x} {gt} x0 AND {x} {lt} x0 + 15 AND {y} {gt} y0 AND {y} {lt} y0 + 15 GROUP BY 1"
+
+
+@query(_IN_AREA.format(squares=_SQUARES, x=_X, y=_Y, gt=">", lt="<"))
+def block_spatial_within(spark, sf_dir):
+    return _block_with_areas(spark, sf_dir, "ST_Within(ST_Centroid(geometry), g.geometry)")
+
+
+@query(_IN_AREA.format(squares=_SQUARES, x=_X, y=_Y, gt=">=", lt="<="))
+def block_spatial_intersects(spark, sf_dir):
+    return _block_with_areas(spark, sf_dir, "ST_Intersects(g.geometry, geometry)")
 
 
 def _square(x: str, y: str):
@@ -468,16 +538,87 @@ def _square(x: str, y: str):
 
 @query()
 def context_windows(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("text rlike '^\\\\w'")
-    return docs.select("doc_id", context.context_window(40)("text", F.lit(0), F.lit(1)).alias("context"))
+    docs = _table(spark, sf_dir, "documents").where("length(text) > 0")
+    # a letter or digit at the beginning, in the middle and near the end of each text: a sentence holds it
+    place = F.explode(F.array(F.lit(1), F.floor(F.length("text") / 2).cast("int") + 1, F.floor(F.length("text") * 0.9).cast("int") + 1)).alias("p")
+    at = docs.select("doc_id", "text", place).withColumn("i", F.expr(r"regexp_instr(substring(text, p), '\\w')"))
+    spans = at.where("i > 0").withColumn("start", F.col("p") + F.col("i") - 2).select("doc_id", "text", "start").distinct()
+    return spans.select("doc_id", "start", context.context_window(40)("text", F.col("start"), F.col("start") + 1).alias("context"))
 
 
-@query()
+@query("""SELECT c_custkey AS key, '{"type":"Feature","geometry":{"type": "Point", "coordinates": [' || CAST(c_custkey % 360 - 180 AS DOUBLE) || ', ' || CAST(c_custkey % 170 - 85 AS DOUBLE) || ']},"properties":{"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}}' AS value FROM customer""")
 def geojson_output(spark, sf_dir):
     rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), geo.geojson_geometry(geo.st_point((F.col("c_custkey") % 360 - 180).cast("double"), (F.col("c_custkey") % 170 - 85).cast("double"))).alias("geometry_json"), F.struct("c_name", "c_mktsegment").alias("properties"))
     return sinks.geojson_features(rows)
 
 
+# -- services ------------------------------------------------------------------------------
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS document_id, 0 AS start, 3 AS "end", substr(text, 1, 3) AS text, CASE WHEN doc_id % 3 > 0 THEN 'L' || doc_id % 3 END AS feature_identifier
+    FROM (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents) WHERE length(text) >= 3""")
+def project_view(spark, sf_dir):
+    """Documents, annotations as a recognizer and resolver of their own, and the tagged view."""
+    p = project.Project(spark, folder(spark, "project"), "demo")
+    p.create_documents(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    own = p.documents().where("length(text) >= 3").select(F.col("id").alias("document_id"), F.lit(0).alias("start"), F.lit(3).alias("end"), (F.col("id").cast("long") % 3).alias("k"))
+    p.load_annotations(own.withColumn("loc_id", F.when(F.col("k") > 0, F.concat(F.lit("L"), "k")).otherwise("")), "gold")
+    return p.view("gold").select("document_id", "start", "end", "text", "feature_identifier")
+
+
+@query("""SELECT o_orderkey AS id, 'p' || o_custkey % 7 AS identifier FROM orders WHERE o_orderkey % 5 > 0""")
+def resolve_manual(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("document_text"), F.col("o_orderkey").cast("int").alias("start"), (F.col("o_orderkey") + 1).cast("int").alias("end"), "o_custkey")
+    known = o.where("id % 5 > 0").select("document_text", "start", "end", F.concat(F.lit("p"), F.col("o_custkey") % 7).alias("identifier"), F.lit(0).alias("pos"))
+    later = known.withColumn("identifier", F.lit("a")).withColumn("pos", F.lit(1))
+    return resolve.manual(known.unionByName(later))(o)
+
+
+@query(f"WITH {_FEATURE_SQL}, q AS (SELECT p_partkey AS id, trim(p_name) AS name FROM part WHERE p_size < 10) SELECT q.id, f.id AS feature_id, row_number() OVER (PARTITION BY q.id ORDER BY f.id) AS position FROM q JOIN feature f ON lower(f.text) = lower(q.name)")
+def candidate_gather(spark, sf_dir):
+    index, part = _search(spark, sf_dir)
+    mentions = part.where("p_size < 10").select(F.col("p_partkey").alias("id"), F.trim("p_name").alias("name"))
+    return resolve.candidates(mentions, index, "exact", 1).select("id", "feature_id", "position")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS text, CASE WHEN c_custkey % 4 = 0 THEN 'n' || c_nationkey END AS identifier, CASE WHEN c_custkey % 4 = 0 THEN n_name END AS n_name FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def parse_texts(spark, sf_dir):
+    """Texts to resolved documents in one call."""
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("text"), "c_nationkey")
+    features = _table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("identifier"), "n_name")
+    whole = lambda docs: docs.select("id", F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"))).alias("spans"))
+    links = c.where("cast(id as long) % 4 = 0").select(F.col("id").alias("document_id"), F.concat(F.lit("n"), "c_nationkey").alias("identifier"))
+    parsed = facade.parse(spark, c, whole, lambda refs: refs.join(links, "document_id").select("id", "identifier"), features, ("n_name",))
+    return parsed.select("id", F.explode("toponyms").alias("t")).select("id", "t.text", "t.identifier", "t.n_name")
+
+
+@query(f"""WITH {_SPANS} SELECT document_id, start, "end", count(DISTINCT kind) AS ids FROM (SELECT document_id % 100 AS document_id, start, "end", kind FROM spans) GROUP BY 1, 2, 3 HAVING count(DISTINCT kind) > 1""")
+def gold_conflicts(spark, sf_dir):
+    gold = _spans(spark, sf_dir).withColumn("document_id", F.col("document_id") % 100).withColumn("identifier", F.col("kind").cast("string"))
+    none = F.lit(None).cast("double")
+    return evaluate.gold_conflicts(gold.withColumn("latitude", none).withColumn("longitude", none)).select("document_id", "start", "end", "ids")
+
+
+@query("""SELECT o_orderpriority AS corpus, count(*) AS gold, round(count(*) FILTER (WHERE o_orderstatus = 'F') / count(*), 9) AS coverage, round(count(*) FILTER (WHERE o_orderstatus = 'O') / count(*), 9) AS abstention,
+    round(count(*) FILTER (WHERE o_totalprice < 50000) / count(*), 9) AS accuracy_1_km, round(count(*) FILTER (WHERE o_totalprice < 150000) / count(*), 9) AS accuracy_50_km FROM orders GROUP BY 1""")
+def protocol_metrics(spark, sf_dir):
+    n = lambda c: F.count_if(F.expr(c)).alias
+    counts = _table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("corpus")).agg(
+        F.count("*").alias("gold"), n("o_orderstatus = 'F'")("resolved"), n("o_orderstatus = 'O'")("abstained"), n("o_orderstatus not in ('F', 'O')")("invalid"),
+        F.count("*").alias("exact_eligible"), n("o_custkey % 2 = 0")("exact_correct"), F.count("*").alias("coordinate_eligible"),
+        n("o_totalprice < 50000")("within_1_km"), n("o_totalprice < 100000")("within_10_km"), n("o_totalprice < 150000")("within_50_km"), F.count("*").alias("candidate_eligible"), n("o_custkey % 3 = 0")("candidate_found"),
+    )
+    return evaluate.protocol_metrics(counts).select("corpus", "gold", *[F.round(c, 9).alias(c) for c in ("coverage", "abstention", "accuracy_1_km", "accuracy_50_km")])
+
+
+@query(f"""WITH {_SPANS}, l AS (SELECT *, ['en', 'de', 'fr', 'xx'][kind + 1] AS language FROM spans), g AS (SELECT DISTINCT language, document_id, start, "end" FROM l WHERE id % 3 > 0 AND kind < 3), p AS (SELECT DISTINCT language, document_id, start, "end" FROM l WHERE id % 5 > 0 AND kind < 3)
+    SELECT language, count(*) FILTER (WHERE g.document_id IS NOT NULL AND p.document_id IS NOT NULL) AS tp, count(*) FILTER (WHERE g.document_id IS NULL) AS fp, count(*) FILTER (WHERE p.document_id IS NULL) AS fn FROM g FULL JOIN p USING (language, document_id, start, "end") GROUP BY 1""")
+def language_counts(spark, sf_dir):
+    spans = _spans(spark, sf_dir).withColumn("language", F.get(F.array(*map(F.lit, ("en", "de", "fr", "xx"))), F.col("kind").cast("int")))
+    counts, _ = evaluate.score_languages(spans.where("id % 3 > 0"), spans.where("id % 5 > 0"), ["en", "de", "fr", "it"])
+    return counts.select("language", "tp", "fp", "fn")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

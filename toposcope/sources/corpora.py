@@ -22,12 +22,17 @@ def geovirus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def newsli(spark: SparkSession, path: str, limit: int = 500) -> DataFrame:
-    """JSON object of article id to spans with LOC, lat, lon; the first `limit` ids in order."""
+    """JSON object of article id to spans with LOC, lat, lon; the first `limit` ids in order.
+
+    dropped: how many spans of an article were not on their surface.
+    """
     raw = spark.read.text(path, wholetext=True)
     kind = "map<string,struct<text:string,spans:array<struct<start:int,end:int,LOC:string,lat:double,lon:double>>>>"
     rows = raw.select(F.explode(F.from_json("value", kind)).alias("identifier", "a"))
     spans = F.transform("a.spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["LOC"].alias("name"), s["lat"].alias("latitude"), s["lon"].alias("longitude")))
-    return rows.select("identifier", F.col("a.text").alias("text"), _on_surface(F.col("a.text"), spans).alias("gold")).orderBy("identifier").limit(limit)
+    rows = rows.select("identifier", F.col("a.text").alias("text"), spans.alias("all")).orderBy("identifier").limit(limit)
+    kept = rows.withColumn("gold", _on_surface(F.col("text"), F.col("all")))
+    return kept.select("identifier", "text", "gold", (F.coalesce(F.size("all"), F.lit(0)) - F.coalesce(F.size("gold"), F.lit(0))).alias("dropped"))
 
 
 def hipe(spark: SparkSession, path: str, coordinates: DataFrame | None = None) -> DataFrame:
@@ -50,7 +55,7 @@ def hipe(spark: SparkSession, path: str, coordinates: DataFrame | None = None) -
     pieces = F.array_sort(F.collect_list(F.struct("n", F.concat("token", F.when(F.col("space"), " ").otherwise("")).alias("t"))))
     text = placed.groupBy("doc").agg(F.rtrim(F.array_join(F.transform(pieces, lambda x: x["t"]), "")).alias("text"))
     if coordinates is not None:
-        spans = spans.join(F.broadcast(coordinates), "qid", "left")
+        spans = spans.join((coordinates), "qid", "left")
     else:
         spans = spans.withColumn("latitude", F.lit(None).cast("double")).withColumn("longitude", F.lit(None).cast("double"))
     joined = spans.join(text, "doc").withColumn("name", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
@@ -81,6 +86,15 @@ def coordinates(spark: SparkSession, path: str) -> DataFrame:
     return raw.where("c is not null").select("qid", F.col("c")[0].alias("latitude"), F.col("c")[1].alias("longitude"))
 
 
+def first_coordinates(claims: DataFrame, asked: DataFrame) -> DataFrame:
+    """What a cache takes up: the first coordinate claim of each asked qid, nulls where it has none.
+
+    claims: (qid, pos, latitude, longitude) in the order of the source; asked: (qid).
+    """
+    first = claims.groupBy("qid").agg(F.min(F.struct("pos", "latitude", "longitude")).alias("c"))
+    return asked.select("qid").distinct().join(first, "qid", "left").select("qid", "c.latitude", "c.longitude")
+
+
 def unique_records(rows: DataFrame, by: str) -> DataFrame:
     """Rows that are equal in all columns count once; removed and collapsed counts per group."""
     each = rows.groupBy(*rows.columns).agg(F.count("*").alias("__c"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
+
+from toposcope.functions.geo import from_mercator
 
 
 def document_json(documents: DataFrame, view: DataFrame) -> DataFrame:
@@ -17,6 +22,16 @@ def json_lines(rows: DataFrame, path: str) -> None:
     rows.select("value").write.mode("overwrite").text(path)
 
 
+def wgs84(places: DataFrame, crs: str, x: str = "x", y: str = "y") -> DataFrame:
+    """Places with longitude and latitude from coordinates in the crs of their gazetteer."""
+    if crs == "EPSG:4326":
+        return places.withColumn("longitude", F.col(x)).withColumn("latitude", F.col(y))
+    if crs != "EPSG:3857":
+        raise ValueError(f"no conversion from {crs}")
+    lon, lat = from_mercator(F.col(x), F.col(y))
+    return places.withColumn("longitude", lon).withColumn("latitude", lat)
+
+
 def geojson_features(places: DataFrame) -> DataFrame:
     """(key, value): a GeoJSON feature per row of (key, geometry_json, properties struct)."""
     value = F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce("geometry_json", F.lit("null")), F.lit(',"properties":'), F.to_json("properties", {"ignoreNullFields": "false"}), F.lit("}"))
@@ -51,6 +66,23 @@ def differences(old: dict, new: dict) -> list[str]:
     return sorted(k for k in {*old, *new} if old.get(k) != new.get(k))
 
 
+def checkpoint(completed: DataFrame, path: str, phase: str, identity: dict | None = None) -> None:
+    """Add documents (id) that a run has completed in a phase; the run's identity is kept beside them."""
+    completed.select("id", F.lit(phase).alias("phase"), F.lit(json.dumps(identity or {}, sort_keys=True)).alias("identity")).write.mode("append").parquet(path)
+
+
+def resume(spark: SparkSession, path: str, identity: dict | None = None) -> DataFrame:
+    """(id, phase) of completed documents; raises if they belong to a run of another identity."""
+    try:
+        rows = spark.read.schema("id string, phase string, identity string").parquet(path)
+    except AnalysisException:  # nothing has been completed yet
+        return spark.createDataFrame([], "id string, phase string")
+    for r in rows.select("identity").distinct().limit(2).collect():
+        if changed := differences(json.loads(r["identity"]), identity or {}):
+            raise ValueError(f"the run cannot be resumed: {', '.join(changed)} differ")
+    return rows.select("id", "phase").distinct()
+
+
 def remaining(documents: DataFrame, completed: DataFrame, phase: str) -> DataFrame:
     """Documents that a resumed run has still to do in a phase."""
     return documents.join(completed.where(F.col("phase") == phase).select("id"), "id", "left_anti")

@@ -29,7 +29,9 @@ def delimited(spark: SparkSession, source: Source, path: str | None = None) -> D
         options |= {"quote": "\u0000", "escape": "\u0000"}
     elif source.quote:
         options |= {"quote": source.quote, "escape": source.quote, "multiLine": "true"}
-    if source.skip_rows:
+    if source.skip_rows == 1 and "multiLine" not in options:  # as a header, which keeps files splittable
+        rows = spark.read.schema(text).options(**options | {"header": "true"}).csv(path)
+    elif source.skip_rows:
         lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
         kept = lines.where((F.col("n") >= source.skip_rows) & (F.col("line") != "")).select("line")
         rows = kept.select(F.from_csv("line", text.simpleString()[7:-1].replace(":", " "), {k: v for k, v in options.items() if k in ("sep", "quote", "escape", "mode")}).alias("r")).select("r.*")
