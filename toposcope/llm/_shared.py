@@ -74,7 +74,7 @@ def mix(a: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered for repeated words up to a bound."""
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 16
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

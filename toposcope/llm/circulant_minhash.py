@@ -48,12 +48,12 @@ COORDINATES = BANDS * ROWS
 AGREE = 0.594
 #: seekers and targets of a block, and their elements where whole sets come along
 BLOCK = 4096
-ELEMENTS = 2_000_000
+ELEMENTS = 1_000_000
 #: partners that a seeking text is held against before all others
 FIRST = 8
 #: up to so many classes with a shared band are broadcast to find their texts; beyond, texts are shuffled
 BROADCAST_CLASSES = 1_000_000
-PAIRS = 100_000
+PAIRS = 50_000
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -193,26 +193,35 @@ class _Sets:
         return out
 
 
-def _joining(found: np.ndarray, comp: np.ndarray, sets: _Sets, percent: int) -> np.ndarray:
-    """The confirmed ones of the pairs that join components which nothing has joined here."""
-    names, at = np.unique(comp, return_inverse=True)
-    root = np.arange(len(names))
+class _Roots:
+    """Components of a batch's rows, joined as links are found."""
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+    def __init__(self, comp: np.ndarray):
+        names, self.at = np.unique(comp, return_inverse=True)
+        self.root = np.arange(len(names))
+
+    def join(self, x: int, y: int) -> bool:
+        """Join the components of two rows; False if they were one."""
+        u, v = self._find(self.at[x]), self._find(self.at[y])
+        self.root[max(u, v)] = min(u, v)
+        return u != v
+
+    def _find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
         return x
 
+
+def _joining(found: np.ndarray, roots: _Roots, sets: _Sets, percent: int) -> np.ndarray:
+    """The confirmed ones of the pairs that join components which nothing has joined in this batch."""
     keep = []
     edges = np.flatnonzero(np.concatenate([[True], found[0, 1:] != found[0, :-1], [True]]))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         x, others = int(found[0, a]), found[1, a:b]
         both = sets.shared(x, others)
         for i in np.flatnonzero(100 * both >= percent * (sets.size[x] + sets.size[others] - both)).tolist():
-            u, v = find(at[x]), find(at[others[i]])
-            if u != v:
-                root[max(u, v)] = min(u, v)
+            if roots.join(x, int(others[i])):
                 keep.append(a + i)
     return found[:, keep]
 
@@ -222,6 +231,8 @@ def _seek(t: dict[str, np.ndarray], limit: int | None, percent: int) -> list[np.
 
     t has rows of whole blocks, in each block its targets before its seekers.  Without a
     limit t has the sets too, and only confirmed pairs that join components are given.
+    So many seekers are taken at a time that their pairs fit in memory, and what is kept
+    of them is bounded by the rows of t.
     """
     start = np.flatnonzero(np.concatenate([[True], t["block"][1:] != t["block"][:-1]]))
     of_block = np.cumsum(np.concatenate([[True], t["block"][1:] != t["block"][:-1]])) - 1
@@ -230,8 +241,9 @@ def _seek(t: dict[str, np.ndarray], limit: int | None, percent: int) -> list[np.
     many = targets[of_block[seekers]]
     out, done = [], 0
     edges = np.cumsum(many)
-    while done < len(seekers):  # so many seekers at a time that their pairs fit in memory
-        stop = max(done + 1, int(np.searchsorted(edges, (edges[done - 1] if done else 0) + PAIRS)))
+    sets = roots = None
+    while done < len(seekers):
+        stop = max(done + 1, int(np.searchsorted(edges, (edges[done - 1] if done else 0) + PAIRS, side="right")))
         own, n = seekers[done:stop], many[done:stop]
         done = stop
         one = np.repeat(own, n)
@@ -240,23 +252,26 @@ def _seek(t: dict[str, np.ndarray], limit: int | None, percent: int) -> list[np.
         # of a pair without a pending end all is known
         near = (t["comp"][one] != t["comp"][other]) & (t["pending"][one] | t["pending"][other]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
         one, other = one[near], other[near]
-        for at in range(0, len(one), PAIRS):
-            x, y = one[at : at + PAIRS], other[at : at + PAIRS]
-            # a pair is looked at in the first band that it shares
-            first = (t["sig"][x].view(np.uint64) == t["sig"][y].view(np.uint64)).argmax(axis=1) == t["band"][x]
-            x, y = x[first], y[first]
-            agree = (t["sig"][x] == t["sig"][y]).sum(axis=1)
-            good = agree >= AGREE * COORDINATES
-            out.append(np.stack([x[good], y[good], agree[good]]))
-    found = np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
-    found = found[:, np.lexsort((t["rid"][found[1]], -found[2], found[0]))]
-    if limit is None and found.shape[1]:
-        found = _joining(found, t["comp"], _Sets(t["elements"]), percent)
-    first = np.flatnonzero(np.concatenate([[True], found[0, 1:] != found[0, :-1]])) if found.shape[1] else np.empty(0, np.int64)
-    of = np.diff(np.append(first, found.shape[1]))
-    rank = np.arange(found.shape[1]) - np.repeat(first, of)
-    keep = rank < (limit if limit is not None else found.shape[1] + 1)
-    return [t["rid"][found[0]][keep], t["rid"][found[1]][keep], found[2][keep], np.repeat(of, of)[keep]]
+        # a pair is looked at in the first band that it shares
+        first = (t["sig"][one].view(np.uint64) == t["sig"][other].view(np.uint64)).argmax(axis=1) == t["band"][one]
+        one, other = one[first], other[first]
+        agree = (t["sig"][one] == t["sig"][other]).sum(axis=1)
+        good = agree >= AGREE * COORDINATES
+        found = np.stack([one[good], other[good], agree[good]])
+        found = found[:, np.lexsort((t["rid"][found[1]], -found[2], found[0]))]
+        if not found.shape[1]:
+            continue
+        if limit is None:
+            if sets is None:
+                sets, roots = _Sets(t["elements"]), _Roots(t["comp"])
+            found = _joining(found, roots, sets, percent)
+        begins = np.flatnonzero(np.concatenate([[True], found[0, 1:] != found[0, :-1]])) if found.shape[1] else np.empty(0, np.int64)
+        of = np.diff(np.append(begins, found.shape[1]))
+        rank = np.arange(found.shape[1]) - np.repeat(begins, of)
+        keep = rank < (limit if limit is not None else found.shape[1] + 1)
+        out.append(np.concatenate([found, np.repeat(of, of)[None]])[:, keep])
+    found = np.concatenate(out, axis=1) if out else np.empty((4, 0), np.int64)
+    return [t["rid"][found[0]], t["rid"][found[1]], found[2], found[3]]
 
 
 def _seek_task(limit: int | None, percent: int):
