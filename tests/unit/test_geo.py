@@ -73,3 +73,26 @@ def test_geometry_join_equals_brute_force(spark):
     for name, test in geo.PREDICATES.items():
         got = sorted((r.id, r.key) for r in geo.geometry_join(a, b, name).collect())
         assert got == sorted((i, k) for i, s in enumerate(shapes) for k, t in enumerate(areas) if test(s, t)), name
+
+
+def _box(x, y, w=1.0, h=1.0):
+    return [[(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]]
+
+
+def test_union_takes_shared_borders_away():
+    def union(*polygons):
+        return geo.parse_wkb(geo.merge([geo.write_wkb(geo.POLYGON, p) for p in polygons]))
+
+    kind, c = union(_box(0.0, 0.0), _box(1.0, 0.0))
+    assert kind == geo.POLYGON and set(c[0]) == {(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0)} and len(c) == 1
+    # eight of nine fields leave a hole
+    kind, c = union(*[_box(float(i % 3), float(i // 3)) for i in range(9) if i != 4])
+    assert kind == geo.POLYGON and len(c) == 2 and set(c[1]) == {(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0)}
+    assert not geo.inside(1.5, 1.5, kind, c) and geo.inside(0.5, 1.5, kind, c)
+    assert geo.centroid_of(kind, c) == (1.5, 1.5)
+    # a filled hole, parts that touch nothing, and overlaps, which stay side by side
+    assert union([_box(0.0, 0.0, 4.0, 4.0)[0], _box(1.0, 1.0)[0]], _box(1.0, 1.0))[0] == geo.POLYGON
+    assert union(_box(0.0, 0.0), _box(5.0, 5.0))[0] == geo.MULTIPOLYGON
+    assert union(_box(0.0, 0.0, 2.0, 2.0), _box(1.0, 1.0, 2.0, 2.0))[0] == geo.MULTIPOLYGON
+    assert union(_box(0.0, 1.0, 3.0, 1.0), _box(1.0, 0.0, 1.0, 3.0))[0] == geo.MULTIPOLYGON
+    assert union(_box(0.0, 0.0), _box(0.0, 0.0))[0] == geo.POLYGON

@@ -341,8 +341,66 @@ def st_box(geometry: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["x0", "y0", "x1", "y1"]).astype(float)
 
 
+def _area(ring: list) -> float:
+    return sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False)) / 2
+
+
+def dissolve(polygons: list) -> list:
+    """Polygons with the borders that they share taken away.
+
+    Pieces of rings that two polygons run along in opposite directions cancel out, and
+    what is left is put together to rings again.  Polygons whose interiors overlap, and
+    borders that meet without having the same corners, stay side by side.
+    """
+    for i, a in enumerate(polygons):
+        for b in polygons[:i]:
+            pair = (POLYGON, a), (POLYGON, b)
+            crossing = any(0 < t < 1 and locate(((1 - t) * c[0] + t * d[0], (1 - t) * c[1] + t * d[1]), POLYGON, b) == 0 and _inner(c, d, b) for c, d in _segments(POLYGON, a) for t in _cuts(c, d, _segments(POLYGON, b)))
+            if crossing or any(locate(tuple(p), *pair[1]) > 0 for p in _points(*pair[0])) or any(locate(tuple(p), *pair[0]) > 0 for p in _points(*pair[1])):
+                return polygons
+    ways: dict = {}
+    total = 0
+    for polygon in polygons:
+        for i, ring in enumerate(polygon):
+            own = [tuple(p) for p in ring]
+            if (_area(own) > 0) != (i == 0):  # outer rings to the left, holes to the right
+                own.reverse()
+            for a, b in zip(own, own[1:], strict=False):
+                total += 1
+                if a in ways.get(b, ()):
+                    ways[b].remove(a)
+                else:
+                    ways.setdefault(a, []).append(b)
+    if sum(map(len, ways.values())) == total:
+        return polygons
+    rings = []
+    for start in sorted(ways):
+        while ways[start]:
+            ring = [start]
+            while len(ring) == 1 or ring[-1] != start:
+                ring.append(ways[ring[-1]].pop())
+            rings.append(_straight(ring))
+    outer = sorted(([r] for r in rings if _area(r) > 0), key=lambda p: _area(p[0]))
+    for hole in (r for r in rings if _area(r) < 0):
+        next(p for p in outer if all(locate(q, POLYGON, [p[0]]) >= 0 for q in hole)).append(hole)
+    return outer
+
+
+def _inner(a: tuple, b: tuple, polygon: list) -> bool:
+    """Does any part of the piece from a to b lie in the polygon's interior?"""
+    cuts = sorted({0.0, 1.0, *_cuts(a, b, _segments(POLYGON, polygon))})
+    return any(locate((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])), POLYGON, polygon) > 0 for t in ((x + y) / 2 for x, y in zip(cuts, cuts[1:], strict=False)))
+
+
+def _straight(ring: list) -> list:
+    """A closed ring without corners that lie on a straight line."""
+    own = ring[:-1]
+    kept = [p for i, p in enumerate(own) if not _on(p, own[i - 1], own[(i + 1) % len(own)])]
+    return [*kept, kept[0]] if len(kept) > 2 else ring
+
+
 def merge(geometries: list[bytes]) -> bytes | None:
-    """Union without dissolving: distinct points as one multipoint, polygons and lines side by side."""
+    """Union: distinct points as one multipoint, polygons without the borders they share, lines side by side."""
     parsed = [parse_wkb(g) for g in geometries if g is not None]
     if not parsed:
         return None
@@ -355,6 +413,8 @@ def merge(geometries: list[bytes]) -> bytes | None:
         for one in [(k - 3, x) for x in c] if MULTIPOINT <= k <= MULTIPOLYGON else c if k == COLLECTION else [(k, c)]:
             parts[write_wkb(*one)] = one
     items = [parts[k] for k in sorted(parts)]
+    areas = dissolve([c for k, c in items if k == POLYGON])
+    items = [(k, c) for k, c in items if k != POLYGON] + [(POLYGON, c) for c in areas]
     own = {k for k, _ in items}
     if len(items) == 1:
         return write_wkb(*items[0])

@@ -257,6 +257,14 @@ def levenshtein_norm(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", text.edit_distance(F.col("p_name"), F.col("p_type")).cast("long").alias("d"))
 
 
+@query(f"SELECT p_partkey, {_soundex_sql('p_name')} AS code, levenshtein(trim(regexp_replace(lower(p_name), '[^a-z0-9]', ' ', 'g')), trim(regexp_replace(lower(p_type), '[^a-z0-9]', ' ', 'g'))) AS d FROM part WHERE {_soundex_sql('p_name')} = {_soundex_sql('p_type')} OR p_size > 5")
+def sql_functions(spark, sf_dir):
+    """The functions that users have in their own SQL."""
+    text.register(spark)
+    _table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return spark.sql("SELECT p_partkey, name_soundex(p_name) AS code, CAST(edit_distance_ci(p_name, p_type) AS BIGINT) AS d FROM part WHERE name_soundex(p_name) = name_soundex(p_type) OR p_size > 5")
+
+
 # -- pipeline tables -----------------------------------------------------------------------
 
 
