@@ -46,3 +46,11 @@ def test_nulls_no_letters_and_clashing_names(spark):
     assert got[1].lang_pred == "xx" and got[5].lang_pred == "yy" and 0 <= got[1].score <= 1
     assert {r.lang_pred for r in C.identify(df, F.lit(False)).collect()} == {"und"}
     assert C.identify(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_repeated_rows_and_ties(spark):
+    rows = [(i, "abc def ghi " * 20, "xx") for i in range(6)] + [(i, "abc def ghi " * 20, "yy") for i in range(6, 12)] + [(0, "abc def ghi " * 20, "xx")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = C.identify(df, F.lit(True)).collect()
+    assert len(got) == 52 and len({(r.lang_pred, r.score) for r in got}) == 1 and got[0].lang_pred in ("xx", "yy")
+    assert {(r.lang_pred, r.score) for r in C.identify(df.repartition(3), F.lit(True)).collect()} == {(got[0].lang_pred, got[0].score)}

@@ -128,14 +128,14 @@ def char_spans(text: str, hit: np.ndarray) -> list[dict]:
     return out
 
 
-def _scanner(shared, text_at: int, keep: list[int]):
+def _scanner(shared, text_at: int, keep: list[int], cleaned: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, hashes = shared.value, WordHashes()
         kinds = pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                n_words, n_hit, items, spans = [], [], [], []
+                n_words, n_hit, items, spans, rest = [], [], [], [], []
                 for text in batch.column(text_at):
                     text = text.as_py()
                     words = words_of(text)
@@ -144,9 +144,14 @@ def _scanner(shared, text_at: int, keep: list[int]):
                     n_hit.append(int(hit.sum()))
                     items.append(sorted(x for x in got if x is not None))
                     spans.append(char_spans(text, hit) if n_hit[-1] else [])
+                    rest.append(cut(text, spans[-1]) if cleaned and n_hit[-1] else None)
                 cols = [batch.column(i) for i in keep]
+                names = [*(batch.schema.names[i] for i in keep), "n_words", "n_hit", "items", "hits"]
                 cols += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, kinds[0]), pa.array(spans, kinds[1])]
-                yield pa.RecordBatch.from_arrays(cols, [*(batch.schema.names[i] for i in keep), "n_words", "n_hit", "items", "hits"])
+                if cleaned:
+                    cols.append(pa.array(rest, pa.string()))
+                    names.append("cleaned")
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return scan
 
@@ -171,52 +176,58 @@ def _union(spans: list) -> list:
     return out
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, width: int = 10, max_windows: int = 2_000_000, keep_text: bool = False) -> DataFrame:
-    """documents (without text unless keep_text) plus n_words, n_hit, items and hits."""
+def scan(documents: DataFrame, benchmark: DataFrame, width: int = 10, max_windows: int = 2_000_000, keep_text: bool = False, cleaned: bool = False) -> DataFrame:
+    """documents (without text unless keep_text) plus n_words, n_hit, items and hits.
+
+    cleaned: also the column of that name, the text without the hits; null without a hit.
+    """
     spark = documents.sparkSession
     small_batches(spark)
     sizes = benchmark.select(F.sum(F.length("text")).alias("n")).first()
     # a window begins at a word of at least one character and a break
     parts = max(1, -(-int(sizes["n"] or 0) // (2 * max_windows)))
-    added = ("n_words", "n_hit", "items", "hits")
+    added = ("n_words", "n_hit", "items", "hits", *(("cleaned",) if cleaned else ()))
     docs = documents.drop(*added)
     fields = docs.schema.fields
     text_at = docs.columns.index("text")
     keep = [i for i, f in enumerate(fields) if keep_text or i != text_at]
     schema = T.StructType([fields[i] for i in keep] + T.StructType.fromDDL(RESULT).fields)
+    if cleaned:
+        schema.add("cleaned", "string")
 
-    def one(part: int, rows: DataFrame, kept: list[int], kind: T.StructType) -> DataFrame:
+    def one(part: int, rows: DataFrame, kept: list[int], kind: T.StructType, cleaned: bool) -> DataFrame:
         items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
         if parts > 1:
             items = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
         shared = spark.sparkContext.broadcast(WindowSet([(r["item"], r["text"]) for r in items.toLocalIterator()], width))
-        return rows.mapInArrow(_scanner(shared, rows.columns.index("text"), kept), kind)
+        return rows.mapInArrow(_scanner(shared, rows.columns.index("text"), kept, cleaned), kind)
 
     if parts == 1:
-        return one(0, docs, keep, schema)
+        return one(0, docs, keep, schema, cleaned)
     # the numbers of the rows are fixed once they are written
     rows = stash(docs.withColumn("__row", F.monotonically_increasing_id()), f"{scratch(spark)}/rows")
     slim = rows.select("__row", "text")
     kind = T.StructType([slim.schema["__row"], *T.StructType.fromDDL(RESULT).fields])
-    passes = [one(p, slim, [0], kind) for p in range(parts)]
+    passes = [one(p, slim, [0], kind, False) for p in range(parts)]
     both = passes[0]
     for x in passes[1:]:
         both = both.unionByName(x)
     joined = rows.join(_merged(both), "__row")
     count = _recount(spark)
-    out = joined.withColumn("__c", count("text", "hits")).withColumn("n_hit", F.col("__c.n_hit")).withColumn("hits", F.col("__c.hits"))
+    out = joined.withColumn("__c", count("text", "hits")).withColumn("n_hit", F.col("__c.n_hit")).withColumn("hits", F.col("__c.hits")).withColumn("cleaned", F.col("__c.cleaned"))
     return out.select(*[f.name for f in schema.fields])
 
 
 def _recount(spark: SparkSession):
-    @F.pandas_udf("n_hit long, hits array<struct<start:int,end:int>>")
+    @F.pandas_udf("n_hit long, hits array<struct<start:int,end:int>>, cleaned string")
     def recount(text: pd.Series, hits: pd.Series) -> pd.DataFrame:
-        n, merged = [], []
+        n, merged, rest = [], [], []
         for t, s in zip(text, hits, strict=True):
             spans = _union(sorted(({"start": x["start"], "end": x["end"]} for x in s), key=lambda x: (x["start"], x["end"])))
             n.append(sum(len(WORD.findall(t[x["start"] : x["end"]])) for x in spans))
             merged.append(spans)
-        return pd.DataFrame({"n_hit": n, "hits": merged})
+            rest.append(cut(t, spans) if spans else None)
+        return pd.DataFrame({"n_hit": n, "hits": merged, "cleaned": rest})
 
     return recount
 
@@ -236,15 +247,10 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, width: int = 10, dr
     drop_share of the words is removed whole (1.0: nothing else would be left of it).
     Clean documents pass unchanged, those without words too.
     """
-    @F.pandas_udf("string")
-    def without(text: pd.Series, hits: pd.Series) -> pd.Series:
-        return pd.Series([cut(t, s) if t is not None and len(s) else t for t, s in zip(text, hits, strict=True)], dtype=object)
-
     names = documents.columns
-    found = scan(documents, benchmark, width, keep_text=True)
+    found = scan(documents, benchmark, width, keep_text=True, cleaned=True)
     kept = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < drop_share * F.col("n_words")))
-    # texts without a hit stay in the JVM
-    out = kept.withColumn("__new", F.when(F.col("n_hit") > 0, without("text", "hits")).otherwise(F.col("text")))
+    out = kept.withColumn("__new", F.when(F.col("n_hit") > 0, F.col("cleaned")).otherwise(F.col("text")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.length("__new").cast("long")).otherwise(F.col("n_chars")))
     return out.withColumn("text", F.col("__new")).select(*names)
