@@ -141,3 +141,27 @@ def test_stream(spark, tmp_path):
     q = recognize_stream(stream, p, "dict", recognize.dictionary(words), f"file://{tmp_path}/c")
     q.awaitTermination(120)
     assert q.exception() is None and p.documents().count() == 2 and [r.text for r in p.table("reference").collect()] == ["Paris"]
+
+
+def test_model_recognizers_on_long_texts(spark):
+    def load():
+        import re
+
+        def predict(texts):
+            assert all(len(t) <= 60 for t in texts)
+            return [None if "broken" in t else [m.span() for m in re.finditer("Paris", t)] for t in texts]
+
+        return predict
+
+    text = "x" * 37 + " Paris " + "y" * 90 + " Paris"
+    docs = spark.createDataFrame([("a", text), ("b", "Paris"), ("c", None), ("d", ""), ("e", text + " broken")], "id string, text string")
+    got = {r.id: r.spans for r in recognize.model(load, window=60, overlap=20)(docs).collect()}
+    assert [(s.start, s.end) for s in got["a"]] == [(38, 43), (135, 140)] and text[135:140] == "Paris"
+    assert len(got["b"]) == 1 and got["c"] is None and got["d"] == [] and got["e"] is None
+    short = {r.id: r.spans for r in recognize.model(load, most_chars=60)(docs).collect()}
+    assert short["a"] is None and len(short["b"]) == 1
+    for n in (1, 59, 60, 61, 100, 140):
+        parts = recognize.pieces("z" * n, 60, 20)
+        assert parts[0][0] == 0 and parts[-1][0] + len(parts[-1][1]) == n and all(b[0] - a[0] == 40 for a, b in zip(parts, parts[1:], strict=False))
+    with pytest.raises(ValueError):
+        recognize.model(load, window=10, overlap=10)

@@ -73,3 +73,34 @@ def test_problems_and_sinks(spark):
     f = sinks.geojson_features(spark.range(2).select(F.col("id").alias("key"), F.lit(None).cast("string").alias("geometry_json"), F.struct("id").alias("properties")))
     assert len(json.loads(sinks.geojson_collection(f).first().value)["features"]) == 2
     assert sinks.differences({"a": 1, "b": 2}, {"a": 1, "b": 3}) == ["b"] and "<rect" in sinks.bar_chart({"x": 0.5})
+
+
+def test_dropped_spans_and_first_claims(spark, tmp_path):
+    spans = [{"start": 0, "end": 5, "LOC": "Paris", "lat": 1.0, "lon": 2.0}, {"start": 2, "end": 5, "LOC": "Rome", "lat": 1.0, "lon": 2.0}]
+    (tmp_path / "n.json").write_text(json.dumps({"b": {"text": "Paris", "spans": spans}, "a": {"text": "x", "spans": []}}))
+    got = {r.identifier: r for r in corpora.newsli(spark, f"file://{tmp_path}/n.json").collect()}
+    assert [g.name for g in got["b"].gold] == ["Paris"] and got["b"].dropped == 1 and got["a"].dropped == 0
+    claims = spark.createDataFrame([("Q1", 2, 9.0, 9.0), ("Q1", 1, 1.0, 2.0)], "qid string, pos int, latitude double, longitude double")
+    first = {r.qid: (r.latitude, r.longitude) for r in corpora.first_coordinates(claims, spark.createDataFrame([("Q1",), ("Q2",), ("Q1",)], "qid string")).collect()}
+    assert first == {"Q1": (1.0, 2.0), "Q2": (None, None)}
+
+
+def test_places_in_wgs84(spark):
+    df = spark.createDataFrame([(geo.MERCATOR_M * 3.141592653589793, 0.0)], "x double, y double")
+    r = sinks.wgs84(df, "EPSG:3857").first()
+    assert abs(r.longitude - 180) < 1e-9 and abs(r.latitude) < 1e-9 and sinks.wgs84(df, "EPSG:4326").first().longitude == df.first().x
+
+
+def test_skipped_header_lines(spark, tmp_path):
+    attr = [{"name": "id", "type": "integer"}, {"name": "name", "type": "text"}]
+    for skip, head in ((1, "a\tb\n"), (2, "x\ny\n")):
+        (tmp_path / f"h{skip}.txt").write_text(head + "1\tone\n2\ttwo\n")
+        s = Source("h", attr, path=f"file://{tmp_path}/h{skip}.txt", delimiter="\t", quote="", skip_rows=skip)
+        assert [tuple(r) for r in tables.load(spark, s).orderBy("id").collect()] == [(1, "one"), (2, "two")]
+
+
+def test_corpus_digest(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", None), ("b", None)], "identifier string, text string")
+    one = corpora.digest(df)
+    assert one == corpora.digest(df.select("text", "identifier").repartition(3)) and len(one) == 64
+    assert one != corpora.digest(df.distinct()) and one != corpora.digest(df.where("text is null"))

@@ -45,16 +45,41 @@ def dictionary(words: DataFrame, most_words: int = 3) -> Callable[[DataFrame], D
     return predict
 
 
-def model(load: Callable[[], Callable[[list[str]], list]], batch: int = 32) -> Callable[[DataFrame], DataFrame]:
-    """Any model: load() runs once per task and returns texts -> lists of (start, end) or None."""
+def pieces(text: str, window: int, overlap: int) -> list[tuple[int, str]]:
+    """Windows of a long text with where they begin; the last one ends with the text."""
+    step = window - overlap
+    starts = [0, *range(step, max(1, len(text) - overlap), step)] if len(text) > window else [0]
+    return [(at, text[at : at + window]) for at in starts]
+
+
+def model(load: Callable[[], Callable[[list[str]], list]], batch: int = 32, most_chars: int | None = None, window: int | None = None, overlap: int = 200) -> Callable[[DataFrame], DataFrame]:
+    """Any model: load() runs once per task and returns texts -> lists of (start, end) or None.
+
+    most_chars: longer texts are not given to the model and are unavailable.  window: longer
+    texts are given in windows that overlap, and their spans put together; a text is
+    unavailable if one of its windows is.  Null texts are unavailable.
+    """
+    if window is not None and not 0 <= overlap < window:
+        raise ValueError("windows must be longer than their overlap")
 
     def run(batches):
         own = load()
         for pdf in batches:
-            spans = []
-            for i in range(0, len(pdf), batch):
-                spans += own(pdf["text"].iloc[i : i + batch].tolist())
-            yield pd.DataFrame({"id": pdf["id"], "spans": [None if s is None else [{"start": a, "end": b} for a, b in s] for s in spans]})
+            asked = []
+            for i, text in enumerate(pdf["text"]):
+                if text is not None and (most_chars is None or len(text) <= most_chars):
+                    asked += [(i, at, part) for at, part in (pieces(text, window, overlap) if window else [(0, text)])]
+            found: list = [None] * len(pdf)
+            failed = set()
+            for k in range(0, len(asked), batch):
+                some = asked[k : k + batch]
+                for (i, at, _), spans in zip(some, own([part for _, _, part in some]), strict=True):
+                    if spans is None:
+                        failed.add(i)
+                    else:
+                        found[i] = (found[i] or set()) | {(a + at, b + at) for a, b in spans}
+            rows = [None if s is None or i in failed else [{"start": a, "end": b} for a, b in sorted(s)] for i, s in enumerate(found)]
+            yield pd.DataFrame({"id": pdf["id"], "spans": pd.Series(rows, index=pdf.index, dtype=object)})
 
     def predict(docs: DataFrame) -> DataFrame:
         return docs.select("id", "text").mapInPandas(run, T.StructType([docs.schema["id"], T.StructField("spans", SPAN_LIST)]))

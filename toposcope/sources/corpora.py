@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +97,14 @@ def first_coordinates(claims: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.select("qid").distinct().join(first, "qid", "left").select("qid", "c.latitude", "c.longitude")
 
 
+def digest(corpus: DataFrame) -> str:
+    """A fingerprint of the rows of a corpus, whatever their order; repeated rows count."""
+    row = F.to_json(F.struct(*sorted(corpus.columns)), {"ignoreNullFields": "false"})
+    sums = [F.sum(F.xxhash64(row, F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)]
+    r = corpus.agg(F.count("*").alias("n"), *sums).first()
+    return hashlib.sha256(":".join(map(str, r)).encode()).hexdigest()
+
+
 def unique_records(rows: DataFrame, by: str) -> DataFrame:
     """Rows that are equal in all columns count once; removed and collapsed counts per group."""
     each = rows.groupBy(*rows.columns).agg(F.count("*").alias("__c"))
