@@ -9,6 +9,7 @@ from toposcope.llm import (
     circulant_minhash,
     decontaminate,
     deobfuscate,
+    external_shuffle,
     permutation_index,
     secret_ledger,
     site_style_tree,
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op8_secret_ledger": secret_ledger.op8_secret_ledger,
         "op9_deobfuscate": deobfuscate.op9_deobfuscate,
         "op10_permutation_index": permutation_index.op10_permutation_index,
+        "op12_external_shuffle": external_shuffle.op12_external_shuffle,
         "pipeline": corpus_pipeline.run,
     }
 
