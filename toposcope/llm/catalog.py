@@ -14,6 +14,7 @@ from toposcope.llm import (
     secret_ledger,
     site_style_tree,
     soft_mixing,
+    source_divergence,
     token_rollups,
 )
 
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op8_secret_ledger": secret_ledger.op8_secret_ledger,
         "op9_deobfuscate": deobfuscate.op9_deobfuscate,
         "op10_permutation_index": permutation_index.op10_permutation_index,
+        "op11_source_divergence": source_divergence.op11_source_divergence,
         "op12_external_shuffle": external_shuffle.op12_external_shuffle,
         "pipeline": corpus_pipeline.run,
     }
@@ -39,4 +41,5 @@ def oracle_sql() -> dict:
     return {
         "op6_decontaminate": decontaminate.ORACLE_SQL,
         "op8_secret_ledger": secret_ledger.ORACLE_SQL,
+        "op11_source_divergence": source_divergence.ORACLE_SQL,
     }
