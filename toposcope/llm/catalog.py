@@ -10,6 +10,7 @@ from toposcope.llm import (
     decontaminate,
     deobfuscate,
     external_shuffle,
+    max_tree_search,
     permutation_index,
     secret_ledger,
     site_style_tree,
@@ -33,6 +34,7 @@ def queries() -> dict:
         "op10_permutation_index": permutation_index.op10_permutation_index,
         "op11_source_divergence": source_divergence.op11_source_divergence,
         "op12_external_shuffle": external_shuffle.op12_external_shuffle,
+        "op13_max_tree_search": max_tree_search.op13_max_tree_search,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -42,4 +44,5 @@ def oracle_sql() -> dict:
         "op6_decontaminate": decontaminate.ORACLE_SQL,
         "op8_secret_ledger": secret_ledger.ORACLE_SQL,
         "op11_source_divergence": source_divergence.ORACLE_SQL,
+        "op13_max_tree_search": max_tree_search.ORACLE_SQL,
     }
