@@ -1,8 +1,11 @@
+import math
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from toposcope.functions import geo
+from toposcope.functions import geo, overlay
 
 RING = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
 HOLE = [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0), (1.0, 1.0)]
@@ -35,7 +38,7 @@ def test_spark_functions(spark):
     assert abs(got[0] - 10) < 1e-9 and abs(got[1] - 50) < 1e-9
     points = spark.createDataFrame([(1, 3.0, 3.0), (2, 9.0, 9.0), (3, None, 1.0)], "id int, x double, y double")
     shapes = spark.createDataFrame([("sq", geo.write_wkb(geo.POLYGON, [RING]))], "name string, geometry binary")
-    assert {r.id: r.name for r in geo.spatial_join(points, shapes, 1.5, "left").collect()} == {1: "sq", 2: None, 3: None}
+    assert {r.id: r.name for r in geo.spatial_join(points, shapes, "left").collect()} == {1: "sq", 2: None, 3: None}
     c = shapes.select(geo.st_centroid("geometry").alias("c"), geo.geojson_geometry("geometry").alias("j")).first()
     assert (c.c.x, c.c.y) == (2.0, 2.0) and c.j.startswith('{"type": "Polygon"')
 
@@ -90,9 +93,77 @@ def test_union_takes_shared_borders_away():
     assert kind == geo.POLYGON and len(c) == 2 and set(c[1]) == {(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0)}
     assert not geo.inside(1.5, 1.5, kind, c) and geo.inside(0.5, 1.5, kind, c)
     assert geo.centroid_of(kind, c) == (1.5, 1.5)
-    # a filled hole, parts that touch nothing, and overlaps, which stay side by side
+    # a filled hole, parts that touch nothing, and overlaps
     assert union([_box(0.0, 0.0, 4.0, 4.0)[0], _box(1.0, 1.0)[0]], _box(1.0, 1.0))[0] == geo.POLYGON
     assert union(_box(0.0, 0.0), _box(5.0, 5.0))[0] == geo.MULTIPOLYGON
-    assert union(_box(0.0, 0.0, 2.0, 2.0), _box(1.0, 1.0, 2.0, 2.0))[0] == geo.MULTIPOLYGON
-    assert union(_box(0.0, 1.0, 3.0, 1.0), _box(1.0, 0.0, 1.0, 3.0))[0] == geo.MULTIPOLYGON
+    for pair, area in (((_box(0.0, 0.0, 2.0, 2.0), _box(1.0, 1.0, 2.0, 2.0)), 7.0), ((_box(0.0, 1.0, 3.0, 1.0), _box(1.0, 0.0, 1.0, 3.0)), 5.0)):
+        one = union(*pair)
+        assert one[0] == geo.POLYGON and geo.area_of(*one) == area
     assert union(_box(0.0, 0.0), _box(0.0, 0.0))[0] == geo.POLYGON
+
+
+def test_random_unions_cover_what_their_parts_cover():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(60):
+        boxes = [(rng.randrange(12), rng.randrange(12), rng.randrange(1, 6), rng.randrange(1, 6)) for _ in range(rng.randrange(1, 14))]
+        got = overlay.union([_box(*map(float, b)) for b in boxes])
+        cells = {(i, j) for x, y, w, h in boxes for i in range(x, x + w) for j in range(y, y + h)}
+        assert abs(geo.area_of(geo.MULTIPOLYGON, got) - len(cells)) < 1e-9
+        assert all(sum(geo.inside(i + 0.5, j + 0.5, geo.POLYGON, p) for p in got) == ((i, j) in cells) for i in range(18) for j in range(18))
+    for _ in range(60):
+        stars = []
+        for _ in range(rng.randrange(2, 9)):
+            cx, cy, k = rng.random() * 10, rng.random() * 10, rng.randrange(5, 12)
+            ring = [(cx + r * math.cos(a), cy + r * math.sin(a)) for a in (2 * math.pi * i / k for i in range(k)) for r in [1 + 2 * rng.random()]]
+            stars.append([[*ring, ring[0]][:: rng.choice((1, -1))]])
+        got = overlay.union(stars)
+        for _ in range(100):
+            x, y = rng.random() * 14 - 2, rng.random() * 14 - 2
+            assert sum(geo.inside(x, y, geo.POLYGON, p) for p in got) == any(geo.inside(x, y, geo.POLYGON, p) for p in stars)
+
+
+def test_unions_at_corners_and_of_odd_input():
+    two = overlay.union([_box(0.0, 0.0), _box(1.0, 1.0)])  # they meet in a corner and stay two
+    assert len(two) == 2 and all(len(p) == 1 and len(p[0]) == 5 for p in two)
+    ring = [_box(0.0, 0.0, 3.0, 1.0), _box(0.0, 2.0, 3.0, 1.0), _box(0.0, 0.0, 1.0, 3.0), _box(2.0, 0.0, 1.0, 3.0)]
+    (frame,) = overlay.union(ring)
+    assert len(frame) == 2 and geo.area_of(geo.POLYGON, frame) == 8
+    # an island in the hole of another, the hole filled by parts, a flat ring, nothing at all
+    assert len(overlay.union([*ring, _box(1.25, 1.25, 0.5, 0.5)])) == 2
+    assert [len(p) for p in overlay.union([*ring, _box(0.5, 0.5, 1.0, 2.0), _box(1.5, 0.5, 1.0, 2.0)])] == [1]
+    assert overlay.union([[[(0.0, 0.0), (1.0, 1.0), (0.0, 0.0)]]]) == [] == overlay.union([])
+    assert geo.area_of(geo.MULTIPOLYGON, overlay.union([_box(1e6, 1e6, 1e-3, 1e-3), _box(1e6 + 5e-4, 1e6, 1e-3, 1e-3)])) == pytest.approx(1.5e-6, rel=1e-3)
+
+
+def test_hot_key_is_merged_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(geo, "MERGED", 4)
+    rows = [("hot", geo.write_wkb(geo.POLYGON, _box(float(i % 20), float(i // 20), 1.5, 1.5))) for i in range(200)] + [("one", geo.write_wkb(geo.POLYGON, _box(0.0, 0.0))), ("none", None)]
+    got = {r.k: geo.parse_wkb(r.geometry) for r in geo.merged(spark.createDataFrame(rows, "k string, shape binary"), "k", "shape").collect()}
+    assert set(got) == {"hot", "one"} and geo.area_of(*got["hot"]) == 20.5 * 10.5 and got["hot"][0] == geo.POLYGON
+
+
+def test_extents_of_any_ratio_give_few_rows(spark):
+    def box(k, x, y, w, h):
+        return (k, geo.write_wkb(geo.POLYGON, _box(x, y, w, h)))
+
+    world = [box(0, -180.0, -90.0, 360.0, 180.0), box(1, 1e-9, 1e-9, 1e-9, 1e-9), box(2, 3.0, 3.0, 1e5, 1e-6)]
+    small = [box(i, i % 30 - 15.0, i // 30 - 15.0, 4.0 ** -(i % 20), 1e-7) for i in range(900)] + [(900, geo.write_wkb(geo.POINT, (1.5e-9, 1.5e-9))), (901, geo.write_wkb(geo.POINT, (1e300, 1.0)))]
+    a, b = spark.createDataFrame(world, "id int, shape binary"), spark.createDataFrame(small, "key int, other binary")
+    boxed = a.withColumn("__a", geo.st_box("shape"))
+    cells = geo._in_cells(boxed, "__a", geo._levels(b.withColumn("__b", geo.st_box("other")), "__b"), -30)
+    assert max(r["count"] for r in cells.groupBy("id").count().collect()) < 100
+    got = sorted((r.id, r.key) for r in geo.geometry_join(a, b, "intersects").collect())
+    parse = lambda g: geo.parse_wkb(g)
+    assert got == sorted((i, k) for i, s in world for k, t in small if geo.intersects(parse(s), parse(t))) and (1, 900) in got
+
+
+def test_relations_of_many_points_are_those_of_one(spark):
+    points = [geo.write_wkb(geo.POINT, (i / 2, j / 2)) for i in range(-1, 10) for j in range(-1, 10)]
+    areas = [geo.write_wkb(geo.POLYGON, [RING, HOLE]), geo.write_wkb(geo.MULTIPOLYGON, [[RING], _box(3.0, 3.0, 1.5, 1.5)])]
+    for name, test in geo.PREDICATES.items():
+        for area in areas:
+            pairs = [(area, p) for p in points] if name == "contains" else [(p, area) for p in points]
+            a, b = [x for x, _ in pairs] + [None], [y for _, y in pairs] + [area]
+            assert geo.related(name, a, b) == [test(geo.parse_wkb(x), geo.parse_wkb(y)) for x, y in pairs] + [None]

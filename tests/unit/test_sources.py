@@ -3,7 +3,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from toposcope.functions import geo
+from toposcope.functions import geo, projections
 from toposcope.plans.config import Source
 from toposcope.sources import corpora, sinks, tables
 
@@ -24,7 +24,7 @@ def test_geojson_and_projection(spark, tmp_path):
     s = Source("x", [{"name": "n", "type": "integer"}, {"name": "geometry", "type": "geometry"}], path=f"file://{tmp_path}/x.geojson")
     rows = tables.load(spark, s).collect()
     assert rows[0].n == 7 and geo.parse_wkb(bytes(rows[0].geometry)) == (geo.POINT, (10.0, 50.0)) and rows[1].geometry is None
-    df = tables.reproject(tables.reproject(tables.load(spark, s), "EPSG:4326", "EPSG:3857"), "EPSG:3857", "EPSG:4326")
+    df = projections.reproject(projections.reproject(tables.load(spark, s), "EPSG:4326", "EPSG:3857"), "EPSG:3857", "EPSG:4326")
     assert abs(geo.parse_wkb(bytes(df.first().geometry))[1][1] - 50) < 1e-9
 
 

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from toposcope.functions import overlay
+from toposcope.operators.scratch import written
+
 EARTH_KM = 6371.0088
 MERCATOR_M = 6378137.0
 POINT, LINE, POLYGON, MULTIPOINT, MULTILINE, MULTIPOLYGON, COLLECTION = range(1, 8)
@@ -197,22 +200,91 @@ def intersects(a: tuple, b: tuple) -> bool:
 PREDICATES = {"within": within, "contains": lambda a, b: within(b, a), "intersects": intersects}
 
 
+#: tests of a point against a piece that are done together
+TESTS = 1 << 20
+
+
+def _ring_pieces(polygon: list) -> np.ndarray:
+    """Pieces of all rings, as rows of x1, y1, x2, y2."""
+    rings = [np.asarray(ring, float) for ring in polygon]
+    return np.concatenate([np.hstack([r[:-1], r[1:]]) for r in rings]) if rings else np.zeros((0, 4))
+
+
+def _odd(x: np.ndarray, y: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """Ray casting, as in `inside`, of all points at once."""
+    x1, y1, x2, y2 = pieces.T
+    cross = (y1 > y[:, None]) != (y2 > y[:, None])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left = x[:, None] < (x2 - x1) * (y[:, None] - y1) / (y2 - y1) + x1
+    return (cross & left).sum(1) % 2 == 1
+
+
+def _touching(x: np.ndarray, y: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """Is a point on a piece?  As in `_on`."""
+    x1, y1, x2, y2 = pieces.T
+    px, py = x[:, None], y[:, None]
+    on = (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1) == 0
+    return (on & (np.minimum(x1, x2) <= px) & (px <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= py) & (py <= np.maximum(y1, y2))).any(1)
+
+
+def locate_all(x: np.ndarray, y: np.ndarray, polygons: list, borders: bool = True) -> np.ndarray:
+    """For each point 1 in the interior of a polygon, 0 on a border, -1 outside; without borders the ray alone decides."""
+    best = np.full(len(x), -1)
+    for polygon in polygons:
+        pieces = _ring_pieces(polygon)
+        for part in np.array_split(np.arange(len(x)), max(1, len(x) * len(pieces) // TESTS)):
+            at = np.where(_odd(x[part], y[part], pieces), 1, -1)
+            if borders:
+                at[_touching(x[part], y[part], pieces)] = 0
+            best[part] = np.maximum(best[part], at)
+    return best
+
+
+_POINT_HEAD = b"\x01\x01\x00\x00\x00"
+
+
+def _is_point(raw: bytes) -> bool:
+    return len(raw) == 21 and raw[:5] == _POINT_HEAD
+
+
+def _coordinates(points: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    xy = np.frombuffer(b"".join(p[5:] for p in points), "<f8").reshape(-1, 2)
+    return xy[:, 0], xy[:, 1]
+
+
+def related(predicate: str, a: list, b: list) -> list:
+    """The predicate of each pair of WKB; null where one is null.
+
+    Points against the same area are tested together, other pairs one by one.
+    """
+    test = PREDICATES[predicate]
+    out: list = [None] * len(a)
+    flip = predicate == "contains"
+    groups: dict[bytes, list[int]] = {}
+    for i, (p, q) in enumerate(zip(*((b, a) if flip else (a, b)), strict=True)):
+        if p is not None and q is not None:
+            groups.setdefault(q, []).append(i)
+    own = b if flip else a
+    for raw, rows in groups.items():
+        kind, c = parse_wkb(raw)
+        points = [i for i in rows if _is_point(own[i])] if kind in (POLYGON, MULTIPOLYGON) else []
+        if points:
+            at = locate_all(*_coordinates([own[i] for i in points]), _polygons(kind, c))
+            for i, where in zip(points, at, strict=True):
+                out[i] = bool(where >= 0 if predicate == "intersects" else where > 0)
+        for i in rows:
+            if out[i] is None:
+                other = parse_wkb(own[i])
+                out[i] = test((kind, c), other) if flip else test(other, (kind, c))
+    return out
+
+
 def relates(predicate: str):
     """A column function of two WKB columns; null where either is null."""
-    test = PREDICATES[predicate]
 
     @F.pandas_udf(T.BooleanType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        seen: dict = {}
-
-        def parsed(raw: bytes) -> tuple:
-            if raw not in seen:
-                if len(seen) > 256:
-                    seen.clear()
-                seen[raw] = parse_wkb(raw)
-            return seen[raw]
-
-        return pd.Series([None if x is None or y is None else test(parsed(x), parsed(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+        return pd.Series(related(predicate, list(a), list(b)), dtype=object)
 
     return run
 
@@ -236,7 +308,8 @@ def from_text(text: str) -> bytes:
 
 
 def register(spark) -> None:
-    """SQL names: ST_Point, ST_GeomFromText, ST_Centroid, ST_X, ST_Y, ST_AsGeoJSON, ST_Within, ST_Contains, ST_Intersects."""
+    """SQL names: ST_Point, ST_GeomFromText, ST_Centroid, ST_X, ST_Y, ST_AsGeoJSON, ST_Area, ST_AsWKB, ST_Transform, ST_Union_Agg, ST_Within, ST_Contains, ST_Intersects."""
+    from toposcope.functions.projections import st_transform
 
     @F.pandas_udf(T.BinaryType())
     def geometry_of(text: pd.Series) -> pd.Series:
@@ -253,8 +326,30 @@ def register(spark) -> None:
 
         return value
 
-    for name, function in {"ST_Point": st_point, "ST_GeomFromText": geometry_of, "ST_Centroid": middle, "ST_X": axis(0), "ST_Y": axis(1), "ST_AsGeoJSON": geojson_geometry, **{f"ST_{k.capitalize()}": relates(k) for k in PREDICATES}}.items():
+    @F.pandas_udf(T.BinaryType())
+    def union_all(geometry: pd.Series) -> bytes:
+        return merge([g for g in geometry if g is not None])
+
+    names = {"ST_Point": st_point, "ST_GeomFromText": geometry_of, "ST_Centroid": middle, "ST_X": axis(0), "ST_Y": axis(1), "ST_AsGeoJSON": geojson_geometry, "ST_Area": st_area, "ST_Transform": st_transform, "ST_Union_Agg": union_all}
+    for name, function in {**names, **{f"ST_{k.capitalize()}": relates(k) for k in PREDICATES}}.items():
         spark.udf.register(name, function)
+    # geometries are WKB here
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION ST_AsWKB(geometry BINARY) RETURNS BINARY RETURN geometry")
+
+
+def area_of(kind: int, coordinates) -> float:
+    """Of polygons, holes taken off; 0 for all else."""
+    total = 0.0
+    for polygon in _polygons(kind, coordinates):
+        for i, ring in enumerate(polygon):
+            r = np.asarray(ring, float) - np.asarray(ring[0], float)
+            total += (1 if i == 0 else -1) * abs(float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum())) / 2
+    return total
+
+
+@F.pandas_udf(T.DoubleType())
+def st_area(geometry: pd.Series) -> pd.Series:
+    return pd.Series([None if g is None else area_of(*parse_wkb(g)) for g in geometry], dtype=float)
 
 
 def centroid_of(kind: int, coordinates) -> tuple[float, float]:
@@ -305,18 +400,13 @@ def st_centroid(geometry: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.BooleanType())
 def st_within(x: pd.Series, y: pd.Series, polygon: pd.Series) -> pd.Series:
-    seen: dict = {}
-    out = []
-    for a, b, raw in zip(x, y, polygon, strict=True):
-        if raw is None or pd.isna(a) or pd.isna(b):
-            out.append(None)
-            continue
-        if raw not in seen:
-            if len(seen) > 256:
-                seen.clear()
-            seen[raw] = parse_wkb(raw)
-        out.append(inside(a, b, *seen[raw]))
-    return pd.Series(out, dtype=object)
+    """By ray casting: left and lower borders are inside; null where something is null."""
+    out = pd.Series([None] * len(x), dtype=object)
+    known = x.notna() & y.notna() & polygon.notna()
+    for raw, part in x[known].groupby(polygon[known], sort=False):
+        at = locate_all(part.to_numpy(float), y[part.index].to_numpy(float), _polygons(*parse_wkb(raw)), borders=False)
+        out[part.index] = pd.Series(at > 0, index=part.index, dtype=object)
+    return out
 
 
 @F.pandas_udf(T.StringType())
@@ -341,66 +431,8 @@ def st_box(geometry: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["x0", "y0", "x1", "y1"]).astype(float)
 
 
-def _area(ring: list) -> float:
-    return sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False)) / 2
-
-
-def dissolve(polygons: list) -> list:
-    """Polygons with the borders that they share taken away.
-
-    Pieces of rings that two polygons run along in opposite directions cancel out, and
-    what is left is put together to rings again.  Polygons whose interiors overlap, and
-    borders that meet without having the same corners, stay side by side.
-    """
-    for i, a in enumerate(polygons):
-        for b in polygons[:i]:
-            pair = (POLYGON, a), (POLYGON, b)
-            crossing = any(0 < t < 1 and locate(((1 - t) * c[0] + t * d[0], (1 - t) * c[1] + t * d[1]), POLYGON, b) == 0 and _inner(c, d, b) for c, d in _segments(POLYGON, a) for t in _cuts(c, d, _segments(POLYGON, b)))
-            if crossing or any(locate(tuple(p), *pair[1]) > 0 for p in _points(*pair[0])) or any(locate(tuple(p), *pair[0]) > 0 for p in _points(*pair[1])):
-                return polygons
-    ways: dict = {}
-    total = 0
-    for polygon in polygons:
-        for i, ring in enumerate(polygon):
-            own = [tuple(p) for p in ring]
-            if (_area(own) > 0) != (i == 0):  # outer rings to the left, holes to the right
-                own.reverse()
-            for a, b in zip(own, own[1:], strict=False):
-                total += 1
-                if a in ways.get(b, ()):
-                    ways[b].remove(a)
-                else:
-                    ways.setdefault(a, []).append(b)
-    if sum(map(len, ways.values())) == total:
-        return polygons
-    rings = []
-    for start in sorted(ways):
-        while ways[start]:
-            ring = [start]
-            while len(ring) == 1 or ring[-1] != start:
-                ring.append(ways[ring[-1]].pop())
-            rings.append(_straight(ring))
-    outer = sorted(([r] for r in rings if _area(r) > 0), key=lambda p: _area(p[0]))
-    for hole in (r for r in rings if _area(r) < 0):
-        next(p for p in outer if all(locate(q, POLYGON, [p[0]]) >= 0 for q in hole)).append(hole)
-    return outer
-
-
-def _inner(a: tuple, b: tuple, polygon: list) -> bool:
-    """Does any part of the piece from a to b lie in the polygon's interior?"""
-    cuts = sorted({0.0, 1.0, *_cuts(a, b, _segments(POLYGON, polygon))})
-    return any(locate((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])), POLYGON, polygon) > 0 for t in ((x + y) / 2 for x, y in zip(cuts, cuts[1:], strict=False)))
-
-
-def _straight(ring: list) -> list:
-    """A closed ring without corners that lie on a straight line."""
-    own = ring[:-1]
-    kept = [p for i, p in enumerate(own) if not _on(p, own[i - 1], own[(i + 1) % len(own)])]
-    return [*kept, kept[0]] if len(kept) > 2 else ring
-
-
 def merge(geometries: list[bytes]) -> bytes | None:
-    """Union: distinct points as one multipoint, polygons without the borders they share, lines side by side."""
+    """Union: distinct points as one multipoint, polygons as what they cover together, lines side by side."""
     parsed = [parse_wkb(g) for g in geometries if g is not None]
     if not parsed:
         return None
@@ -413,7 +445,7 @@ def merge(geometries: list[bytes]) -> bytes | None:
         for one in [(k - 3, x) for x in c] if MULTIPOINT <= k <= MULTIPOLYGON else c if k == COLLECTION else [(k, c)]:
             parts[write_wkb(*one)] = one
     items = [parts[k] for k in sorted(parts)]
-    areas = dissolve([c for k, c in items if k == POLYGON])
+    areas = overlay.union([c for k, c in items if k == POLYGON])
     items = [(k, c) for k, c in items if k != POLYGON] + [(POLYGON, c) for c in areas]
     own = {k for k, _ in items}
     if len(items) == 1:
@@ -428,44 +460,85 @@ def st_merge(geometries: pd.Series) -> pd.Series:
     return pd.Series([merge(list(g)) if g is not None else None for g in geometries], dtype=object)
 
 
-def spatial_join(points: DataFrame, polygons: DataFrame, cell: float, how: str = "inner") -> DataFrame:
-    """points (x, y) with polygons (geometry) that hold them.
+#: geometries of one identifier that a task merges at a time
+MERGED = 256
 
-    Both sides go to grid cells of the given size, so the join is an equi-join on cells;
-    the exact test runs on candidates alone.
+
+def merged(rows: DataFrame, key: str, shape: str) -> DataFrame:
+    """(key, geometry): the union of all shapes of a key, in rounds.
+
+    A round merges groups of about MERGED shapes, so that the shapes of a hot key spread
+    over tasks; the unions of a round, which are written, are the shapes of the next one.
+    """
+    spread = F.pmod(F.xxhash64("geometry"), F.greatest(F.lit(1), F.ceil(F.col("n") / MERGED)))
+    now = written(rows.select(F.col(key), F.col(shape).alias("geometry")).where("geometry is not null").distinct())
+    while True:
+        counts = now.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        most = counts.agg(F.max("n")).first()[0] or 0
+        done = now.join(counts, key).withColumn("part", spread).groupBy(key, "part").agg(F.collect_list("geometry").alias("g")).select(key, st_merge("g").alias("geometry"))
+        if most <= MERGED:
+            return done
+        now = written(done)
+
+
+def _level(box: str) -> Column:
+    """The power of 4 that a box fits in; null for points.  Cell numbers stay within 2 ** 45."""
+    extent = F.greatest(F.col(f"{box}.x1") - F.col(f"{box}.x0"), F.col(f"{box}.y1") - F.col(f"{box}.y0"))
+    far = F.greatest(*[F.abs(F.col(f"{box}.{c}")) for c in ("x0", "y0", "x1", "y1")])
+    least = F.when(far > 0, F.ceil(F.log2(far) / 2) - 22).otherwise(-500)
+    return F.when(extent > 0, F.greatest(F.ceil(F.log2(extent) / 2), least)).cast("int")
+
+
+def _in_cells(df: DataFrame, box: str, others: list[int], lowest: int) -> DataFrame:
+    """A row for each cell that a box touches at its own level, four at most, and at the higher ones of the other side."""
+    own = F.coalesce(_level(box), F.lit(lowest))
+    levels = F.array_union(F.array(own), F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > own))
+    rows = df.withColumn("__level", F.explode(levels)).withColumn("__own", F.col("__level") == own)
+    size = F.pow(F.lit(4.0), F.col("__level"))
+    span = lambda v: F.sequence(F.floor(F.col(f"{box}.{v}0") / size), F.floor(F.col(f"{box}.{v}1") / size))
+    return rows.withColumn("__cx", F.explode(span("x"))).withColumn("__cy", F.explode(span("y")))
+
+
+def _levels(df: DataFrame, box: str) -> list[int]:
+    return sorted(r[0] for r in df.select(_level(box).alias("l")).where("l is not null").distinct().collect())
+
+
+def box_join(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of rows of a and b whose boxes, `__a` and `__b`, touch: an equi-join on cells of a hierarchy.
+
+    A box has the level of the smallest power of 4 that it fits in, and touches four cells
+    there at most; both sides are also posted at the higher levels that the other side
+    has.  A pair meets at the higher level of the two, in the cell of the lower left corner
+    of what the boxes share.  Rows of a box are bounded by four times the levels of the
+    other side, whatever the extents; a hot cell is a skewed join, which Spark splits.
     """
-    p = points.withColumn("__row", F.monotonically_increasing_id()) if how == "left" else points
-    box = polygons.withColumn("__b", st_box("geometry")).where("__b.x0 is not null")
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    cells = box.withColumn("__cx", F.explode(span("__b.x0", "__b.x1"))).withColumn("__cy", F.explode(span("__b.y0", "__b.y1")))
-    near = p.withColumn("__cx", F.floor(F.col("x") / cell)).withColumn("__cy", F.floor(F.col("y") / cell)).join(cells, ["__cx", "__cy"])
-    found = near.where((F.col("x") >= F.col("__b.x0")) & (F.col("x") <= F.col("__b.x1")) & (F.col("y") >= F.col("__b.y0")) & (F.col("y") <= F.col("__b.y1")))
-    found = found.where(st_within("x", "y", "geometry")).drop("__cx", "__cy", "__b")
+    ups, downs = _levels(a, "__a"), _levels(b, "__b")
+    lowest = min(ups + downs, default=0)
+    left = _in_cells(a, "__a", downs or [lowest], lowest)
+    right = _in_cells(b, "__b", ups or [lowest], lowest).withColumnRenamed("__own", "__theirs")
+    near = left.join(right, ["__level", "__cx", "__cy"]).where("__own or __theirs")
+    size = F.pow(F.lit(4.0), F.col("__level"))
+    low, high = (lambda v: F.greatest(f"__a.{v}0", f"__b.{v}0")), (lambda v: F.least(f"__a.{v}1", f"__b.{v}1"))
+    once = near.where((low("x") <= high("x")) & (low("y") <= high("y")) & (F.floor(low("x") / size) == F.col("__cx")) & (F.floor(low("y") / size) == F.col("__cy")))
+    return once.drop("__level", "__own", "__theirs", "__cx", "__cy")
+
+
+def spatial_join(points: DataFrame, polygons: DataFrame, how: str = "inner") -> DataFrame:
+    """points (x, y) with polygons (geometry) that hold them, left and lower borders included."""
+    if how == "left":  # rows are numbered once, and both uses read what is on disk
+        points = written(points.withColumn("__row", F.monotonically_increasing_id()))
+    place = F.struct(F.col("x").cast("double").alias("x0"), F.col("y").cast("double").alias("y0"), F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1"))
+    a = points.where("x is not null and y is not null").withColumn("__a", place)
+    b = polygons.withColumn("__b", st_box("geometry")).where("__b.x0 is not null")
+    found = box_join(a, b).where(st_within("x", "y", "geometry")).drop("__a", "__b")
     if how == "inner":
         return found
     extra = [c for c in polygons.columns if c not in points.columns]
-    return p.join(found.select("__row", *extra), "__row", "left").drop("__row")
-
+    return points.join(found.select("__row", *extra), "__row", "left").drop("__row")
 
-def geometry_join(left: DataFrame, right: DataFrame, predicate: str, cell: float | None = None) -> DataFrame:
-    """Rows of left (shape) and right (other) whose geometries relate, as an equi-join on grid cells.
 
-    A pair meets in every cell that both boxes touch, and is taken in the one that holds
-    the lower left corner of what the boxes share.  Without a given size a cell is as large
-    as half of the boxes, or as a 64th of the largest.
-    """
+def geometry_join(left: DataFrame, right: DataFrame, predicate: str) -> DataFrame:
+    """Rows of left (shape) and right (other) whose geometries relate; the exact test runs on pairs whose boxes touch."""
     a = left.withColumn("__a", st_box("shape")).where("__a.x0 is not null")
     b = right.withColumn("__b", st_box("other")).where("__b.x0 is not null")
-    if cell is None:
-        extent = F.greatest(F.col("__b.x1") - F.col("__b.x0"), F.col("__b.y1") - F.col("__b.y0"))
-        sizes = b.agg(F.percentile_approx(extent, 0.5).alias("mid"), F.max(extent).alias("most")).first()
-        cell = max(sizes["mid"] or 0.0, (sizes["most"] or 0.0) / 64) or 1.0
-
-    def in_cells(df: DataFrame, box: str) -> DataFrame:
-        span = lambda v: F.sequence(F.floor(F.col(f"{box}.{v}0") / cell), F.floor(F.col(f"{box}.{v}1") / cell))
-        return df.withColumn("__cx", F.explode(span("x"))).withColumn("__cy", F.explode(span("y")))
-
-    near = in_cells(a, "__a").join(in_cells(b, "__b"), ["__cx", "__cy"])
-    low, high = (lambda v: F.greatest(f"__a.{v}0", f"__b.{v}0")), (lambda v: F.least(f"__a.{v}1", f"__b.{v}1"))
-    once = near.where((low("x") <= high("x")) & (low("y") <= high("y")) & (F.floor(low("x") / cell) == F.col("__cx")) & (F.floor(low("y") / cell) == F.col("__cy")))
-    return once.where(relates(predicate)("shape", "other")).drop("__cx", "__cy", "__a", "__b")
+    return box_join(a, b).where(relates(predicate)("shape", "other")).drop("__a", "__b")

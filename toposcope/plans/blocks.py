@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from toposcope.functions import geo
-from toposcope.functions.geo import st_merge
 from toposcope.plans.config import Block, ConfigError, split_alias
 
 ROW = "__rid"
@@ -169,7 +168,7 @@ class BlockPlan:
             return None
         rows = self._sql(f"SELECT {self._id()} AS identifier, {self._q(self.block.geometry)} AS shape FROM `{self.block.source}` AS src WHERE ({self._q(self.block.identifier)}) IS NOT NULL")
         twice = rows.groupBy("identifier").count().where("count > 1").select("identifier")
-        return rows.join(twice, "identifier", "left_semi").groupBy("identifier").agg(st_merge(F.collect_list("shape")).alias("geometry"))
+        return geo.merged(rows.join(twice, "identifier", "left_semi"), "identifier", "shape")
 
     def whole(self) -> DataFrame:
         """features with the merged geometries in place."""

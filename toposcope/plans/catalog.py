@@ -507,7 +507,7 @@ def _squares(spark, sf_dir) -> DataFrame:
 def spatial_join(spark, sf_dir):
     # a point on a left or lower border is inside, so that of adjoining areas one has it
     points = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 37 % 1000 / 10.0).alias("x"), (F.col("c_custkey") * 91 % 1000 / 10.0).alias("y"))
-    return geo.spatial_join(points, _squares(spark, sf_dir), 10.0).select("c_custkey", "n_nationkey")
+    return geo.spatial_join(points, _squares(spark, sf_dir)).select("c_custkey", "n_nationkey")
 
 
 def _block_with_areas(spark, sf_dir, predicate: str) -> DataFrame:
@@ -535,13 +535,66 @@ def block_spatial_intersects(spark, sf_dir):
     return _block_with_areas(spark, sf_dir, "ST_Intersects(g.geometry, geometry)")
 
 
-def _square(x: str, y: str):
+def _rectangle(x, y, width, height):
     @F.pandas_udf(T.BinaryType())
-    def make(a: pd.Series, b: pd.Series) -> pd.Series:
-        ring = lambda u, v: [(u, v), (u + 15, v), (u + 15, v + 15), (u, v + 15), (u, v)]
-        return pd.Series([geo.write_wkb(geo.POLYGON, [ring(u, v)]) for u, v in zip(a, b, strict=True)], dtype=object)
+    def make(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        ring = lambda u, v, w, h: [(u, v), (u + w, v), (u + w, v + h), (u, v + h), (u, v)]
+        return pd.Series([geo.write_wkb(geo.POLYGON, [ring(*r)]) for r in zip(a, b, c, d, strict=True)], dtype=object)
+
+    return make(*[v.cast("double") for v in (x, y, width, height)])
+
 
-    return make(x, y)
+def _square(x: str, y: str):
+    return _rectangle(F.col(x), F.col(y), F.lit(15), F.lit(15))
+
+
+# a third of the parts' rectangles are small, some are larger than everything else together
+_PART_BOX = "p_partkey * 37 % 1009 AS x0, p_partkey * 91 % 1013 AS y0, pow(2, p_partkey % 13) AS w, pow(3, p_partkey % 7) AS h"
+_SUPPLIER_BOX = "s_suppkey * 17 % 1009 AS x0, s_suppkey * 53 % 1013 AS y0, 1 + s_suppkey % 20 AS w, 1 + s_suppkey % 30 AS h"
+
+
+@query(f"""SELECT p_partkey, s_suppkey FROM (SELECT p_partkey, {_PART_BOX} FROM part) p JOIN (SELECT s_suppkey, {_SUPPLIER_BOX} FROM supplier) s
+    ON p.x0 <= s.x0 + s.w AND s.x0 <= p.x0 + p.w AND p.y0 <= s.y0 + s.h AND s.y0 <= p.y0 + p.h""")
+def spatial_join_extents(spark, sf_dir):
+    shape = _rectangle(F.col("x0"), F.col("y0"), F.col("w"), F.col("h"))
+    left = _table(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey * 37 % 1009 AS x0", "p_partkey * 91 % 1013 AS y0", "pow(2, p_partkey % 13) AS w", "pow(3, p_partkey % 7) AS h")
+    right = _table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_suppkey * 17 % 1009 AS x0", "s_suppkey * 53 % 1013 AS y0", "1 + s_suppkey % 20 AS w", "1 + s_suppkey % 30 AS h")
+    return geo.geometry_join(left.select("p_partkey", shape.alias("shape")), right.select("s_suppkey", shape.alias("other")), "intersects").select("p_partkey", "s_suppkey")
+
+
+@query("""WITH b AS (SELECT c_nationkey, c_custkey * 37 % 211 AS x0, c_custkey * 91 % 223 AS y0, 1 + c_custkey % 31 AS w, 1 + c_custkey % 17 AS h FROM customer),
+    edges AS (SELECT DISTINCT c_nationkey, unnest([x0, x0 + w]) AS x FROM b),
+    strips AS (SELECT c_nationkey, x, lead(x) OVER (PARTITION BY c_nationkey ORDER BY x) AS x2 FROM edges),
+    pieces AS (SELECT s.c_nationkey, x, x2, y0, y0 + h AS y1 FROM strips s JOIN b ON b.c_nationkey = s.c_nationkey AND b.x0 <= s.x AND s.x2 <= b.x0 + b.w),
+    covered AS (SELECT *, max(y1) OVER (PARTITION BY c_nationkey, x ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM pieces)
+    SELECT c_nationkey, CAST(sum((x2 - x) * greatest(0, y1 - greatest(y0, coalesce(reach, y0)))) AS BIGINT) AS area FROM covered GROUP BY c_nationkey""")
+def union_areas(spark, sf_dir):
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_nationkey", "c_custkey * 37 % 211 AS x0", "c_custkey * 91 % 223 AS y0", "1 + c_custkey % 31 AS w", "1 + c_custkey % 17 AS h")
+    shapes = rows.select("c_nationkey", _rectangle(F.col("x0"), F.col("y0"), F.col("w"), F.col("h")).alias("shape"))
+    return geo.merged(shapes, "c_nationkey", "shape").select("c_nationkey", F.round(geo.st_area("geometry")).cast("long").alias("area"))
+
+
+# the published formulas, from WGS 84 by way of space coordinates to the Bessel ellipsoid, the sphere and the plane
+_SWISS_SQL = f"""WITH p AS (SELECT c_custkey, radians(6 + (c_custkey * 37 % 4000) / 1000.0) AS lon, radians(46 + (c_custkey * 91 % 1500) / 1000.0) AS lat,
+        0.00669437999014131699614 AS ew, 0.00667437223180214468 AS e2, 6377397.155 AS a, radians(46 + 57 / 60.0 + 8.66 / 3600) AS p0, radians(7 + 26 / 60.0 + 22.5 / 3600) AS l0 FROM customer),
+    s AS (SELECT *, 6378137.0 / sqrt(1 - ew * sin(lat) ** 2) AS n FROM p),
+    xyz AS (SELECT *, n * cos(lat) * cos(lon) - 674.374 AS x, n * cos(lat) * sin(lon) - 15.056 AS y, n * (1 - ew) * sin(lat) - 405.346 AS z FROM s),
+    b0 AS (SELECT *, sqrt(x * x + y * y) AS r, atan2(z, sqrt(x * x + y * y) * (1 - e2)) AS f0 FROM xyz),
+    {", ".join(f"b{i} AS (SELECT *, atan2(z + e2 * a / sqrt(1 - e2 * sin(f{i - 1}) ** 2) * sin(f{i - 1}), r) AS f{i} FROM b{i - 1})" for i in range(1, 7))},
+    k AS (SELECT *, sqrt(e2) AS e, sqrt(1 + e2 / (1 - e2) * cos(p0) ** 4) AS alpha, a * sqrt(1 - e2) / (1 - e2 * sin(p0) ** 2) AS radius FROM b6),
+    m AS (SELECT *, asin(sin(p0) / alpha) AS bern, alpha * (atan2(y, x) - l0) AS l, alpha * e / 2 * ln((1 + e * sin(p0)) / (1 - e * sin(p0))) - alpha * ln(tan(pi() / 4 + p0 / 2)) AS k0 FROM k),
+    t AS (SELECT *, 2 * (atan(exp(alpha * ln(tan(pi() / 4 + f6 / 2)) - alpha * e / 2 * ln((1 + e * sin(f6)) / (1 - e * sin(f6))) + ln(tan(pi() / 4 + bern / 2)) + k0)) - pi() / 4) AS b FROM m),
+    o AS (SELECT *, atan(sin(l) / (sin(bern) * tan(b) + cos(bern) * cos(l))) AS turned, cos(bern) * sin(b) - sin(bern) * cos(b) * cos(l) AS up FROM t)
+    SELECT c_custkey, CAST(round(100 * (2600000 + radius * turned)) AS BIGINT) AS east_cm, CAST(round(100 * (1200000 + radius / 2 * ln((1 + up) / (1 - up)))) AS BIGINT) AS north_cm FROM o"""
+
+
+@query(_SWISS_SQL)
+def project_points(spark, sf_dir):
+    geo.register(spark)
+    point = geo.st_point(6 + F.col("c_custkey") * 37 % 4000 / 1000.0, 46 + F.col("c_custkey") * 91 % 1500 / 1000.0)
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", point.alias("geometry"))
+    moved = rows.selectExpr("c_custkey", "ST_Transform(geometry, 'EPSG:4326', 'EPSG:2056') AS g")
+    return moved.selectExpr("c_custkey", "cast(round(100 * ST_X(g)) as bigint) AS east_cm", "cast(round(100 * ST_Y(g)) as bigint) AS north_cm")
 
 
 @query()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from toposcope.functions import geo
+from toposcope.functions import geo, projections
 from toposcope.plans.config import TYPES, Source
 
 
@@ -210,32 +210,7 @@ def spatial(spark: SparkSession, source: Source, path: str | None = None, crs: s
         spark.dataSource.register(GeoPackage)
         kind = "toposcope_gpkg" if path.endswith(".gpkg") else "toposcope_shape"
         df = spark.read.format(kind).schema(schema).options(layer=source.layer or "", path=path).load()
-    return reproject(df, source.crs, crs) if source.crs and source.crs != crs else df
-
-
-def reproject(df: DataFrame, old: str, new: str) -> DataFrame:
-    """Between EPSG:4326 and EPSG:3857; other systems need a projection library."""
-    import math
-
-    if {old, new} != {"EPSG:4326", "EPSG:3857"}:
-        raise ValueError(f"no projection from {old} to {new}")
-    r = geo.MERCATOR_M
-
-    def one(p):
-        if new == "EPSG:4326":
-            return math.degrees(p[0] / r), math.degrees(2 * math.atan(math.exp(p[1] / r)) - math.pi / 2)
-        return math.radians(p[0]) * r, math.log(math.tan(math.pi / 4 + math.radians(p[1]) / 2)) * r
-
-    def all_of(kind, c):
-        if kind == geo.COLLECTION:
-            return [(k, all_of(k, x)) for k, x in c]
-        return one(c) if isinstance(c[0], float) else [all_of(None, x) for x in c]
-
-    @F.pandas_udf(T.BinaryType())
-    def move(raw: pd.Series) -> pd.Series:
-        return pd.Series([None if g is None else geo.write_wkb(k, all_of(k, c)) for g in raw for k, c in [geo.parse_wkb(g) if g is not None else (0, None)]], dtype=object)
-
-    return df.withColumn("geometry", move("geometry"))
+    return projections.reproject(df, source.crs, crs) if source.crs and source.crs != crs else df
 
 
 def load(spark: SparkSession, source: Source, path: str | None = None, crs: str = "EPSG:4326") -> DataFrame:
