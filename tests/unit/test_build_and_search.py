@@ -2,8 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from toposcope.functions import geo
+from toposcope.functions.text import edit_distance, letter_set, normal_form, soundex, tokens
 from toposcope.operators import build, store
-from toposcope.operators.search import Search, occurrences, search_one
+from toposcope.operators.search import Search, occurrences, ranked, search_one
 from toposcope.plans import blocks
 from toposcope.plans.config import Block, Config, ConfigError, Source, split_alias
 
@@ -161,8 +162,65 @@ def test_phrases_with_common_tokens(spark):
         return hits
 
     got = {}
-    for r in occurrences(q.select("query_id", F.lit(0).alias("phrase"), F.split("text", " ").alias("tokens")), index.posting, name, index.vocabulary).collect():
+    for r in occurrences(q.select("query_id", F.lit(0).alias("phrase"), F.split("text", " ").alias("tokens")), index.posting, index.held, index.vocabulary).collect():
         got.setdefault(r.query_id, {})[r.name_id] = r.f
     assert got == {i: brute(t.split()) for i, t in ((1, "saint place 3"), (2, "place 5 saint"), (4, "place 4 saint place 4"))}
     whole = spark.createDataFrame([(1, "Saint place 9 saint place 2"), (2, "saint place 9")], "query_id int, text string")
     assert [(r.query_id, r.feature_id) for r in index.exact(whole).collect()] == [(1, 9)]
+
+
+def _random_names(spark, n=1500):
+    import random
+
+    rnd = random.Random(7)
+    words = ["saint", "new", "old", "rio", "monte"] + [f"place{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    draw = lambda: words[min(len(words) - 1, int(rnd.paretovariate(0.35)) - 1)]
+    rows = [(i, i // 2 + 1, " ".join(draw() for _ in range(rnd.randrange(1, 6)))) for i in range(1, n)]
+    rows += [(n + i, n, "saint saint") for i in range(3)]
+    return rows, words, spark.createDataFrame(rows, "id long, feature_id long, text string")
+
+
+def test_bounded_partial_search_equals_the_plain_one(spark):
+    rows, words, name = _random_names(spark)
+    index = Search(name, build.postings(name), build.soundex_codes(name))
+    texts = ["saint", "saint new", "monte placeab", "saint saint rio", "new old rio monte", "unknown saint", "placeaa placeba placeca", "unknown", "saint-new old"]
+    q = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    split = q.select("query_id", F.posexplode(F.split("text", " ")).alias("phrase", "w")).select("query_id", "phrase", tokens(F.col("w")).alias("tokens"))
+    plain = index._scored(split)
+    for limit, tiers in ((10_000, 1), (5, 1), (40, 3), (3, 10_000), (10_000, 2)):
+        want = sorted((r.query_id, r.feature_id, r.tier, r.position) for r in ranked(plain, limit, tiers).collect())
+        got = sorted((r.query_id, r.feature_id, r.tier, r.position) for r in index.partial(q, limit, tiers).collect())
+        assert got == want and got, (limit, tiers)
+
+
+def test_common_words_are_not_read_whole(spark):
+    """A word of nearly all names: a bounded number of its names is looked at, or none beside a rarer word."""
+    rows = [(i, i, f"saint place{i % 50} of{i % 7} x{i % 3}") for i in range(1, 5000)] + [(5000, 5000, "saint"), (5001, 5001, "saint place7")]
+    name = spark.createDataFrame(rows, "id long, feature_id long, text string")
+    index = Search(name, build.postings(name), build.soundex_codes(name))
+    q = spark.createDataFrame([(0, "saint"), (1, "saint"), (1, "place7")], "query_id int, token string")
+    seen = {r["query_id"]: r["count"] for r in index.candidates(index.bounds(q, 10_000, 1)).groupBy("query_id").count().collect()}
+    assert seen[0] == 1 and seen[1] <= 101
+    ten = {r["query_id"]: r["count"] for r in index.candidates(index.bounds(q.where("query_id = 1"), 10, 5)).groupBy("query_id").count().collect()}
+    assert ten[1] <= 101
+
+
+def test_fuzzy_rings_equal_all_pairs_and_compare_few(spark):
+    import random
+
+    rnd = random.Random(3)
+    letters = "aeiou"
+    base = ["".join(c + rnd.choice(letters) * rnd.randrange(1, 3) for c in "rbrt") + rnd.choice(letters) * rnd.randrange(0, 9) for _ in range(400)]
+    rows = [(i, i // 2, t) for i, t in enumerate(base)] + [(900, 900, "Robert"), (901, 901, "Rupert"), (902, 902, "...")]
+    name = spark.createDataFrame(rows, "id long, feature_id long, text string")
+    index = Search(name, build.postings(name), build.soundex_codes(name))
+    q = spark.createDataFrame(list(enumerate(["Robert", "Rabarat", "rbrtaeiouaeiouaeiouaeiou", "zz", "roberta eiou"])), "query_id int, text string")
+    pairs = q.withColumn("code", soundex(F.col("text"))).join(index.codes, "code")
+    plain = pairs.select("query_id", "feature_id", edit_distance(F.col("text"), F.col("norm")).cast("double").alias("score"))
+    for limit, tiers in ((10_000, 1), (10_000, 3), (4, 2), (3, 50)):
+        want = sorted((r.query_id, r.feature_id, r.score, r.tier, r.position) for r in ranked(plain, limit, tiers).collect())
+        got = sorted((r.query_id, r.feature_id, r.score, r.tier, r.position) for r in index.fuzzy(q, limit, tiers).collect())
+        assert got == want and got
+    one = q.where("query_id = 0").select("query_id", soundex(F.col("text")).alias("code"), normal_form(F.col("text")).alias("norm"))
+    one = one.withColumn("len", F.length("norm")).withColumn("letters", letter_set(F.col("norm")))
+    assert index.compared(one, 1).count() < 0.1 * index.compared(one, None).count()

@@ -33,6 +33,26 @@ def edit_distance(query: Column, candidate: Column) -> Column:
     return F.levenshtein(normal_form(query), normal_form(candidate))
 
 
+def letter_set(text: Column) -> Column:
+    """Which characters a text has, as 64 bits; characters may share one."""
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda acc, c: F.when(c == "", acc).otherwise(acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)).cast("int")))))
+
+
+def least_distance(len_a: Column, set_a: Column, len_b: Column, set_b: Column) -> Column:
+    """A lower bound of the edit distance, from lengths and letter sets: each edit adds and takes one letter at most."""
+    lack = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+    return F.greatest(F.abs(len_a - len_b), lack(set_a, set_b), lack(set_b, set_a))
+
+
+# fixed values: the usual parameters of BM25
+K1, B = 1.2, 0.75
+
+
+def saturation(f: Column, doc_len: Column, mean_len: Column) -> Column:
+    """The part of BM25 that the frequency and the length of a text decide; it grows with f and falls with the length."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * doc_len / mean_len))
+
+
 def clean_query(text: Column) -> Column:
     """Double quotes removed, then trimmed."""
     return F.trim(F.replace(text, F.lit('"'), F.lit("")))
