@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from toposcope.operators import build, facade, project, recognize, resolve
-from toposcope.operators.scratch import replace as project_replace
 from toposcope.operators.search import Search
 from toposcope.sources import sinks
 from toposcope.streaming.incremental import recognize_stream
@@ -66,7 +65,6 @@ def test_a_repeated_service_call_adds_nothing_twice(spark, tmp_path):
     p.create_documents(spark.createDataFrame([("a", "Paris")], "id string, text string"))
     find = lambda docs: docs.select("id", F.array(F.struct(F.lit(0).alias("start"), F.lit(5).alias("end"))).alias("spans"))
     p.recognize("m", find)
-    project_replace(p.table("recognition").limit(0), f"file://{tmp_path}/p/recognition")  # the run ended before its markers
     p.recognize("m", find)
     assert p.table("reference").count() == 1 and p.table("recognition").count() == 1
 
@@ -165,3 +163,89 @@ def test_model_recognizers_on_long_texts(spark):
         assert parts[0][0] == 0 and parts[-1][0] + len(parts[-1][1]) == n and all(b[0] - a[0] == 40 for a, b in zip(parts, parts[1:], strict=False))
     with pytest.raises(ValueError):
         recognize.model(load, window=10, overlap=10)
+
+
+def _brute_spans(docs):
+    return docs.withColumn("spans", F.expr("array(named_struct('start', 0, 'end', least(3, length(text))))"))
+
+
+def test_writers_and_readers_at_the_same_time_lose_nothing(spark, tmp_path):
+    """Four writers append, tag and delete while a reader looks: every version is whole, and the end is as expected."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"file://{tmp_path}/p"
+    project.Project(spark, root, "demo").create_documents(spark.createDataFrame([("gone", "old text")], "id string, text string"))
+    odd = []
+
+    def write(k):
+        p = project.Project(spark, root, "demo")
+        for j in range(3):
+            p.create_documents(spark.createDataFrame([(f"{k}-{j}", f"text {k} {j}")], "id string, text string"))
+            p.tag("t", recognizer_id=f"r{k}-{j}")
+        p.delete_documents(spark.createDataFrame([("gone",)], "id string"))
+
+    def read(_):
+        for _ in range(12):
+            s = project.Project(spark, root, "demo").tables.at()
+            n, versions = s.table("document").count(), [r.version for r in s.table("context").collect()]
+            if not n or sorted(versions) != list(range(1, len(versions) + 1)):
+                odd.append((s.number, n, versions))
+
+    with ThreadPoolExecutor(5) as pool:
+        list(pool.map(lambda f: f[0](f[1]), [(write, 0), (write, 1), (write, 2), (write, 3), (read, 0)]))
+    p = project.Project(spark, root, "demo")
+    assert not odd
+    assert {r.id for r in p.documents().collect()} == {f"{k}-{j}" for k in range(4) for j in range(3)}
+    assert sorted(r.version for r in p.table("context").collect()) == list(range(1, 13))
+
+
+def test_two_runs_of_a_module_at_once_give_one_result(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    p = project.Project(spark, f"file://{tmp_path}/p", "demo")
+    p.create_documents(spark.createDataFrame([(str(i), f"Paris {i}") for i in range(20)], "id string, text string"))
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda _: project.Project(spark, f"file://{tmp_path}/p", "demo").recognize("m", _brute_spans), range(3)))
+    assert p.table("reference").count() == 20 == p.table("recognition").count() and p.table("recognizer").count() == 1
+
+
+def test_an_interrupted_commit_shows_nothing(spark, tmp_path, monkeypatch):
+    p = project.Project(spark, f"file://{tmp_path}/p", "demo")
+    p.create_documents(spark.createDataFrame([("a", "Paris")], "id string, text string"))
+    monkeypatch.setattr(p.tables, "_put", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        p.tables.append({"document": p.table("document")})
+    monkeypatch.undo()
+    assert p.documents().count() == 1
+    p.recognize("m", _brute_spans)
+    assert p.table("reference").count() == 1 and p.table("recognition").count() == 1
+    # a reader holds on to its version; compaction and clearing change nothing that counts
+    held = p.tables.at()
+    p.create_documents(spark.createDataFrame([("b", "Berlin")], "id string, text string"))
+    p.tables.compact("document")
+    assert held.table("document").count() == 1 and p.documents().count() == 2 and len(p.tables.at().folders["document"]) == 1
+    p.tables.forget(1)
+    assert p.documents().count() == 2 and p.table("reference").count() == 1
+
+
+def test_references_and_referents_by_hand_and_updates(spark, tmp_path):
+    p = project.Project(spark, f"file://{tmp_path}/p", "demo")
+    p.create_documents(spark.createDataFrame([("a", "Paris and Rome"), ("b", "Rome")], "id string, text string"))
+    spans = spark.createDataFrame([("a", 0, 5), ("a", 10, 14), ("b", 0, 4)], "document_id string, start int, end int")
+    p.create_references(spans, "gold")
+    links = spark.createDataFrame([("a", 0, 5, "1"), ("b", 0, 4, "2")], "document_id string, start int, end int, identifier string")
+    p.create_referents(links, "places", "gold")
+    got = {(r.document_id, r.text): r.feature_identifier for r in p.view("gold").collect()}
+    assert got == {("a", "Paris"): "1", ("a", "Rome"): None, ("b", "Rome"): "2"}
+    with pytest.raises(ValueError, match="fit no document"):
+        p.create_references(spark.createDataFrame([("a", 3, 99)], "document_id string, start int, end int"), "bad")
+    with pytest.raises(ValueError, match="no reference"):
+        p.create_referents(spark.createDataFrame([("a", 1, 2, "1")], links.schema), "places", "gold")
+    ref = p.table("reference").where("text = 'Paris'").first()
+    p.update_references(spark.createDataFrame([(ref.id, 6, 9)], "id string, start int, end int"))
+    got = {(r.document_id, r.text): r.feature_identifier for r in p.view("gold").collect()}
+    assert got == {("a", "and"): None, ("a", "Rome"): None, ("b", "Rome"): "2"}
+    # the same text changes nothing, another one takes what was found along
+    p.update_documents(spark.createDataFrame([("a", "Paris and Rome"), ("b", "Roma"), ("unknown", "x")], "id string, text string"))
+    assert {(r.id, r.text) for r in p.documents().collect()} == {("a", "Paris and Rome"), ("b", "Roma")}
+    assert {r.document_id for r in p.view("gold").collect()} == {"a"}

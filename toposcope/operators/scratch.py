@@ -28,17 +28,3 @@ def file_system(spark: SparkSession, path: str):
     """The Hadoop file system of a path, and the path as it knows it."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def replace(df: DataFrame, path: str) -> None:
-    """Put df in the place of the folder that it may have been read from; the old one goes last."""
-    spark = df.sparkSession
-    parent, name = path.rstrip("/").rsplit("/", 1)
-    new, old = (f"{parent}/.{name}-{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
-    df.write.parquet(new)
-    fs, target = file_system(spark, path)
-    if fs.exists(target) and not fs.rename(target, file_system(spark, old)[1]):
-        raise OSError(f"could not move {path}")
-    if not fs.rename(file_system(spark, new)[1], target):
-        raise OSError(f"could not publish {path}; its new state is in {new}, its old one in {old}")
-    fs.delete(file_system(spark, old)[1], True)
