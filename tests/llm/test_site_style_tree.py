@@ -1,4 +1,6 @@
 import math
+import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -24,6 +26,59 @@ def test_odd_pages():
     assert S.main_text("<p title='a>b'>x</p><!-- open") == "x"
 
 
+def test_quotes_that_are_never_closed_leave_no_markup():
+    assert S.main_text('<p><a href="x>broken</a> link</p>') == "broken link"
+    assert S.main_text("<p title='x>one</p><p>two</p>") == "one\n\ntwo"
+    assert S.main_text("<p>a</p><div class='b") == "a\n\n<div class='b"
+    assert S.main_text("<p>a</p><!-- b > c") == "a"
+
+
+def test_stray_and_unclosed_tags_take_little_time():
+    n = 100_000
+    pages = ["<i>" * n + "</q>" * n + "x", "<font>" * n + "x", "<p><table><td>" + "<h1>" * n + "x", "<li>" * n + "</b>" * n + "x", "<main><i></main>" * n + "x", "<a " * n, "<!" * n, "<b><i></b>" * n + "x"]
+    for page in pages:
+        began = time.process_time()
+        S.parse(page)
+        assert time.process_time() - began < 6, page[:20]
+
+
+def test_implied_ends_equal_a_walk_over_open_elements():
+    """Random tags against the rule as it reads: the innermost element to end, unless one that holds it back is further in."""
+    rnd = random.Random(2)
+    tags = ["p", "div", "li", "ul", "td", "tr", "table", "dt", "dl", "i", "h1", "article", "option", "select"]
+    for _ in range(300):
+        moves = [(rnd.random() < 0.35, rnd.choice(tags)) for _ in range(rnd.randrange(1, 40))]
+        stack, want = [], []
+        for closing, tag in moves:
+            if closing:
+                if tag in stack:
+                    del stack[len(stack) - 1 - stack[::-1].index(tag) :]
+                continue
+            ends, until = S.IMPLIED.get(tag, ((), ()))
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i] in ends:
+                    del stack[i:]
+                    break
+                if stack[i] in until:
+                    break
+            want.append((len(stack), tag))
+            stack.append(tag)
+        root = S.parse("".join(f"<{'/' * closing}{tag}>" for closing, tag in moves))
+        got, todo = [], [(root, -1)]
+        while todo:
+            node, depth = todo.pop()
+            if depth >= 0:
+                got.append((depth, node.tag))
+            todo += [(c, depth + 1) for c in reversed(node.parts)]
+        assert got == want
+
+
+def test_columns_of_any_name_pass(spark):
+    df = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "mine", "old")], "page_id long, url string, html string, host string, text string")
+    row = S.extract(df).first()
+    assert (row.host, row.text, row.n_chars) == ("mine", "x", 1)
+
+
 def test_repeated_branches_go_and_copied_articles_stay(spark):
     def page(i, body):
         return f"<html><body><div class='box'><span>Join our club today</span></div><div class='text'><p>Story {body}</p></div></body></html>"

@@ -55,6 +55,7 @@ _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|textarea|title|noscript|template|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"  # a quote that is never closed: the tag ends at the next sign
     r"|<[!?][^>]*>"
     r"|[^<]+|<",
     re.S | re.I,
@@ -132,36 +133,58 @@ def _spare(root: Node) -> None:
             n.noise = False
 
 
+class _Open:
+    """The open elements, with the places of each tag: whatever a page holds, a tag costs a few steps."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.regions = 0
+
+    def last(self, tags) -> int:
+        """Place of the innermost of these elements; 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+        self.regions += node.region
+
+    def close(self, place: int) -> None:
+        """End the element at a place and all inside it."""
+        while place and len(self.stack) > place:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            self.regions -= node.region
+
+
 def parse(page: str) -> Node:
-    """The element tree of a page."""
+    """The element tree of a page, in time that grows with its length."""
     root = Node("#root", 0, False, False)
-    stack = [root]
+    opened = _Open(root)
+    end = page.rfind(">")
     for m in _PIECE.finditer(page):
-        tag = m[3]
+        if m.start() > end:  # no tag ends from here on
+            opened.stack[-1].parts.append(page[m.start() :].split("<!--", 1)[0])
+            break
+        tag = m[3] or m[6]
         if tag is None:
             text = m[0]
             if text[0] != "<" or text == "<":
-                stack[-1].parts.append(text)
+                opened.stack[-1].parts.append(text)
             continue
-        tag = tag.lower()
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+        tag, raw = tag.lower(), m[4] if m[3] else m[7]
+        if m[2] or m[5]:
+            opened.close(opened.last((tag,)))
             continue
         if tag in IMPLIED:
             ends, until = IMPLIED[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-                if stack[i].tag in until:
-                    break
-        node = _node(tag, m[4], stack[-1], any(n.region for n in stack))
-        stack[-1].parts.append(node)
-        if tag not in VOID and not m[4].endswith("/"):
-            stack.append(node)
+            if (place := opened.last(ends)) > opened.last(until):
+                opened.close(place)
+        node = _node(tag, raw, opened.stack[-1], opened.regions > 0)
+        opened.stack[-1].parts.append(node)
+        if tag not in VOID and not raw.endswith("/"):
+            opened.push(node)
     _spare(root)
     return root
 
@@ -351,12 +374,13 @@ def extract(pages: DataFrame, broadcast_rows: int = 500_000, names: bool = True,
     """pages without html, plus text and n_chars; pages have url and html; names: see blocks()."""
     spark = pages.sparkSession
     small_batches(spark)
-    named = pages.drop("text", "n_chars", "host").withColumn("host", host_of(F.col("url")))
-    found = found_out(named, **options)
-    kept = [c for c in named.columns if c not in ("html", "host")]
-    schema = T.StructType([named.schema[c] for c in kept]).add("text", "string").add("n_chars", "long")
+    host = host_of(F.col("url")).alias("host")
+    found = found_out(pages.select(host, "html"), **options)
+    kept = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
+    named = pages.select(*[F.col(f"`{c}`") for c in kept], F.struct(host, "html").alias("__page"))
+    schema = T.StructType([pages.schema[c] for c in kept]).add("text", "string").add("n_chars", "long")
     parts = max(1, -(-found.count() // broadcast_rows))
-    part = F.pmod(F.xxhash64("host", F.lit(7)), F.lit(parts))
+    part = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(parts))
 
     def run_with(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +388,8 @@ def extract(pages: DataFrame, broadcast_rows: int = 500_000, names: bool = True,
             for whole in batches:
                 for at in range(0, whole.num_rows, 500):
                     batch = whole.slice(at, 500)
-                    texts = [main_text(page.as_py(), *known.get(host.as_py(), none), names) for host, page in zip(batch.column(len(kept)), batch.column(len(kept) + 1), strict=True)]
+                    hosts, pages = batch.column(len(kept)).flatten()
+                    texts = [main_text(page.as_py(), *known.get(host.as_py(), none), names) for host, page in zip(hosts, pages, strict=True)]
                     cols = [batch.column(i) for i in range(len(kept))]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema.names)
 
@@ -373,10 +398,10 @@ def extract(pages: DataFrame, broadcast_rows: int = 500_000, names: bool = True,
     out = None
     for k in range(parts):
         by_host: dict[str, tuple[set[int], set[int]]] = {}
-        for r in found.where(part == k).toLocalIterator():
+        for r in found.where(part("host") == k).toLocalIterator():
             by_host.setdefault(r["host"], (set(), set()))[r["story"]].add(r["key"])
         shared = spark.sparkContext.broadcast(by_host)
-        done = named.where(part == k).select(*kept, "host", "html").mapInArrow(run_with(shared), schema)
+        done = named.where(part("__page.host") == k).mapInArrow(run_with(shared), schema)
         out = done if out is None else out.unionByName(done)
     return out
 
