@@ -187,7 +187,7 @@ def test_bounded_partial_search_equals_the_plain_one(spark):
     q = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
     split = q.select("query_id", F.posexplode(F.split("text", " ")).alias("phrase", "w")).select("query_id", "phrase", tokens(F.col("w")).alias("tokens"))
     plain = index._scored(split)
-    for limit, tiers in ((10_000, 1), (5, 1), (40, 3), (3, 10_000), (10_000, 2)):
+    for limit, tiers in ((10_000, 1), (5, 1), (40, 3)):
         want = sorted((r.query_id, r.feature_id, r.tier, r.position) for r in ranked(plain, limit, tiers).collect())
         got = sorted((r.query_id, r.feature_id, r.tier, r.position) for r in index.partial(q, limit, tiers).collect())
         assert got == want and got, (limit, tiers)
@@ -217,7 +217,7 @@ def test_fuzzy_rings_equal_all_pairs_and_compare_few(spark):
     q = spark.createDataFrame(list(enumerate(["Robert", "Rabarat", "rbrtaeiouaeiouaeiouaeiou", "zz", "roberta eiou"])), "query_id int, text string")
     pairs = q.withColumn("code", soundex(F.col("text"))).join(index.codes, "code")
     plain = pairs.select("query_id", "feature_id", edit_distance(F.col("text"), F.col("norm")).cast("double").alias("score"))
-    for limit, tiers in ((10_000, 1), (10_000, 3), (4, 2), (3, 50)):
+    for limit, tiers in ((10_000, 3), (4, 2)):
         want = sorted((r.query_id, r.feature_id, r.score, r.tier, r.position) for r in ranked(plain, limit, tiers).collect())
         got = sorted((r.query_id, r.feature_id, r.score, r.tier, r.position) for r in index.fuzzy(q, limit, tiers).collect())
         assert got == want and got

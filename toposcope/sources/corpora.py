@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from toposcope.sources.splits import latest, records
+
 GOLD = "array<struct<start:int,end:int,name:string,latitude:double,longitude:double>>"
 CORPUS = f"identifier string, text string, gold {GOLD}"
 
@@ -40,20 +42,22 @@ def newsli(spark: SparkSession, path: str, limit: int = 500) -> DataFrame:
 def hipe(spark: SparkSession, path: str, coordinates: DataFrame | None = None) -> DataFrame:
     """Token rows with BIO labels; texts are put together again, LOC spans get coordinates by QID.
 
-    Lines of a file stay in order by their position; offsets are running sums per document.
+    A file is read in splits; which document a line belongs to is carried over them, and
+    offsets are running sums per document.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    w = Window.partitionBy("file").orderBy("n")
     name = F.regexp_extract("line", r"^#\s*hipe2022:document_id\s*=\s*(\S+)", 1)
-    own = lines.withColumn("doc", F.last(F.when(name != "", name), ignorenulls=True).over(w)).where(~F.col("line").rlike("^#") & (F.col("line") != "") & ~F.col("line").rlike("^TOKEN\t") & F.col("doc").isNotNull())
+    lines = records(spark, path).withColumn("line", F.regexp_replace("value", "\r$", ""))
+    named = latest(lines, F.when(name != "", name), "doc")
+    own = named.where(~F.col("line").rlike("^#") & (F.col("line") != "") & ~F.col("line").rlike("^TOKEN\t") & F.col("doc").isNotNull())
     cell = lambda i: F.get(F.split("line", "\t"), F.lit(i))
-    tokens = own.select("doc", "n", cell(0).alias("token"), cell(1).alias("label"), cell(7).alias("qid"), (~F.coalesce(cell(9), F.lit("")).contains("NoSpaceAfter")).alias("space"))
+    place = F.struct("file", "split", "n").alias("n")
+    tokens = own.select("doc", place, cell(0).alias("token"), cell(1).alias("label"), cell(7).alias("qid"), (~F.coalesce(cell(9), F.lit("")).contains("NoSpaceAfter")).alias("space"))
     d = Window.partitionBy("doc").orderBy("n")
     width = F.length("token") + F.col("space").cast("int")
     placed = tokens.withColumn("start", F.coalesce(F.sum(width).over(d.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")).withColumn("end", (F.col("start") + F.length("token")).cast("int"))
     begins = F.lower("label").rlike("^b-loc") | (F.lower("label").rlike("^i-loc") & ~F.coalesce(F.lower(F.lag("label").over(d)).rlike("^[bi]-loc"), F.lit(False)))
     island = placed.withColumn("island", F.sum(begins.cast("int")).over(d))
-    spans = island.where(F.lower("label").rlike("^[bi]-loc")).groupBy("doc", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("qid").alias("qid"))
+    spans = island.where(F.lower("label").rlike("^[bi]-loc")).groupBy("doc", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("qid", "n").alias("qid"))
     pieces = F.array_sort(F.collect_list(F.struct("n", F.concat("token", F.when(F.col("space"), " ").otherwise("")).alias("t"))))
     text = placed.groupBy("doc").agg(F.rtrim(F.array_join(F.transform(pieces, lambda x: x["t"]), "")).alias("text"))
     if coordinates is not None:

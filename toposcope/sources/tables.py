@@ -13,30 +13,28 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from toposcope.functions import geo, projections
 from toposcope.plans.config import TYPES, Source
+from toposcope.sources.splits import csv_records, json_objects
 
 
 def delimited(spark: SparkSession, source: Source, path: str | None = None) -> DataFrame:
     """Declared columns, read as text and cast; short rows are padded with null.
 
     quote="" turns quoting and escaping off.  skip_rows leaves out the first lines of
-    each file, which are found by their position in the file, so a file stays splittable
-    when nothing is skipped.
+    each file.  Files are read in splits, also where quoted fields hold line ends or lines
+    are skipped (sources/splits.py).
     """
     path = path or source.path
     text = T.StructType([T.StructField(a.name, T.StringType()) for a in source.attributes])
-    options = {"sep": source.delimiter, "header": "false", "mode": "PERMISSIVE", "enforceSchema": "true"}
+    options = {"sep": source.delimiter, "mode": "PERMISSIVE"}
     if source.quote == "":
         options |= {"quote": "\u0000", "escape": "\u0000"}
     elif source.quote:
-        options |= {"quote": source.quote, "escape": source.quote, "multiLine": "true"}
-    if source.skip_rows == 1 and "multiLine" not in options:  # as a header, which keeps files splittable
-        rows = spark.read.schema(text).options(**options | {"header": "true"}).csv(path)
-    elif source.skip_rows:
-        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-        kept = lines.where((F.col("n") >= source.skip_rows) & (F.col("line") != "")).select("line")
-        rows = kept.select(F.from_csv("line", text.simpleString()[7:-1].replace(":", " "), {k: v for k, v in options.items() if k in ("sep", "quote", "escape", "mode")}).alias("r")).select("r.*")
+        options |= {"quote": source.quote, "escape": source.quote}
+    if not source.quote and source.skip_rows < 2:  # one skipped line is read as a header
+        rows = spark.read.schema(text).options(**options, header=str(source.skip_rows == 1).lower(), enforceSchema="true").csv(path)
     else:
-        rows = spark.read.schema(text).options(**options).csv(path)
+        declared = ", ".join(f"`{a.name}` string" for a in source.attributes)
+        rows = csv_records(spark, path, source.quote, source.skip_rows).select(F.from_csv("value", declared, options).alias("r")).select("r.*")
     return rows.select(*[F.col(a.name).cast(TYPES[a.type]).alias(a.name) for a in source.attributes])
 
 
@@ -61,10 +59,12 @@ def _from_geojson(raw: pd.Series) -> pd.Series:
 
 
 def geojson(spark: SparkSession, source: Source, path: str | None = None) -> DataFrame:
-    """Features of a collection: declared properties and the geometry as WKB."""
+    """Features of a collection: declared properties and the geometry as WKB.
+
+    The file is split anywhere; its features are the objects one level down that say so.
+    """
     plain = [a for a in source.attributes if a.type != "geometry"]
-    raw = spark.read.text(path or source.path, wholetext=True)
-    features = raw.select(F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("f"))
+    features = json_objects(spark, path or source.path).select(F.col("value").alias("f")).where(F.get_json_object("f", "$.type") == "Feature")
     cols = [F.get_json_object("f", f"$.properties.{a.name}").cast(TYPES[a.type]).alias(a.name) for a in plain]
     return features.select(*cols, _from_geojson(F.get_json_object("f", "$.geometry")).alias("geometry"))
 
