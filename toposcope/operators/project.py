@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from toposcope.functions.text import span_text, unix_newlines
+from toposcope.operators.facade import fit
+from toposcope.operators.resolve import training_pairs
 from toposcope.operators.scratch import written
 from toposcope.operators.snapshots import Snapshot, Snapshots
 
@@ -179,6 +181,33 @@ class Project:
         self.resolve(module_id, lambda refs: refs.where(F.col("recognizer_id") == module_id).join(links, ["document_id", "start", "end"]), links.select("identifier"), gazetteer, "manual", tag=label)
         return module_id
 
+    def annotated(self, tag: str) -> DataFrame:
+        """What a recognizer learns from: (id, text, spans) of the documents that the tag's recognizer has done."""
+        now = self.tables.at()
+        own = self.context(now).where(F.col("tag") == tag).select("recognizer_id")
+        done = now.table("recognition").join(own, "recognizer_id").select(F.col("document_id").alias("id"))
+        spans = now.table("reference").join(own, "recognizer_id").groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+        return self.documents(now).join(done, "id").join(spans, "id", "left").select("id", "text", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
+    def annotated_mentions(self, tag: str, context: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+        """What a resolver learns from: (id, name, context, gold) of the tag's references that have a feature.
+
+        context: of (text, start, end); the whole text if there is none.
+        """
+        now = self.tables.at()
+        rows = tag_view(now.table("reference"), now.table("referent"), self.documents(now), self.context(now), tag).where("feature_identifier is not null")
+        texts = self.documents(now).select(F.col("id").alias("document_id"), F.col("text").alias("document_text"))
+        around = context(F.col("document_text"), F.col("start"), F.col("end")) if context else F.col("document_text")
+        return rows.join(texts, "document_id").select("id", F.col("text").alias("name"), around.alias("context"), F.col("feature_identifier").alias("gold"))
+
+    def train_recognizer(self, recognizer, tag: str, **options):
+        """recognizer.fit over the annotated documents of a tag; TypeError of one that cannot be trained."""
+        return fit(recognizer, self.annotated(tag), **options)
+
+    def train_resolver(self, resolver, tag: str, index, descriptions: DataFrame, context=None, **options):
+        """resolver.fit over all candidates of the tag's annotated references; TypeError of one that cannot be trained."""
+        return fit(resolver, training_pairs(self.annotated_mentions(tag, context), index, descriptions), **options)
+
     def load_annotations(self, annotations: DataFrame, tag: str = "annotated") -> None:
         """annotations: (document_id, start, end, loc_id): a manual recognizer and resolver in one."""
         self.recognize("manual-" + tag, lambda docs: docs.join(annotations.groupBy(F.col("document_id").alias("id")).agg(F.collect_set(F.struct("start", "end")).alias("spans")), "id", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS))), "manual", tag=tag)
