@@ -66,6 +66,44 @@ def macro_micro(counts: DataFrame, empty: float = 0.0) -> DataFrame:
     return each.select(*cols).unionByName(pooled.select(*cols))
 
 
+def report(gold: DataFrame, predicted: DataFrame, levels: list[list[str]], empty: float = 1.0) -> DataFrame:
+    """Span scores at several levels at once, such as [["corpus", "document_id"], ["corpus"], []].
+
+    Gold and predicted spans are matched once; the levels are grouping sets over the matches.
+    A column that a level sums over is null there, and `level` numbers the levels as given.
+    """
+    names = list(dict.fromkeys(c for level in levels for c in level))
+    keys = list(dict.fromkeys([*names, *SPAN]))
+    g = gold.select(*keys).distinct().withColumn("g", F.lit(1))
+    p = predicted.select(*keys).distinct().withColumn("p", F.lit(1))
+    both = g.join(p, keys, "full")
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0)).cast("long")
+    g, p = F.col("g").isNotNull(), F.col("p").isNotNull()
+    counts = both.groupingSets([[F.col(c) for c in level] for level in levels], *names).agg(
+        F.grouping_id().alias("__id"), count(g & p).alias("tp"), count(~g & p).alias("fp"), count(g & ~p).alias("fn")
+    )
+    ids = {sum(1 << (len(names) - 1 - i) for i, c in enumerate(names) if c not in level): k for k, level in enumerate(levels)}
+    level = F.coalesce(*[F.when(F.col("__id") == i, F.lit(k)) for i, k in ids.items()]).alias("level")
+    return with_prf(counts.select(level, *names, "tp", "fp", "fn"), empty)
+
+
+def language_report(gold: DataFrame, predicted: DataFrame, sentences: DataFrame, languages: list[str]) -> DataFrame:
+    """A row for each language asked for, also for those without data.
+
+    sentences: (language, invalid, seconds), a row each: invalid outputs count as false
+    positives, seconds are those of the model, null where its first call was warming up.
+    """
+    own = F.col("language").isin(languages)
+    spans = span_counts(gold.where(own), predicted.where(own), ["language"])
+    runs = sentences.where(own).groupBy("language").agg(
+        F.count("*").alias("sentences"), F.count_if("invalid").alias("invalid"), F.count("seconds").alias("timed"), F.sum("seconds").alias("seconds")
+    )
+    asked = gold.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(languages)], "language string")
+    rows = asked.join(spans, "language", "left").join(runs, "language", "left").na.fill(0, ["tp", "fp", "fn", "sentences", "invalid", "timed"])
+    speed = F.when(F.col("seconds") > 0, F.col("timed") / F.col("seconds")).alias("sentences_per_second")
+    return with_invalid(rows).select("language", "sentences", "invalid", "tp", "fp", "fn", "precision", "recall", "f1", speed, (F.col("sentences") == 0).alias("missing"))
+
+
 def resolution_accuracy(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Share of gold (span, identifier) pairs that are predicted; 1.0 without any."""
     keys = [*SPAN, "identifier"]

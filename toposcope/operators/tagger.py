@@ -84,14 +84,16 @@ class Weights:
         self.bits = bits
         self.values = np.zeros(((1 << bits) + 3) * 3, np.float32) if values is None else values
 
-    def scores(self, features: list[int], before: int) -> np.ndarray:
-        rows = self.values.reshape(-1, 3)
-        return rows[features].sum(0) + rows[(1 << self.bits) + before]
-
     def tag(self, words: list[str]) -> list[int]:
+        if not words:
+            return []
+        rows = self.values.reshape(-1, 3)
+        each = rows[np.array([_features(words, i, self.bits) for i in range(len(words))])].sum(1).tolist()
+        after = rows[1 << self.bits :].tolist()
         out, before = [], OUTSIDE
-        for i in range(len(words)):
-            before = int(self.scores(_features(words, i, self.bits), before).argmax())
+        for own in each:
+            scores = [a + b for a, b in zip(own, after[before], strict=True)]
+            before = scores.index(max(scores))
             out.append(before)
         return out
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toposcope.functions import context, geo, text
-from toposcope.operators import annotate, build, evaluate, facade, project, resolve, store
+from toposcope.operators import annotate, build, evaluate, facade, project, resolve, store, tagger
 from toposcope.operators.scratch import folder
 from toposcope.operators.search import Search
 from toposcope.plans.blocks import ROW, BlockPlan
@@ -653,15 +653,91 @@ def parse_texts(spark, sf_dir):
     return parsed.select("id", F.explode("toponyms").alias("t")).select("id", "t.text", "t.identifier", "t.n_name")
 
 
-@query(f"""WITH {_SPANS} SELECT document_id, start, "end", count(DISTINCT kind) AS ids FROM (SELECT document_id % 100 AS document_id, start, "end", kind FROM spans) GROUP BY 1, 2, 3 HAVING count(DISTINCT kind) > 1""")
+# one span in nine has a place of its own, so half of the conflicts are of places alone
+_PLACED = """SELECT document_id % 100 AS document_id, start, "end", kind % 2 AS kind, CASE WHEN id % 4 > 0 THEN CAST(start % 3 AS DOUBLE) END AS lat, CASE WHEN id % 4 > 0 THEN CAST(CASE WHEN id % 9 = 0 THEN id % 180 ELSE 7 END AS DOUBLE) END AS lon FROM spans"""
+
+
+@query(f"""WITH {_SPANS}, placed AS ({_PLACED}) SELECT document_id, start, "end", count(DISTINCT kind) AS ids, count(DISTINCT CASE WHEN lat IS NOT NULL THEN lat || ',' || lon END) AS places FROM placed
+    GROUP BY 1, 2, 3 HAVING count(DISTINCT kind) > 1 OR count(DISTINCT CASE WHEN lat IS NOT NULL THEN lat || ',' || lon END) > 1""")
 def gold_conflicts(spark, sf_dir):
-    gold = _spans(spark, sf_dir).withColumn("document_id", F.col("document_id") % 100).withColumn("identifier", F.col("kind").cast("string"))
-    none = F.lit(None).cast("double")
-    return evaluate.gold_conflicts(gold.withColumn("latitude", none).withColumn("longitude", none)).select("document_id", "start", "end", "ids")
+    known = F.expr("id % 4 > 0")
+    gold = _spans(spark, sf_dir).select(
+        (F.col("document_id") % 100).alias("document_id"), "start", "end", (F.col("kind") % 2).cast("string").alias("identifier"),
+        F.when(known, F.col("start") % 3).cast("double").alias("latitude"), F.when(known, F.expr("if(id % 9 = 0, id % 180, 7)")).cast("double").alias("longitude"),
+    )
+    return evaluate.gold_conflicts(gold).select("document_id", "start", "end", "ids", "places")
+
+
+_SCORES = "count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE NOT g) AS fp, count(*) FILTER (WHERE NOT p) AS fn"
+
+
+@query(f"""WITH {_SPANS}, m AS (SELECT kind, document_id, start, "end", bool_or(id % 3 > 0) AS g, bool_or(id % 5 > 0) AS p FROM spans GROUP BY ALL HAVING bool_or(id % 3 > 0) OR bool_or(id % 5 > 0)),
+    c AS (SELECT 0 AS level, kind, document_id, {_SCORES} FROM m GROUP BY kind, document_id UNION ALL SELECT 1, kind, NULL, {_SCORES} FROM m GROUP BY kind UNION ALL SELECT 2, NULL, NULL, {_SCORES} FROM m)
+    SELECT level, kind, document_id, tp, fp, fn, round(CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END, 9) AS precision, round(CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END, 9) AS recall FROM c""")
+def span_report(spark, sf_dir):
+    """Scores of documents, corpora and all spans together."""
+    spans = _spans(spark, sf_dir)
+    rows = evaluate.report(spans.where("id % 3 > 0"), spans.where("id % 5 > 0"), [["kind", "document_id"], ["kind"], []])
+    return rows.select("level", "kind", "document_id", "tp", "fp", "fn", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+def _part_mentions(spark, sf_dir):
+    """Names of all parts as mentions, and the parts as features with a population."""
+    index, part = _search(spark, sf_dir)
+    own = part.select(F.col("p_partkey").alias("id"), F.trim("p_name").alias("name"), F.lit("context").alias("context"))
+    ids = _places(spark, sf_dir)[0]
+    known = part.select(F.col("p_partkey").cast("string").alias("identifier"), (F.col("p_size") * 1000).cast("string").alias("population"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("description"), "p_size")
+    features = known.join(ids.select(F.col("id").alias("feature_id"), "identifier"), "identifier")
+    return index, own, features
+
+
+_CANDIDATES = f"{_FEATURE_SQL}, c AS (SELECT p.p_partkey AS id, f.id AS feature_id, f.identifier, t.p_size FROM part p JOIN feature f ON lower(f.text) = lower(trim(p.p_name)) JOIN part t ON CAST(t.p_partkey AS VARCHAR) = f.identifier)"
+#: an embedder under which all texts are alike: what is left is priors, order and reranking
+_alike = lambda text: F.array(F.lit(1.0), F.length(text) * 0.0)
+
+
+@query(f"WITH {_CANDIDATES} SELECT id, identifier FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p_size DESC, feature_id) AS r FROM c) WHERE r = 1")
+def tiered_prior(spark, sf_dir):
+    """Every mention resolved among its exact candidates, the most populous one wins."""
+    index, mentions, features = _part_mentions(spark, sf_dir)
+    return resolve.tiered(mentions, index, features, folder(spark, "tiered"), least=0.5, embed=_alike, weight=0.5).select("id", "identifier")
 
 
-@query("""SELECT o_orderpriority AS corpus, count(*) AS gold, round(count(*) FILTER (WHERE o_orderstatus = 'F') / count(*), 9) AS coverage, round(count(*) FILTER (WHERE o_orderstatus = 'O') / count(*), 9) AS abstention,
-    round(count(*) FILTER (WHERE o_totalprice < 50000) / count(*), 9) AS accuracy_1_km, round(count(*) FILTER (WHERE o_totalprice < 150000) / count(*), 9) AS accuracy_50_km FROM orders GROUP BY 1""")
+@query(f"WITH {_CANDIDATES}, s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY feature_id) AS r FROM c) SELECT id, identifier FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p_size, feature_id) AS best FROM s WHERE r <= 20) WHERE best = 1")
+def tiered_rerank(spark, sf_dir):
+    """The same with a reranker over the shortlist of 20: it takes the least populous one."""
+    index, mentions, features = _part_mentions(spark, sf_dir)
+    return resolve.tiered(mentions, index, features, folder(spark, "tiered"), least=0.5, embed=_alike, rerank=lambda rows: rows.withColumn("score", -F.col("population").cast("double"))).select("id", "identifier")
+
+
+@query(f"WITH {_CANDIDATES} SELECT id || '' AS context, 'size ' || p_size AS description, CAST(identifier = CAST(id AS VARCHAR) AS INTEGER) AS label FROM c")
+def training_pairs(spark, sf_dir):
+    """All candidates of all mentions, with whether they are right."""
+    index, mentions, features = _part_mentions(spark, sf_dir)
+    own = mentions.select("id", "name", F.col("id").cast("string").alias("context"), F.col("id").cast("string").alias("gold"))
+    return resolve.training_pairs(own, index, features.select("feature_id", "identifier", "description"))
+
+
+@query()
+def trained_recognizer(spark, sf_dir):
+    """Spans in every document by a tagger that has learnt the capitalised words of half of them: a test holds it to these."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    words = F.transform(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+\b"), F.lit(0)), lambda w: w)
+    pieces = F.transform(F.split("text", r"\b[A-Z][a-z]+\b", -1), F.length)
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words))), lambda k: F.aggregate(F.slice(pieces, 1, k), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(words, 1, k - 1), F.lit(0), lambda a, w: a + F.length(w)))
+    spans = F.when(F.size(words) > 0, F.transform(F.arrays_zip(words.alias("w"), ends.alias("s")), lambda x: F.struct(x["s"].alias("start"), (x["s"] + F.length(x["w"])).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    learnt = tagger.PerceptronRecognizer().fit(docs.where("text is not null and id % 2 = 1").select("text", spans.alias("spans")), epochs=2, partitions=spark.sparkContext.defaultParallelism)
+    return learnt(docs).select("id", F.explode("spans").alias("s")).select("id", "s.start", "s.end")
+
+
+@query("""SELECT o_orderpriority AS corpus, count(*) AS gold, round(count(*) FILTER (WHERE o_custkey % 2 = 0) / count(*), 9) AS exact_accuracy,
+    round(count(*) FILTER (WHERE o_totalprice < 50000) / count(*), 9) AS accuracy_1_km,
+    round(count(*) FILTER (WHERE o_totalprice < 100000) / count(*), 9) AS accuracy_10_km,
+    round(count(*) FILTER (WHERE o_totalprice < 150000) / count(*), 9) AS accuracy_50_km,
+    round(count(*) FILTER (WHERE o_orderstatus = 'F') / count(*), 9) AS coverage,
+    round(count(*) FILTER (WHERE o_orderstatus = 'O') / count(*), 9) AS abstention,
+    round(count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) / count(*), 9) AS invalid_rate,
+    round(count(*) FILTER (WHERE o_custkey % 3 = 0) / count(*), 9) AS candidate_recall FROM orders GROUP BY 1""")
 def protocol_metrics(spark, sf_dir):
     n = lambda c: F.count_if(F.expr(c)).alias
     counts = _table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("corpus")).agg(
@@ -669,7 +745,7 @@ def protocol_metrics(spark, sf_dir):
         F.count("*").alias("exact_eligible"), n("o_custkey % 2 = 0")("exact_correct"), F.count("*").alias("coordinate_eligible"),
         n("o_totalprice < 50000")("within_1_km"), n("o_totalprice < 100000")("within_10_km"), n("o_totalprice < 150000")("within_50_km"), F.count("*").alias("candidate_eligible"), n("o_custkey % 3 = 0")("candidate_found"),
     )
-    return evaluate.protocol_metrics(counts).select("corpus", "gold", *[F.round(c, 9).alias(c) for c in ("coverage", "abstention", "accuracy_1_km", "accuracy_50_km")])
+    return evaluate.protocol_metrics(counts).select("corpus", "gold", *[F.round(c, 9).alias(c) for c in ("exact_accuracy", "accuracy_1_km", "accuracy_10_km", "accuracy_50_km", "coverage", "abstention", "invalid_rate", "candidate_recall")])
 
 
 @query(f"""WITH {_SPANS}, l AS (SELECT *, ['en', 'de', 'fr', 'xx'][kind + 1] AS language FROM spans), g AS (SELECT DISTINCT language, document_id, start, "end" FROM l WHERE id % 3 > 0 AND kind < 3), p AS (SELECT DISTINCT language, document_id, start, "end" FROM l WHERE id % 5 > 0 AND kind < 3)
