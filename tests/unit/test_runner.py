@@ -1,0 +1,83 @@
+import pytest
+from pyspark.sql import functions as F
+
+from toposcope.operators import evaluate
+from toposcope.operators.runner import IncompleteError, Run
+
+IDENTITY = {"model": "m1", "corpus": "abc"}
+
+
+def documents(spark, n=40):
+    return spark.createDataFrame([(str(i), f"text {i}") for i in range(n)], "id string, text string")
+
+
+def phases(calls=None, stop_at=None):
+    def find(docs):
+        if calls is not None:
+            calls.append("find")
+            if len(calls) == stop_at:
+                raise KeyboardInterrupt
+        bad = F.col("id") == "7"
+        return docs.where("id <> '9'").select("id", F.length("text").alias("value"), F.when(bad, "broken text").alias("error"))
+
+    def link(docs):
+        if calls is not None:
+            calls.append("link")
+            if len(calls) == stop_at:
+                raise KeyboardInterrupt
+        return docs.select("id", F.concat("id", F.lit(":"), "before").alias("value"))
+
+    return {"find": find, "link": link}
+
+
+def test_a_stopped_run_ends_with_the_same_rows(spark, tmp_path):
+    whole = Run(spark, f"file://{tmp_path}/whole", phases(), IDENTITY, chunks=4)
+    whole.go(documents(spark))
+    want = sorted(map(tuple, whole.results("link").collect()))
+    assert len(want) == 38 and ("0", "0:6") in want
+    assert sorted(map(tuple, whole.failures().collect())) == [("find", "7", "broken text"), ("find", "9", "no result")]
+
+    calls, root = [], f"file://{tmp_path}/stopped"
+    for stop in (3, 6):
+        run = Run(spark, root, phases(calls, stop), IDENTITY, chunks=4)
+        with pytest.raises(KeyboardInterrupt):
+            run.go(documents(spark))
+        assert run.missing()
+        with pytest.raises(IncompleteError, match="chunks are missing"):
+            run.results("link")
+    Run(spark, root, phases(calls), IDENTITY, chunks=4).go(documents(spark))
+    # four chunks of two phases, and the two that were stopped in between
+    assert len(calls) == 10
+    last = Run(spark, root, phases(calls), IDENTITY, chunks=4)
+    last.go(documents(spark))
+    assert len(calls) == 10 and sorted(map(tuple, last.results("link").collect())) == want
+    speed = {r.phase: r for r in whole.throughput().collect()}
+    assert speed["find"].documents < 40 and speed["find"].per_second > 0
+
+
+def test_another_run_is_refused(spark, tmp_path):
+    root = f"file://{tmp_path}/r"
+    Run(spark, root, phases(), IDENTITY, chunks=2)
+    with pytest.raises(ValueError, match="model"):
+        Run(spark, root, phases(), {**IDENTITY, "model": "m2"}, chunks=2)
+    with pytest.raises(ValueError, match="chunks"):
+        Run(spark, root, phases(), IDENTITY, chunks=3)
+    run = Run(spark, root, phases(), IDENTITY, chunks=2)
+    run.go(documents(spark, 0))
+    assert run.results("find").count() == 0 and not run.missing()
+
+
+def test_reports(spark):
+    spans = lambda rows: spark.createDataFrame(rows, "corpus string, document_id string, start int, end int")
+    gold = spans([("a", "1", 0, 1), ("a", "1", 2, 3), ("a", "2", 0, 1), ("b", "1", 0, 1), ("b", "1", 0, 1)])
+    found = spans([("a", "1", 0, 1), ("a", "2", 5, 6), ("b", "1", 0, 1), (None, "3", 0, 1)])
+    got = {(r.level, r.corpus, r.document_id): (r.tp, r.fp, r.fn) for r in evaluate.report(gold, found, [["corpus", "document_id"], ["corpus"], []]).collect()}
+    assert got == {
+        (0, "a", "1"): (1, 0, 1), (0, "a", "2"): (0, 1, 1), (0, "b", "1"): (1, 0, 0), (0, None, "3"): (0, 1, 0),
+        (1, "a", None): (1, 1, 2), (1, "b", None): (1, 0, 0), (1, None, None): (0, 1, 0), (2, None, None): (2, 2, 2),
+    }
+    say = lambda df: df.select(F.col("corpus").alias("language"), "document_id", "start", "end")
+    runs = spark.createDataFrame([("a", False, None), ("a", True, 0.5), ("a", False, 1.5), ("b", False, 1.0)], "language string, invalid boolean, seconds double")
+    rows = {r.language: r for r in evaluate.language_report(say(gold), say(found), runs, ["a", "c", "b"]).collect()}
+    assert (rows["a"].sentences, rows["a"].invalid, rows["a"].fp, rows["a"].sentences_per_second) == (3, 1, 2, 1.0)
+    assert rows["c"].missing and not rows["b"].missing and rows["b"].f1 == 1.0 and rows["c"].sentences_per_second is None
