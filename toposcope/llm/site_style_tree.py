@@ -143,7 +143,12 @@ class _Open:
 
     def last(self, tags) -> int:
         """Place of the innermost of these elements; 0 if none is open."""
-        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        best = 0
+        for tag in tags:
+            own = self.places.get(tag)
+            if own and own[-1] > best:
+                best = own[-1]
+        return best
 
     def push(self, node: Node) -> None:
         self.places.setdefault(node.tag, []).append(len(self.stack))
@@ -175,11 +180,13 @@ def parse(page: str) -> Node:
             continue
         tag, raw = tag.lower(), m[4] if m[3] else m[7]
         if m[2] or m[5]:
-            opened.close(opened.last((tag,)))
+            if own := opened.places.get(tag):
+                opened.close(own[-1])
             continue
         if tag in IMPLIED:
             ends, until = IMPLIED[tag]
-            if (place := opened.last(ends)) > opened.last(until):
+            place = opened.last(ends)
+            if place and place > opened.last(until):
                 opened.close(place)
         node = _node(tag, raw, opened.stack[-1], opened.regions > 0)
         opened.stack[-1].parts.append(node)
