@@ -224,3 +224,15 @@ def test_fuzzy_rings_equal_all_pairs_and_compare_few(spark):
     one = q.where("query_id = 0").select("query_id", soundex(F.col("text")).alias("code"), normal_form(F.col("text")).alias("norm"))
     one = one.withColumn("len", F.length("norm")).withColumn("letters", letter_set(F.col("norm")))
     assert index.compared(one, 1).count() < 0.1 * index.compared(one, None).count()
+
+
+def test_two_publishers_at_once_give_two_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    feature = spark.createDataFrame([(1, "a", "s", "{}", None)], "id long, identifier string, source string, data string, geometry binary")
+    name = spark.createDataFrame([(1, 1, "Paris")], "id long, feature_id long, text string")
+    root = f"file://{tmp_path}"
+    with ThreadPoolExecutor(2) as pool:
+        paths = list(pool.map(lambda _: store.write(spark, root, "g", {"feature": feature, "name": name}), range(2)))
+    assert len(store.versions(spark, paths[0])) == 2 and len(set(store.versions(spark, paths[0]))) == 2
+    assert len(store.Gazetteer(spark, paths[0])) == 1

@@ -104,3 +104,11 @@ def test_corpus_digest(spark):
     one = corpora.digest(df)
     assert one == corpora.digest(df.select("text", "identifier").repartition(3)) and len(one) == 64
     assert one != corpora.digest(df.distinct()) and one != corpora.digest(df.where("text is null"))
+
+
+def test_known_absences_are_not_asked_again(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"Q1": [1.5, 2.5], "Q2": null}')
+    cache = corpora.coordinates(spark, f"file://{tmp_path}/c.json")
+    assert {(r.qid, r.latitude) for r in cache.collect()} == {("Q1", 1.5), ("Q2", None)}
+    asked = corpora.to_ask(spark.createDataFrame([("Q1",), ("Q2",), ("Q3",), ("Q3",), (None,)], "qid string"), cache)
+    assert [r.qid for r in asked.collect()] == ["Q3"]

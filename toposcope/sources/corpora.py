@@ -87,9 +87,16 @@ def wikiann(rows: DataFrame, location: tuple[int, int] = (5, 6)) -> DataFrame:
 
 
 def coordinates(spark: SparkSession, path: str) -> DataFrame:
-    """Cached QID coordinates (JSON object of qid to [lat, lon] or null): nulls are known absences."""
+    """Cached QID coordinates (JSON object of qid to [lat, lon] or null): nulls are known absences, and stay as such."""
     raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<double>>")).alias("qid", "c"))
-    return raw.where("c is not null").select("qid", F.col("c")[0].alias("latitude"), F.col("c")[1].alias("longitude"))
+    return raw.select("qid", F.get("c", F.lit(0)).alias("latitude"), F.get("c", F.lit(1)).alias("longitude"))
+
+
+def to_ask(qids: DataFrame, cache: DataFrame, batch: int = 50) -> DataFrame:
+    """(qid, batch): what the cache does not know yet, in batches of about that size; known absences are not asked again."""
+    new = qids.select("qid").where("qid is not null").distinct().join(cache.select("qid"), "qid", "left_anti")
+    n = new.count()
+    return new.withColumn("batch", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-n // batch)))))
 
 
 def first_coordinates(claims: DataFrame, asked: DataFrame) -> DataFrame:
