@@ -190,6 +190,12 @@ def _search(spark, sf_dir) -> tuple[Search, DataFrame]:
     return Search.of(_published(spark, sf_dir, "parts", tables)), _table(spark, sf_dir, "part")
 
 
+def rebuilt_search(spark, sf_dir) -> Search:
+    """The store of the parts built and published anew."""
+    _PUBLISHED.pop((spark.sparkContext.applicationId, sf_dir, "parts"), None)
+    return _search(spark, sf_dir)[0]
+
+
 def _words_sql(words: str) -> str:
     """BM25 over phrases (qid, phrase, toks) of the relation `words`."""
     return f"""WITH {_FEATURE_SQL},
