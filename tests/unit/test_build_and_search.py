@@ -236,3 +236,80 @@ def test_two_publishers_at_once_give_two_versions(spark, tmp_path):
         paths = list(pool.map(lambda _: store.write(spark, root, "g", {"feature": feature, "name": name}), range(2)))
     assert len(store.versions(spark, paths[0])) == 2 and len(set(store.versions(spark, paths[0]))) == 2
     assert len(store.Gazetteer(spark, paths[0])) == 1
+
+
+def _stored(spark, root, **more):
+    rows, _, name = _random_names(spark)
+    feature = spark.createDataFrame([(i, f"f{i}", "s", "{}", None) for i in range(1, 1501)], "id long, identifier string, source string, data string, geometry binary")
+    return name, store.Gazetteer(spark, store.write(spark, root, "g", {"feature": feature, "name": name}, **more))
+
+
+def test_stored_buckets_with_split_tokens_give_the_same_results(spark, tmp_path):
+    name, g = _stored(spark, f"file://{tmp_path}/it's", bucket_rows=100, salt_rows=20)
+    plain, index = Search(name, build.postings(name), build.soundex_codes(name)), Search.of(g)
+    assert g.metadata["buckets"] == "16"
+    often = index.posting.where("token = 'saint'")
+    assert often.select("salt").distinct().count() == index.vocabulary.where("token = 'saint'").first().salts > 5
+    assert often.select(F.col("_metadata.file_name")).distinct().count() > 3
+    assert index.posting.drop("salt").exceptAll(plain.posting.select(index.posting.drop("salt").columns)).count() == 0 and index.posting.count() == plain.posting.count()
+    q = spark.createDataFrame(list(enumerate(["saint", "saint new", "monte placeab", "new old rio", "unknown saint", "unknown"])), "query_id int, text string")
+    for method in ("exact", "phrase", "partial", "fuzzy"):
+        want, got = (sorted(map(tuple, s.search(q, method, 50, 2).collect())) for s in (plain, index))
+        assert got == want and got, method
+        one = sorted((r.feature_id, r.position) for r in search_one(spark, index, g.table("feature"), "saint new", method, 50, 2).collect())
+        assert one == sorted((r.feature_id, r.position) for r in plain.search(q.where("query_id = 1"), method, 50, 2).collect()), method
+    assert store.uninstall(spark, f"file://{tmp_path}/it's", "g")
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("gazetteer_", "draft_")) and not t.isTemporary]
+
+
+def _plan(df):
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+
+
+def _above_scans(node, above=()):
+    """For each scan, its table and the operators between it and the join above."""
+    here = () if "Join" in node.nodeName() else (node.nodeName(), *above)
+    if node.children().isEmpty():
+        yield (node.nodeName(), above)
+    for i in range(node.children().size()):
+        yield from _above_scans(node.children().apply(i), here)
+
+
+def test_lookups_do_not_shuffle_the_store(spark, tmp_path):
+    _, g = _stored(spark, f"file://{tmp_path}")
+    index = Search.of(g)
+    q = spark.createDataFrame([(1, 0, ["saint"]), (2, 0, ["saint", "new"])], "query_id int, phrase int, tokens array<string>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scans = [(n, a) for n, a in _above_scans(_plan(occurrences(q, index.posting, index.held, index.vocabulary))) if "gazetteer_" in n]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {n.rsplit("_", 1)[-1] for n, _ in scans} == {"posting", "vocabulary", "tokens"}
+    assert not [n for n, a in scans if any("Exchange" in x for x in a)]
+
+
+def _rows_read(df):
+    df.collect()
+    def leaves(node):
+        if node.children().isEmpty():
+            yield node
+        for i in range(node.children().size()):
+            yield from leaves(node.children().apply(i))
+    return sum(n.metrics().apply("numOutputRows").value() for n in leaves(_plan(df)))
+
+
+def test_absent_keys_leave_row_groups_unread(spark, tmp_path):
+    _, g = _stored(spark, f"file://{tmp_path}")
+    # within the range of what is stored, so that statistics alone leave a row group to be read
+    for table, key, absent in (("posting", "token", "placeaa0"), ("feature", "identifier", "f5000"), ("name_soundex", "code", "P299")):
+        t = g.table(table)
+        low, high = t.agg(F.min(key), F.max(key)).first()
+        assert low < absent < high
+        assert _rows_read(t.where(F.col(key) == absent)) == 0, table
+        spark.conf.set("spark.sql.parquet.filterPushdown", "false")
+        try:
+            assert _rows_read(g.table(table).where(F.col(key) == absent)) > 0
+        finally:
+            spark.conf.set("spark.sql.parquet.filterPushdown", "true")
