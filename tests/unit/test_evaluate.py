@@ -53,6 +53,22 @@ def test_bootstrap(spark):
     assert evaluate.paired_difference(both).where("difference < 0").count() == 100
 
 
+def test_bootstrap_over_blocks_of_kinds(spark):
+    """Blocks keep the number of documents, the pairing and the moments; strata may be null or empty."""
+    counts = spark.createDataFrame([(f"d{i}", 1, i, i % 2, [None, "", "x"][i % 3]) for i in range(60)], "document_id string, tp long, fp long, fn long, s string")
+    draws = evaluate.bootstrap(counts, 600, seed=4, block_kinds=7)
+    got = draws.collect()
+    assert {r.draw for r in got} == set(range(600)) and len(got) == 600 and {r.tp for r in got} == {60}
+    fp = [r.fp for r in got]
+    mean, variance = sum(range(60)), 60 * (60**2 - 1) / 12
+    assert abs(sum(fp) / 600 - mean) < 0.25 * variance**0.5 and 0.8 < sum((x - mean) ** 2 for x in fp) / 600 / variance < 1.2
+    assert {r.tp for r in evaluate.bootstrap(counts, 70, stratum="s", block_kinds=7).collect()} == {60}
+    both = counts.withColumn("p", F.lit("a")).unionByName(counts.withColumn("p", F.lit("b")))
+    paired = evaluate.bootstrap(both, 20, pipeline="p", block_kinds=7)
+    assert paired.count() == 40 and paired.select("draw", "fp").distinct().count() == 20
+    assert evaluate.bootstrap(counts.limit(0), 5).count() == 0
+
+
 def test_protocol(spark):
     row = dict(gold=10, resolved=7, abstained=2, invalid=1, exact_eligible=10, exact_correct=5, coordinate_eligible=8, within_1_km=2, within_10_km=4, within_50_km=6, candidate_eligible=0, candidate_found=0)
     df = spark.createDataFrame([row])

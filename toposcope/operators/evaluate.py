@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from toposcope.functions.geo import haversine_km
+from toposcope.operators.scratch import written
 
 SPAN = ["document_id", "start", "end"]
 WORST_KM = 20039.0
@@ -162,18 +163,25 @@ def broken_counts(counts: DataFrame) -> DataFrame:
     return counts.where(~ok)
 
 
-def bootstrap(counts: DataFrame, draws: int = 1000, seed: int = 0, stratum: str | None = None, pipeline: str | None = None) -> DataFrame:
+#: kinds of documents, and draws, that one task of a bootstrap holds, about
+BLOCK_KINDS, DRAWS_AT_ONCE = 4096, 64
+
+
+def bootstrap(counts: DataFrame, draws: int = 1000, seed: int = 0, stratum: str | None = None, pipeline: str | None = None, block_kinds: int = BLOCK_KINDS) -> DataFrame:
     """f1 of pooled tp, fp, fn over documents drawn with replacement: a row per draw.
 
     A draw takes as many documents as there are, in each stratum on its own.  Documents of
-    equal counts are drawn together, as one multinomial number, so the work grows with the
-    distinct counts of a stratum and not with its documents, and no document is collected.
-    The random state is a function of seed, stratum and draw.  With `pipeline`, counts have
-    a row per document and pipeline; a draw takes the same documents for all pipelines,
-    which must have the same documents.
+    equal counts are of one kind and drawn together, so the work grows with the kinds and
+    not with the documents.  A multinomial number splits: how many documents each block of
+    kinds gets is drawn first, and what each kind gets of them in a task for the block.  So
+    neither draws nor kinds come together in one task, with strata or without.  The random
+    state is a function of seed, stratum, block and draw.  With `pipeline`, counts have a
+    row per document and pipeline; a draw takes the same documents for all pipelines, which
+    must have the same documents.
     """
+    own_stratum = F.coalesce(F.concat(F.lit("s"), F.col(stratum).cast("string")), F.lit("")) if stratum else F.lit("")
     rows = counts.select(
-        F.col(stratum).cast("string").alias("stratum") if stratum else F.lit("").alias("stratum"),
+        own_stratum.alias("stratum"),
         F.col(pipeline).cast("string").alias("pipeline") if pipeline else F.lit("").alias("pipeline"),
         "document_id", *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")],
     )
@@ -182,27 +190,42 @@ def bootstrap(counts: DataFrame, draws: int = 1000, seed: int = 0, stratum: str
         if sizes["lo"] != sizes["hi"] or sizes["c"] != sizes["hi"]:
             raise ValueError("pipelines do not share their documents and strata")
     own = rows.groupBy("stratum", "document_id").agg(F.array_sort(F.collect_list(F.struct("pipeline", "tp", "fp", "fn"))).alias("all"))
-    groups = own.groupBy("stratum", "all").agg(F.count("*").alias("n"))
-
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        kinds = [[(r["pipeline"], r["tp"], r["fp"], r["fn"]) for r in a] for a in pdf["all"]]
-        order = sorted(range(len(kinds)), key=lambda i: kinds[i])
-        n = pdf["n"].to_numpy()[order]
-        names = sorted({r[0] for k in kinds for r in k})
+    kinds = own.groupBy("stratum", "all").agg(F.count("*").alias("n"))
+    sizes = kinds.groupBy("stratum").agg(F.ceil(F.count("*") / block_kinds).cast("int").alias("blocks"))
+    chunk = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // DRAWS_AT_ONCE) - 1))).alias("chunk")
+    dealt = written(kinds.join(sizes, "stratum").withColumn("block", F.pmod(F.xxhash64("all"), "blocks").cast("int")).drop("blocks"))
+
+    def times_of(state: list, n: np.ndarray, documents: int) -> np.ndarray:
+        return np.random.default_rng(state).multinomial(documents, n / n.sum())
+
+    def among_blocks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        n, state = pdf["n"].to_numpy(), [seed, zlib.crc32(key[0].encode()), 0]
+        first = key[1] * DRAWS_AT_ONCE
+        out = [pd.DataFrame({"stratum": key[0], "chunk": key[1], "block": pdf["block"], "draw": d, "documents": times_of([*state, d], n, n.sum())}) for d in range(first, min(draws, first + DRAWS_AT_ONCE))]
+        return pd.concat(out)
+
+    def among_kinds(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        all_of = [[(r["pipeline"], r["tp"], r["fp"], r["fn"]) for r in a] for a in held["all"]]
+        order = sorted(range(len(all_of)), key=lambda i: all_of[i])
+        n, state = held["n"].to_numpy()[order], [seed, zlib.crc32(key[0].encode()), key[2] + 1]
+        names = sorted({r[0] for k in all_of for r in k})
         # sums of each kind by pipeline
         table = np.zeros((len(order), len(names), 3))
         for i, k in enumerate(order):
-            for name, *values in kinds[k]:
+            for name, *values in all_of[k]:
                 table[i, names.index(name)] += values
         out = []
-        of_stratum = zlib.crc32((key[0] or "").encode())
-        for d in range(draws):
-            times = np.random.default_rng([seed, of_stratum, d]).multinomial(n.sum(), n / n.sum())
-            for name, sums in zip(names, np.tensordot(times, table, axes=1), strict=True):
+        for d, documents in zip(asked["draw"], asked["documents"], strict=True):
+            for name, sums in zip(names, np.tensordot(times_of([*state, d], n, documents), table, axes=1), strict=True):
                 out.append((d, name, *map(int, sums)))
         return pd.DataFrame(out, columns=["draw", "pipeline", "tp", "fp", "fn"])
 
-    drawn = groups.groupBy("stratum").applyInPandas(draw, "draw int, pipeline string, tp long, fp long, fn long")
+    blocks = dealt.groupBy("stratum", "block").agg(F.sum("n").alias("n")).select("*", chunk)
+    asked = blocks.groupBy("stratum", "chunk").applyInPandas(among_blocks, "stratum string, chunk int, block int, draw int, documents long")
+    key = ("stratum", "chunk", "block")
+    held = dealt.select("*", chunk)
+    drawn = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(among_kinds, "draw int, pipeline string, tp long, fp long, fn long")
     pooled = with_prf(drawn.groupBy("draw", "pipeline").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
     return pooled if pipeline else pooled.drop("pipeline")
 
