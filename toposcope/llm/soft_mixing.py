@@ -92,7 +92,7 @@ class Domains:
 def _tokens(documents: DataFrame) -> DataFrame:
     """documents plus their words and the distinct hashed words."""
     docs = documents.withColumn("__words", words(F.col("text")))
-    return docs.withColumn("__at", F.array_distinct(F.transform("__words", _bucket)))
+    return docs.withColumn("__at", F.array_distinct(F.transform(F.array_distinct("__words"), _bucket)))
 
 
 def _looked_up(places: str, values: Column) -> Column:
