@@ -48,23 +48,25 @@ from pyspark.sql import functions as F
 from toposcope.llm._shared import scratch, stash, table
 
 BUCKETS = 1 << 16
-BREAKS, SPACES = r"[\x09-\x0D\x20]+", "\t\n\x0b\x0c\r "
+SPACES, PUNCTUATION = "\t\n\x0b\x0c\r ", ".,;:!?()\"'"
+BREAKS = f"[{PUNCTUATION}]*+[\\x09-\\x0D\\x20]++[{PUNCTUATION}]*+"
 FOLDS = 3
 SURE = 4.0
 #: texts of the pooled share that a domain's share is shrunk by
 SHRINK = 20
-PUNCTUATION = ".,;:!?()\"'"
 TARGETS = {"q1t0": 0.85, "q0t0": 0.13, "q1t1": 0.01, "q0t1": 0.01}
 RESULTS = ("n_tokens", "domain", "posteriors", "rate", "copies", "miss")
 
 
 def words(text: Column) -> Column:
+    """Words between white space, without the punctuation around them."""
     own = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return F.when(own == "", F.array().cast("array<string>")).otherwise(F.split(own, BREAKS))
+    parts = F.split(F.concat(F.lit(" "), own, F.lit(" ")), BREAKS)  # empty before the first space and after the last
+    return F.when(own == "", F.array().cast("array<string>")).otherwise(F.slice(parts, F.lit(2), F.size(parts) - 2))
 
 
 def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(F.btrim(F.lower(word), F.lit(PUNCTUATION))), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.xxhash64(F.lower(word)), F.lit(BUCKETS)).cast("int")
 
 
 def _numbers(values, kind: str = "double") -> Column:
@@ -99,27 +101,23 @@ def _looked_up(places: str, values: Column) -> Column:
     return F.transform(places, lambda i: F.get(values, i))
 
 
-def _inputs(weights: dict[int, list[float]], domains: int) -> tuple[Column, Column]:
-    """Places of telling words, and what the regression reads of rows that have them as __told."""
+def _with_inputs(tokens: DataFrame, weights: dict[int, list[float]], domains: int) -> DataFrame:
+    """tokens plus what the regression reads, __x, by way of the places of telling words."""
     place = np.zeros(BUCKETS, dtype=int)
     rows = sorted(weights)
     place[rows] = np.arange(1, len(rows) + 1)
-    at = F.filter(_looked_up("__at", _numbers(place.tolist(), "int")), lambda i: i > 0)
+    told = tokens.withColumn("__told", F.filter(_looked_up("__at", _numbers(place.tolist(), "int")), lambda i: i > 0))
+    got = [f"__got{d}" for d in range(domains)]
+    told = told.withColumns({c: _looked_up("__told", _numbers([0.0, *(float(weights[b][d]) for b in rows)])) for d, c in enumerate(got)})
     out = []
-    for d in range(domains):
-        got = _looked_up("__told", _numbers([0.0, *(float(weights[b][d]) for b in rows)]))
-        total = F.aggregate(got, F.lit(0.0), lambda acc, x: acc + x)
-        out += [F.greatest(F.lit(-20.0), F.least(F.lit(20.0), total)), F.greatest(F.lit(0.0), F.coalesce(F.array_max(got), F.lit(0.0)))]
+    for c in got:
+        total = F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
+        out += [F.greatest(F.lit(-20.0), F.least(F.lit(20.0), total)), F.greatest(F.lit(0.0), F.coalesce(F.array_max(c), F.lit(0.0)))]
     n = F.size("__words").cast("double")
     per = F.greatest(n, F.lit(1.0))
-    capital = F.size(F.filter("__words", lambda w: F.ascii(w).between(65, 90)))
+    capital = F.size(F.filter("__words", lambda w: (w >= "A") & (w < "[")))  # words are compared by bytes
     out += [F.log1p(n), F.size("__at") / per, F.length(F.coalesce("text", F.lit(""))) / per, capital / per]
-    return at, F.array(*out)
-
-
-def _with_inputs(tokens: DataFrame, weights: dict[int, list[float]], domains: int) -> DataFrame:
-    at, inputs = _inputs(weights, domains)
-    return tokens.withColumn("__told", at).withColumn("__x", inputs).drop("__told")
+    return told.withColumn("__x", F.array(*out)).drop("__told", *got)
 
 
 def _softmax(x: np.ndarray, center: np.ndarray, slopes: np.ndarray) -> np.ndarray:
@@ -209,10 +207,13 @@ def with_posteriors(documents: DataFrame, domains: Domains) -> DataFrame:
     docs = _with_inputs(_tokens(documents), domains.weights, len(domains.names))
     slopes = domains.slopes[:-1] / domains.center[1][:, None]
     constant = domains.slopes[-1] - domains.center[0] @ slopes
-    logits = [sum((float(w) * F.get("__x", F.lit(j)) for j, w in enumerate(slopes[:, c])), F.lit(float(constant[c]))) for c in range(len(domains.names))]
+    # one list of slopes for each domain, the constant last
+    known = F.from_json(F.lit(json.dumps(np.vstack([slopes, constant]).T.tolist())), "array<array<double>>")
+    inputs = F.concat("__x", F.array(F.lit(1.0)))
+    logits = F.transform(known, lambda own: F.aggregate(F.zip_with(inputs, own, lambda x, w: x * w), F.lit(0.0), lambda acc, v: acc + v))
     top = F.array_max("__z")
     out = docs.withColumn("n_tokens", F.size("__words").cast("long")).drop("__words", "__at")
-    out = out.withColumn("__z", F.array(*logits)).withColumn("__e", F.transform("__z", lambda z: F.exp(z - top)))
+    out = out.withColumn("__z", logits).withColumn("__e", F.transform("__z", lambda z: F.exp(z - top)))
     total = F.aggregate("__e", F.lit(0.0), lambda acc, x: acc + x)
     return out.withColumn("posteriors", F.transform("__e", lambda x: x / total)).drop("__x", "__z", "__e")
 
@@ -286,23 +287,27 @@ def _rate(steps: Steps, domains: int) -> Column:
     return F.aggregate(known, start, lambda acc, s: _step(acc, s["g"], s["m"], _dot(s["s"], domains), domains))["r"]
 
 
-def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total_tokens: float | None = None, path: str | None = None) -> DataFrame:
+def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total_tokens: float | None = None, path: str | None = None, carry: tuple[str, ...] | None = None) -> DataFrame:
     """documents plus n_tokens, domain (the likeliest), posteriors, rate, copies and miss.
 
     targets: shares of the domains, normalised over those that occur in the labels;
-    total_tokens: tokens after mixing, by default as many as before.  copies is the rate
+    total_tokens: tokens after mixing, by default as many as before; carry: columns of the
+    documents in the result, by default all (what it leaves out is not written).  copies is the rate
     rounded up or down by a hash of the id, so its expectation is the rate; miss: the share
     of all tokens by which the expected domain totals miss the targets, the same in each row.
     """
     spark = documents.sparkSession
     path = path or scratch(spark)
     docs = documents.drop(*RESULTS)
+    kept = [c for c in docs.columns if carry is None or c in carry or c == "doc_id"]
     domains = fit_domains(docs, labels, path=path)
     unit = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(4)), F.lit(1 << 20)) / float(1 << 20)
     if domains is None:
         out = docs.withColumn("n_tokens", F.size(words(F.col("text"))).cast("long")).withColumn("domain", F.lit(None).cast("string")).withColumn("posteriors", F.array().cast("array<double>"))
+        out = out.select(*[F.col(f"`{c}`") for c in kept], "n_tokens", "domain", "posteriors")
         return out.withColumn("rate", F.lit(1.0)).withColumn("copies", F.lit(1).cast("long")).withColumn("miss", F.lit(None).cast("double"))
-    scored = stash(with_posteriors(docs, domains), f"{path}/scored")
+    scored = with_posteriors(docs, domains).select(*[F.col(f"`{c}`") for c in kept], "n_tokens", "posteriors")
+    scored = stash(scored, f"{path}/scored")
     slim = scored.select("n_tokens", "posteriors")
     if total_tokens is None:
         total_tokens = float(slim.agg(F.sum("n_tokens")).first()[0] or 0)
@@ -316,5 +321,5 @@ def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TAR
 
 def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mixed = mix(docs, table(spark, sf_dir, "labels"))
+    mixed = mix(docs, table(spark, sf_dir, "labels"), carry=("doc_id",))
     return mixed.select("doc_id", *RESULTS)
