@@ -224,8 +224,9 @@ def _dot(values: Column, domains: int) -> Column:
 
 def _step(state: Column, gap: Column, momentum: Column, size: Column, domains: int) -> Column:
     """(r, y) after one step from y, where the gap was measured."""
-    r = F.greatest(F.lit(0.0), state["y"] - F.when(size > 0, _dot(gap, domains) / size).otherwise(0.0))
-    return F.struct(r.alias("r"), (r + momentum * (r - state["r"])).alias("y"))
+    r = F.greatest(F.lit(0.0), state["y"] - F.coalesce(F.try_divide(_dot(gap, domains), size), F.lit(0.0)))
+    # r is worked out once, as the element of an array
+    return F.get(F.transform(F.array(r), lambda r: F.struct(r.alias("r"), (r + momentum * (r - state["r"])).alias("y"))), F.lit(0))
 
 
 def nearest(gap: np.ndarray, least: float, target: np.ndarray) -> float:
