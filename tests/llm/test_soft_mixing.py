@@ -1,5 +1,3 @@
-import re
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -118,12 +116,3 @@ def test_no_labels_and_no_rows(spark):
     known = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert M.mix(docs.limit(0), known).count() == 0
     assert M.mix(docs, known).first().rate == 1.0
-
-
-def test_words_lose_the_punctuation_around_them_but_none_is_lost(spark):
-    texts = [None, "", " \t\n", "a", '  ... a "B" (c). ', "don't, stop", "!", "x y z", "? ?\r\n?", "'tis (so)"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    got = {r["i"]: r["w"] for r in df.select("i", M.words(F.col("text")).alias("w")).collect()}
-    blank = re.compile("[\t-\r ]+")
-    for i, t in enumerate(texts):
-        assert got[i] == [w.strip(M.PUNCTUATION) for w in blank.split(t or "") if w], t
