@@ -167,8 +167,7 @@ class BlockPlan:
         if self.block.geometry is None:
             return None
         rows = self._sql(f"SELECT {self._id()} AS identifier, {self._q(self.block.geometry)} AS shape FROM `{self.block.source}` AS src WHERE ({self._q(self.block.identifier)}) IS NOT NULL")
-        twice = rows.groupBy("identifier").count().where("count > 1").select("identifier")
-        return geo.merged(rows.join(twice, "identifier", "left_semi"), "identifier", "shape")
+        return geo.merged(rows, "identifier", "shape", least=2)
 
     def whole(self) -> DataFrame:
         """features with the merged geometries in place."""
