@@ -28,3 +28,25 @@ def test_hot_key_is_merged_in_groups_of_neighbours(spark):
     assert areas["hot"][0] == 3600.0 and areas["cold"][0] == 1.0
     # one square is left, without the borders between the groups
     assert len(areas["hot"][1]) == len(box(0, 0, 60, 60))
+
+
+def test_rectangles_need_no_test_in_python_and_full_cells_are_shared_out(spark, monkeypatch):
+    monkeypatch.setattr(geo, "CELL_ROWS", 3)
+    boxes = [(i % 7 * 3.0, i % 5 * 2.0, 1.0 + i % 4, 1.0 + i % 3) for i in range(40)]
+    a = spark.createDataFrame([(i, box(*b)) for i, b in enumerate(boxes)], "i int, shape binary")
+    b = a.select(F.col("i").alias("j"), F.col("shape").alias("other"))
+    found = geo.geometry_join(a, b, "intersects")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "__share" in plan
+    touch = lambda p, q: p[0] <= q[0] + q[2] and q[0] <= p[0] + p[2] and p[1] <= q[1] + q[3] and q[1] <= p[1] + p[3]
+    want = {(i, j) for i, p in enumerate(boxes) for j, q in enumerate(boxes) if touch(p, q)}
+    got = [(r["i"], r["j"]) for r in found.select("i", "j").collect()]
+    assert len(got) == len(want) and {*got} == want
+
+
+def test_other_shapes_keep_their_exact_test(spark):
+    triangle = geo.write_wkb(geo.POLYGON, [[(0.0, 0.0), (10.0, 0.0), (0.0, 10.0), (0.0, 0.0)]])
+    a = spark.createDataFrame([(0, triangle), (1, box(0.0, 0.0, 1.0, 1.0))], "i int, shape binary")
+    b = spark.createDataFrame([(0, triangle), (1, box(8.0, 8.0, 1.0, 1.0)), (2, box(1.0, 1.0, 8.0, 8.0))], "j int, other binary")
+    got = {(r["i"], r["j"]) for r in geo.geometry_join(a, b, "intersects").select("i", "j").collect()}
+    assert got == {(0, 0), (0, 2), (1, 0), (1, 2)}
