@@ -118,3 +118,16 @@ def test_bounds_of_a_word_are_those_of_its_grams():
     telling = D.Telling(bounds, 0.1, D.Restorer(None))
     assert [telling.word(w) for w in words] == [max((bounds.get(g, 0.0) for g in D.grams(w)), default=0.0) for w in words]
     assert D.Telling({}, 0.1, D.Restorer(None)).word("abc") == 0.0
+
+
+def test_every_labelled_text_is_learnt_from(spark, tmp_path):
+    n = 8300
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("note "), F.col("id").cast("string"), F.when(F.col("id") % 10 == 0, " scum").otherwise(" bees")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    path = f"file://{tmp_path}/s"
+    scores = D.score(docs, labels, F.lit(True), path=path)
+    assert spark.read.parquet(f"{path}/learnt").count() == n
+    counts = {r["key"]: r.asDict() for r in spark.read.parquet(f"{path}/counts").where("key in ('scum', 'bees')").collect()}
+    assert sum(counts["scum"][f"n{f}"] for f in range(D.FOLDS)) == n // 10
+    low, high = scores.agg(F.max(F.when(F.col("doc_id") % 10 > 0, F.col("score"))), F.min(F.when(F.col("doc_id") % 10 == 0, F.col("score")))).first()
+    assert low < 0.3 < high

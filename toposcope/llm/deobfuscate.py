@@ -10,15 +10,15 @@ A word's score is that of its most telling character n-gram: the lower confidenc
 of the share of toxic texts among the texts that hold it.  The text's score is a logistic
 function of how many of its words are telling, and of their evidence.
 
-Labels are learnt from a bounded sample (at most `sample_texts` labelled texts, those of
-least hash of the id); n-grams are counted over it in Spark, by folds.  The regression is
+Labels are learnt from all labelled texts that `learn` allows; n-grams are counted in Spark,
+by folds, and the steps of the regression are sums that are made there.  The regression is
 fitted on texts whose own fold was left out of the bounds, and the width of the bounds is
 the one of WIDTHS with the least log loss over folds, so no held-out label is used.  Texts
 are scored whole, and each distinct token is decoded once per task.
 
 Defined results: null and empty texts have no words and get the score of a text without
 telling words; without labels every score is 0; repeated rows are scored alike; texts
-that occur again in the sample count once; other columns are not read.
+that occur again among the labelled ones count once; other columns are not read.
 """
 
 from __future__ import annotations
@@ -196,6 +196,8 @@ class Telling:
 
 
 FEATURES = 5
+#: tasks that learn; each begins with nothing restored
+LEARNERS = 64
 
 
 def lower_bound(toxic: np.ndarray, texts: np.ndarray, z: float) -> np.ndarray:
@@ -206,17 +208,6 @@ def lower_bound(toxic: np.ndarray, texts: np.ndarray, z: float) -> np.ndarray:
     return np.where(texts >= LEAST_TEXTS, (p + z * z / (2 * n) - z * spread) / (1 + z * z / n), 0.0)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 40) -> np.ndarray:
-    """Logistic regression by Newton steps; the last weight is the constant."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + (ridge * len(x) / 100 + 1e-6) * np.eye(len(w))
-        w = w - np.linalg.solve(h, x.T @ (p - y) + ridge * len(x) / 100 * w)
-    return w
-
-
 def _letters_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch: trigrams of the distinct plain words, with how many have them."""
     for whole in batches:
@@ -260,32 +251,87 @@ def _bounds(keys: list[str], counts: np.ndarray, left_out: int | None, z: float)
     return {keys[i]: float(p[i]) for i in np.flatnonzero(p >= TELLING)}
 
 
-def _log_loss(x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> float:
-    """Of regressions that leave out each fold, on that fold."""
-    loss = 0.0
-    for f in np.unique(folds):
-        w = _fit(x[folds != f], y[folds != f])
-        p = np.clip(_logistic(x[folds == f], w), 1e-9, 1 - 1e-9)
-        loss -= float(np.where(y[folds == f] > 0, np.log(p), np.log(1 - p)).sum())
-    return loss / len(y)
-
-
 def _logistic(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
 
-def _labelled(documents: DataFrame, labels: DataFrame, learn: Column, sample_texts: int, path: str) -> DataFrame:
-    """At most sample_texts (text, toxic, fold) rows, each text once."""
+def _labelled(documents: DataFrame, labels: DataFrame, learn: Column, path: str) -> DataFrame:
+    """All labelled (text, toxic, fold) rows that may be learnt from, each text once."""
     known = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
-    ids = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_texts)
-    ids = stash(ids, f"{path}/ids")
-    # at most sample_texts rows are broadcast
-    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    ids = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(ids, "doc_id")
     once = rows.groupBy("text").agg(F.max("toxic").cast("int").alias("toxic"))
-    return stash(once.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(9)), F.lit(FOLDS)).cast("int")), f"{path}/sample")
+    return stash(once.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(9)), F.lit(FOLDS)).cast("int")), f"{path}/learnt")
 
 
-def score(documents: DataFrame, labels: DataFrame, learn: Column, sample_texts: int = 8000, restore: bool = True, path: str | None = None) -> DataFrame:
+def _steps(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What rows add to a Newton step: the gradient, the Hessian and how many they are."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return np.concatenate([x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x).ravel(), [len(y)]])
+
+
+def _fit_all(rows: DataFrame, models: list[tuple[int, int | None]], ridge: float = 0.02, rounds: int = 40) -> dict[tuple[int, int | None], np.ndarray]:
+    """Logistic regressions by Newton steps on rows (x, y, fold) that stay where they are: (width, fold left out) -> weights.
+
+    All models take a step in one job, which brings sums of fixed size to the driver.
+    """
+    k = FEATURES + 1
+    weights, open_ = {m: np.zeros(k) for m in models}, list(models)
+    for _ in range(rounds):
+        now = {m: weights[m] for m in open_}
+
+        def steps(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            sums = {m: np.zeros(k + k * k + 1) for m in now}
+            for x, y, folds in _arrays(batches):
+                for (i, out), w in now.items():
+                    own = folds != out if out is not None else np.ones(len(y), bool)
+                    if own.any():
+                        z = np.hstack([x[own, i * FEATURES : (i + 1) * FEATURES], np.ones((own.sum(), 1))])
+                        sums[i, out] += _steps(z, y[own], w)
+            at = [(n, j, float(v)) for n, m in enumerate(now) for j, v in enumerate(sums[m])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*at, strict=True)], ["model", "place", "value"])
+
+        added = rows.mapInArrow(steps, "model long, place long, value double").groupBy("model", "place").agg(F.sum("value").alias("value")).collect()
+        total = np.zeros((len(open_), k + k * k + 1))
+        for r in added:
+            total[r["model"], r["place"]] = r["value"]
+        moving = []
+        for m, t in zip(open_, total, strict=True):
+            c = ridge * t[-1] / 100
+            step = np.linalg.solve(t[k:-1].reshape(k, k) + (c + 1e-6) * np.eye(k), t[:k] + c * weights[m])
+            weights[m] = weights[m] - step
+            if np.abs(step).max() > 1e-10:
+                moving.append(m)
+        open_ = moving
+        if not open_:
+            break
+    return weights
+
+
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            yield x, batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+
+
+def _losses(rows: DataFrame, weights: dict[tuple[int, int | None], np.ndarray]) -> list[float]:
+    """Log loss of each width, of regressions that leave out each fold, on that fold: summed over all rows."""
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(WIDTHS))
+        for x, y, folds in _arrays(batches):
+            for (i, f), w in weights.items():
+                own = folds == f
+                p = np.clip(_logistic(x[own, i * FEATURES : (i + 1) * FEATURES], w), 1e-9, 1 - 1e-9)
+                sums[i] -= float(np.where(y[own] > 0, np.log(p), np.log(1 - p)).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(WIDTHS)), pa.int64()), pa.array(sums)], ["width", "loss"])
+
+    found = {r["width"]: r["loss"] for r in rows.mapInArrow(losses, "width long, loss double").groupBy("width").agg(F.sum("loss").alias("loss")).collect()}
+    return [found.get(i, 0.0) for i in range(len(WIDTHS))]
+
+
+def score(documents: DataFrame, labels: DataFrame, learn: Column, restore: bool = True, path: str | None = None) -> DataFrame:
     """doc_id, score for every row of documents.
 
     learn: a condition on labels' doc_id; labels have doc_id and toxic (0 or 1); restore:
@@ -294,9 +340,9 @@ def score(documents: DataFrame, labels: DataFrame, learn: Column, sample_texts:
     spark = documents.sparkSession
     small_batches(spark)
     path = path or scratch(spark)
-    # few rows: dealt out again, as texts of one file would be one task
-    sample = _labelled(documents, labels, learn, sample_texts, path).repartition(16, F.xxhash64("text"))
-    # all that comes to the driver is bounded by the sample
+    # dealt out again, as texts of one file would be one task
+    sample = _labelled(documents, labels, learn, path).repartition(LEARNERS, F.xxhash64("text"))
+    # trigrams, n-grams that tell something and sums come to the driver: the model, which every task holds, and no texts
     letters = sample.select("text").mapInArrow(_letters_task, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")) if restore else None
     model = CharModel({r["key"]: math.sqrt(r["n"]) for r in letters.toLocalIterator()}) if restore else None
     shared = spark.sparkContext.broadcast(model)
@@ -320,12 +366,12 @@ def score(documents: DataFrame, labels: DataFrame, learn: Column, sample_texts:
 
     weights, bounds = None, {}
     if texts:
-        learnt = sample.mapInArrow(inputs, "x array<double>, y int, fold int").collect()
-        learnt.sort(key=lambda r: (r["fold"], r["y"], r["x"]))
-        x, y, folds = np.array([r["x"] for r in learnt]), np.array([r["y"] for r in learnt]), np.array([r["fold"] for r in learnt])
-        each = [x[:, i * FEATURES : (i + 1) * FEATURES] for i in range(len(WIDTHS))]
-        best = min(range(len(WIDTHS)), key=lambda i: (_log_loss(each[i], y, folds), i))
-        weights, bounds = _fit(each[best], y), _bounds(keys, counts, None, WIDTHS[best])
+        learnt = stash(sample.mapInArrow(inputs, "x array<double>, y int, fold int"), f"{path}/inputs")
+        folds = sorted({f for _, f in sizes})
+        without = _fit_all(learnt, [(i, f) for i in range(len(WIDTHS)) for f in folds])
+        loss = _losses(learnt, without)
+        best = min(range(len(WIDTHS)), key=lambda i: (loss[i], i))
+        weights, bounds = _fit_all(learnt, [(best, None)])[best, None], _bounds(keys, counts, None, WIDTHS[best])
     known = spark.sparkContext.broadcast(bounds)
     id_type = documents.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("score", T.DoubleType())])
