@@ -6,6 +6,7 @@ lines for spans, and events and conversations for runs and annotation sessions.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -724,14 +725,30 @@ def training_pairs(spark, sf_dir):
     return resolve.training_pairs(own, index, features.select("feature_id", "identifier", "description"), limit=ALL)
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def _places_of_words(words: pd.Series, between: pd.Series) -> pd.Series:
+    """Spans of words from their lengths and those of what lies before each: running sums."""
+    out = []
+    for w, b in zip(words, between, strict=True):
+        if w is None or b is None or not len(w):
+            out.append([])
+            continue
+        ends = np.cumsum(np.asarray(w) + np.asarray(b)[: len(w)])
+        out.append([{"start": int(e - n), "end": int(e)} for e, n in zip(ends, w, strict=True)])
+    return pd.Series(out, index=words.index, dtype=object)
+
+
+def capitalised_spans(text_column):
+    """Spans of the capitalised words, in time linear in the text."""
+    pattern = r"\b[A-Z][a-z]+\b"
+    return _places_of_words(F.transform(F.regexp_extract_all(text_column, F.lit(pattern), F.lit(0)), F.length), F.transform(F.split(text_column, pattern, -1), F.length))
+
+
 @query()
 def trained_recognizer(spark, sf_dir):
     """Spans in every document by a tagger that has learnt the capitalised words of half of them: a test holds it to these."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
-    words = F.transform(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+\b"), F.lit(0)), lambda w: w)
-    pieces = F.transform(F.split("text", r"\b[A-Z][a-z]+\b", -1), F.length)
-    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words))), lambda k: F.aggregate(F.slice(pieces, 1, k), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(words, 1, k - 1), F.lit(0), lambda a, w: a + F.length(w)))
-    spans = F.when(F.size(words) > 0, F.transform(F.arrays_zip(words.alias("w"), ends.alias("s")), lambda x: F.struct(x["s"].alias("start"), (x["s"] + F.length(x["w"])).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    spans = capitalised_spans(F.col("text"))
     learnt = tagger.PerceptronRecognizer().fit(docs.where("text is not null and id % 2 = 1").select("text", spans.alias("spans")), epochs=2, partitions=spark.sparkContext.defaultParallelism)
     return learnt(docs).select("id", F.explode("spans").alias("s")).select("id", "s.start", "s.end")
 
