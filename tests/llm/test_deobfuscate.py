@@ -131,3 +131,36 @@ def test_every_labelled_text_is_learnt_from(spark, tmp_path):
     assert sum(counts["scum"][f"n{f}"] for f in range(D.FOLDS)) == n // 10
     low, high = scores.agg(F.max(F.when(F.col("doc_id") % 10 > 0, F.col("score"))), F.min(F.when(F.col("doc_id") % 10 == 0, F.col("score")))).first()
     assert low < 0.3 < high
+
+
+def test_a_token_is_decoded_once_for_all_texts_and_lists(restorer):
+    asked = []
+
+    class Counted(D.CharModel):
+        def decode(self, observed):
+            asked.append(observed)
+            return restorer.model.decode(observed)
+
+    own = D.Restorer(Counted({}))
+    counts = D.GramCounts(own)
+    texts = [f"so 1d10t and m0r0n {i}" for i in range(30)]
+    for i, text in enumerate(texts):
+        counts.add(text, i % 2, i % D.FOLDS)
+    assert sorted(asked) == ["1d10t", "m0r0n"]
+    (batch,) = counts.packed()
+    got = {r["key"]: r for r in batch.to_pylist()}
+    assert set(got) == {g for w in ("so", "and", "idiot", "moron") for g in D.grams(w)}
+    assert [got["^idiot$"][c] for c in D.COUNTS] == [10, 10, 10, 5, 5, 5]
+    asked.clear()
+    lists = [{"idiot": 0.5}, {"moron": 0.9, "idiot": 0.4}, {}]
+    together = D.Telling(lists, 0.1, own)
+    features = [together.features(t) for t in texts]
+    assert sorted(asked) == ["1d10t", "m0r0n"]
+    assert features == [[v for x in lists for v in D.Telling(x, 0.1, own).features(t)] for t in texts]
+
+
+def test_texts_without_a_label_are_not_sent_to_the_join(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    ids = spark.range(0, 5000, 50).select(F.col("id").cast("int").alias("doc_id"))
+    got = {r.doc_id for r in D._among(docs, ids).collect()}
+    assert {*range(0, 5000, 50)} <= got and len(got) < 110

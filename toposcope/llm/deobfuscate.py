@@ -27,6 +27,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -40,6 +41,8 @@ from toposcope.llm._shared import remainder, scratch, small_batches, stash, tabl
 WORD = re.compile(r"[^\W\d_]+")
 #: single signs set apart by one or two separators, at least three of them
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ .\-_*~/·]{1,2}(?:[^\W_]|[@$!|+])){2,}(?![^\W_])")
+#: what every match of SPACED ends with, quick to look for
+_SPACED_END = re.compile(r"[ .\-_*~/·](?:[^\W_]|[@$!|+])[ .\-_*~/·]{1,2}(?:[^\W_]|[@$!|+])(?![^\W_])")
 _SEPARATORS = frozenset(" .-_*~/·")
 #: fixed values: letters that a sign may stand for
 LEET = {
@@ -49,7 +52,7 @@ LEET = {
 #: leet signs inside a token or right before its letters, digits also after them
 _LEET_INSIDE = re.compile(r"(?:[^\W\d_][^\W_]*[0-9@$!|+(<€£¡]+[^\W_]*[^\W\d_])|(?:^[0-9@$!|+(<€£¡]+[^\W\d_])|(?:[^\W\d_]{2}[0-9@$]+$)")
 _REPEATED = re.compile(r"([^\W\d_])\1")
-_EDGES = ".,;:?\"'()[]{}*#%&"
+_STOPS = ".,;:"
 
 #: where a token is cut before its parts are looked at
 _CUT = re.compile(r"[\-_/.,;:\"'()\[\]{}*#%&?]+")
@@ -96,25 +99,46 @@ class CharModel:
         for c in observed:
             runs.append((c, runs[-1][1] + 1 if runs and runs[-1][0] == c else 1))
         long = {i for i, (c, n) in enumerate(runs) if n > 1 and (n > 2 or (i + 1 < len(runs) and runs[i + 1][1] > n))}
-        # the best way to each pair of last letters: its cost, and its letters as a chain
-        states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
+        done, before = [], "^^"
+        # the best way to each pair of last letters: its cost, and its letters as a chain;
+        # none where all ways have the same two, as what comes later then tells nothing of what came before
+        states: dict[str, tuple[float, tuple | None]] | None = None
         for i, (c, n) in enumerate(runs):
+            options = self.options(c, n, i in long)
+            if states is None:
+                if len(options) == 1:
+                    if letter := options[0][0]:
+                        before = before[1] + letter
+                        done.append(letter)
+                    continue
+                states = {before: (0.0, None)}
             new: dict[str, tuple[float, tuple | None]] = {}
-            for before, (cost, spelt) in states.items():
-                for letter, channel in self.options(c, n, i in long):
-                    total = cost + channel + (self.cost(before, letter) if letter else 0.0)
-                    state = before[1] + letter if letter else before
+            for last, (cost, spelt) in states.items():
+                for letter, channel in options:
+                    total = cost + channel + (self.cost(last, letter) if letter else 0.0)
+                    state = last[1] + letter if letter else last
                     if state not in new or total < new[state][0]:
                         new[state] = (total, (spelt, letter) if letter else spelt)
             states = new
-        _, best = min((cost + self.cost(b, "$"), b) for b, (cost, _) in states.items())
-        spelt, out = states[best][1], []
+            if len(states) == 1:
+                ((before, (_, spelt)),) = states.items()
+                done += self._letters(spelt)
+                states = None
+        if states is not None:
+            _, best = min((cost + self.cost(b, "$"), b) for b, (cost, _) in states.items())
+            done += self._letters(states[best][1])
+        return "".join(done)
+
+    @staticmethod
+    def _letters(spelt: tuple | None) -> list[str]:
+        out = []
         while spelt is not None:
             spelt, letter = spelt
             out.append(letter)
-        return "".join(reversed(out))
+        return out[::-1]
 
     @staticmethod
+    @lru_cache(1 << 14)
     def options(sign: str, run: int, long: bool) -> list[tuple[str, float]]:
         """Letters that a sign may stand for, "" where it may be dropped, with the costs of the channel."""
         if sign in _SEPARATORS:
@@ -150,7 +174,9 @@ class Restorer:
 
     def spaced(self, low: str) -> list[str]:
         """Words whose letters are set apart."""
-        return [w for m in SPACED.finditer(low) for w in WORD.findall(self.model.decode(m.group()))] if self.model else []
+        if not self.model or not _SPACED_END.search(low):
+            return []
+        return [w for m in SPACED.finditer(low) for w in WORD.findall(self.model.decode(m.group()))]
 
     def words(self, text: str) -> set[str]:
         low = text.lower()
@@ -158,46 +184,70 @@ class Restorer:
 
 
 class Telling:
-    """What the telling words of texts say; tokens are remembered up to a bound."""
+    """What the telling words of texts say, by one list of bounds or by several; tokens are remembered up to a limit."""
 
-    def __init__(self, bounds: dict[str, float], base: float, restorer: Restorer):
-        self.base, self.restorer, self.seen = math.log(base / (1 - base)), restorer, {}
+    def __init__(self, bounds: dict[str, float] | list[dict[str, float]], base: float, restorer: Restorer):
+        lists = bounds if isinstance(bounds, list) else [bounds]
+        self.base, self.restorer, self.lists = math.log(base / (1 - base)), restorer, len(lists)
+        # tokens without a telling word, and the telling words of the others
+        self.silent, self.seen = set(), {}
         # all telling n-grams at once: a whole word is one between its marks, others have few letters
         self.grams = ahocorasick.Automaton()
-        for g, p in bounds.items():
-            self.grams.add_word(g, p)
-        if bounds:
+        for g in dict.fromkeys(g for own in lists for g in own):
+            self.grams.add_word(g, tuple(own.get(g, 0.0) for own in lists))
+        self.any = len(self.grams) > 0
+        if self.any:
             self.grams.make_automaton()
-        self.any = bool(bounds)
+
+    def _bounds_of(self, word: str) -> tuple[float, ...] | None:
+        """The largest bound of the word's n-grams in each list."""
+        found = [p for _, p in self.grams.iter(f"^{word}$")] if self.any else ()
+        return tuple(map(max, zip(*found, strict=True))) if found else None
 
     def word(self, word: str) -> float:
-        """The largest bound of the word's n-grams."""
-        return max((p for _, p in self.grams.iter(f"^{word}$")), default=0.0) if self.any else 0.0
+        """The largest bound of the word's n-grams, in the first list."""
+        return (self._bounds_of(word) or (0.0,))[0]
 
-    def _told(self, words: list[str]) -> tuple[tuple[str, float], ...]:
-        return tuple((w, p) for w in words if (p := self.word(w)) >= TELLING)
+    def _told(self, words: list[str]) -> list[tuple[str, tuple[float, ...]]]:
+        return [(w, p) for w in words if (p := self._bounds_of(w)) and max(p) >= TELLING]
 
     def features(self, text: str) -> list[float]:
+        """FEATURES numbers of each list."""
         low = text.lower()
-        found: dict[str, float] = {}
-        for token in set(low.split()):
+        found: dict[str, tuple[float, ...]] = {}
+        for token in set(low.split()) - self.silent:
             told = self.seen.get(token)
             if told is None:
-                told = self._told(self.restorer.of_token(token))
-                if len(self.seen) >= CACHE:
+                core = token.rstrip(_STOPS)  # has the same words
+                if core in self.silent:
+                    self.silent.add(token)
+                    continue
+                told = self._told(self.restorer.of_token(core))
+                if len(self.seen) + len(self.silent) >= CACHE:
                     self.seen.clear()
-                self.seen[token] = told
-            if told:
-                found.update(told)
+                    self.silent.clear()
+                if told:
+                    self.seen[token] = told
+                else:
+                    self.silent.add(token)
+            found.update(told)
         found.update(self._told(self.restorer.spaced(low)))
-        sure = sum(p >= SURE for p in found.values())
-        evidence = sum(math.log(p / (1 - p)) - self.base for p in found.values())
-        return [float(sure >= 1), float(min(sure, 3)), math.log1p(len(found) - sure), max(found.values(), default=0.0), math.log1p(max(0.0, evidence))]
+        out: list[float] = []
+        for i in range(self.lists):
+            own = [p[i] for p in found.values() if p[i] >= TELLING]
+            sure = sum(p >= SURE for p in own)
+            evidence = math.fsum(math.log(p / (1 - p)) - self.base for p in own)  # whatever the order of the words
+            out += [float(sure >= 1), float(min(sure, 3)), math.log1p(len(own) - sure), max(own, default=0.0), math.log1p(max(0.0, evidence))]
+        return out
 
 
 FEATURES = 5
-#: tasks that learn; each begins with nothing restored
+#: files of the texts that are learnt from
 LEARNERS = 64
+#: n-grams that a task counts before it sends them on
+COUNTED = 1 << 19
+#: bits that tell which ids are labelled, in pieces of 4 KB
+ID_BITS = 1 << 25
 
 
 def lower_bound(toxic: np.ndarray, texts: np.ndarray, z: float) -> np.ndarray:
@@ -209,33 +259,93 @@ def lower_bound(toxic: np.ndarray, texts: np.ndarray, z: float) -> np.ndarray:
 
 
 def _letters_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: trigrams of the distinct plain words, with how many have them."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            letters: Counter = Counter()
-            for w in {w for text in whole.slice(at, 1000).column(0) for w in WORD.findall(text.as_py().lower())}:
-                s = f"^^{w}$"
-                letters.update(s[i : i + 3] for i in range(len(s) - 2))
-            yield pa.RecordBatch.from_arrays([pa.array([*letters], pa.string()), pa.array([*letters.values()], pa.int64())], ["key", "n"])
+    """Trigrams of the words of plain tokens; each text counts a token once."""
+
+    def packed(tokens: Counter) -> pa.RecordBatch:
+        words = [(w, n) for token, n in tokens.items() for w in ((token,) if token.isalpha() else WORD.findall(token))]
+        # all words in one row of code points of 21 bits; what reaches beyond the end of a word is no trigram
+        c = np.frombuffer("".join(f"^^{w}$" for w, _ in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        inside = (c[:-2] != ord("$")) & (c[1:-1] != ord("$"))
+        three = ((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[inside]
+        keys, at = np.unique(three, return_inverse=True)
+        sums = np.bincount(at, np.repeat([n for _, n in words], [len(w) + 1 for w, _ in words]), len(keys)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(["".join(chr((k >> b) & 0x1FFFFF) for b in (42, 21, 0)) for k in keys.tolist()], pa.string()), pa.array(sums)], ["key", "n"])
+
+    tokens: Counter = Counter()
+    for batch in batches:
+        for text in batch.column(0):
+            tokens.update(set(text.as_py().lower().split()))
+            if len(tokens) >= COUNTED:
+                yield packed(tokens)
+                tokens.clear()
+    yield packed(tokens)
 
 
-def _count_task(shared):
-    """Per batch: n-grams of restored words, with texts and toxic texts by fold."""
+class Places(dict):
+    """Numbers of keys, in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = place = len(self)
+        return place
+
+
+class GramCounts:
+    """n-grams of restored words, with texts and toxic texts by fold; those of a token are worked out once."""
+
+    def __init__(self, restorer: Restorer):
+        self.restorer = restorer
+        self.clear()
+
+    def clear(self) -> None:
+        self.places = Places()
+        self.of_tokens: dict[str, np.ndarray] = {}
+        self.sums = np.zeros((2 * FOLDS, 1 << 12), np.int64)
 
+    def _places_of(self, words: list[str]) -> np.ndarray:
+        own: list[str] = []
+        for w in words:
+            s = f"^{w}$"
+            own.append(s)
+            for n in GRAMS:
+                own += [s[i : i + n] for i in range(len(s) - n + 1)]
+        return np.array([*map(self.places.__getitem__, own)], np.int64)
+
+    def add(self, text: str, label: int, fold: int) -> None:
+        low, parts = text.lower(), []
+        for token in set(low.split()):
+            own = self.of_tokens.get(token)
+            if own is None:
+                own = self.of_tokens[token] = self._places_of(self.restorer.of_token(token))
+            parts.append(own)
+        if spaced := self.restorer.spaced(low):
+            parts.append(self._places_of(spaced))
+        if not parts:
+            return
+        at = np.sort(np.concatenate(parts))
+        at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+        while len(self.places) > self.sums.shape[1]:
+            self.sums = np.hstack([self.sums, np.zeros_like(self.sums)])
+        self.sums[fold, at] += 1
+        if label:
+            self.sums[FOLDS + fold, at] += 1
+
+    def packed(self) -> Iterator[pa.RecordBatch]:
+        keys = [*self.places]
+        for a in range(0, len(keys), 1 << 16):
+            own = keys[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), *(pa.array(c[a : a + len(own)]) for c in self.sums)], ["key", *COUNTS])
+        self.clear()
+
+
+def _count_task(shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                counts: dict[str, list[int]] = {}
-                for text, label, fold in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    words = restorer.words(text)
-                    for g in set().union(*map(grams, words)) if words else ():
-                        own = counts.setdefault(g, [0] * (2 * FOLDS))
-                        own[fold] += 1
-                        own[FOLDS + fold] += bool(label)
-                cols = list(zip(*counts.values(), strict=True)) or [[]] * (2 * FOLDS)
-                yield pa.RecordBatch.from_arrays([pa.array([*counts], pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["key", *COUNTS])
+        counts = GramCounts(Restorer(shared.value))
+        for batch in batches:
+            for text, label, fold in zip(*(batch.column(i) for i in range(3)), strict=True):
+                counts.add(text.as_py(), label.as_py(), fold.as_py())
+                if len(counts.places) >= COUNTED or len(counts.of_tokens) >= COUNTED:
+                    yield from counts.packed()
+        yield from counts.packed()
 
     return count
 
@@ -255,12 +365,27 @@ def _logistic(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
 
+def _among(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose ids occur in ids, and a few others: texts without a label are not sent to the join.
+
+    A bit for each hash of an id, 4 MB at most, is known to all tasks.
+    """
+    own = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(ID_BITS))
+    piece, at = F.bitmap_bucket_number(own), F.bitmap_bit_position(own)
+    bits = ids.groupBy(piece.alias("__piece")).agg(F.bitmap_construct_agg(at).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = documents.join(F.broadcast(bits), piece == F.col("__piece"))
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*documents.columns)
+
+
 def _labelled(documents: DataFrame, labels: DataFrame, learn: Column, path: str) -> DataFrame:
     """All labelled (text, toxic, fold) rows that may be learnt from, each text once."""
     known = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     ids = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(ids, "doc_id")
-    once = rows.groupBy("text").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = _among(documents.where(F.col("text").isNotNull()).select("doc_id", "text"), ids).withColumn("own", F.unhex(F.sha2("text", 256)))
+    # labels are joined to hashes of texts, so texts are sent once, to as many files as tasks that are to learn
+    known = rows.select("doc_id", "own").join(ids, "doc_id").groupBy("own").agg(F.max("toxic").cast("int").alias("toxic"))
+    once = rows.select("own", "text").repartition(LEARNERS, "own").distinct().join(known, "own").select("text", "toxic")
     return stash(once.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(9)), F.lit(FOLDS)).cast("int")), f"{path}/learnt")
 
 
@@ -340,8 +465,7 @@ def score(documents: DataFrame, labels: DataFrame, learn: Column, restore: bool
     spark = documents.sparkSession
     small_batches(spark)
     path = path or scratch(spark)
-    # dealt out again, as texts of one file would be one task
-    sample = _labelled(documents, labels, learn, path).repartition(LEARNERS, F.xxhash64("text"))
+    sample = _labelled(documents, labels, learn, path)
     # trigrams, n-grams that tell something and sums come to the driver: the model, which every task holds, and no texts
     letters = sample.select("text").mapInArrow(_letters_task, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")) if restore else None
     model = CharModel({r["key"]: math.sqrt(r["n"]) for r in letters.toLocalIterator()}) if restore else None
@@ -358,10 +482,11 @@ def score(documents: DataFrame, labels: DataFrame, learn: Column, restore: bool
     folded = spark.sparkContext.broadcast({z: [_bounds(keys, counts, f, z) for f in range(FOLDS)] for z in WIDTHS})
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value)
-        tools = {(z, f): Telling(folded.value[z][f], base, restorer) for z in WIDTHS for f in range(FOLDS)}
+        # the lists of all widths and folds at once: a text takes those of its own fold
+        telling = Telling([folded.value[z][f] for f in range(FOLDS) for z in WIDTHS], base, Restorer(shared.value))
+        per = FEATURES * len(WIDTHS)
         for batch in batches:
-            x = [[v for z in WIDTHS for v in tools[z, f].features(t)] for t, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            x = [telling.features(t.as_py())[f * per : (f + 1) * per] for t, f in zip(batch.column(0), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "y", "fold"])
 
     weights, bounds = None, {}
