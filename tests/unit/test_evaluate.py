@@ -107,3 +107,13 @@ def test_regression_gate_is_a_median_of_medians(spark):
     base = spark.createDataFrame([("q", r, s) for r, s in ((1, 1.0), (1, 1.0), (1, 9.0), (2, 2.0), (3, 3.0))], "benchmark string, run int, seconds double")
     got = evaluate.regressions(base, base.withColumn("seconds", F.col("seconds") * 1.3)).first()
     assert got.base == 2.0 and got.failed
+
+
+def test_matching_is_dealt_out_by_rows_and_keeps_null_keys_apart(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "MATCHED_AT_ONCE", 50)
+    gold = spark.range(1000).selectExpr("id as document_id", "cast(id % 7 as int) as start", "9 as end")
+    odd = spark.createDataFrame([(None, 1, 2)], "document_id long, start int, end int")
+    both = evaluate.matched(gold.unionByName(odd), gold.where("document_id < 400").unionByName(gold).unionByName(odd), evaluate.SPAN)
+    assert both.rdd.getNumPartitions() >= 2402 // 50
+    row = evaluate.span_counts(gold.unionByName(odd), gold.where("document_id < 400").unionByName(odd)).first()
+    assert (row.tp, row.fp, row.fn) == (400, 1, 601)

@@ -42,14 +42,30 @@ def gold_conflicts(gold: DataFrame) -> DataFrame:
     return gold.groupBy(*SPAN).agg(F.count_distinct("identifier").alias("ids"), F.count_distinct(place).alias("places")).where("ids > 1 or places > 1")
 
 
+#: rows that one task matches, about: its memory does not grow with the tables
+MATCHED_AT_ONCE = 1 << 18
+
+
+def matched(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
+    """Each distinct row of keys, with g and p: whether gold and predicted have it.
+
+    Both sides are sent once, to as many tasks as their rows need.  As in a join, a key
+    with a null is not that of the other side.
+    """
+    whole = F.concat(*[F.col(c).isNull().cast("string") for c in keys]) == "false" * len(keys)
+    side = lambda df, own: df.select(*keys, F.lit(own).alias("g"), F.when(~whole, own).alias("__apart"))
+    rows = side(gold, True).unionByName(side(predicted, False))
+    tasks = max(gold.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // MATCHED_AT_ONCE))
+    own = rows.repartition(tasks, *keys, "__apart").groupBy(*keys, "__apart")
+    return own.agg(F.max("g").alias("g"), F.max(~F.col("g")).alias("p")).drop("__apart")
+
+
 def span_counts(gold: DataFrame, predicted: DataFrame, by: list[str] | None = None) -> DataFrame:
     """tp, fp, fn over distinct spans, for each value of `by` (none: overall)."""
     keys = [*(by or []), *SPAN] if by and "document_id" not in by else SPAN
-    g = gold.select(*keys).distinct().withColumn("g", F.lit(1))
-    p = predicted.select(*keys).distinct().withColumn("p", F.lit(1))
-    both = g.join(p, keys, "full")
+    both = matched(gold, predicted, keys)
     count = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0)).cast("long")
-    g, p = F.col("g").isNotNull(), F.col("p").isNotNull()
+    g, p = F.col("g"), F.col("p")
     return both.groupBy(*(by or [])).agg(count(g & p).alias("tp"), count(~g & p).alias("fp"), count(g & ~p).alias("fn"))
 
 
@@ -75,11 +91,9 @@ def report(gold: DataFrame, predicted: DataFrame, levels: list[list[str]], empty
     """
     names = list(dict.fromkeys(c for level in levels for c in level))
     keys = list(dict.fromkeys([*names, *SPAN]))
-    g = gold.select(*keys).distinct().withColumn("g", F.lit(1))
-    p = predicted.select(*keys).distinct().withColumn("p", F.lit(1))
-    both = g.join(p, keys, "full")
+    both = matched(gold, predicted, keys)
     count = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0)).cast("long")
-    g, p = F.col("g").isNotNull(), F.col("p").isNotNull()
+    g, p = F.col("g"), F.col("p")
     counts = both.groupingSets([[F.col(c) for c in level] for level in levels], *names).agg(
         F.grouping_id().alias("__id"), count(g & p).alias("tp"), count(~g & p).alias("fp"), count(g & ~p).alias("fn")
     )
@@ -108,9 +122,8 @@ def language_report(gold: DataFrame, predicted: DataFrame, sentences: DataFrame,
 def resolution_accuracy(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Share of gold (span, identifier) pairs that are predicted; 1.0 without any."""
     keys = [*SPAN, "identifier"]
-    g = gold.where("identifier is not null").select(*keys).distinct()
-    p = predicted.where("identifier is not null").select(*keys).distinct().withColumn("hit", F.lit(1))
-    return g.join(p, keys, "left").agg(F.count("*").alias("n"), F.count("hit").alias("correct")).withColumn("accuracy", ratio(F.col("correct"), F.col("n"), 1.0))
+    both = matched(gold.where("identifier is not null"), predicted.where("identifier is not null"), keys)
+    return both.agg(F.count_if("g").alias("n"), F.count_if(F.col("g") & F.col("p")).alias("correct")).withColumn("accuracy", ratio(F.col("correct"), F.col("n"), 1.0))
 
 
 def distance_errors(gold: DataFrame, predicted: DataFrame, order: str | None = None) -> DataFrame:
@@ -189,7 +202,11 @@ def bootstrap(counts: DataFrame, draws: int = 1000, seed: int = 0, stratum: str
         sizes = rows.groupBy("stratum", "document_id").agg(F.count_distinct("pipeline").alias("p"), F.count("*").alias("c")).agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.max("c").alias("c")).first()
         if sizes["lo"] != sizes["hi"] or sizes["c"] != sizes["hi"]:
             raise ValueError("pipelines do not share their documents and strata")
-    own = rows.groupBy("stratum", "document_id").agg(F.array_sort(F.collect_list(F.struct("pipeline", "tp", "fp", "fn"))).alias("all"))
+    if pipeline:
+        own = rows.groupBy("stratum", "document_id").agg(F.array_sort(F.collect_list(F.struct("pipeline", "tp", "fp", "fn"))).alias("all"))
+    else:  # sums need neither lists nor a sort
+        sums = rows.groupBy("stratum", "document_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+        own = sums.select("stratum", "document_id", F.array(F.struct(F.lit("").alias("pipeline"), "tp", "fp", "fn")).alias("all"))
     kinds = own.groupBy("stratum", "all").agg(F.count("*").alias("n"))
     sizes = kinds.groupBy("stratum").agg(F.ceil(F.count("*") / block_kinds).cast("int").alias("blocks"))
     chunk = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // DRAWS_AT_ONCE) - 1))).alias("chunk")
