@@ -249,3 +249,50 @@ def test_references_and_referents_by_hand_and_updates(spark, tmp_path):
     p.update_documents(spark.createDataFrame([("a", "Paris and Rome"), ("b", "Roma"), ("unknown", "x")], "id string, text string"))
     assert {(r.id, r.text) for r in p.documents().collect()} == {("a", "Paris and Rome"), ("b", "Roma")}
     assert {r.document_id for r in p.view("gold").collect()} == {"a"}
+
+
+def _shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_texts_are_sent_once_for_all_annotations(spark, tmp_path):
+    """What recognition and resolution shuffle is about one copy of the texts."""
+    import random
+
+    deal, off = random.Random(3), ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    rows = [(f"d{i}", "".join(deal.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=50_000))) for i in range(40)]
+    p = project.Project(spark, f"file://{tmp_path}/p", "demo")
+    p.create_documents(spark.createDataFrame(rows, "id string, text string"))
+    marks = spark.createDataFrame([(d, at, at + 3, "L1" if at else "") for d, _ in rows[1:] for at in (0, 10)], "document_id string, start int, end int, loc_id string")
+    before = _shuffled(spark)
+    try:
+        for name in off:
+            spark.conf.set(name, "-1")
+        p.load_annotations(marks, "gold")
+        got = {(r.document_id, r.start, r.text, r.feature_identifier) for r in p.view("gold").collect()}
+    finally:
+        for name in off:
+            spark.conf.unset(name)
+    assert got == {(d, at, t[at : at + 3], "L1" if at else None) for d, t in rows[1:] for at in (0, 10)}
+    assert p.table("recognition").count() == len(rows)
+    assert _shuffled(spark) - before < 1.5 * sum(len(t) for _, t in rows)
+
+
+def test_documents_that_change_during_recognition_keep_nothing_old(spark, tmp_path):
+    p = project.Project(spark, f"file://{tmp_path}/p", "demo")
+    p.create_documents(spark.createDataFrame([("a", "old text"), ("b", "same"), ("c", "gone"), ("n", None)], "id string, text string"))
+
+    def predict(docs):
+        p.update_documents(spark.createDataFrame([("a", "new text"), ("b", "same")], "id string, text string"))
+        p.delete_documents(spark.createDataFrame([("c",)], "id string"))
+        p.create_documents(spark.createDataFrame([("e", "later")], "id string, text string"))
+        return docs.select("id", F.expr("array(named_struct('start', 0, 'end', 3), named_struct('start', 0, 'end', 3))").alias("spans"))
+
+    p.recognize("m", predict)
+    assert [(r.document_id, r.text) for r in p.table("reference").orderBy("document_id").collect()] == [("b", "sam"), ("n", None)]
+    assert sorted(r.document_id for r in p.table("recognition").collect()) == ["b", "n"]
+    p.recognize("m", _brute_spans)
+    got = {r.document_id: r.text for r in p.table("reference").where("text is not null").collect()}
+    assert got == {"a": "new", "b": "sam", "e": "lat"} and p.table("recognition").count() == 4

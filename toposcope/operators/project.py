@@ -56,11 +56,17 @@ def in_order(rows: DataFrame, ids: list[str]) -> DataFrame:
     return rows.join(wanted, "id").orderBy("pos").drop("pos")
 
 
+def with_surfaces(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(document_id, spans) of (id, spans), each distinct span with what it covers: texts (id, text) are sent once and end here."""
+    surface = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), span_text(F.col("text"), s["start"], s["end"]).alias("text"))
+    return found.join(texts, "id").select(F.col("id").alias("document_id"), F.transform(F.array_distinct("spans"), surface).alias("spans"))
+
+
 def reference_rows(found: DataFrame, module_id: str) -> DataFrame:
-    """Rows of the table from spans (document_id, text, start, end); ids follow from what they stand for."""
+    """Rows of the table from spans (document_id, start, end, text); ids follow from what they stand for."""
     return found.select(
         F.substring(F.sha2(F.concat_ws(":", "document_id", F.lit(module_id), "start", "end"), 256), 1, 32).alias("id"),
-        "document_id", F.lit(module_id).alias("recognizer_id"), "start", "end", span_text(F.col("text"), F.col("start"), F.col("end")).alias("text"),
+        "document_id", F.lit(module_id).alias("recognizer_id"), "start", "end", "text",
     )
 
 
@@ -92,6 +98,9 @@ class Project:
     def documents(self, at: Snapshot | None = None) -> DataFrame:
         return (at or self.tables.at()).table("document").where(F.col("project_id") == self.name)
 
+    def _digests(self, at: Snapshot) -> DataFrame:
+        return self.documents(at).select(F.col("id").alias("document_id"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"))
+
     def tag(self, tag: str, recognizer_id: str | None = None, resolver_id: str | None = None) -> None:
         """Point a tag to modules; the newest row of a tag counts, null keeps what it had."""
 
@@ -115,15 +124,16 @@ class Project:
         todo = unprocessed(self.documents(start), start.table("recognition"), "document_id", "recognizer_id", module_id)
         found = predict(todo.select("id", "text")).select("id", F.col("spans").cast(SPANS).alias("spans")).where("spans is not null")
         # predictions are written once; what others have committed meanwhile is left out when they are added
-        held = written(found.join(todo.select("id", "text"), "id").select(F.col("id").alias("document_id"), "text", "spans"))
+        held = written(with_surfaces(found, todo.select("id", "text")))
 
         def results(s: Snapshot) -> dict[str, DataFrame]:
-            known = self.documents(s).select(F.col("id").alias("document_id"), F.col("text").alias("now"))
             done = s.table("recognition").where(F.col("recognizer_id") == module_id).select("document_id")
-            # a document that has gone or changed since then keeps nothing of its old text
-            fresh = held.join(known, "document_id").where(F.col("text").eqNullSafe(F.col("now"))).join(done, "document_id", "left_anti")
-            spans = fresh.select("document_id", "text", F.explode(F.array_distinct("spans")).alias("s")).select("document_id", "text", "s.start", "s.end")
-            rows = reference_rows(spans, module_id)
+            fresh = held.join(done, "document_id", "left_anti")
+            # a document that has gone or changed since then keeps nothing of its old text; folders never change
+            if s.folders.get("document") != start.folders.get("document"):
+                same = self._digests(start).join(self._digests(s), ["document_id", "digest"], "left_semi")
+                fresh = fresh.join(same, "document_id", "left_semi")
+            rows = reference_rows(fresh.select("document_id", F.explode("spans").alias("s")).select("document_id", "s.*"), module_id)
             return {"reference": rows, "recognition": fresh.select("document_id", F.lit(module_id).alias("recognizer_id"))}
 
         self.tables.change(results, ("document", "recognition"), add=True)
@@ -136,9 +146,10 @@ class Project:
         """
         self.register("resolver", module_id, name, config)
         start = self.tables.at()
-        own = start.table("reference").join(self.documents(start).select(F.col("id").alias("document_id"), F.col("text").alias("document_text")), "document_id")
-        todo = unprocessed(own, start.table("resolution"), "reference_id", "resolver_id", module_id)
-        found = written(predict(todo).where("identifier is not null").select("id", "identifier").join(features.select("identifier"), "identifier", "left_semi"))
+        # what is done goes before references get their document's text, which would be sent along with each
+        own = unprocessed(start.table("reference"), start.table("resolution"), "reference_id", "resolver_id", module_id)
+        todo = own.join(self.documents(start).select(F.col("id").alias("document_id"), F.col("text").alias("document_text")), "document_id")
+        found = written(predict(todo).where("identifier is not null").select("id", "identifier").join(features.select("identifier").distinct(), "identifier", "left_semi"))
 
         def results(s: Snapshot) -> dict[str, DataFrame]:
             done = s.table("resolution").where(F.col("resolver_id") == module_id).select(F.col("reference_id").alias("id"))
