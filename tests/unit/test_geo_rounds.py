@@ -50,3 +50,20 @@ def test_other_shapes_keep_their_exact_test(spark):
     b = spark.createDataFrame([(0, triangle), (1, box(8.0, 8.0, 1.0, 1.0)), (2, box(1.0, 1.0, 8.0, 8.0))], "j int, other binary")
     got = {(r["i"], r["j"]) for r in geo.geometry_join(a, b, "intersects").select("i", "j").collect()}
     assert got == {(0, 0), (0, 2), (1, 0), (1, 2)}
+
+
+def test_long_thin_boxes_meet_few_others(spark, monkeypatch):
+    wide = [(0.0, float(i), 1000.0, 1.0) for i in range(20)] + [(float(i), 0.0, 1.0, 1000.0) for i in range(20)]
+    dots = [(i * 37 % 1009 + 0.5, i * 91 % 1013 + 0.5, 1.0 + i % 3, 1.0 + i % 5) for i in range(400)]
+    a = spark.createDataFrame([(i, box(*b)) for i, b in enumerate(wide)], "i int, shape binary")
+    b = spark.createDataFrame([(i, box(*b)) for i, b in enumerate(dots)], "j int, other binary")
+    left, right = a.withColumn("__a", geo.st_box("shape")), b.withColumn("__b", geo.st_box("other"))
+    ups, downs = geo._levels(left, "__a"), geo._levels(right, "__b")
+    cells = geo._in_cells(left, "__a", downs, 0).join(geo._in_cells(right, "__b", ups, 0), ["__lx", "__ly", "__cx", "__cy"])
+    touch = lambda p, q: p[0] <= q[0] + q[2] and q[0] <= p[0] + p[2] and p[1] <= q[1] + q[3] and q[1] <= p[1] + p[3]
+    want = sorted((i, j) for i, p in enumerate(wide) for j, q in enumerate(dots) if touch(p, q))
+    # in square cells every wide box met all 400 of the others
+    assert len(want) < cells.count() < len(wide) * len(dots) / 8
+    for kinds in (128, 2):
+        monkeypatch.setattr(geo, "MOST_KINDS", kinds)
+        assert sorted(map(tuple, geo.geometry_join(a, b, "intersects").select("i", "j").collect())) == want
