@@ -59,6 +59,7 @@ SEGMENT_BYTES = 16 << 20
 MAX_SEGMENTS = 1 << 16
 TRAIN_BLOCK = 2_000_000
 SCORE_BLOCK = 300_000
+ANSWER_BYTES = 1 << 20
 
 PART = "seg int, kind int, keys binary, counts binary"
 REQUEST = "req long, kind int, seg int, payload binary"
@@ -382,6 +383,12 @@ def _request_task(segments: int, model: Model, often, shared):
     return request
 
 
+def _together(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Requests that are answered at once: with many segments a block asks each for few keys."""
+    group = (np.cumsum(rows["payload"].str.len().to_numpy()) // ANSWER_BYTES).astype(np.int64)
+    return (some for _, some in rows.groupby(group, sort=False))
+
+
 def _answer_task(segments: int, routed: bool):
     def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -393,15 +400,19 @@ def _answer_task(segments: int, routed: bool):
             words = np.frombuffer(row["keys"], np.uint64)
             counts = _unpacked(row["counts"], len(words))
             bloom = Filters([row], [row], segments) if routed else None
-        for r in asked.itertuples(index=False):
-            keys = np.frombuffer(r.payload, np.uint64) if r.kind == WORDS else _unpacked_keys(r.payload)
-            got, levels = np.zeros(len(keys), np.int64), b""
-            if r.kind == WORDS and len(words):
-                at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
-                got = np.where(words[at] == keys, counts[at], 0)
-            if routed:
-                levels = (bloom.levels(r.kind, keys) if bloom is not None else np.zeros(len(keys), np.uint8)).tobytes()
-            out.append((r.req, r.kind, r.seg, len(keys), _small(got) if r.kind == WORDS else b"", levels))
+        for kind, rows in asked.groupby("kind"):
+            for some in _together(rows):
+                parts = [np.frombuffer(p, np.uint64) if kind == WORDS else _unpacked_keys(p) for p in some["payload"]]
+                keys = np.concatenate(parts)
+                got, levels = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint8)
+                if kind == WORDS and len(words):
+                    at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
+                    got = np.where(words[at] == keys, counts[at], 0)
+                if bloom is not None:
+                    levels = bloom.levels(kind, keys)
+                ends = np.cumsum([len(p) for p in parts]).tolist()
+                for req, seg, x, y in zip(some["req"], some["seg"], [0, *ends[:-1]], ends, strict=True):
+                    out.append((req, kind, seg, y - x, _small(got[x:y]) if kind == WORDS else b"", levels[x:y].tobytes() if routed else b""))
         return pd.DataFrame(out, columns=["req", "kind", "seg", "n", "counts", "levels"])
 
     return answer
